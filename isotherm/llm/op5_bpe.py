@@ -174,26 +174,27 @@ def _codec(key: str, broadcast) -> Codec:
     return _codecs[key]
 
 
-def _digests(key: str, broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(key: str, broadcast, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = _codec(key, broadcast)
     for b in batches:
-        n, ids_sha, text_sha = [], [], []
-        for text in b["text"].to_pylist():
-            ids = codec.encode(text)
-            n.append(len(ids) // 4)
-            ids_sha.append(shared.sha(ids))
-            text_sha.append(shared.sha(codec.decode(ids)))
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        ids = [codec.encode(t) for t in b["text"].to_pylist()]
+        arrays = [b["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([shared.sha(x) for x in ids], pa.string()), pa.array([shared.sha(codec.decode(x)) for x in ids], pa.string())]
+        names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+        if with_ids:
+            arrays, names = [*arrays, _ids(ids)], [*names, "ids"]
+        yield pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _ids(packed: list[bytes]) -> pa.ListArray:
+    """Packed ids as lists of int."""
+    offsets = np.concatenate(([0], np.cumsum([len(x) // 4 for x in packed]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
 
 
 def _encode(key: str, broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     codec = _codec(key, broadcast)
     for b in batches:
-        ids = [np.frombuffer(codec.encode(t), "<u4").astype(np.int32) for t in b["text"].to_pylist()]
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in ids]))).astype(np.int32)
-        values = np.concatenate(ids) if ids else np.empty(0, np.int32)
-        arrays = [b.column(c) for c in b.schema.names]
-        yield pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], [*b.schema.names, "ids"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), _ids([codec.encode(t) for t in b["text"].to_pylist()])], [*b.schema.names, "ids"])
 
 
 def _decode(key: str, broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,11 +210,15 @@ def _shipped(df: DataFrame, vocabulary: Vocabulary):
     return uuid.uuid4().hex, broadcast
 
 
-def digests(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, with ids encoded and decoded again."""
+def digests(docs: DataFrame, vocabulary: Vocabulary, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, with ids encoded and decoded again.
+
+    with_ids: also the ids themselves (array of int).
+    """
     key, sent = _shipped(docs, vocabulary)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(lambda it: _digests(key, sent, it), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return slim.mapInArrow(lambda it: _digests(key, sent, with_ids, it), schema)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
