@@ -9,10 +9,12 @@ universe: it is listed if the first filter that rejects it is an even one. URLs
 
 There are two cascades, of what allows and of what blocks, and the longest key that is in one decides.
 
-Scale: the universe is made by one distinct (map-side combined, so a hot host is one row a task), and levels
-are built by bit_or over 64-bit words of the filter. A level's size depends on the list and, by the choice of
-the first filter's error rate, hardly on the universe. Filters are broadcast while they take at most
-``MAX_FILTER_BYTES``; a larger list is looked up by a join instead, with the same result.
+Scale: the universe is made by one distinct (map-side combined, so a hot host is one row a task) and marked
+with the lists by one join. A level of all cascades is one job: bit_or over 64-bit words of the filters. The
+first level scans the universe, later ones only what passed a first level and what is listed. A level's size
+depends on the list and, by the choice of the first filter's error rate, hardly on the universe. It is set by
+the expected number of keys; more keys than expected only make for more levels. Filters are broadcast while
+they take at most ``MAX_FILTER_BYTES``; larger lists are looked up by a join instead, with the same result.
 
 Defined cases: a null URL or one without ``://`` has an empty host and path, no rule, and the default
 verdict; a rule with an empty host fits none; a rule in both lists blocks; repeated URLs are judged alike;
@@ -73,74 +75,103 @@ class Level:
     hashes: int
     words: np.ndarray
 
-    def places(self, key: str, level: int) -> list[int]:
-        h = xxhash.xxh3_128_intdigest(key.encode("utf-8", "replace"), level)
+    def places(self, key: str, seed: int) -> list[int]:
+        h = xxhash.xxh3_128_intdigest(key.encode("utf-8", "replace"), seed)
         a, b = (h & 0xFFFFFFFFFFFFFFFF) % self.bits, (h >> 64) % self.bits | 1
         return [(a + i * b) % self.bits for i in range(self.hashes)]
 
-    def has(self, key: str, level: int) -> bool:
+    def has(self, key: str, seed: int) -> bool:
         words = self.words
-        return all(int(words[p >> 6]) >> (p & 63) & 1 for p in self.places(key, level))
+        return all(int(words[p >> 6]) >> (p & 63) & 1 for p in self.places(key, seed))
 
 
 class Cascade:
-    def __init__(self, levels: list[Level]):
-        self.levels = levels
+    """number: tells cascades apart, so that they err on different keys."""
+
+    def __init__(self, number: int, levels: list[Level] | None = None):
+        self.number, self.levels = number, levels or []
+
+    def seed(self, level: int) -> int:
+        return 1000 * self.number + level
+
+    def has(self, key: str, level: int) -> bool:
+        return self.levels[level].has(key, self.seed(level))
 
     def __contains__(self, key: str) -> bool:
-        for n, level in enumerate(self.levels):
-            if not level.has(key, n):
+        for n in range(len(self.levels)):
+            if not self.has(key, n):
                 return n % 2 == 1
         return len(self.levels) % 2 == 1
 
+    def wants(self, key: str, listed: bool) -> bool:
+        """Whether the next level must encode a key: it is of the level's kind, and passed wrongly so far."""
+        n = len(self.levels)
+        return listed == (n % 2 == 0) and all(self.has(key, k) for k in range(1 - n % 2, n, 2))
+
     def size(self) -> int:
         return sum(x.words.nbytes for x in self.levels)
 
 
-def _shape(n: int, rate: float) -> tuple[int, int]:
-    bits = max(64, math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64) * 64)
+def _shape(n: float, rate: float) -> tuple[int, int]:
+    bits = max(64, math.ceil(-max(1, n) * math.log(rate) / math.log(2) ** 2 / 64) * 64)
     return bits, max(1, round(-math.log2(rate)))
 
 
-def _set_bits(level: Level, number: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _set_bits(cascades: list[Cascade], shapes: dict[int, Level], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of the next level of each cascade that goes on, ored within a batch."""
+    for b in batches:
+        words: dict[tuple[int, int], int] = {}
+        for key, mask in zip(b["key"].to_pylist(), b["mask"].to_pylist()):
+            for n, shape in shapes.items():
+                c = cascades[n]
+                if c.wants(key, bool(mask >> n & 1)):
+                    for p in shape.places(key, c.seed(len(c.levels))):
+                        words[n, p >> 6] = words.get((n, p >> 6), 0) | 1 << (p & 63)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([n for n, _ in words], pa.int64()), pa.array([w for _, w in words], pa.int64()), pa.array(np.array(list(words.values()), np.uint64).view(np.int64))], ["cascade", "word", "bits"]
+        )
+
+
+def _suspects(cascades: list[Cascade], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys that are listed somewhere, or pass the first level of a cascade."""
     for b in batches:
-        words: dict[int, int] = {}
-        for key in b["key"].to_pylist():
-            for p in level.places(key, number):
-                words[p >> 6] = words.get(p >> 6, 0) | 1 << (p & 63)
-        yield pa.RecordBatch.from_arrays([pa.array(list(words), pa.int64()), pa.array(np.array(list(words.values()), np.uint64).view(np.int64))], ["word", "bits"])
+        keep = [m != 0 or any(c.levels and c.has(k, 0) for c in cascades) for k, m in zip(b["key"].to_pylist(), b["mask"].to_pylist())]
+        yield b.filter(pa.array(keep, pa.bool_()))
 
 
-def _passing(sent, number: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    level = sent.value
-    for b in batches:
-        yield b.filter(pa.array([level.has(k, number) for k in b["key"].to_pylist()], pa.bool_()))
-
-
-def build_cascade(universe: DataFrame, listed: DataFrame, max_bytes: int = MAX_FILTER_BYTES) -> Cascade | None:
-    """The cascade of listed over universe (both of one column, key, distinct); None if it is over max_bytes."""
-    spark = universe.sparkSession
-    inside = shared.written(universe.join(listed.distinct(), "key", "left_semi"), "op9-listed")
-    outside = shared.written(universe.join(listed.distinct(), "key", "left_anti"), "op9-others")
-    n_in, n_out, levels, total = inside.count(), outside.count(), [], 0
-    include, exclude, n = inside, outside, n_in
-    while n:
-        number = len(levels)
-        # The first level lets about as many strangers pass as it holds keys; later ones half of what is left.
-        rate = 0.5 if number else min(0.5, n_in / (math.sqrt(2) * max(1, n_out)))
-        bits, hashes = _shape(n, rate)
-        total += bits // 8
-        if total > max_bytes:
+def build_cascades(universe: DataFrame, n_lists: int, max_bytes: int = MAX_FILTER_BYTES) -> list[Cascade] | None:
+    """A cascade for each list; universe: (key, mask), bit n of mask set if list n has the key.
+
+    None if the filters would take more than max_bytes.
+    """
+    cascades, rows = [Cascade(n) for n in range(n_lists)], universe
+    sizes = {r["mask"]: r["n"] for r in universe.groupBy("mask").agg(F.count("*").alias("n")).collect()}  # 2**n_lists at most
+    inside = [sum(n for m, n in sizes.items() if m >> k & 1) for k in range(n_lists)]
+    outside = [sum(sizes.values()) - n for n in inside]
+    # The first level lets about as many strangers pass as it holds keys; later ones half of what is left.
+    rates = [min(0.5, i / (math.sqrt(2) * max(1, o))) if i else 0.5 for i, o in zip(inside, outside)]
+    going, level = [n for n in range(n_lists) if inside[n]], 0
+    while going:
+        shapes = {}
+        for n in going:
+            expected = inside[n] * 0.5 ** (level / 2) if level % 2 == 0 else 1.1 * outside[n] * rates[n] * 0.5 ** ((level - 1) / 2)
+            bits, hashes = _shape(expected, 0.5 if level else rates[n])
+            shapes[n] = Level(bits, hashes, np.zeros(0, np.uint64))
+        if sum(c.size() for c in cascades) + sum(x.bits // 8 for x in shapes.values()) > max_bytes:
             return None
-        level = Level(bits, hashes, np.zeros(bits // 64, np.uint64))
-        ored = include.mapInArrow(lambda it, x=level, k=number: _set_bits(x, k, it), "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
-        for r in ored.toLocalIterator():  # as many rows as the filter has words, which max_bytes bounds
-            level.words[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
-        levels.append(level)
-        sent = spark.sparkContext.broadcast(level)
-        wrong = shared.written(exclude.mapInArrow(lambda it, s=sent, k=number: _passing(s, k, it), "key string"), "op9-level")
-        include, exclude, n = wrong, include, wrong.count()
-    return Cascade(levels)
+        ored = rows.mapInArrow(lambda it, c=cascades, s=shapes: _set_bits(c, s, it), "cascade long, word long, bits long").groupBy("cascade", "word").agg(F.bit_or("bits").alias("bits"))
+        got = ored.collect()  # as many rows as the level has words, which max_bytes bounds
+        going = sorted({r["cascade"] for r in got})
+        for n in going:
+            shapes[n].words = np.zeros(shapes[n].bits // 64, np.uint64)
+        for r in got:
+            shapes[r["cascade"]].words[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+        for n in going:
+            cascades[n].levels.append(shapes[n])
+        if not level and going:
+            rows = shared.written(universe.mapInArrow(lambda it, c=cascades: _suspects(c, it), "key string, mask long"), "op9-suspects")
+        level += 1
+    return cascades
 
 
 def _candidate_rows(lengths: tuple[int, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,14 +194,11 @@ def _judge(sent, rules: tuple[int, ...], hosts: tuple[int, ...], default: str, b
         yield pa.RecordBatch.from_arrays([b["page_id"], *(pa.array(c, pa.string()) for c in columns)], ["page_id", "host", "path", "rule", "verdict"])
 
 
-def _keys(spark: SparkSession, keys) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in dict.fromkeys(keys)], "key string")
-
-
-def _path_lengths(keys: DataFrame) -> tuple[int, ...]:
-    """Lengths of the path part of keys, falling; a path is short, so these are few."""
-    n = F.when(F.instr("key", "/") > 0, F.char_length("key") - F.instr("key", "/") + 1).otherwise(0)
-    return tuple(sorted((r[0] for r in keys.select(n.alias("n")).distinct().collect()), reverse=True))
+def _marked(spark: SparkSession, slim: DataFrame, lists: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """(key, mask) of the universe. It is written in about as many files as the pages are read in."""
+    keys = slim.mapInArrow(lambda it: _candidate_rows(lengths, it), "key string").distinct()
+    out = keys.join(lists, "key", "left").select("key", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"))
+    return shared.written(out.coalesce(max(1, slim.rdd.getNumPartitions())), "op9-universe")
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str = "allow", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -181,16 +209,21 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str =
     spark = pages.sparkSession
     shared.small_batches(spark)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
-    rules = rules.filter("key is not null and key != '' and key not like '/%'").groupBy("key").agg(F.max("verdict").alias("verdict"))
-    listed = listed.filter("key is not null and key != ''").distinct()
-    lengths, own = _path_lengths(rules), _path_lengths(listed)
-    universe = shared.written(slim.mapInArrow(lambda it: _candidate_rows(tuple(sorted({*lengths, *own}, reverse=True)), it), "key string").distinct(), "op9-universe")
-    sets = [rules.filter("verdict = 'allow'").select("key"), rules.filter("verdict = 'block'").select("key"), listed]
-    cascades = [build_cascade(universe, s, max_bytes) for s in sets]
-    if all(c is not None for c in cascades) and sum(c.size() for c in cascades) <= max_bytes:
+    # Bits of mask: 0 allows, 1 blocks, 2 listed.
+    every = rules.select("key", F.when(F.col("verdict") == "block", 2).otherwise(1).alias("mask")).unionByName(listed.select("key", F.lit(4).alias("mask")))
+    every = every.filter("key is not null and key != '' and key not like '/%'").groupBy("key").agg(F.bit_or("mask").alias("mask"))
+    lists = shared.written(every.coalesce(max(1, rules.rdd.getNumPartitions() + listed.rdd.getNumPartitions())), "op9-lists")
+    n = F.when(F.instr("key", "/") > 0, F.char_length("key") - F.instr("key", "/") + 1).otherwise(0)
+    # Lengths of the path part of keys: a path is short, so these are few.
+    by = lists.agg(F.collect_set(F.when(F.col("mask") % 4 > 0, n)).alias("rules"), F.collect_set(F.when(F.col("mask") >= 4, n)).alias("listed")).first()
+    lengths, own = (tuple(sorted(by[k], reverse=True)) for k in ("rules", "listed"))
+    universe = _marked(spark, slim, lists, tuple(sorted({*lengths, *own}, reverse=True)))
+    cascades = build_cascades(universe, 3, max_bytes)
+    if cascades is not None:
         sent = spark.sparkContext.broadcast(tuple(cascades))
         return slim.mapInArrow(lambda it: _judge(sent, lengths, own, default, it), "page_id long, host string, path string, rule string, verdict string")
-    return _judge_by_join(slim, rules, listed, lengths, own, default)
+    marks = lists.select("key", F.when(F.col("mask").bitwiseAND(2) > 0, "block").when(F.col("mask").bitwiseAND(1) > 0, "allow").alias("verdict"), (F.col("mask") >= 4).alias("in_list"))
+    return _judge_by_join(slim, marks.filter("verdict is not null"), marks.filter("in_list").select("key"), lengths, own, default)
 
 
 def _explode(lengths: tuple[int, ...], own: tuple[int, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,8 +248,8 @@ def _judge_by_join(slim: DataFrame, rules: DataFrame, listed: DataFrame, lengths
 
 
 def default_rules(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(list(RULES), "key string, verdict string")
+    return spark.createDataFrame(list(RULES), "key string, verdict string").coalesce(1)
 
 
 def default_listed(spark: SparkSession) -> DataFrame:
-    return _keys(spark, LISTED_HOSTS)
+    return spark.createDataFrame([(h,) for h in LISTED_HOSTS], "key string").coalesce(1)

@@ -211,11 +211,14 @@ def test_url_filter(spark, max_bytes):
 
 def test_cascade_is_exact(spark):
     keys = [f"h{k}.org/" for k in range(4000)]
-    universe = spark.createDataFrame([(k,) for k in keys], "key string")
-    for part in (keys[:5], keys[:300], keys[:3900], keys, []):
-        c = op9_urls.build_cascade(universe, spark.createDataFrame([(k,) for k in [*part, "elsewhere/"]], "key string"))
-        assert {k for k in keys if k in c} == set(part)
-    assert len(op9_urls.build_cascade(universe, spark.createDataFrame([(k,) for k in keys[:300]], "key string")).levels) > 1
+    lists = [set(keys[:5]), set(keys[:300]), set(keys[:3900]), set(keys), set()]
+    universe = spark.createDataFrame([(k, sum(1 << n for n, x in enumerate(lists) if k in x)) for k in keys], "key string, mask long")
+    cascades = op9_urls.build_cascades(universe, len(lists))
+    assert [{k for k in keys if k in c} for c in cascades] == lists
+    assert len(cascades[1].levels) > 1 and not cascades[4].levels
+    assert op9_urls.build_cascades(universe, len(lists), max_bytes=100) is None
+    none = universe.limit(0)
+    assert [c.levels for c in op9_urls.build_cascades(none, 2)] == [[], []]
 
 
 # --- op10
