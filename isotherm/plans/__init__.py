@@ -1,0 +1 @@
+"""Whole queries over the operators, with the SQL they are held against."""

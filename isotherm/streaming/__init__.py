@@ -1,0 +1 @@
+"""No streaming operators: the engine's records are fixed, finished decades, so there is nothing to stream."""
