@@ -3,7 +3,7 @@
 A window is 13 consecutive words of one document. It is filed under its *representative*, the smallest hash
 among its eight 6-word spans; equal windows have equal representatives, and neighbouring windows mostly share
 one, so there are far fewer representatives than windows. A window's *fingerprint* is a second, independent
-64-bit hash of all 13 words.
+48-bit hash of all 13 words.
 
 The index holds sorted immutable runs, one for each batch of documents: in each bucket of representatives,
 the sorted representatives and, under each, the sorted fingerprints of its windows. A new batch goes
@@ -13,15 +13,16 @@ through these steps:
    blocks of the batch: which of them occur in the index or in two documents?
 2. candidates are verified: the fingerprints of windows under such representatives (and of no others) are
    merge-joined with the runs and each other; the smallest doc_id that has a window owns it. Two windows are
-   taken as equal if both 64-bit hashes agree, 128 bits in all;
+   taken as equal if both hashes agree, 112 bits in all;
 3. words covered by windows of another owner are removed;
 4. windows that the batch owns become a new run; when there are more than ``MAX_RUNS``, runs are merged.
 
 Batches must come in the order of doc_id: what is in the index is older than the batch.
 
-Scale: documents are dealt once by a hash of doc_id into blocks of about ``BLOCK_BYTES``; blocks and buckets
-exchange packed arrays, 8 bytes a representative and about 13 a candidate window, and a block answers for a
-window once however many of its documents have it. A bit a candidate window comes back. Bucket numbers follow
+Scale: documents are dealt once by a hash of doc_id into blocks of about ``BLOCK_BYTES``, and all steps of a
+batch are one query, in which Spark reuses that exchange; blocks and buckets exchange packed arrays, 8 bytes a
+representative and about 11 a candidate window, and a block answers for a window once however many of its
+documents have it. A bit a candidate window comes back. Bucket numbers follow
 the size of the input, so memory per task doesn't grow. No row is a pair of documents.
 
 Defined cases: null text has no words; a text of fewer than 13 words has no window; rows of one doc_id are
@@ -33,6 +34,7 @@ become empty.
 from __future__ import annotations
 
 import gc
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +48,8 @@ WINDOW, SPAN = 13, 6
 BLOCK_BYTES = 2 << 20
 #: Text bytes whose representatives share a bucket.
 BUCKET_BYTES = 8 << 20
+#: Blocks whose rows a task writes to one file.
+BLOCKS_PER_FILE = 32
 MAX_RUNS = 4
 BATCHES = 2
 
@@ -73,8 +77,9 @@ class Windows:
         if len(spans):  # the minimum of 8 spans by doubling
             for k in (1, 2, 4):
                 least = np.minimum(least[: len(least) - k], least[k:]) if len(least) > k else least[:0]
-        self.rep = least[self.start] if len(self.start) else np.empty(0, np.uint64)
-        prints = shared.window_hashes(h, WINDOW, _WINDOW_BASE)
+        # Minima crowd at small hashes; mixed again they fill all buckets evenly.
+        self.rep = shared.mix(least[self.start]) if len(self.start) else np.empty(0, np.uint64)
+        prints = shared.window_hashes(h, WINDOW, _WINDOW_BASE) >> np.uint64(16)
         self.print = prints[self.start] if len(self.start) else np.empty(0, np.uint64)
 
 
@@ -86,6 +91,16 @@ def _is_in(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[at] == x
 
 
+def _pack(prints: np.ndarray) -> bytes:
+    return prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _u8(blobs) -> np.ndarray:
     return np.concatenate([np.frombuffer(b, "<u8") for b in blobs]) if len(blobs) else np.empty(0, np.uint64)
 
@@ -176,7 +191,7 @@ def _emit_prints(buckets: int, docs: pa.Table, back: pa.Table) -> pa.Table:
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         if b > a:
             rep, counts = _folded(c.rep[a:b])
-            out.append((k, block, rep.tobytes(), counts.tobytes(), c.print[a:b].tobytes(), c.doc[a:b].astype("<i8").tobytes()))
+            out.append((k, block, rep.tobytes(), counts.tobytes(), _pack(c.print[a:b]), c.doc[a:b].astype("<i8").tobytes()))
     return _table(_PRINTS, out)
 
 
@@ -185,7 +200,7 @@ def _unfolded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     reps, prints, n = [], [], []
     for r, c, p in zip(rows["reps"].to_pylist(), rows["counts"].to_pylist(), rows["prints"].to_pylist()):
         reps.append(np.repeat(np.frombuffer(r, "<u8"), np.frombuffer(c, "<u4")))
-        prints.append(np.frombuffer(p, "<u8"))
+        prints.append(_unpack(p))
         n.append(len(prints[-1]))
     return (np.concatenate(reps), np.concatenate(prints), np.array(n)) if n else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.array([], np.int64))
 
@@ -225,7 +240,10 @@ def _removed(buckets: int, w: Windows, back: pa.Table) -> np.ndarray:
     return gone
 
 
-def _apply(buckets: int, digest: bool, docs: pa.Table, back: pa.Table) -> pa.Table:
+def _apply(buckets: int, digest: bool, add: bool, names: list[str], docs: pa.Table, back: pa.Table) -> pa.Table:
+    """Step 3 in a block, a row for each document; step 4 (if add), a row for each bucket with windows it owns."""
+    if not docs.num_rows:
+        return _joined([], [], [], [], names, docs, _table(_RUNS, []))
     w, ids, texts, docs = _windows(docs)
     gone = _removed(buckets, w, back)
     change = np.zeros(int(w.n_words.sum()) + 1, np.int64)
@@ -241,17 +259,17 @@ def _apply(buckets: int, digest: bool, docs: pa.Table, back: pa.Table) -> pa.Tab
             kept.append(shared.sha(b" ".join([x for x, o in zip(words, out.tolist()) if not o] if n_removed[-1] else words)))
         else:
             kept.append(b" ".join(x for x, o in zip(data.split(), out.tolist()) if not o).decode() if n_removed[-1] else text)
-    names = [c for c in docs.column_names if c[:2] == "c_"]
-    return pa.Table.from_arrays([docs["doc_id"], pa.array(w.n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string()), *(docs[c] for c in names)], ["doc_id", "n_words", "n_removed", "kept", *names])
+    run = _run_rows(w.rep[~gone], w.print[~gone], buckets) if add else _table(_RUNS, [])
+    return _joined(ids, w.n_words.tolist(), n_removed, kept, names, docs, run)
 
 
-def _emit_run(buckets: int, docs: pa.Table, back: pa.Table) -> pa.Table:
-    """Step 4 in a block: the windows it owns."""
-    if not docs.num_rows:
-        return _table(_RUNS, [])
-    w, *_ = _windows(docs)
-    own = ~_removed(buckets, w, back)
-    return _run_rows(w.rep[own], w.print[own], buckets)
+def _joined(ids: list, n_words: list, n_removed: list, kept: list, names: list[str], docs: pa.Table, run: pa.Table) -> pa.Table:
+    """Rows of documents (bucket is null), then rows of the run (the columns of documents are null)."""
+    n, m = len(ids), run.num_rows
+    out = {k: pa.array([*v, *[None] * m], t) for k, v, t in (("doc_id", ids, pa.int64()), ("n_words", n_words, pa.int64()), ("n_removed", n_removed, pa.int64()), ("kept", kept, pa.string()))}
+    out |= {f.name: pa.array([*[None] * n, *run[f.name].to_pylist()], f.type) for f in _RUNS}
+    out |= {c: pa.concat_arrays([*docs[c].chunks, pa.nulls(m, docs[c].type)]) for c in names}
+    return pa.table(out)
 
 
 def _run_rows(rep: np.ndarray, fp: np.ndarray, buckets: int, only: int | None = None) -> pa.Table:
@@ -262,12 +280,12 @@ def _run_rows(rep: np.ndarray, fp: np.ndarray, buckets: int, only: int | None =
         rep, fp = rep[new], fp[new]
     if only is not None:
         r, c = _folded(rep)
-        return _table(_RUNS, [(only, r.tobytes(), c.tobytes(), fp.tobytes())])
+        return _table(_RUNS, [(only, r.tobytes(), c.tobytes(), _pack(fp))])
     cuts, out = _by_bucket(rep, buckets), []
     for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
         if b > a:
             r, c = _folded(rep[a:b])
-            out.append((k, r.tobytes(), c.tobytes(), fp[a:b].tobytes()))
+            out.append((k, r.tobytes(), c.tobytes(), _pack(fp[a:b])))
     return _table(_RUNS, out)
 
 
@@ -277,7 +295,11 @@ def _merge_runs(rows: pa.Table) -> pa.Table:
 
 
 class Index:
-    """Runs of window fingerprints in the shared folder. buckets: how many ranges of representatives."""
+    """Runs of window fingerprints in the shared folder. buckets: how many ranges of representatives.
+
+    In a run each block of the batch has a row in each bucket, sorted arrays both; compaction leaves a row a
+    bucket.
+    """
 
     def __init__(self, spark: SparkSession, buckets: int):
         self.spark, self.buckets, self.runs = spark, buckets, []
@@ -285,48 +307,53 @@ class Index:
     def read(self) -> DataFrame:
         if not self.runs:
             return self.spark.createDataFrame([], _RUN)
-        return self.spark.read.schema(_RUN).parquet(*self.runs)
+        return self.spark.read.schema(_RUN).parquet(*self.runs).filter("bucket is not null")
 
-    def add(self, rows: DataFrame) -> None:
-        """Write a new run, sorted by bucket, and merge the runs if there are too many."""
-        self._write(rows)
+    def add(self, path: str) -> None:
+        """Take the run that a batch has written, and merge the runs if there are too many."""
+        self.runs.append(path)
         if len(self.runs) > MAX_RUNS:
             self.compact()
 
-    def _write(self, rows: DataFrame) -> None:
+    def compact(self) -> None:
+        """Merge all runs into one. The old files stay: batches' rows are in them too."""
         path = shared.table_path(self.spark, "op3-run")
         # Packed hashes hardly shrink, so no time goes into compressing them.
-        rows.groupBy("bucket").applyInArrow(_merge_runs, _RUN).sortWithinPartitions("bucket").write.option("compression", "none").parquet(path)
-        self.runs.append(path)
-
-    def compact(self) -> None:
-        """Merge all runs into one; the old ones stay until the new one is written."""
-        old, rows = self.runs, self.read()
-        self.runs = []
-        self._write(rows)
-        for path in old:
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        self.read().groupBy("bucket").applyInArrow(_merge_runs, _RUN).sortWithinPartitions("bucket").write.option("compression", "none").parquet(path)
+        self.runs = [path]
 
 
 def dedup_batch(batch: DataFrame, index: Index, blocks: int, digest: bool = False, add: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept (text or its SHA-256) and the columns of the batch as c_<position>."""
-    spark, n = batch.sparkSession, index.buckets
-    more = [] if digest else [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(batch.columns) if c != "text"]
-    kinds = "" if digest else "".join(f", c_{k} {t}" for k, (c, t) in enumerate(batch.dtypes) if c != "text")
+    """doc_id, n_words, n_removed, kept (text or its SHA-256) and the columns of the batch as c_<position>.
+
+    The batch is written to the shared folder, with its run for the index if add is set.
+    """
+    n, carried = index.buckets, {} if digest else {f"c_{k}": (c, t) for k, (c, t) in enumerate(batch.dtypes) if c != "text"}
+    more, names = [F.col(f"`{c}`").alias(k) for k, (c, _) in carried.items()], list(carried)
     docs = batch.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     dealt, runs = docs.groupBy("block"), index.read()
     reps = dealt.applyInArrow(lambda t: _emit_reps(n, t), _sql(_REPS))
-    back = reps.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_share_reps, _sql(_BACK))
-    back = shared.written(back, "op3-candidates")
+    back = reps.groupBy("bucket").cogroup(runs.select("bucket", "reps").groupBy("bucket")).applyInArrow(_share_reps, _sql(_BACK))
     prints = dealt.cogroup(back.groupBy("block")).applyInArrow(lambda a, b: _emit_prints(n, a, b), _sql(_PRINTS))
     owners = prints.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_own_prints, _sql(_BACK))
-    answers = back.unionByName(shared.written(owners, "op3-owners")).groupBy("block")
-    out = dealt.cogroup(answers).applyInArrow(lambda a, b: _apply(n, digest, a, b), f"doc_id long, n_words long, n_removed long, kept string{kinds}")
+    answers = back.unionByName(owners).groupBy("block")
+    rows = "doc_id long, n_words long, n_removed long, kept string"
+    schema = f"{rows}, {_RUN}" + "".join(f", {k} {t}" for k, (_, t) in carried.items())
+    out = dealt.cogroup(answers).applyInArrow(lambda a, b: _apply(n, digest, add, names, a, b), schema)
+    path = shared.table_path(batch.sparkSession, "op3-batch")
+    out.coalesce(shared.parts(blocks, BLOCKS_PER_FILE)).write.parquet(path)
     if add:
-        index.add(dealt.cogroup(answers).applyInArrow(lambda a, b: _emit_run(n, a, b), _RUN))
-    return out
+        index.add(path)
+    return batch.sparkSession.read.schema(schema).parquet(path).filter("bucket is null").drop("bucket", "reps", "counts", "prints")
+
+
+def _release(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of queries that nothing refers to any more."""
+    for _ in range(2):  # Python lets go of the plans, then the JVM of the shuffles
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def dedup(docs: DataFrame, batches: int = BATCHES, digest: bool = False, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
@@ -341,11 +368,9 @@ def dedup(docs: DataFrame, batches: int = BATCHES, digest: bool = False, block_b
     for k in range(len(cuts) + 1):
         part = docs.filter((i >= int(cuts[k - 1]) if k else F.lit(True)) & (i < int(cuts[k]) if k < len(cuts) else F.lit(True)) if cuts else F.lit(True))
         part = part if k else docs.filter((i < int(cuts[0])) | i.isNull()) if cuts else docs
-        out = dedup_batch(part, index, shared.parts(size // (len(cuts) + 1), block_bytes), digest, add=k < len(cuts))
-        done.append(shared.written(out, "op3-batch"))
-        del out, part
-        gc.collect()  # what earlier batches shuffled can go
-        spark.sparkContext._jvm.System.gc()
+        done.append(dedup_batch(part, index, shared.parts(size // (len(cuts) + 1), block_bytes), digest, add=k < len(cuts)))
+        del part
+        _release(spark)
     out = done[0]
     for x in done[1:]:
         out = out.unionByName(x)
