@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -63,10 +63,10 @@ def with_daily_predictor(pairs: DataFrame, daily: DataFrame, name: str = "global
     return pairs.join(daily.select("day", F.col("value").alias(name)), "day", "left")
 
 
-def bilinear(pixels: DataFrame, coarse: DataFrame, lats: list[float], lons: list[float]) -> DataFrame:
+def bilinear(pixels: DataFrame, coarse: DataFrame, lats: list[float], lons: list[float], by: str = "day") -> DataFrame:
     """(lat_ix, lon_ix, day, tas) at pixels inside the coarse axes: weights of the four corners around.
 
-    A pixel gets a row a day on which all corners of positive weight have a value. Axes ascend.
+    A pixel gets a row a day (or other key) for which all corners of positive weight have a value. Axes ascend.
     """
 
     def bracket(value, axis):
@@ -83,9 +83,57 @@ def bilinear(pixels: DataFrame, coarse: DataFrame, lats: list[float], lons: list
     one = F.lit(1.0)
     corners = F.array(corner(0, 0, (one - F.col("u")) * (one - F.col("v"))), corner(0, 1, (one - F.col("u")) * F.col("v")), corner(1, 0, F.col("u") * (one - F.col("v"))), corner(1, 1, F.col("u") * F.col("v")))
     wanted = p.select("lat_ix", "lon_ix", F.inline(corners)).filter("w > 0")
-    out = wanted.join(coarse.select("clat_ix", "clon_ix", "day", "tas"), ["clat_ix", "clon_ix"]).filter("tas is not null")
-    sums = out.groupBy("lat_ix", "lon_ix", "day").agg(F.sum(F.col("w") * F.col("tas")).alias("tas"), F.sum("w").alias("w"))
-    return sums.filter("w > 0.999999").select("lat_ix", "lon_ix", "day", "tas")
+    out = wanted.join(coarse.select("clat_ix", "clon_ix", by, "tas"), ["clat_ix", "clon_ix"]).filter("tas is not null")
+    sums = out.groupBy("lat_ix", "lon_ix", by).agg(F.sum(F.col("w") * F.col("tas")).alias("tas"), F.sum("w").alias("w"))
+    return sums.filter("w > 0.999999").select("lat_ix", "lon_ix", by, "tas")
+
+
+def _overlaps(df: DataFrame, coord: str, half: float, centres: list[float], ix: str, weight: str) -> DataFrame:
+    """A row for each coarse line whose cell (midpoint to midpoint) overlaps the pixel's side, with the length."""
+    mids = [(a + b) / 2 for a, b in zip(centres, centres[1:])]
+    edges = [centres[0] - (centres[1] - centres[0]) / 2, *mids, centres[-1] + (centres[-1] - centres[-2]) / 2]
+    cells = F.array(*(F.struct(F.lit(k).alias(ix), F.lit(a).alias("a"), F.lit(b).alias("b")) for k, (a, b) in enumerate(zip(edges, edges[1:]))))
+    length = lambda c: F.least(c["b"], F.col(coord) + half) - F.greatest(c["a"], F.col(coord) - half)
+    found = F.transform(F.filter(cells, lambda c: length(c) > 1e-9), lambda c: F.struct(c[ix].alias(ix), length(c).alias(weight)))
+    return df.select("*", F.inline(found))
+
+
+def area_weighted(pixels: DataFrame, coarse: DataFrame, lats: list[float], lons: list[float], step: float, by: str = "day") -> DataFrame:
+    """(lat_ix, lon_ix, day, tas): mean of the coarse cells under each pixel, by the area they share.
+
+    Areas in degrees; the overlap is found on each axis by itself. Cells without a value have no weight.
+    """
+    both = _overlaps(_overlaps(pixels.select("lat_ix", "lon_ix", "era5_lat", "era5_lon"), "era5_lat", step / 2, lats, "clat_ix", "wa"), "era5_lon", step / 2, lons, "clon_ix", "wo")
+    joined = both.join(coarse.select("clat_ix", "clon_ix", by, "tas"), ["clat_ix", "clon_ix"]).filter("tas is not null")
+    w = F.col("wa") * F.col("wo")
+    return joined.groupBy("lat_ix", "lon_ix", by).agg((F.sum(w * F.col("tas")) / F.sum(w)).alias("tas"))
+
+
+def morans_i(field: DataFrame, value: str) -> DataFrame:
+    """(n, morans_i) of a field on a grid (lat_ix, lon_ix), neighbours being cells that share a side."""
+    centred = field.filter(F.col(value).isNotNull()).crossJoin(F.broadcast(field.agg(F.avg(value).alias("mean")))).select("lat_ix", "lon_ix", (F.col(value) - F.col("mean")).alias("e"))
+    moved = centred.select(F.col("e").alias("near"), F.inline(F.array(*(F.struct((F.col("lat_ix") + i).alias("lat_ix"), (F.col("lon_ix") + j).alias("lon_ix")) for i, j in ((0, 1), (0, -1), (1, 0), (-1, 0))))))
+    links = centred.join(moved, ["lat_ix", "lon_ix"]).agg(F.count("*").alias("w"), F.sum(F.col("e") * F.col("near")).alias("cross"))
+    whole = centred.agg(F.count("*").alias("n"), F.sum(F.col("e") * F.col("e")).alias("square"))
+    return whole.crossJoin(links).select("n", F.try_divide(F.col("n") * F.col("cross"), F.col("w") * F.col("square")).alias("morans_i"))
+
+
+def multiple_regression(df: DataFrame, y: str, predictors: dict[str, Column]) -> DataFrame:
+    """(term, coefficient) of least squares with an intercept on any column expressions, say an interaction.
+
+    The normal equations are sums of one aggregate; the small system is solved on the driver.
+    """
+    import numpy as np
+
+    names = ["intercept", *predictors]
+    x = df.select(F.lit(1.0).alias("x_0"), *(c.cast("double").alias(f"x_{k}") for k, c in enumerate(predictors.values(), 1)), F.col(y).cast("double").alias("y"))
+    columns = [*(f"x_{k}" for k in range(len(names))), "y"]
+    clean = x.filter(" and ".join(f"{c} is not null and not isnan({c})" for c in columns))
+    sums = clean.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(columns) for b in columns[i:])).first()
+    n = len(names)
+    m = np.array([[sums[f"x_{min(i, j)}_x_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
+    solved = np.linalg.lstsq(m, np.array([sums[f"x_{i}_y"] or 0.0 for i in range(n)]), rcond=None)[0]
+    return df.sparkSession.createDataFrame([(k, float(v)) for k, v in zip(names, solved)], "term string, coefficient double")
 
 
 def height(geopotential):

@@ -58,6 +58,7 @@ SQL_PARTS = {
       where not (month(o_orderdate) = 2 and day(o_orderdate) = 29) group by 1""",
     "coarse": "select clat_ix, clon_ix, cmip_lat, cmip_lon, day, base + 0.25::double * clat_ix - 0.1::double * clon_ix as tas from base, clat, clon",
     "pixels": "select *, 3 * lon_ix + lat_ix >= 150 as is_land from lat, lon",
+    "land_field": "select lat_ix, lon_ix, era5_lat * era5_lon as v from pixels where is_land",
     "lat_map": "select lat_ix, clat_ix, cmip_lat from lat, clat qualify row_number() over (partition by lat_ix order by abs(era5_lat - cmip_lat), clat_ix) = 1",
     "lon_map": "select lon_ix, clon_ix, cmip_lon from lon, clon qualify row_number() over (partition by lon_ix order by abs(era5_lon - cmip_lon), clon_ix) = 1",
     "assigned": "select p.*, clat_ix, cmip_lat, clon_ix, cmip_lon from pixels p join lat_map using (lat_ix) join lon_map using (lon_ix)",

@@ -428,11 +428,6 @@ def _(g, spark):
     return calendar.resample_mean(_series(g), "YE")
 
 
-@_query("domain_monthly_gaps", _period_sql("ME", "avg(value) as value", "[[value]] as value").replace("from series", "from (select * from series where month(day) in (1, 3, 8))"), "series")
-def _(g, spark):
-    return calendar.resample_mean(_series(g).filter(F.month("day").isin(1, 3, 8)), "ME")
-
-
 for _freq, _name in (("ME", "monthly"), ("YE", "yearly")):
     for _method, _agg in (("sd", _SD), ("percentile", _PCT)):
         _query(f"domain_{_name}_band_{_method}", _period_sql(_freq, _agg, _BANDS), "series")(lambda g, spark, f=_freq, m=_method: calendar.resample_band(_series(g), f, m))
@@ -640,9 +635,9 @@ def _(g, spark):
     return regression.trends(_series(g), QUARTERS)
 
 
-@_query("august_trend", f"select label, date, count(value) as n, [[regr_slope(value, x)]] as slope, [[regr_intercept(value, x)]] as intercept from ({_INDEXED.format(s=_POINT + ' ', d=repr(AUGUST))}) where label = 'coarse' group by label, date having count(value) >= 2", "fine", "coarse", "lat", "lon", "clat", "clon")
+@_query("august_trend", f"select label, date, count(value) as n, [[regr_slope(value, x)]] as slope, [[regr_intercept(value, x)]] as intercept from ({_INDEXED.format(s=_POINT + ' ', d=repr(AUGUST))}) group by label, date having count(value) >= 2", "fine", "coarse", "lat", "lon", "clat", "clon")
 def _(g, spark):
-    return regression.trends(_point_series(g).filter("label = 'coarse'"), [AUGUST])
+    return regression.trends(_point_series(g), [AUGUST])
 
 
 _T = " ".join(f"when {n} then {E.t_quantile(0.95, n - 2)!r}::double" for n in range(3, 31))
@@ -738,9 +733,10 @@ ORACLE_SQL["transfer_report"] = f"""select c_custkey::bigint as c_custkey, case
 # --- beyond the study's own analyses
 
 
-@_query("ols_by_cell", f"select {_CELL}, [[case when not isnan(regr_slope(t2m, tas)) then regr_slope(t2m, tas) end]] as slope, [[case when not isnan(regr_slope(t2m, tas)) then regr_intercept(t2m, tas) end]] as intercept, count(*) as n from paired group by cmip_lat, cmip_lon having count(*) > 2", "paired")
+@_query("ols_by_cell", f"select {_CELL}, [[case when count(*) > 2 then regr_slope(t2m, tas) end]] as slope, [[case when count(*) > 2 then regr_intercept(t2m, tas) end]] as intercept, count(*) as n from paired group by cmip_lat, cmip_lon", "paired")
 def _(g, spark):
-    return extensions.fit_by_cell(_pairs(g)).filter("n > 2").select("cmip_lat", "cmip_lon", "slope", "intercept", "n")
+    enough = lambda c: F.when(F.col("n") > 2, F.col(c)).alias(c)
+    return extensions.fit_by_cell(_pairs(g)).select("cmip_lat", "cmip_lon", enough("slope"), enough("intercept"), "n")
 
 
 @_query("lagged_tas", f"select clat_ix::bigint as clat_ix, clon_ix::bigint as clon_ix, {DAY}, [[case when lag(day) over w = day - 1 then lag(tas) over w end]] as tas_before, [[case when lead(day) over w = day + 1 then lead(tas) over w end]] as tas_after from coarse window w as (partition by clat_ix, clon_ix order by day)", "coarse")
@@ -782,15 +778,61 @@ def _(g, spark):
 _CORNER = "(case when c.clat_ix = i then 1 - u else u end) * (case when c.clon_ix = j then 1 - v else v end)"
 
 
+_SEASON_FIELD = f"select {_SEASON} as season, clat_ix, clon_ix, avg(tas) as tas from coarse group by all"
+
+
+def _season_field(g: Grids) -> DataFrame:
+    return stats.seasonal_mean(g.coarse, ["clat_ix", "clon_ix"], "tas").withColumnRenamed("mean", "tas")
+
+
 @_query(
     "bilinear_tas",
-    f"""select lat_ix::bigint as lat_ix, lon_ix::bigint as lon_ix, {DAY}, [[sum({_CORNER} * tas)]] as tas from (
+    f"""select lat_ix::bigint as lat_ix, lon_ix::bigint as lon_ix, season, [[sum({_CORNER} * tas)]] as tas from (
       select lat_ix, lon_ix, i, j, (era5_lat - a.cmip_lat) / (b.cmip_lat - a.cmip_lat) as u, (era5_lon - c1.cmip_lon) / (c2.cmip_lon - c1.cmip_lon) as v from (
-        select *, least((select count(*) from clat where cmip_lat <= era5_lat) - 1, 15) as i, least((select count(*) from clon where cmip_lon <= era5_lon) - 1, 7) as j from pixels where lat_ix % 20 = 0 and lon_ix % 20 = 0
-          and era5_lat between (select min(cmip_lat) from clat) and (select max(cmip_lat) from clat) and era5_lon between (select min(cmip_lon) from clon) and (select max(cmip_lon) from clon)) p
+        select *, least((select count(*) from clat where cmip_lat <= era5_lat) - 1, 15) as i, least((select count(*) from clon where cmip_lon <= era5_lon) - 1, 7) as j from pixels
+          where era5_lat between (select min(cmip_lat) from clat) and (select max(cmip_lat) from clat) and era5_lon between (select min(cmip_lon) from clon) and (select max(cmip_lon) from clon)) p
       join clat a on a.clat_ix = i join clat b on b.clat_ix = i + 1 join clon c1 on c1.clon_ix = j join clon c2 on c2.clon_ix = j + 1) q
-    join coarse c on c.clat_ix in (i, i + 1) and c.clon_ix in (j, j + 1) group by lat_ix, lon_ix, day""",
+    join ({_SEASON_FIELD}) c on c.clat_ix in (i, i + 1) and c.clon_ix in (j, j + 1) group by lat_ix, lon_ix, season""",
     "pixels", "coarse", "clat", "clon",
 )
 def _(g, spark):
-    return extensions.bilinear(g.pixels.filter("lat_ix % 20 = 0 and lon_ix % 20 = 0"), g.coarse, COARSE_LATS, COARSE_LONS)
+    return extensions.bilinear(g.pixels, _season_field(g), COARSE_LATS, COARSE_LONS, by="season")
+
+
+def _overlap_sql(fine: str, ix: str, coord: str, coarse: str, cix: str, ccoord: str, step: float) -> str:
+    edges = f"select {cix}, {ccoord} - {step / 2!r}::double as a, {ccoord} + {step / 2!r}::double as b from {coarse}"
+    return f"select {ix}, {cix}, least(b, {coord} + 0.05::double) - greatest(a, {coord} - 0.05::double) as w from {fine}, ({edges}) where least(b, {coord} + 0.05::double) - greatest(a, {coord} - 0.05::double) > 1e-9"
+
+
+@_query(
+    "area_weighted_tas",
+    f"""select a.lat_ix::bigint as lat_ix, b.lon_ix::bigint as lon_ix, season, [[sum(a.w * b.w * tas) / sum(a.w * b.w)]] as tas from ({_overlap_sql('lat', 'lat_ix', 'era5_lat', 'clat', 'clat_ix', 'cmip_lat', 0.942408)}) a,
+      ({_overlap_sql('lon', 'lon_ix', 'era5_lon', 'clon', 'clon_ix', 'cmip_lon', 1.25)}) b, ({_SEASON_FIELD}) c where a.clat_ix = c.clat_ix and b.clon_ix = c.clon_ix group by a.lat_ix, b.lon_ix, season""",
+    "coarse", "lat", "lon", "clat", "clon",
+)
+def _(g, spark):
+    return extensions.area_weighted(g.pixels, _season_field(g), COARSE_LATS, COARSE_LONS, 0.1, by="season")
+
+
+_NEAR = "land_field a join land_field b on abs(a.lat_ix - b.lat_ix) + abs(a.lon_ix - b.lon_ix) = 1"
+
+
+@_query(
+    "morans_i",
+    f"""select count(*) as n, [[count(*) * (select sum((a.v - c) * (b.v - c)) from {_NEAR}, (select avg(v) as c from land_field)) / ((select count(*) from {_NEAR}) * sum(pow(v - (select avg(v) from land_field), 2)))]] as morans_i
+      from land_field""",
+    "land_field",
+)
+def _(g, spark):
+    return extensions.morans_i(g.pixels.filter("is_land").select("lat_ix", "lon_ix", (F.col("era5_lat") * F.col("era5_lon")).alias("v")), "v")
+
+
+@_query("height", "select lat_ix::bigint as ix, [[era5_lat * 1000 / 9.80665::double]] as height from lat", "lat")
+def _(g, spark):
+    return g.lats.select(F.col("lat_ix").alias("ix"), extensions.height(F.col("era5_lat") * 1000).alias("height"))
+
+
+@_query("percent_labels", "select range as bin, (range * 20) || '–' || ((range + 1) * 20) || '%' as label from range(5)")
+def _(g, spark):
+    marks = [(k, k / 5, (k + 1) / 5) for k in range(5)]
+    return spark.createDataFrame(marks, "bin long, a double, b double").select("bin", E.percent_bin_label(F.round(F.col("a"), 6), F.round(F.col("b"), 6)).alias("label"))

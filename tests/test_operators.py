@@ -279,6 +279,30 @@ def test_bilinear_hits_corners_and_middles(spark):
     assert got == {0: 0.0, 1: 5.5, 2: 11.0}
 
 
+def test_area_weights(spark):
+    pixels = spark.createDataFrame([(0, 0, 24.5, 30.0), (1, 0, 24.0, 30.0)], "lat_ix int, lon_ix int, era5_lat double, era5_lon double")
+    coarse = spark.createDataFrame([(i, j, D(1990, 1, 1), float(10 * i + j)) for i in range(2) for j in range(2)], "clat_ix int, clon_ix int, day date, tas double")
+    got = {r.lat_ix: r.tas for r in extensions.area_weighted(pixels, coarse, [24.0, 25.0], [30.0, 31.0], 0.2).collect()}
+    assert got == {0: pytest.approx(5.0), 1: pytest.approx(0.0)}
+
+
+def test_morans_i(spark):
+    board = spark.createDataFrame([(i, j, float((i + j) % 2)) for i in range(6) for j in range(6)], "lat_ix int, lon_ix int, v double")
+    assert extensions.morans_i(board, "v").first().morans_i == pytest.approx(-1)
+    halves = spark.createDataFrame([(i, j, float(i > 2)) for i in range(6) for j in range(6)], "lat_ix int, lon_ix int, v double")
+    assert extensions.morans_i(halves, "v").first().morans_i == pytest.approx(0.8)
+
+
+def test_multiple_regression(spark):
+    rng = np.random.default_rng(7)
+    a, b = rng.normal(size=80), rng.normal(size=80)
+    y = 1 + 2 * a - 3 * b + 0.5 * a * b + rng.normal(size=80)
+    df = spark.createDataFrame([(float(p), float(q), float(r)) for p, q, r in zip(a, b, y)] + [(None, 1.0, 1.0)], "a double, b double, y double")
+    got = {r.term: r.coefficient for r in extensions.multiple_regression(df, "y", {"a": F.col("a"), "b": F.col("b"), "a:b": F.col("a") * F.col("b")}).collect()}
+    want = np.linalg.lstsq(np.column_stack([np.ones(80), a, b, a * b]), y, rcond=None)[0]
+    assert np.allclose([got[k] for k in ("intercept", "a", "b", "a:b")], want)
+
+
 def test_serial_correlation(spark):
     y = np.random.default_rng(2).normal(size=50)
     s = series(spark, [(D(1990, 1, 1) + dt.timedelta(k), float(v)) for k, v in enumerate(y)])
