@@ -145,6 +145,18 @@ def bin_cut(value: Column, edges: Sequence[float] | Column) -> Column:
     return F.when((at >= 0) & (at < n), at)
 
 
+def distinct_few(*columns: str) -> Column:
+    """Distinct non-null values of what is bounded by an axis (cells, days), without expanding the rows.
+
+    count(DISTINCT) of several columns copies each row once for each of them; sets of axis size don't.
+    """
+    whole = F.struct(*columns) if len(columns) > 1 else F.col(columns[0])
+    present = F.lit(True)
+    for c in columns:
+        present = present & F.col(c).isNotNull()
+    return F.size(F.collect_set(F.when(present, whole))).cast("long")
+
+
 # --- labels and reports
 
 

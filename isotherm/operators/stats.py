@@ -69,7 +69,7 @@ def main_statistics(df: DataFrame, value: str, label: str) -> DataFrame:
     """(dataset, metric, value): the report's metrics of one cube; population SD, linear quantiles."""
     v = F.col(value)
     q = F.percentile(v, [p / 100 for p in PERCENTILES])
-    one = df.agg(F.min(v).alias("min"), q.alias("q"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.max(v).alias("max"), F.count_distinct("day").cast("double").alias("days"), F.count(v).cast("double").alias("values"))
+    one = df.agg(F.min(v).alias("min"), q.alias("q"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.max(v).alias("max"), E.distinct_few("day").cast("double").alias("days"), F.count(v).cast("double").alias("values"))
     cols = {"min": F.col("min"), "mean": F.col("mean"), "sd": F.col("sd"), "max": F.col("max"), "days": F.col("days"), "values": F.col("values"), "iqr": F.col("q")[2] - F.col("q")[0]}
     cols |= {f"p{p}": F.col("q")[k] for k, p in enumerate(PERCENTILES)}
     pairs = F.array(*(F.struct(F.lit(k).alias("metric"), c.cast("double").alias("value")) for k, c in cols.items()))

@@ -255,7 +255,7 @@ def _(g, spark):
 
 @_query("paired_aligned", "select count(*) as n, count(distinct day) as n_days, [[sum(t2m)]] as t2m, [[avg(tas)]] as tas from paired", "paired")
 def _(g, spark):
-    return pairing.aligned_paired(g.fine, g.coarse, grid.land_mask(g.fine)).agg(F.count("*").alias("n"), F.count_distinct("day").alias("n_days"), F.sum("t2m").alias("t2m"), F.avg("tas").alias("tas"))
+    return pairing.aligned_paired(g.fine, g.coarse, grid.land_mask(g.fine)).agg(F.count("*").alias("n"), E.distinct_few("day").alias("n_days"), F.sum("t2m").alias("t2m"), F.avg("tas").alias("tas"))
 
 
 @_query(
@@ -267,7 +267,7 @@ def _(g, spark):
 def _(g, spark):
     p, q = _pairs(g), F.percentile("t2m", [0.25, 0.5, 0.75])
     one = p.agg(
-        F.count("*").alias("n"), F.count_distinct("cmip_lat", "cmip_lon").alias("n_cells"), F.count_distinct("day").alias("n_days"), F.regr_slope("t2m", "tas").alias("slope"), F.regr_intercept("t2m", "tas").alias("intercept"),
+        F.count("*").alias("n"), E.distinct_few("cmip_lat", "cmip_lon").alias("n_cells"), E.distinct_few("day").alias("n_days"), F.regr_slope("t2m", "tas").alias("slope"), F.regr_intercept("t2m", "tas").alias("intercept"),
         F.corr("t2m", "tas").alias("r"), F.avg("t2m").alias("t2m_mean"), F.stddev_pop("t2m").alias("t2m_sd"), q.alias("q"),
     )
     return one.withColumns({"t2m_median": F.col("q")[1], "t2m_iqr": F.col("q")[2] - F.col("q")[0]}).drop("q")
@@ -444,7 +444,7 @@ def _(g, spark):
     return calendar.month_year_matrix(stats.daily(g.coarse, "tas", "coarse"), years).toDF("month", *(f"y{y}" for y in years))
 
 
-@_query("series_frequency", "select label, case when date_diff('day', min(day), max(day)) / (count(*) - 1) > 300 then 'YE' else 'ME' end as freq from (select * from series union all select 'yearly', day, value from series where label = 'coarse' and strftime(day, '%m-%d') = '08-01') group by label", "series")
+@_query("series_frequency", "select label, case when date_diff('day', min(day), max(day)) / nullif(count(*) - 1, 0) > 300 then 'YE' else 'ME' end as freq from (select * from series union all select 'yearly', day, value from series where label = 'coarse' and strftime(day, '%m-%d') = '08-01') group by label", "series")
 def _(g, spark):
     daily = stats.daily(g.coarse, "tas", "coarse")
     return calendar.series_frequency(_series(g).unionByName(calendar.on_date(daily, AUGUST).withColumn("label", F.lit("yearly"))))
@@ -546,14 +546,14 @@ def _(g, spark):
 
 @_query("mean_residual_map", f"select {_PIXEL}, [[m]] as mean_std_residual from pixels left join (select era5_lat, era5_lon, avg(residual / sd) as m from resid, (select stddev_samp(residual) as sd from resid) group by all) using (era5_lat, era5_lon)", "pixels", "resid")
 def _(g, spark):
-    means = regression.mean_standardized(regression.residuals(_pairs(g)))
+    means = regression.mean_standardized(_pairs(g))
     keyed = means.withColumns({"lat_ix": E.nearest_index(F.col("era5_lat"), [24.0 + i * 0.1 for i in range(141)]), "lon_ix": E.nearest_index(F.col("era5_lon"), [30.0 + i * 0.1 for i in range(81)])})
     return grid.on_grid(g.pixels, keyed.select("lat_ix", "lon_ix", "mean_std_residual"), ["lat_ix", "lon_ix"]).select("era5_lat", "era5_lon", "mean_std_residual")
 
 
 @_query("residual_limits", "select [[-quantile_cont(abs(m), 0.98)]] as vmin, [[quantile_cont(abs(m), 0.98)]] as vmax from (select avg(residual / sd) as m from resid, (select stddev_samp(residual) as sd from resid) group by era5_lat, era5_lon)", "resid")
 def _(g, spark):
-    return stats.symmetric_limits(regression.mean_standardized(regression.residuals(_pairs(g))), "mean_std_residual")
+    return stats.symmetric_limits(regression.mean_standardized(_pairs(g)), "mean_std_residual")
 
 
 _MEANS = "select cmip_lat, cmip_lon, day, tas, avg(t2m) as t2m_mean from paired where tas is not null group by all"

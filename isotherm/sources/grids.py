@@ -76,7 +76,7 @@ def manifest(tables: dict[str, tuple[DataFrame, str, str, str]]) -> DataFrame:
     out = None
     for label, (df, lat, lon, time) in tables.items():
         one = df.agg(
-            F.lit(label).alias("dataset"), F.count("*").alias("n_rows"), F.count_distinct(lat).alias("n_lat"), F.count_distinct(lon).alias("n_lon"), F.count_distinct(time).alias("n_times"),
+            F.lit(label).alias("dataset"), F.count("*").alias("n_rows"), E.distinct_few(lat).alias("n_lat"), E.distinct_few(lon).alias("n_lon"), E.distinct_few(time).alias("n_times"),
             F.min(lat).alias("lat_min"), F.max(lat).alias("lat_max"), F.min(lon).alias("lon_min"), F.max(lon).alias("lon_max"), F.min(time).alias("first"), F.max(time).alias("last"),
         )
         out = one if out is None else out.unionByName(one)

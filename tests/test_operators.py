@@ -166,6 +166,8 @@ def test_residuals_sum_to_zero_and_standardise(spark):
     r = regression.residuals(p)
     assert abs(r.agg(F.sum("residual")).first()[0]) < 1e-9
     assert regression.standardized(r).agg(F.stddev_samp("std_residual")).first()[0] == pytest.approx(1)
+    short = {(x.era5_lat, x.day, x.residual): x.std_residual for x in regression.standardized_residuals(p).collect()}
+    assert all(short[x.era5_lat, x.day, x.residual] == pytest.approx(x.std_residual) for x in regression.standardized(r).collect())
     values = np.array([x.residual for x in r.collect()])
     box = stats.box_statistics(r.withColumn("k", F.lit(1)), ["k"], "residual").first()
     q1, q3 = np.percentile(values, [25, 75])

@@ -8,6 +8,8 @@ import pytest
 from isotherm.plans import registry
 
 TABLES = ("lineitem", "orders", "customer")
+#: Queries whose days the smallest tables may not have.
+RARE = ("august_trend",)
 
 
 @pytest.fixture(scope="module")
@@ -33,7 +35,7 @@ def test_query(spark, sf_dir, db, name):
     columns = [c[0] for c in want.description]
     assert sorted(columns) == sorted(out.columns)
     got, expected = out.select(columns).collect(), want.fetchall()
-    assert len(got) == len(expected) > 0
+    assert len(got) == len(expected) and (got or name in RARE)
     for a, b in zip(key(map(tuple, got)), key(expected)):
         for x, y in zip(a, b):
             assert x == y or isinstance(x, float) and x == pytest.approx(y, abs=1.1e-6), (a, b)
