@@ -138,7 +138,7 @@ def build_index(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) ->
     """An index with IDF over all documents."""
     shared.small_batches(docs.sparkSession)
     vocabulary = frozenset(w for t in templates for w in t.words())
-    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lambda it: _document_counts(vocabulary, it), "word string, n long")
+    counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(shared.lean(lambda it: _document_counts(vocabulary, it)), "word string, n long")
     df = {r["word"].encode(): r["n"] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row for each template word
     return Index(templates, df, df.pop(b"", 0))
 
@@ -164,4 +164,4 @@ def scan(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> DataFr
     """One row for each row of docs: base figures, labels, score, and every match with its place."""
     sent = docs.sparkSession.sparkContext.broadcast(build_index(docs, templates))
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(lambda it: _scan(sent, it), _SCAN)
+    return slim.mapInArrow(shared.lean(lambda it: _scan(sent, it)), _SCAN)

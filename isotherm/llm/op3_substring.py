@@ -319,7 +319,7 @@ class Index:
         """Merge all runs into one. The old files stay: batches' rows are in them too."""
         path = shared.table_path(self.spark, "op3-run")
         # Packed hashes hardly shrink, so no time goes into compressing them.
-        self.read().groupBy("bucket").applyInArrow(_merge_runs, _RUN).sortWithinPartitions("bucket").write.option("compression", "none").parquet(path)
+        self.read().groupBy("bucket").applyInArrow(shared.lean_group(_merge_runs), _RUN).sortWithinPartitions("bucket").write.option("compression", "none").parquet(path)
         self.runs = [path]
 
 
@@ -333,14 +333,14 @@ def dedup_batch(batch: DataFrame, index: Index, blocks: int, digest: bool = Fals
     docs = batch.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
     dealt, runs = docs.groupBy("block"), index.read()
-    reps = dealt.applyInArrow(lambda t: _emit_reps(n, t), _sql(_REPS))
-    back = reps.groupBy("bucket").cogroup(runs.select("bucket", "reps").groupBy("bucket")).applyInArrow(_share_reps, _sql(_BACK))
-    prints = dealt.cogroup(back.groupBy("block")).applyInArrow(lambda a, b: _emit_prints(n, a, b), _sql(_PRINTS))
-    owners = prints.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(_own_prints, _sql(_BACK))
+    reps = dealt.applyInArrow(shared.lean_group(lambda t: _emit_reps(n, t)), _sql(_REPS))
+    back = reps.groupBy("bucket").cogroup(runs.select("bucket", "reps").groupBy("bucket")).applyInArrow(shared.lean_group(_share_reps), _sql(_BACK))
+    prints = dealt.cogroup(back.groupBy("block")).applyInArrow(shared.lean_group(lambda a, b: _emit_prints(n, a, b)), _sql(_PRINTS))
+    owners = prints.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(shared.lean_group(_own_prints), _sql(_BACK))
     answers = back.unionByName(owners).groupBy("block")
     rows = "doc_id long, n_words long, n_removed long, kept string"
     schema = f"{rows}, {_RUN}" + "".join(f", {k} {t}" for k, (_, t) in carried.items())
-    out = dealt.cogroup(answers).applyInArrow(lambda a, b: _apply(n, digest, add, names, a, b), schema)
+    out = dealt.cogroup(answers).applyInArrow(shared.lean_group(lambda a, b: _apply(n, digest, add, names, a, b)), schema)
     path = shared.table_path(batch.sparkSession, "op3-batch")
     out.coalesce(shared.parts(blocks, BLOCKS_PER_FILE)).write.parquet(path)
     if add:

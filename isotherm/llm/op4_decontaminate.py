@@ -163,17 +163,17 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
 
     if blocks == 1:
         one = index(0)
-        return slim.mapInArrow(lambda it: _direct(one.value, it), schema)
+        return slim.mapInArrow(shared.lean(lambda it: _direct(one.value, it)), schema)
     # Texts are keyed by 128 bits of their content, so repeated rows and ids need no care.
     content = F.concat_ws("-", F.xxhash64("text"), F.md5("text"))
     texts = slim.select("text").withColumn("content", content)
     scans = None
     for k in range(blocks):
         now = index(k)
-        part = texts.mapInArrow(lambda it, now=now: _spans(now.value, it), "content string, n long, spans array<long>, items array<string>")
+        part = texts.mapInArrow(shared.lean(lambda it, now=now: _spans(now.value, it)), "content string, n long, spans array<long>, items array<string>")
         scans = part if scans is None else scans.unionByName(part)
     by_text = scans.groupBy("content").agg(F.first("n").alias("n"), F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
-    verdicts = by_text.mapInArrow(_merge, "content string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    verdicts = by_text.mapInArrow(shared.lean(_merge), "content string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     joined = slim.withColumn("content", content).drop("text").join(verdicts, "content", "left").drop("content")
     return joined.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *(f"c_{k}" for k in range(len(more))))
 

@@ -5,7 +5,7 @@ whole pre-token is a vocabulary entry; the entry stored in the slot is compared,
 for one. Second tier: other pre-tokens are merged with a heap of adjacent pairs over a linked list of bytes,
 lowest rank first, leftmost on ties, in O(n log n) for a pre-token of n bytes.
 
-What a pre-token becomes is remembered in each Python worker, in two generations of at most ``MEMO`` entries.
+What a pre-token becomes is remembered within a task, in two generations of at most ``MEMO`` entries.
 
 Scale: documents are only scanned. The vocabulary has a fixed size, is read by the driver, checked against
 ``MAX_VOCABULARY_BYTES`` and broadcast.
@@ -17,7 +17,6 @@ Defined cases: null text is empty (no ids); an empty table gives no rows; ids th
 from __future__ import annotations
 
 import base64
-import uuid
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
@@ -163,19 +162,8 @@ def load(path: str, pattern: str) -> Vocabulary:
     return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}, pattern)
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def _codec(key: str, broadcast) -> Codec:
-    """The worker's codec for a broadcast vocabulary; it outlives the task, and with it what it remembers."""
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(broadcast.value)
-    return _codecs[key]
-
-
-def _digests(key: str, broadcast, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec = _codec(key, broadcast)
+def _digests(broadcast, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = Codec(broadcast.value)
     for b in batches:
         ids = [codec.encode(t) for t in b["text"].to_pylist()]
         arrays = [b["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([shared.sha(x) for x in ids], pa.string()), pa.array([shared.sha(codec.decode(x)) for x in ids], pa.string())]
@@ -191,14 +179,14 @@ def _ids(packed: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<u4").astype(np.int32)))
 
 
-def _encode(key: str, broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec = _codec(key, broadcast)
+def _encode(broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = Codec(broadcast.value)
     for b in batches:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), _ids([codec.encode(t) for t in b["text"].to_pylist()])], [*b.schema.names, "ids"])
 
 
-def _decode(key: str, broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec = _codec(key, broadcast)
+def _decode(broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = Codec(broadcast.value)
     for b in batches:
         raw = [None if x is None else codec.decode(np.array(x, "<u4").tobytes()) for x in b["ids"].to_pylist()]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "ids"), pa.array(raw, pa.binary())], [*(c for c in b.schema.names if c != "ids"), "decoded"])
@@ -206,8 +194,7 @@ def _decode(key: str, broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[
 
 def _shipped(df: DataFrame, vocabulary: Vocabulary):
     shared.small_batches(df.sparkSession)
-    broadcast = df.sparkSession.sparkContext.broadcast(vocabulary)
-    return uuid.uuid4().hex, broadcast
+    return df.sparkSession.sparkContext.broadcast(vocabulary)
 
 
 def digests(docs: DataFrame, vocabulary: Vocabulary, with_ids: bool = False) -> DataFrame:
@@ -215,21 +202,21 @@ def digests(docs: DataFrame, vocabulary: Vocabulary, with_ids: bool = False) ->
 
     with_ids: also the ids themselves (array of int).
     """
-    key, sent = _shipped(docs, vocabulary)
+    sent = _shipped(docs, vocabulary)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return slim.mapInArrow(lambda it: _digests(key, sent, with_ids, it), schema)
+    return slim.mapInArrow(shared.lean(lambda it: _digests(sent, with_ids, it)), schema)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id, text and ids (array of int) of each row."""
-    key, sent = _shipped(docs, vocabulary)
+    sent = _shipped(docs, vocabulary)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(lambda it: _encode(key, sent, it), "doc_id long, text string, ids array<int>")
+    return slim.mapInArrow(shared.lean(lambda it: _encode(sent, it)), "doc_id long, text string, ids array<int>")
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """doc_id and decoded (bytes) of each row's ids."""
-    key, sent = _shipped(encoded, vocabulary)
+    sent = _shipped(encoded, vocabulary)
     slim = encoded.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("ids").cast("array<long>").alias("ids"))
-    return slim.mapInArrow(lambda it: _decode(key, sent, it), "doc_id long, decoded binary")
+    return slim.mapInArrow(shared.lean(lambda it: _decode(sent, it)), "doc_id long, decoded binary")

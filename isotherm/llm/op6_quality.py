@@ -99,7 +99,7 @@ def _line_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_rows(docs: DataFrame, host: str) -> DataFrame:
     """(host, line, content, doc_id, words): one row for each distinct line of each document."""
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text"))
-    return slim.mapInArrow(_line_rows, "host string, line long, content long, doc_id long, words long")
+    return slim.mapInArrow(shared.lean(_line_rows), "host string, line long, content long, doc_id long, words long")
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
@@ -147,7 +147,7 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_s
     schema = _METRICS + ", removed_words long" + "".join(f", c_{k} {t}" for k, (_, t) in enumerate(docs.dtypes) if carry)
     few = frequent.limit(broadcast_lines + 1).count() <= broadcast_lines  # a check of size, not a cap: more go the other way
     table = {(r["host"], r["line"]): r["first_doc"] for r in frequent.toLocalIterator()} if few else {}
-    out = docs.select(*slim, *more).mapInArrow(lambda it: _judge(table, carry, it), schema)
+    out = docs.select(*slim, *more).mapInArrow(shared.lean(lambda it: _judge(table, carry, it)), schema)
     if not few:
         gone = (
             line_rows(docs, host).alias("a")

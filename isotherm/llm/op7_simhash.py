@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, carry: bool = False) -> DataFrame:
     shared.small_batches(docs.sparkSession)
     more = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(docs.columns)] if carry else []
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    return slim.mapInArrow(_fingerprints, "doc_id long, fp long" + "".join(f", c_{k} {t}" for k, (_, t) in enumerate(docs.dtypes) if carry))
+    return slim.mapInArrow(shared.lean(_fingerprints), "doc_id long, fp long" + "".join(f", c_{k} {t}" for k, (_, t) in enumerate(docs.dtypes) if carry))
 
 
 def _key(number: int, positions: tuple[int, ...]):
@@ -170,7 +170,7 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _linked(postings: DataFrame) -> DataFrame:
     sort = postings.select("key.at", "key.bytes", "fp").repartition("at", "bytes").sortWithinPartitions("at", "bytes")
-    return sort.mapInArrow(_forests, "a long, b long")
+    return sort.mapInArrow(shared.lean(_forests), "a long, b long")
 
 
 def edges(distinct: DataFrame) -> DataFrame:
