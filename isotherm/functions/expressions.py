@@ -178,20 +178,27 @@ def percent_bin_label(low: Column, high: Column) -> Column:
     return F.format_string("%d–%d%%", (low * 100).cast("int"), (high * 100).cast("int"))
 
 
+def _one_decimal(value: Column, unit: str) -> Column:
+    """A number with one decimal and a unit; a tie goes to the even digit, as the value itself is exact."""
+    tenths = value * 10
+    even = (tenths - F.floor(tenths) == 0.5) & (F.floor(tenths) % 2 == 0)
+    return F.format_string("%.1f " + unit, F.when(even, F.floor(tenths) / 10.0).otherwise(value))
+
+
 def format_bytes(size: Column) -> Column:
     """1024-based units with one decimal."""
     out, units = None, ("B", "KB", "MB", "GB", "TB")
     for k, unit in enumerate(units):
-        text = F.format_string("%.1f " + unit, size.cast("double") / float(1024**k))
+        text = _one_decimal(size.cast("double") / float(1024**k), unit)
         last = k == len(units) - 1
         out = F.when(size < 1024 ** (k + 1), text) if out is None else out.otherwise(text) if last else out.when(size < 1024 ** (k + 1), text)
     return out
 
 
 def transfer_estimate(size: Column, mb_per_second: Column) -> Column:
-    """Seconds below a minute, else minutes; 0 if the rate isn't positive."""
-    seconds = F.try_divide(size.cast("double"), mb_per_second * float(1024**2))
-    return F.when(mb_per_second <= 0, "0 s").when(seconds < 60, F.format_string("%.0f s", seconds)).otherwise(F.format_string("%.1f min", seconds / 60))
+    """Seconds below a minute, else minutes; 0 seconds if the rate isn't positive."""
+    seconds = F.when(mb_per_second > 0, F.try_divide(size.cast("double"), mb_per_second * float(1024**2))).otherwise(0.0)
+    return F.when(seconds < 60, _one_decimal(seconds, "sec")).otherwise(_one_decimal(seconds / 60, "min"))
 
 
 # --- Student's t

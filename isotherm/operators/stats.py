@@ -76,6 +76,20 @@ def main_statistics(df: DataFrame, value: str, label: str) -> DataFrame:
     return one.select(F.lit(label).alias("dataset"), F.inline(pairs))
 
 
+def main_report(fine: DataFrame, coarse: DataFrame, n_pixels: int) -> DataFrame:
+    """(pos, metric, fine, coarse): the table of main statistics, with land pixels and the missing share.
+
+    n_pixels: cells of the fine grid. The coarse record has no mask: all its cells count, none is missing.
+    """
+    order = ("min", "p25", "p50", "mean", "sd", "iqr", "p75", "p90", "max", "days", "land_pixels", "missing_fraction")
+    side = lambda df, value, name: main_statistics(df, value, name).select("metric", F.col("value").alias(name))
+    land = fine.groupBy("lat_ix", "lon_ix").agg(F.count("t2m").alias("n")).agg(F.count_if(F.col("n") > 0).cast("double").alias("land"))
+    more = land.select(F.inline(F.array(F.struct(F.lit("land_pixels").alias("metric"), F.col("land").alias("fine")), F.struct(F.lit("missing_fraction").alias("metric"), (1 - F.col("land") / n_pixels).alias("fine")))))
+    both = side(fine, "t2m", "fine").unionByName(more).join(side(coarse, "tas", "coarse"), "metric", "left")
+    place = F.create_map(*(x for k, m in enumerate(order) for x in (F.lit(m), F.lit(k))))
+    return both.filter(F.col("metric").isin(*order)).select(place[F.col("metric")].alias("pos"), "metric", "fine", F.when(F.col("metric") == "missing_fraction", 0.0).otherwise(F.col("coarse")).alias("coarse"))
+
+
 def colour_limits(df: DataFrame, value: str) -> DataFrame:
     """2nd and 98th percentile of all panels together."""
     return df.agg(F.percentile(value, COLOUR_LIMITS[0]).alias("vmin"), F.percentile(value, COLOUR_LIMITS[1]).alias("vmax"))

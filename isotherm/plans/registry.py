@@ -154,8 +154,9 @@ def _(g, spark):
 
 @_query("finite_values", "select 'fine' as dataset, count(*) as n_rows, count(t2m) as n_finite from fine union all select 'coarse', count(*), count(tas) from coarse", "fine", "coarse")
 def _(g, spark):
-    count = lambda df, c, label: df.agg(F.lit(label).alias("dataset"), F.count("*").alias("n_rows"), F.count_if(E.is_finite(F.col(c))).alias("n_finite"))
-    return count(g.fine, "t2m", "fine").unionByName(count(g.coarse, "tas", "coarse"))
+    # The fine record drops missing values only, the coarse one infinities too.
+    count = lambda df, test, label: df.agg(F.lit(label).alias("dataset"), F.count("*").alias("n_rows"), F.count_if(test).alias("n_finite"))
+    return count(g.fine, F.col("t2m").isNotNull(), "fine").unionByName(count(g.coarse, E.is_finite(F.col("tas")), "coarse"))
 
 
 @_query("fixed_dates", f"select label, {DAY}, [[value]] as value from series where strftime(day, '%m-%d') in ('01-01', '04-01', '07-01', '10-01')", "series")
@@ -480,6 +481,20 @@ def _(g, spark):
     return stats.main_statistics(g.fine, "t2m", "fine").unionByName(stats.main_statistics(g.coarse, "tas", "coarse"))
 
 
+_REPORT = [("min", "min({c})"), ("p25", "quantile_cont({c}, 0.25)"), ("p50", "quantile_cont({c}, 0.5)"), ("mean", "avg({c})"), ("sd", "stddev_pop({c})"), ("iqr", "quantile_cont({c}, 0.75) - quantile_cont({c}, 0.25)"), ("p75", "quantile_cont({c}, 0.75)"), ("p90", "quantile_cont({c}, 0.9)"), ("max", "max({c})"), ("days", "count(distinct day)::double")]
+_LAND = "(select count(*) from (select 1 from fine group by lat_ix, lon_ix having count(t2m) > 0))"
+
+
+@_query(
+    "main_report",
+    " union all ".join(f"select {k}::bigint as pos, '{m}' as metric, [[(select {x.format(c='t2m')} from fine)]] as fine, [[(select {x.format(c='tas')} from coarse)]] as coarse" for k, (m, x) in enumerate(_REPORT))
+    + f" union all select 10, 'land_pixels', [[{_LAND}::double]], null union all select 11, 'missing_fraction', [[1 - {_LAND} / 11421.0::double]], 0.0::double",
+    "fine", "coarse",
+)
+def _(g, spark):
+    return stats.main_report(g.fine, g.coarse, 141 * 81)
+
+
 _BIN = "greatest(0, least(k - case when v < low + k * step then 1 else 0 end + case when v >= low + (k + 1) * step then 1 else 0 end, 298))"
 
 
@@ -726,8 +741,8 @@ def _transfer(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["transfer_report"] = _transfer
 _UNITS = " ".join(f"when size < {1024 ** (k + 1)} then printf('%.1f {u}', size / {float(1024**k)}::double)" for k, u in enumerate(("B", "KB", "MB", "GB")))
 ORACLE_SQL["transfer_report"] = f"""select c_custkey::bigint as c_custkey, case {_UNITS} else printf('%.1f TB', size / {float(1024**4)}::double) end as size_text,
-  case when rate <= 0 then '0 s' when s < 60 then printf('%.0f s', s) else printf('%.1f min', s / 60) end as eta
-  from (select *, case when rate > 0 then size / (rate * 1048576.0::double) end as s from (select c_custkey, {_SIZE} as size, (c_custkey % 25)::double as rate from customer))"""
+  case when s < 60 then printf('%.1f sec', s) else printf('%.1f min', s / 60) end as eta
+  from (select *, case when rate > 0 then size / (rate * 1048576.0::double) else 0.0 end as s from (select c_custkey, {_SIZE} as size, (c_custkey % 25)::double as rate from customer))"""
 
 
 # --- beyond the study's own analyses

@@ -89,9 +89,9 @@ def test_labels(spark):
 
 
 def test_reports(spark):
-    assert one(spark, [0, 1023, 1024, 1536 * 1024, 5 * 1024**4], "long", E.format_bytes) == ["0.0 B", "1023.0 B", "1.0 KB", "1.5 MB", "5.0 TB"]
+    assert one(spark, [0, 1023, 1024, 1280, 1792, 1536 * 1024, 5 * 1024**4], "long", E.format_bytes) == ["0.0 B", "1023.0 B", "1.0 KB", "1.2 KB", "1.8 KB", "1.5 MB", "5.0 TB"]
     df = spark.createDataFrame([(20 * 1024**2 * 30, 20.0), (20 * 1024**2 * 90, 20.0), (5, 0.0), (5, -1.0)], "s long, r double")
-    assert [r[0] for r in df.select(E.transfer_estimate(F.col("s"), F.col("r"))).collect()] == ["30 s", "1.5 min", "0 s", "0 s"]
+    assert [r[0] for r in df.select(E.transfer_estimate(F.col("s"), F.col("r"))).collect()] == ["30.0 sec", "1.5 min", "0.0 sec", "0.0 sec"]
 
 
 @pytest.mark.parametrize("p, df, want", [(0.95, 1, 6.313752), (0.95, 8, 1.859548), (0.975, 30, 2.042272), (0.995, 5, 4.032143), (0.5, 4, 0.0)])
