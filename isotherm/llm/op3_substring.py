@@ -342,7 +342,7 @@ def dedup_batch(batch: DataFrame, index: Index, blocks: int, digest: bool = Fals
     schema = f"{rows}, {_RUN}" + "".join(f", {k} {t}" for k, (_, t) in carried.items())
     out = dealt.cogroup(answers).applyInArrow(shared.lean_group(lambda a, b: _apply(n, digest, add, names, a, b)), schema)
     path = shared.table_path(batch.sparkSession, "op3-batch")
-    out.coalesce(shared.parts(blocks, BLOCKS_PER_FILE)).write.parquet(path)
+    out.coalesce(shared.parts(blocks, BLOCKS_PER_FILE)).write.option("compression", "zstd").parquet(path)
     if add:
         index.add(path)
     return batch.sparkSession.read.schema(schema).parquet(path).filter("bucket is null").drop("bucket", "reps", "counts", "prints")
