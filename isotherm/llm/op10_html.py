@@ -4,8 +4,8 @@ Markup is stripped to lines, one for each block of the page; elements that are n
 and footers of the page, sidebars, adverts, notices, forms, scripts, styles, reader comments) leave empty
 lines. The lengths of lines, without the text of links, are summed over sliding windows of lines. The text
 surges where the sum rises over a threshold and dives where it falls below it again; the stretch that holds
-the most text is the main text. If the page marks an article (or main) element around that stretch, surge and
-dive move out to the edges of the element, so short blocks of an article are not lost.
+the most text is the main text. If the page marks articles (or main elements), the outermost of them that holds
+the most text is the main text, with all its blocks and all elements nested in it.
 
 Scale: a scan without a shuffle; one page at a time.
 
@@ -104,7 +104,7 @@ def _values(attributes: str, names: tuple[str, ...]) -> list[str]:
 
 
 class Lines:
-    """Blocks of a page: their text, the length of it outside links, and the article each is in (or 0)."""
+    """Blocks of a page: their text, the length of it outside links, and the outermost article each is in (or 0)."""
 
     def __init__(self, page: str):
         self.text: list[str] = []
@@ -134,7 +134,7 @@ class Lines:
                     continue
                 if _is_out(name, more, self._in > 0):
                     out.append((name, len(stack), closed[i]))
-                elif name in _EDGES and not out:
+                elif name in _EDGES and not out and not self._in:
                     self._articles += 1
                     self._in = self._articles
                 stack.append((name, self._in))
@@ -203,16 +203,16 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     if not page:
         return ""
     lines = Lines(page)
-    marked = [f if a else 0 for f, a in zip(lines.free, lines.article)]
-    whole = [len(t) if a else 0 for t, a in zip(lines.text, lines.article)]
-    if any(whole):  # the stretch is looked for in marked elements, and grows to all of the one it is in
-        surge, _ = surge_and_dive(marked if any(marked) else whole, window, threshold)
-        own = lines.article[surge]
-        keep = [t for t, a in zip(lines.text, lines.article) if a == own and t]
-    else:
-        surge, dive = surge_and_dive(lines.free, window, threshold)
-        keep = [t for t in lines.text[surge:dive] if t]
-    return "\n".join(keep)
+    held: dict[int, tuple[int, int]] = {}  # by article: its text outside links, and all of it
+    for t, f, a in zip(lines.text, lines.free, lines.article):
+        if a and t:
+            free, whole = held.get(a, (0, 0))
+            held[a] = free + f, whole + len(t)
+    if held:  # all of the marked element with the most text
+        own = max(held, key=lambda a: (held[a], -a))
+        return "\n".join(t for t, a in zip(lines.text, lines.article) if a == own and t)
+    surge, dive = surge_and_dive(lines.free, window, threshold)
+    return "\n".join(t for t in lines.text[surge:dive] if t)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

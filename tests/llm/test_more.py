@@ -245,6 +245,18 @@ def test_main_text_without_an_article():
     assert op10_html.main_text(page) == f"Head\n{long.strip()}\nshort\n{long.strip()}"
 
 
+def test_main_text_of_nested_and_neighbouring_articles():
+    long = " ".join(f"word{k}" for k in range(40))
+    for page, want in (
+        (f"<main><h1>Title</h1><article><p>{long}</p><p>end</p></article><p>after</p></main>", f"Title\n{long}\nend\nafter"),
+        (f"<article><p>teaser</p></article><article><p>{long}</p><p>more</p></article>", f"{long}\nmore"),
+        (f"<article><p>{long}</p></article><article>{'<p>forty characters of a block of text ..</p>' * 20}</article>", "\n".join(["forty characters of a block of text .."] * 20)),
+        (f"<article><p>first</p><article><p>{long}</p></article><p>last</p></article><p>outside {long}</p>", f"first\n{long}\nlast"),
+        (f"<article><p><a href=x>{long}</a></p></article><article><p>text</p></article>", "text"),
+    ):
+        assert op10_html.main_text(page) == want
+
+
 @pytest.mark.parametrize("page, want", [
     (None, ""), ("", ""), ("   ", ""), ("plain text", "plain text"), ("<script>x", ""), ("<article></article>", ""), ("<p", ""), ("a < b and c", "a < b and c"),
     ("<article><p>x<script>y</script>z</article>", "xz"), ("<div class=ad>ad <article><p>in", "in"), ("<article><p class=notice>no<p>yes</article>", "yes"),
