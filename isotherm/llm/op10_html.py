@@ -1,11 +1,13 @@
 """HTML extraction by the distribution of text over line blocks.
 
 Markup is stripped to lines, one for each block of the page; elements that are never main text (menus, headers
-and footers of the page, sidebars, adverts, notices, forms, scripts, styles, reader comments) leave empty
-lines. The lengths of lines, without the text of links, are summed over sliding windows of lines. The text
-surges where the sum rises over a threshold and dives where it falls below it again; the stretch that holds
-the most text is the main text. If the page marks articles (or main elements), the outermost of them that holds
-the most text is the main text, with all its blocks and all elements nested in it.
+and footers of the page, sidebars, adverts, notices, forms, scripts, styles, reader comments) leave gaps
+without lines. If the page marks articles (or main elements), the outermost of them that holds the most text is
+the main text, with all its blocks and all elements nested in it. Otherwise the lengths of lines, without the
+text of links, are summed over sliding windows of lines. The text surges where the sum rises over a threshold
+and dives where it falls below it again, and takes in the short lines on both sides. Gaps and single lines of
+link text between two such stretches don't divide them; menus (several lines of link text) do, unless both
+sides lie in the same container. The stretch that holds the most text is the main text.
 
 Scale: a scan without a shuffle; one page at a time.
 
@@ -45,6 +47,8 @@ _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form
 #: Elements that names of classes don't put out: they hold the page or the article.
 _HOLDERS = frozenset("html body article main".split())
 _EDGES = frozenset(("article", "main"))
+#: Blocks that hold others; the rest of the blocks are parts of a text.
+_CONTAINERS = frozenset("article center details div fieldset main section td th".split())
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 _LOOSE = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
@@ -104,17 +108,25 @@ def _values(attributes: str, names: tuple[str, ...]) -> list[str]:
 
 
 class Lines:
-    """Blocks of a page: their text, the length of it outside links, and the outermost article each is in (or 0)."""
+    """Blocks of a page: their text, the length of it outside links, and the outermost article each is in (or 0).
+
+    gap: whether elements were left out before a block. place: numbers of the block itself, of the container
+    above it and of the innermost container it is in (0 is the page).
+    """
 
     def __init__(self, page: str):
         self.text: list[str] = []
         self.free: list[int] = []
         self.article: list[int] = []
+        self.gap: list[bool] = []
+        self.place: list[tuple[int, int, int]] = []
+        self._gap, self._at, self._numbers = False, (0, 0, 0), 0
         self._parts: list[str] = []
         self._linked, self._in, self._articles = 0, 0, 0
         every = list(tokens(page))
         closed = self._closed(every)
-        stack: list[tuple[str, int]] = []  # open elements: name, number of the article or 0
+        # Open elements: name, number of the article or 0, place of text in it.
+        stack: list[tuple[str, int, tuple[int, int, int]]] = []
         out: list[tuple[str, int, bool]] = []  # elements to leave out: name, depth of the stack, ever closed
         links = 0
         for i, (kind, name, more) in enumerate(every):
@@ -128,6 +140,7 @@ class Lines:
             if kind == "open":
                 while out and not out[-1][2] and (name in _EDGES or out[-1][0] in ("p", "li") and name in BLOCKS):
                     del stack[out.pop()[1] :]
+                    self._at = stack[-1][2] if stack else (0, 0, 0)
                 if name == "br":
                     self._parts.append(" ")
                 if name in VOID or more.rstrip().endswith("/") and name not in BLOCKS:
@@ -137,17 +150,20 @@ class Lines:
                 elif name in _EDGES and not out and not self._in:
                     self._articles += 1
                     self._in = self._articles
-                stack.append((name, self._in))
+                if name in BLOCKS and name not in ("html", "body"):
+                    self._numbers += 1
+                    self._at = self._numbers, self._at[2], self._numbers if name in _CONTAINERS else self._at[2]
+                stack.append((name, self._in, self._at))
                 links += name == "a" and not out
             else:
                 at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
                 if at is None or out and at < out[-1][1] and out[-1][2]:
                     continue  # closes nothing, or something around an element that is still to be closed
                 del stack[at:]
-                links = sum(x == "a" for x, _ in stack) if links else 0
+                links = sum(x[0] == "a" for x in stack) if links else 0
                 while out and out[-1][1] >= len(stack):
                     out.pop()
-                self._in = stack[-1][1] if stack else 0
+                _, self._in, self._at = stack[-1] if stack else ("", 0, (0, 0, 0))
         self._end()
 
     @staticmethod
@@ -165,37 +181,67 @@ class Lines:
 
     def _end(self, blank: bool = False) -> None:
         text = " ".join(html_.unescape("".join(self._parts)).split())
-        if text or blank and self.text and self.text[-1]:
+        if text:
             self.text.append(text)
             self.free.append(max(0, len(text) - self._linked))
             self.article.append(self._in)
+            self.gap.append(self._gap)
+            self.place.append(self._at)
+            self._gap = False
+        self._gap |= blank
         self._parts, self._linked = [], 0
 
+    def near(self, i: int, j: int) -> bool:
+        """Whether blocks i and j are side by side in a container, or one is in the other."""
+        return bool({*self.place[i][:2]} & {*self.place[j][:2]})
+
+    def bridged(self, i: int, j: int) -> bool:
+        """Whether the blocks between i and j, texts both, leave them in one stretch: no menu, or one in the same container."""
+        menu = any(not self.free[k] and not self.free[k + 1] for k in range(i + 1, j - 1))
+        return not menu or self.place[i][2] == self.place[j][2] != 0
+
 
-def surge_and_dive(free: list[int], window: int = WINDOW, threshold: int = THRESHOLD) -> tuple[int, int]:
-    """The stretch [surge, dive) of lines that holds the most text, or the line with the most if none surges."""
+def surge_and_dive(free: list[int], window: int = WINDOW, threshold: int = THRESHOLD, lines: Lines | None = None) -> tuple[int, int]:
+    """The stretch [surge, dive) of lines that holds the most text, or that of the longest line if none surges.
+
+    With lines, stretches that ``Lines.bridged`` joins are one; otherwise each line without free text ends one.
+    """
     n = len(free)
     sums, total = [], sum(free[:window])
     for i in range(n):
         sums.append(total)
         total += (free[i + window] if i + window < n else 0) - free[i]
-    best, found, i = -1, (0, 0), 0
+
+    def on(i: int, step: int) -> int | None:
+        """The next line with free text, if a stretch goes on from line i to it although it is short."""
+        j = i + step
+        if lines and 0 <= j + step < n and 0 <= j < n and not free[j]:  # a single line of link text
+            return j + step if free[j + step] and lines.near(i, j + step) else None
+        if not 0 <= j < n or not free[j] or lines and lines.gap[max(i, j)] and not lines.near(i, j):
+            return None
+        return j
+
+    found: list[tuple[int, int, int]] = []  # surge, dive, sum
+    i = 0
+    longest = max(range(n), key=lambda x: (free[x], -x), default=0)
+    surges = any(f and s >= threshold for f, s in zip(free, sums))
     while i < n:
-        if sums[i] < threshold or not free[i]:
+        if not (free[i] and sums[i] >= threshold if surges else i == longest and free[i]):
             i += 1
             continue
-        j = i
-        while j < n and free[j] and sums[j] >= min(threshold, sums[i]):
-            j += 1
-        while j < n and free[j]:  # short lines at the end of the stretch, up to an empty one
-            j += 1
-        if (size := sum(free[i:j])) > best:
-            best, found = size, (i, j)
-        i = j
-    if best < 0 and n and max(free) > 0:
-        k = max(range(n), key=lambda x: (free[x], -x))
-        found = (k, k + 1)
-    return found
+        a, b = i, i + 1
+        while b < n and free[b] and sums[b] >= threshold:
+            b += 1
+        least = found[-1][1] if found else 0
+        while (k := on(a, -1)) is not None and k >= least:  # short lines on both sides
+            a = k
+        while (k := on(b - 1, 1)) is not None:
+            b = k + 1
+        i = b
+        if found and lines and lines.bridged(found[-1][1] - 1, a):
+            a = found.pop()[0]
+        found.append((a, b, sum(free[a:b])))
+    return max(found, key=lambda x: (x[2], -x[0]), default=(0, 0, 0))[:2]
 
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
@@ -205,14 +251,14 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     lines = Lines(page)
     held: dict[int, tuple[int, int]] = {}  # by article: its text outside links, and all of it
     for t, f, a in zip(lines.text, lines.free, lines.article):
-        if a and t:
+        if a:
             free, whole = held.get(a, (0, 0))
             held[a] = free + f, whole + len(t)
     if held:  # all of the marked element with the most text
         own = max(held, key=lambda a: (held[a], -a))
-        return "\n".join(t for t, a in zip(lines.text, lines.article) if a == own and t)
-    surge, dive = surge_and_dive(lines.free, window, threshold)
-    return "\n".join(t for t in lines.text[surge:dive] if t)
+        return "\n".join(t for t, a in zip(lines.text, lines.article) if a == own)
+    surge, dive = surge_and_dive(lines.free, window, threshold, lines)
+    return "\n".join(lines.text[surge:dive])
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

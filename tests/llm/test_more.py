@@ -257,6 +257,27 @@ def test_main_text_of_nested_and_neighbouring_articles():
         assert op10_html.main_text(page) == want
 
 
+LONG = " ".join(f"word{k}" for k in range(40))
+
+
+@pytest.mark.parametrize("between", ["<div class=ad><p>Buy</p></div>", "<aside>side</aside>", "<form><p>name <input></p></form>", "<div class=ad>Buy</div><div class=share>us</div>"])
+def test_main_text_around_left_out_elements(between):
+    for page in (f"<body><div><p>{LONG}</p>{between}<p>{LONG} b</p></div>", f"<body><p>{LONG}</p>{between}<p>{LONG} b</p>", f"<body><div><p>{LONG}</p></div>{between}<div><p>{LONG} b</p></div>"):
+        assert op10_html.main_text(page) == f"{LONG}\n{LONG} b"
+    assert op10_html.main_text(f"<div><h1>Title</h1>{between}<p>{LONG}</p>{between}<p>End</p></div><div>Foot</div>") == f"Title\n{LONG}\nEnd\nFoot"
+    assert op10_html.main_text(f"<div><p>{LONG}</p></div>{between}<div><p>Foot</p></div>") == LONG
+
+
+def test_main_text_around_links_and_short_lines():
+    link, menu = "<p><a href=x>See the other page</a></p>", "".join(f"<div><a href=x>Entry {k}</a></div>" for k in range(5))
+    assert op10_html.main_text(f"<body>{menu}<div><p>{LONG}</p>{link}<p>{LONG} b</p>{link}<p>End</p>{link}</div>") == f"{LONG}\nSee the other page\n{LONG} b\nSee the other page\nEnd"
+    assert op10_html.main_text(f"<body>{menu}<div><h1>Title</h1><p>By me</p><p>May 1</p><p>{LONG}</p></div>{menu}") == f"Title\nBy me\nMay 1\n{LONG}"
+    entries = "".join(f"<li><a href=x>Entry {k}</a>" for k in range(3))
+    assert op10_html.main_text(f"<body><div><p>{LONG}</p><ul>{entries}</ul><p>{LONG} b</p></div>") == f"{LONG}\nEntry 0\nEntry 1\nEntry 2\n{LONG} b"
+    assert op10_html.main_text(f"<body><div><p>{LONG}</p></div>{menu}<div><p>{LONG} longer</p></div>") == f"{LONG} longer"
+    assert op10_html.main_text("<p>one</p><p>three</p><p>two</p>") == "one\nthree\ntwo"
+
+
 @pytest.mark.parametrize("page, want", [
     (None, ""), ("", ""), ("   ", ""), ("plain text", "plain text"), ("<script>x", ""), ("<article></article>", ""), ("<p", ""), ("a < b and c", "a < b and c"),
     ("<article><p>x<script>y</script>z</article>", "xz"), ("<div class=ad>ad <article><p>in", "in"), ("<article><p class=notice>no<p>yes</article>", "yes"),
