@@ -114,7 +114,7 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DO
     return lines.alias("l").join(sizes.alias("s"), F.col("l.host").eqNullSafe(F.col("s.host"))).filter(F.col("n_docs") > max_share * F.col("host_docs")).select("l.host", "line", "first_doc", "n_docs")
 
 
-def _judge(frequent: dict[tuple[str | None, int], int | None], with_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(frequent: dict[tuple[str | None, int], int | None], with_text: bool, with_key: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hosts = {h for h, _ in frequent}
     for b in batches:
         rows = []
@@ -131,6 +131,9 @@ def _judge(frequent: dict[tuple[str | None, int], int | None], with_text: bool,
         names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words"]
         if with_text:
             arrays, names = [*arrays, *(b.column(c) for c in b.schema.names if c[:2] == "c_")], [*names, *(c for c in b.schema.names if c[:2] == "c_")]
+        if with_key:
+            contents = [text_key(shared.utf8(t)) for t in b["text"].to_pylist()]
+            arrays, names = [*arrays, b["host"], pa.array(contents, pa.int64())], [*names, "host", "content"]
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
@@ -147,14 +150,19 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_s
     schema = _METRICS + ", removed_words long" + "".join(f", c_{k} {t}" for k, (_, t) in enumerate(docs.dtypes) if carry)
     few = frequent.limit(broadcast_lines + 1).count() <= broadcast_lines  # a check of size, not a cap: more go the other way
     table = {(r["host"], r["line"]): r["first_doc"] for r in frequent.toLocalIterator()} if few else {}
-    out = docs.select(*slim, *more).mapInArrow(shared.lean(lambda it: _judge(table, carry, it)), schema)
+    keyed = "" if few else ", host string, content long"
+    out = docs.select(*slim, *more).mapInArrow(shared.lean(lambda it: _judge(table, carry, not few, it)), schema + keyed)
     if not few:
+        # A row is known by host, content and doc_id, null or not, as in the table; equal rows share what is gone.
+        key = ["doc_id", "host", "content"]
         gone = (
             line_rows(docs, host).alias("a")
             .join(frequent.alias("f"), F.col("a.host").eqNullSafe(F.col("f.host")) & (F.col("a.line") == F.col("f.line")) & ~F.col("a.doc_id").eqNullSafe(F.col("f.first_doc")))
-            .select("a.doc_id", "a.content", "a.line", "words").distinct().groupBy("doc_id").agg(F.sum("words").alias("gone"))
+            .select("a.doc_id", "a.host", "a.content", "a.line", "words").distinct().groupBy(*key).agg(F.sum("words").alias("gone"))
+            .select(*(F.col(k).alias(f"of_{k}") for k in key), "gone")
         )
-        out = out.join(gone, "doc_id", "left").withColumn("removed_words", F.coalesce("gone", F.lit(0).cast("long"))).drop("gone")
+        same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]
+        out = out.join(gone, same, "left").withColumn("removed_words", F.coalesce("gone", F.lit(0).cast("long"))).drop("gone", "host", "content", *(f"of_{k}" for k in key))
     left = F.col("n_words") - F.col("removed_words")
     return out.withColumn("kept", ~F.col("base_failed") & (left >= min_left * F.col("n_words")))
 

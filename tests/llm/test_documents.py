@@ -232,6 +232,24 @@ def test_quality_removes_and_rejects(spark):
         assert not out[30].kept and out[30].n_dup_lines == 5
 
 
+@pytest.mark.parametrize("broadcast", [1000, 0])
+def test_quality_of_rows_that_share_an_id(spark, broadcast):
+    """Null ids, one id with several texts, one id and text under two hosts, repeated rows: alike on both paths."""
+    head = "a line that very many of the documents of this host have"
+    body = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    table = [(k, f"{head}\n{body(k, 60)}", "en", "h", 0) for k in range(1, 12)]
+    many = "\n".join([head] * 20 + [body(99, 5)])
+    table += [(None, many, "en", "h", 0), (None, f"{head}\n{body(50, 60)}", "en", "h", 0), (None, many, "en", "h", 0)]
+    table += [(5, many, "en", "h", 0), (5, body(51, 70), "en", "h", 0), (5, many, "en", "other", 0), (5, many, "en", None, 0), (6, table[5][1], "en", "h", 0)]
+    table += [(200 + k, f"{head}\n{body(200 + k, 60)}", "en", None, 0) for k in range(8)]
+    for rows_ in (table, documents()):
+        for min_docs, share, left in ((2, 0.05, 0.8), (1, 0.1, 0.3)):
+            df, want = frame(spark, rows_), brute_quality(rows_, min_docs, share, left)
+            options = {"min_docs": min_docs, "max_share": share, "min_left": left, "broadcast_lines": broadcast}
+            assert rows(op6_quality.judge(df, **options)) == want
+            assert Counter(r.doc_id for r in op6_quality.keep(df, **options).collect()) == Counter(w[0] for w in want if w[8])
+
+
 # --- op7
 
 
