@@ -7,7 +7,8 @@ universe; the second one the other keys of the universe that pass the first; the
 that pass the second; and so on until nothing passes wrongly. A key's membership is then exact for the whole
 universe: it is listed if the first filter that rejects it is an even one. URLs are judged without a join.
 
-There are two cascades, of what allows and of what blocks, and the longest key that is in one decides.
+There are two cascades, of what allows and of what blocks, and the longest key that is in one decides, the
+smallest of equally long ones.
 
 Scale: the universe is made by one distinct (map-side combined, so a hot host is one row a task) and marked
 with the lists by one join. A level of all cascades is one job: bit_or over 64-bit words of the filters. The
@@ -241,8 +242,9 @@ def _judge_by_join(slim: DataFrame, rules: DataFrame, listed: DataFrame, lengths
     keys = slim.select("url").distinct().mapInArrow(lambda it: _explode(lengths, own, it), "url string, host string, path string, kind string, key string").distinct()
     every = rules.select("key", "verdict", F.lit("rule").alias("kind")).unionByName(listed.select("key", F.lit("block").alias("verdict"), F.lit("listed").alias("kind")))
     hit = keys.join(every, ["kind", "key"], "left")
-    longest = F.when((F.col("kind") == "rule") & F.col("verdict").isNotNull(), F.struct(F.char_length("key").alias("n"), F.col("key"), F.col("verdict")))
-    found = hit.groupBy("url", "host", "path").agg(F.max(longest).alias("best"), F.max(F.when(F.col("kind") == "listed", F.col("verdict"))).alias("other"))
+    # In the order of candidates(): the longest key, the smallest of equally long ones.
+    longest = F.when((F.col("kind") == "rule") & F.col("verdict").isNotNull(), F.struct((-F.char_length("key")).alias("n"), F.col("key"), F.col("verdict")))
+    found = hit.groupBy("url", "host", "path").agg(F.min(longest).alias("best"), F.max(F.when(F.col("kind") == "listed", F.col("verdict"))).alias("other"))
     found = found.select(F.col("url").alias("of"), "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.verdict", "other", F.lit(default)).alias("verdict"))
     return slim.join(found, slim["url"].eqNullSafe(found["of"])).select("page_id", "host", "path", "rule", "verdict")
 

@@ -209,6 +209,14 @@ def test_url_filter(spark, max_bytes):
     assert op9_urls.judge(pages.limit(0), none, none.select("key"), max_bytes=max_bytes).collect() == []
 
 
+@pytest.mark.parametrize("max_bytes", [1 << 20, 0])
+def test_url_filter_of_equally_long_rules(spark, max_bytes):
+    pages = spark.createDataFrame([(1, "https://a.org/ab"), (2, "https://b.org/ab"), (3, "https://é.org/ab")], "page_id long, url string")
+    rules = spark.createDataFrame([("a.org/", "allow"), ("org/ab", "block"), ("é.org/", "allow")], "key string, verdict string")
+    out = op9_urls.judge(pages, rules, spark.createDataFrame([], "key string"), max_bytes=max_bytes)
+    assert [(r.page_id, r.rule, r.verdict) for r in out.orderBy("page_id").collect()] == [(1, "a.org/", "allow"), (2, "org/ab", "block"), (3, "org/ab", "block")]
+
+
 def test_cascade_is_exact(spark):
     keys = [f"h{k}.org/" for k in range(4000)]
     lists = [set(keys[:5]), set(keys[:300]), set(keys[:3900]), set(keys), set()]
