@@ -216,11 +216,16 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first())
 
 
-def components(marked: DataFrame) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of marked (doc_id, fp)."""
+def _rooted(marked: DataFrame) -> DataFrame:
+    """(fp, rep, root) of each distinct fingerprint of marked (doc_id, fp): its smallest doc_id and its component's root."""
     nodes = shared.written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "op7-nodes")
     star = stars(edges(nodes.select("fp")))
-    rooted = nodes.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+
+
+def components(marked: DataFrame) -> DataFrame:
+    """(fp, component_id) of each distinct fingerprint of marked (doc_id, fp)."""
+    rooted = _rooted(marked)
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     return rooted.join(least, "root").select("fp", "component_id")
 
@@ -235,10 +240,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def keep(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with the columns of docs.
 
-    Among repeated rows of that id and fingerprint one stays.
+    If rows with different fingerprints share that id, or all ids are null, it is that with the smallest
+    fingerprint too. Among repeated rows of that id and fingerprint one stays.
     """
     marked = shared.written(fingerprints(docs), "op7-fingerprints")
-    chosen = marked.join(components(marked), "fp").filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("k_id"), F.col("fp").alias("k_fp")).distinct()
+    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("first")  # null comes last
+    chosen = _rooted(marked).groupBy("root").agg(first).select(F.col("first.rep").alias("k_id"), F.col("first.fp").alias("k_fp"))
     rows = fingerprints(docs, carry=True)
     # A null id is kept only in a component of null ids; -1 stands for it beside a flag, so the join is an equi-join.
     side = lambda i: [F.coalesce(F.col(i), F.lit(-1)), F.col(i).isNull()]

@@ -300,6 +300,24 @@ def test_simhash(spark):
     assert op7_simhash.keep(spark.createDataFrame([], SCHEMA)).collect() == []
 
 
+def test_simhash_keeps_one_of_repeated_and_null_ids(spark):
+    rng = random.Random(12)
+    table = []
+    for of in (1, None):  # a group whose smallest id is that of several texts, and one of null ids only
+        base = prose(rng, 400).split()
+        table += [(of, " ".join([*base[:k], "changed", *base[k + 1 :]]), None, None, 0) for k in range(0, 400, 40)]
+    table += [(7, table[0][1], None, None, 0), (1, prose(rng, 400), None, None, 0)]
+    fps = brute_simhash(table)
+    low, roots = components_of([r[0] for r in table], fps)
+    groups = Counter(zip(low, roots))
+    assert any(len({f for f, i, r in zip(fps, low, roots) if (i, r) == g}) > 1 for g in groups if g[0] is None)
+    assert len({f for r, f, i in zip(table, fps, roots) if r[0] == 1 and i == roots[0]}) > 1
+    kept = op7_simhash.keep(frame(spark, table)).collect()
+    of = {t: g for (_, t, *_), g in zip(table, zip(low, roots))}
+    assert Counter(of[r.text] for r in kept) == Counter(set(groups))
+    assert all(r.doc_id == of[r.text][0] for r in kept)
+
+
 @pytest.mark.parametrize("limit", [4096, 6])
 def test_simhash_links_of_random_fingerprints(spark, monkeypatch, limit):
     rng = random.Random(11)
