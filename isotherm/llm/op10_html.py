@@ -269,6 +269,5 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of each row of pages."""
-    shared.small_batches(pages.sparkSession)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    return slim.mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return slim.mapInArrow(shared.lean(_extract), "page_id long, url string, text string, n_chars long")

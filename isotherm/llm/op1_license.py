@@ -136,7 +136,6 @@ def _document_counts(vocabulary: frozenset[bytes], batches: Iterator[pa.RecordBa
 
 def build_index(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES) -> Index:
     """An index with IDF over all documents."""
-    shared.small_batches(docs.sparkSession)
     vocabulary = frozenset(w for t in templates for w in t.words())
     counts = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(shared.lean(lambda it: _document_counts(vocabulary, it)), "word string, n long")
     df = {r["word"].encode(): r["n"] for r in counts.groupBy("word").agg(F.sum("n").alias("n")).collect()}  # a row for each template word

@@ -120,11 +120,10 @@ def _format(template: Template, batches: Iterator[pa.RecordBatch]) -> Iterator[p
 
 def segments(conversations: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """One row for each turn, in order within each partition, with all of a conversation in one partition."""
-    shared.small_batches(conversations.sparkSession)
     text = lambda c: F.col(c).cast("string").alias(c)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn"), text("role"), text("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(lambda it: _format(template, it), _TURNS)
+    return rows.select("conv_id", "role", "text").mapInArrow(shared.lean(lambda it: _format(template, it)), _TURNS)
 
 
 _DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
@@ -163,4 +162,4 @@ def _read_back(template: Template, batches: Iterator[pa.RecordBatch]) -> Iterato
 
 def digests(formatted: DataFrame, template: Template = TEMPLATE) -> DataFrame:
     """What segments() wrote, parsed again and digested by conversation."""
-    return formatted.mapInArrow(lambda it: _read_back(template, it), _DIGEST)
+    return formatted.mapInArrow(shared.lean(lambda it: _read_back(template, it)), _DIGEST)

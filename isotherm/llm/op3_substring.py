@@ -1,29 +1,35 @@
 """Substring dedup with a log-structured index of window fingerprints.
 
-A window is 13 consecutive words of one document. It is filed under its *representative*, the smallest hash
-among its eight 6-word spans; equal windows have equal representatives, and neighbouring windows mostly share
-one, so there are far fewer representatives than windows. A window's *fingerprint* is a second, independent
-48-bit hash of all 13 words.
+A window is 13 consecutive words of one document. Each word has a keyed 128-bit hash of its bytes, two numbers of 64
+bits; the key is random for each index. From the first numbers of 6 words a span's hash is made; the smallest of a
+window's eight spans is its *representative* (48 bits). Equal windows have equal representatives, and
+neighbouring windows mostly share one, so there are about four times fewer of them than windows. A window's
+*fingerprint* is made from all 13 words: 64 bits from the first numbers, and its bucket from the second ones.
 
-The index holds sorted immutable runs, one for each batch of documents: in each bucket of representatives,
-the sorted representatives and, under each, the sorted fingerprints of its windows. A new batch goes
-through these steps:
+The index holds sorted immutable runs: in each bucket, the sorted representatives and the sorted fingerprints of
+historical windows. A new batch goes through these steps:
 
-1. the batch's representatives, sorted by bucket, are merge-joined with those of all runs and of the other
-   blocks of the batch: which of them occur in the index or in two documents?
+1. the batch's representatives are merge-joined, bucket by bucket, with those of all runs and of the other blocks
+   of the batch: which of them occur in the index or in two documents?
 2. candidates are verified: the fingerprints of windows under such representatives (and of no others) are
-   merge-joined with the runs and each other; the smallest doc_id that has a window owns it. Two windows are
-   taken as equal if both hashes agree, 112 bits in all;
+   merge-joined with the runs and each other; the smallest doc_id that has a window owns it;
 3. words covered by windows of another owner are removed;
-4. windows that the batch owns become a new run; when there are more than ``MAX_RUNS``, runs are merged.
+4. windows that the batch owns become a new run, one sorted row a bucket. ``FAN_OUT`` runs of one level are merged
+   into a run of the next level. A manifest in the index's folder names the runs, so an index can be opened again.
 
-Batches must come in the order of doc_id: what is in the index is older than the batch.
+"Verified" is a comparison of keyed hashes, not of texts: two windows are taken as equal if bucket and fingerprint
+agree. With N windows and B buckets about N * N / (2 * B * 2**64) pairs are expected to be taken wrongly: 3 in
+10,000 runs at 30 GB of input, one in all at 100 TB. The key is random, so nobody can prepare words that collide.
 
-Scale: documents are dealt once by a hash of doc_id into blocks of about ``BLOCK_BYTES``, and all steps of a
-batch are one query, in which Spark reuses that exchange; blocks and buckets exchange packed arrays, 8 bytes a
-representative and about 11 a candidate window, and a block answers for a window once however many of its
-documents have it. A bit a candidate window comes back. Bucket numbers follow
-the size of the input, so memory per task doesn't grow. No row is a pair of documents.
+Batches must come in the order of doc_id: what is in the index is older than the batch. One batch is added at a time.
+
+Scale: documents are dealt once by a hash into blocks of about ``BLOCK_BYTES``, and all steps of a batch are one
+query, in which Spark reuses that exchange; blocks and buckets exchange packed arrays (6 bytes a representative, 12 a
+candidate window), and bits come back. A block visits only the buckets it has something for. A representative or
+window that very many documents have is one entry for each block, and the different windows under a common
+representative are spread over all buckets by their own hashes. There are as many buckets as the input has
+``BUCKET_BYTES``, so memory per task doesn't grow with it. An exchanged row holds fewer entries the larger the input
+is, one at the least; the number of entries is in proportion to the input. No row is a pair of documents.
 
 Defined cases: null text has no words; a text of fewer than 13 words has no window; rows of one doc_id are
 one document's (none is smaller than the other); a row with a null doc_id is left as it is and is not
@@ -33,8 +39,8 @@ become empty.
 
 from __future__ import annotations
 
-import gc
-import time
+import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
@@ -45,45 +51,93 @@ from pyspark.sql import functions as F
 from . import shared
 
 WINDOW, SPAN = 13, 6
-BLOCK_BYTES = 2 << 20
-#: Text bytes whose representatives share a bucket.
+BLOCK_BYTES = 4 << 20
+#: Text bytes of the whole input whose windows share a bucket.
 BUCKET_BYTES = 8 << 20
-#: Blocks whose rows a task writes to one file.
-BLOCKS_PER_FILE = 32
-MAX_RUNS = 4
-BATCHES = 2
-
-_SPAN_BASE, _WINDOW_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-_RUN = "bucket long, reps binary, counts binary, prints binary"
-
-
-class Windows:
-    """All windows of a block's documents, in order of document and place."""
-
-    def __init__(self, ids: list[int | None], texts: list[bytes]):
-        hashes = [shared.word_hashes(t) for t in texts]
-        self.n_words = np.array([len(h) for h in hashes], np.int64)
-        own = np.array([i is not None for i in ids], bool)
-        self.first = np.concatenate(([0], np.cumsum(self.n_words)))[:-1]
-        n = np.where(own, np.maximum(self.n_words - WINDOW + 1, 0), 0) if len(ids) else np.empty(0, np.int64)
-        self.row = np.repeat(np.arange(len(ids)), n)
-        begin = np.concatenate(([0], np.cumsum(n)))[:-1]
-        self.start = np.arange(n.sum()) - np.repeat(begin, n) + np.repeat(self.first, n)
-        doc = np.array([i if i is not None else 0 for i in ids], np.int64)
-        self.doc = doc[self.row]
-        h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        spans = shared.window_hashes(h, SPAN, _SPAN_BASE)
-        least = spans
-        if len(spans):  # the minimum of 8 spans by doubling
-            for k in (1, 2, 4):
-                least = np.minimum(least[: len(least) - k], least[k:]) if len(least) > k else least[:0]
-        # Minima crowd at small hashes; mixed again they fill all buckets evenly.
-        self.rep = shared.mix(least[self.start]) if len(self.start) else np.empty(0, np.uint64)
-        prints = shared.window_hashes(h, WINDOW, _WINDOW_BASE) >> np.uint64(16)
-        self.print = prints[self.start] if len(self.start) else np.empty(0, np.uint64)
+#: So many runs of one level are merged into one of the next.
+FAN_OUT = 2
+#: Batches of dedup(): the first two are equal, each later one is as large as all before it.
+BATCHES = 4
+
+# Odd multipliers of the polynomials over word hashes.
+_SPAN_BASE, _PRINT_BASE, _BUCKET_BASE = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93
+
+
+def mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[0x20, 9, 10, 11, 12, 13]] = True
+#: The lowest 0 to 8 bytes of a 64-bit number.
+_LOW = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
+_EXACT = 32
+
+
+def word_hashes(key: bytes, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each white-space word of all texts in order, and the number of words of each text.
+
+    Words of up to 32 bytes go in whole, 8 bytes a round, each round a bijection of what it takes in; longer ones
+    by BLAKE2b. Both are keyed.
+    """
+    data = b" ".join(texts) + b" " * (_EXACT + 8)
+    raw = np.frombuffer(data, np.uint8)
+    space = _SPACE[raw]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    edge = edge if space[0] else np.concatenate(([0], edge))
+    start, n = edge[::2], edge[1::2] - edge[::2]
+    eight = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))  # the 8 bytes from each place on
+    part = lambda k, at, size: eight[at + 8 * k] & _LOW[np.clip(size - 8 * k, 0, 8)]
+    k0, k1 = np.frombuffer(hashlib.blake2b(key, digest_size=16).digest(), "<u8")
+    one, two = part(0, start, n), part(1, start, n)
+    size = n.astype(np.uint64)
+    a, b = mix(mix(mix(size ^ k0) ^ one) ^ two), mix(mix(mix(size ^ k1) ^ two) ^ one)
+    longer = np.flatnonzero(n > 16)
+    if len(longer):
+        at, m = start[longer], n[longer]
+        three, four = part(2, at, m), part(3, at, m)
+        a[longer], b[longer] = mix(mix(a[longer] ^ three) ^ four), mix(mix(b[longer] ^ four) ^ three)
+    for i in np.flatnonzero(n > _EXACT).tolist():
+        digest = hashlib.blake2b(data[start[i] : start[i] + n[i]], digest_size=16, key=key).digest()
+        a[i], b[i] = np.frombuffer(digest, "<u8")
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return a, b, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def polynomial(h: np.ndarray, k: int, base: int) -> np.ndarray:
+    """Hash of every run of k values, one for each start but the last k - 1, by doubling."""
+    n = len(h) - k + 1
+    if n <= 0:
+        return np.empty(0, np.uint64)
+    out, have, power, at = np.zeros(n, np.uint64), h, 1, 0  # have: runs of `power` values
+    for bit in range(k.bit_length()):
+        if k >> bit & 1:
+            out = out * np.uint64(pow(base, power, 1 << 64)) + have[at : at + n]
+            at += power
+        if k >> (bit + 1):
+            have = have[:-power] * np.uint64(pow(base, power, 1 << 64)) + have[power:]
+            power *= 2
+    return mix(out)
+
+
+def ranges(x: np.ndarray, bits: int, buckets: int) -> np.ndarray:
+    """Bucket of each value of so many bits: equal ranges of its upper 32."""
+    return ((x >> np.uint64(bits - 32)) * np.uint64(buckets)) >> np.uint64(32)
+
+
+def _cuts(sorted_: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of each run of equal values."""
+    if not len(sorted_):
+        return []
+    at = np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(sorted_)])).tolist()
+    return list(zip(at, at[1:]))
 
 
 def _is_in(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
+    """A merge join of two sorted arrays: which of x the other one has."""
     if not len(sorted_):
         return np.zeros(len(x), bool)
     at = np.searchsorted(sorted_, x)
@@ -91,295 +145,345 @@ def _is_in(x: np.ndarray, sorted_: np.ndarray) -> np.ndarray:
     return sorted_[at] == x
 
 
-def _pack(prints: np.ndarray) -> bytes:
-    return prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+def _merged(arrays: list[np.ndarray]) -> np.ndarray:
+    """Sorted distinct values of sorted arrays. The stable sort takes their order over and only merges."""
+    out = np.sort(np.concatenate(arrays), kind="stable") if arrays else np.empty(0, np.uint64)
+    return out[np.concatenate(([True], out[1:] != out[:-1]))] if len(out) else out
 
 
-def _unpack(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, :6] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+def _pack6(x: np.ndarray) -> bytes:
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _unpack6(blob: bytes | None) -> np.ndarray:
+    out = np.zeros((len(blob or b"") // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(blob or b"", np.uint8).reshape(-1, 6)
     return out.view("<u8").ravel()
 
 
-def _u8(blobs) -> np.ndarray:
-    return np.concatenate([np.frombuffer(b, "<u8") for b in blobs]) if len(blobs) else np.empty(0, np.uint64)
+def _u8(blob: bytes | None) -> np.ndarray:
+    return np.frombuffer(blob or b"", "<u8")
 
 
-def _by_bucket(rep: np.ndarray, buckets: int) -> np.ndarray:
-    """Cuts of sorted representatives: buckets are ranges of the hash."""
-    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
-    return np.append(np.searchsorted(rep, edges), len(rep))
+def _pack_ids(x: np.ndarray) -> bytes:
+    """Integers as the least one and the differences from it, in as few bytes as they need."""
+    low = int(x.min())
+    gaps = (x.astype(np.int64).view(np.uint64) - np.uint64(low & 0xFFFFFFFFFFFFFFFF)).astype("<u8")
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(gaps.max()) < 1 << (8 * w))
+    return bytes([width]) + low.to_bytes(8, "little", signed=True) + gaps.astype(f"<u{width}").tobytes()
 
 
-def _windows(t: pa.Table) -> tuple[Windows, list, list[bytes], pa.Table]:
-    t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")])) if t.num_rows else t
-    ids, texts = t["doc_id"].to_pylist(), [shared.utf8(x) for x in t["text"].to_pylist()]
-    return Windows(ids, texts), ids, texts, t
+def _unpack_ids(blob: bytes) -> np.ndarray:
+    return np.frombuffer(blob, f"<u{blob[0]}", offset=9).astype(np.uint64).view(np.int64) + np.int64(int.from_bytes(blob[1:9], "little", signed=True))
 
 
-def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
+def _bits(blob: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(blob, np.uint8))[:n].astype(bool)
 
 
-_REPS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("reps", pa.binary()), ("several", pa.binary())])
-_BACK = pa.schema([("block", pa.int64()), ("kind", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
-_PRINTS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("reps", pa.binary()), ("counts", pa.binary()), ("prints", pa.binary()), ("docs", pa.binary())])
-_RUNS = pa.schema([("bucket", pa.int64()), ("reps", pa.binary()), ("counts", pa.binary()), ("prints", pa.binary())])
+class Block:
+    """The windows of a block's documents, in order of document and place, and how they are filed."""
 
+    def __init__(self, t: pa.Table, key: bytes, buckets: int):
+        self.rows = t = t.take(pc.sort_indices(t, [("doc_id", "ascending"), ("text", "ascending")]))
+        self.buckets, self.number = buckets, t["block"][0].as_py()
+        self.ids, self.texts = t["doc_id"].to_pylist(), [shared.utf8(x) for x in t["text"].to_pylist()]
+        self._a, self._b, self.n_words = word_hashes(key, self.texts)
+        self.first = np.cumsum(self.n_words) - self.n_words
+        n = np.where([i is not None for i in self.ids], np.maximum(self.n_words - WINDOW + 1, 0), 0)
+        self.start = np.arange(n.sum()) + np.repeat(self.first - (np.cumsum(n) - n), n)
+        self.doc = np.repeat(np.array([i or 0 for i in self.ids], np.int64), n)
+        least = polynomial(self._a, SPAN, _SPAN_BASE)
+        for k in (1, 2, 4):  # the minimum of 8 spans by doubling
+            least = np.minimum(least[:-k], least[k:])
+        # Minima crowd at small hashes; mixed again they fill all buckets evenly.
+        every = mix(least[self.start]) >> np.uint64(16) if n.sum() else np.empty(0, np.uint64)
+        order = np.argsort(every, kind="stable")
+        at = np.array([a for a, _ in _cuts(every[order])], np.int64)
+        last = np.append(at[1:], len(order))[: len(at)] - 1
+        self.rep = every[order[at]]
+        self.of_rep = np.empty(len(order), np.int64)  # of each window: the place of its representative
+        self.of_rep[order] = np.repeat(np.arange(len(at)), last - at + 1)
+        self.several = self.doc[order[at]] != self.doc[order[last]]  # two of the block's documents have it
+        self.rep_bucket = ranges(self.rep, 48, buckets)
+
+    def emit_reps(self) -> list[tuple]:
+        return [(int(self.rep_bucket[a]), self.number, _pack6(self.rep[a:b]), np.packbits(self.several[a:b]).tobytes()) for a, b in _cuts(self.rep_bucket)]
+
+    def prints(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(fingerprint, bucket) of some windows."""
+        b = polynomial(self._b, WINDOW, _BUCKET_BASE)
+        at = self.start[windows]
+        return polynomial(self._a, WINDOW, _PRINT_BASE)[at], ranges(b[at], 64, self.buckets)
+
+    def answered(self, back: pa.Table, kind: int, buckets: np.ndarray) -> np.ndarray:
+        """Bits that came back for entries sorted by bucket; a bucket without an answer says no."""
+        bits = {b: d for k, b, d in zip(back["kind"].to_pylist(), back["bucket"].to_pylist(), back["data"].to_pylist()) if k == kind}
+        out = np.zeros(len(buckets), bool)
+        for a, b in _cuts(buckets):
+            if (blob := bits.get(int(buckets[a]))) is not None:
+                out[a:b] = _bits(blob, b - a)
+        return out
 
-def _sql(schema: pa.Schema) -> str:
-    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
 
+class Candidates:
+    """A block's candidate windows: distinct fingerprints, sorted by bucket, with the smallest doc_id of each."""
 
-def _emit_reps(buckets: int, t: pa.Table) -> pa.Table:
-    """Step 1 in a block: its distinct representatives, and whether two of its documents have each."""
-    w, *_ = _windows(t)
-    order = np.lexsort((w.doc, w.rep))
-    rep, doc = w.rep[order], w.doc[order]
-    new = np.concatenate(([True], rep[1:] != rep[:-1])) if len(rep) else np.empty(0, bool)
-    at = np.flatnonzero(new)
-    last = np.append(at[1:], len(rep)) - 1
-    rep, several = rep[at], doc[at] != doc[last] if len(at) else np.empty(0, bool)
-    cuts, block = _by_bucket(rep, buckets), t["block"][0].as_py()
-    return _table(_REPS, [(k, block, rep[a:b].tobytes(), np.packbits(several[a:b]).tobytes()) for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
-
-
-def _share_reps(reps: pa.Table, runs: pa.Table) -> pa.Table:
-    """Step 1 in a bucket: for each block, its representatives that occur in a run or in two documents."""
-    if not reps.num_rows:
-        return _table(_BACK, [])
-    bucket, blocks = reps["bucket"][0].as_py(), reps["block"].to_pylist()
-    each = [np.frombuffer(x, "<u8") for x in reps["reps"].to_pylist()]
-    flags = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(e)].astype(bool) for x, e in zip(reps["several"].to_pylist(), each)]
-    every = np.sort(np.concatenate(each))
-    twice = np.unique(every[1:][every[1:] == every[:-1]])
-    old = np.unique(_u8(runs["reps"].to_pylist()))
-    out = []
-    for block, rep, several in zip(blocks, each, flags):
-        if len(hit := rep[several | _is_in(rep, twice) | _is_in(rep, old)]):
-            out.append((block, 0, bucket, hit.tobytes()))
-    return _table(_BACK, out)
+    def __init__(self, block: Block, back: pa.Table):
+        hit = block.answered(back, 0, block.rep_bucket)
+        self.windows = np.flatnonzero(hit[block.of_rep])
+        fp, bucket = block.prints(self.windows)
+        order = np.lexsort((fp, bucket))  # stable, so documents stay in order
+        fp, bucket = fp[order], bucket[order]
+        new = np.concatenate(([True], (fp[1:] != fp[:-1]) | (bucket[1:] != bucket[:-1]))) if len(fp) else np.empty(0, bool)
+        self.windows, self.group = self.windows[order], np.cumsum(new) - 1
+        self.fp, self.bucket, self.doc = fp[new], bucket[new], block.doc[self.windows][new]
 
 
-class Candidates:
-    """A block's candidate windows: distinct (representative, fingerprint), sorted, with the smallest doc_id."""
+_REPS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("reps", pa.binary()), ("several", pa.binary())])
+_BACK = pa.schema([("block", pa.int64()), ("kind", pa.int64()), ("bucket", pa.int64()), ("data", pa.binary())])
+_PRINTS = pa.schema([("bucket", pa.int64()), ("block", pa.int64()), ("prints", pa.binary()), ("docs", pa.binary())])
+_RUNS = pa.schema([("bucket", pa.int64()), ("reps", pa.binary()), ("prints", pa.binary())])
+
+
+def _table(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*rows)) or [[]] * len(schema), schema)], schema=schema)
+
 
-    def __init__(self, w: Windows, back: pa.Table):
-        hits = np.sort(_u8([d for k, d in zip(back["kind"].to_pylist(), back["data"].to_pylist()) if k == 0]))
-        self.at = np.flatnonzero(_is_in(w.rep, hits))
-        rep, fp, doc = w.rep[self.at], w.print[self.at], w.doc[self.at]
-        self.order = np.lexsort((doc, fp, rep))
-        rep, fp, doc = rep[self.order], fp[self.order], doc[self.order]
-        new = np.concatenate(([True], (rep[1:] != rep[:-1]) | (fp[1:] != fp[:-1]))) if len(rep) else np.empty(0, bool)
-        self.group = np.cumsum(new) - 1
-        first = np.flatnonzero(new)
-        self.rep, self.print, self.doc = rep[first], fp[first], doc[first]
+def _sql(schema: pa.Schema) -> str:
+    return ", ".join(f"{f.name} {'long' if f.type == pa.int64() else 'binary'}" for f in schema)
 
 
-def _folded(rep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.flatnonzero(np.concatenate(([True], rep[1:] != rep[:-1]))) if len(rep) else np.empty(0, np.int64)
-    return rep[at], np.diff(np.append(at, len(rep))).astype("<u4")
+def _emit_reps(key: bytes, buckets: int, docs: pa.Table) -> pa.Table:
+    """Step 1 in a block: its distinct representatives, and whether two of its documents have each."""
+    return _table(_REPS, Block(docs, key, buckets).emit_reps())
 
 
-def _emit_prints(buckets: int, docs: pa.Table, back: pa.Table) -> pa.Table:
+def _share_reps(new: pa.Table, runs: pa.Table) -> pa.Table:
+    """Step 1 in a bucket: a bit for each representative of each block, set if a run or two documents have it."""
+    if not new.num_rows:
+        return _table(_BACK, [])
+    each = [_unpack6(x) for x in new["reps"].to_pylist()]
+    several = [_bits(x, len(e)) for x, e in zip(new["several"].to_pylist(), each)]
+    every = np.sort(np.concatenate(each), kind="stable")
+    twice = every[1:][every[1:] == every[:-1]]
+    old = [_unpack6(x) for x in runs["reps"].to_pylist()]
+    rows = []
+    for block, bucket, rep, hit in zip(new["block"].to_pylist(), new["bucket"].to_pylist(), each, several):
+        hit = hit | _is_in(rep, twice)
+        for run in old:
+            hit |= _is_in(rep, run)
+        if hit.any():
+            rows.append((block, 0, bucket, np.packbits(hit).tobytes()))
+    return _table(_BACK, rows)
+
+
+def _emit_prints(key: bytes, buckets: int, docs: pa.Table, back: pa.Table) -> pa.Table:
     """Step 2 in a block: fingerprints of its candidate windows."""
     if not docs.num_rows or not back.num_rows:
         return _table(_PRINTS, [])
-    w, *_ = _windows(docs)
-    c = Candidates(w, back)
-    cuts, block, out = _by_bucket(c.rep, buckets), docs["block"][0].as_py(), []
-    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if b > a:
-            rep, counts = _folded(c.rep[a:b])
-            out.append((k, block, rep.tobytes(), counts.tobytes(), _pack(c.print[a:b]), c.doc[a:b].astype("<i8").tobytes()))
-    return _table(_PRINTS, out)
-
-
-def _unfolded(rows: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Representatives and fingerprints one by one, and how many each row has."""
-    reps, prints, n = [], [], []
-    for r, c, p in zip(rows["reps"].to_pylist(), rows["counts"].to_pylist(), rows["prints"].to_pylist()):
-        reps.append(np.repeat(np.frombuffer(r, "<u8"), np.frombuffer(c, "<u4")))
-        prints.append(_unpack(p))
-        n.append(len(prints[-1]))
-    return (np.concatenate(reps), np.concatenate(prints), np.array(n)) if n else (np.empty(0, np.uint64), np.empty(0, np.uint64), np.array([], np.int64))
+    block = Block(docs, key, buckets)
+    c = Candidates(block, back)
+    return _table(_PRINTS, [(int(c.bucket[a]), block.number, c.fp[a:b].astype("<u8").tobytes(), _pack_ids(c.doc[a:b])) for a, b in _cuts(c.bucket)])
 
 
 def _own_prints(new: pa.Table, runs: pa.Table) -> pa.Table:
-    """Step 2 in a bucket: a bit for each candidate of each block, set if the block has the window's owner."""
+    """Step 2 in a bucket: a bit for each candidate of each block, set if its document owns the window."""
     if not new.num_rows:
         return _table(_BACK, [])
-    rep, fp, n = _unfolded(new)
-    doc = np.concatenate([np.frombuffer(x, "<i8") for x in new["docs"].to_pylist()])
-    old_rep, old_fp, _ = _unfolded(runs)
-    # Entries of runs come first in their group: no doc_id is needed to know that they are older.
-    both_rep, both_fp = np.concatenate((old_rep, rep)), np.concatenate((old_fp, fp))
-    age = np.concatenate((np.zeros(len(old_rep), np.int8), np.ones(len(rep), np.int8)))
-    order = np.lexsort((np.concatenate((np.zeros(len(old_rep), np.int64), doc)), age, both_fp, both_rep))
-    r, f = both_rep[order], both_fp[order]
-    first = order[np.concatenate(([True], (r[1:] != r[:-1]) | (f[1:] != f[:-1])))]
-    owner = np.zeros(len(both_rep), bool)
-    owner[first] = True
-    owner = owner[len(old_rep) :]
-    bucket, ends = new["bucket"][0].as_py(), np.cumsum(n)
-    return _table(_BACK, [(b, 1, bucket, np.packbits(owner[e - k : e]).tobytes()) for b, e, k in zip(new["block"].to_pylist(), ends, n)])
-
-
-def _removed(buckets: int, w: Windows, back: pa.Table) -> np.ndarray:
-    """Step 3: which windows have an owner elsewhere."""
-    gone = np.zeros(len(w.rep), bool)
-    c = Candidates(w, back)
-    if len(c.rep):
-        bits = {b: d for k, b, d in zip(back["kind"].to_pylist(), back["bucket"].to_pylist(), back["data"].to_pylist()) if k == 1}
-        cuts, owner = _by_bucket(c.rep, buckets), np.zeros(len(c.rep), bool)
-        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-            if b > a:
-                owner[a:b] = np.unpackbits(np.frombuffer(bits[k], np.uint8))[: b - a].astype(bool)
-        at = c.at[c.order]
-        gone[at] = ~owner[c.group] | (w.doc[at] > c.doc[c.group])
-    return gone
-
-
-def _apply(buckets: int, digest: bool, add: bool, names: list[str], docs: pa.Table, back: pa.Table) -> pa.Table:
+    each = [_u8(x) for x in new["prints"].to_pylist()]
+    fp, doc = np.concatenate(each), np.concatenate([_unpack_ids(x) for x in new["docs"].to_pylist()])
+    order = np.lexsort((doc, fp))
+    first = np.array([a for a, _ in _cuts(fp[order])])
+    group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(fp))))
+    distinct, least = fp[order[first]], doc[order[first]]
+    free = np.ones(len(distinct), bool)
+    for run in runs["prints"].to_pylist():  # what a run has is older than the batch
+        free &= ~_is_in(distinct, _u8(run))
+    owner = np.empty(len(fp), bool)
+    owner[order] = free[group] & (doc[order] == least[group])
+    ends = np.cumsum([len(x) for x in each])
+    return _table(_BACK, [(block, 1, bucket, np.packbits(owner[e - len(x) : e]).tobytes()) for block, bucket, x, e in zip(new["block"].to_pylist(), new["bucket"].to_pylist(), each, ends)])
+
+
+def _apply(key: bytes, buckets: int, digest: bool, add: bool, names: list[str], docs: pa.Table, back: pa.Table) -> pa.Table:
     """Step 3 in a block, a row for each document; step 4 (if add), a row for each bucket with windows it owns."""
     if not docs.num_rows:
         return _joined([], [], [], [], names, docs, _table(_RUNS, []))
-    w, ids, texts, docs = _windows(docs)
-    gone = _removed(buckets, w, back)
-    change = np.zeros(int(w.n_words.sum()) + 1, np.int64)
-    np.add.at(change, w.start[gone], 1)
-    np.add.at(change, w.start[gone] + WINDOW, -1)
+    block = Block(docs, key, buckets)
+    c = Candidates(block, back)
+    gone = np.zeros(len(block.start), bool)
+    gone[c.windows] = ~block.answered(back, 1, c.bucket)[c.group] | (block.doc[c.windows] > c.doc[c.group])
+    change = np.zeros(int(block.n_words.sum()) + 1, np.int64)
+    np.add.at(change, block.start[gone], 1)
+    np.add.at(change, block.start[gone] + WINDOW, -1)
     covered = np.cumsum(change)[:-1] > 0
     n_removed, kept = [], []
-    for data, first, n, text in zip(texts, w.first.tolist(), w.n_words.tolist(), docs["text"].to_pylist()):
+    for data, first, n, text in zip(block.texts, block.first.tolist(), block.n_words.tolist(), block.rows["text"].to_pylist()):
         out = covered[first : first + n]
         n_removed.append(int(out.sum()))
-        if digest:
-            words = data.split()
-            kept.append(shared.sha(b" ".join([x for x, o in zip(words, out.tolist()) if not o] if n_removed[-1] else words)))
-        else:
-            kept.append(b" ".join(x for x, o in zip(data.split(), out.tolist()) if not o).decode() if n_removed[-1] else text)
-    run = _run_rows(w.rep[~gone], w.print[~gone], buckets) if add else _table(_RUNS, [])
-    return _joined(ids, w.n_words.tolist(), n_removed, kept, names, docs, run)
+        left = b" ".join(w for w, o in zip(data.split(), out.tolist()) if not o) if n_removed[-1] else b" ".join(data.split()) if digest else None
+        kept.append(shared.sha(left) if digest else left.decode() if left is not None else text)
+    run = _run_rows(block, ~gone) if add else _table(_RUNS, [])
+    return _joined(block.ids, block.n_words.tolist(), n_removed, kept, names, block.rows, run)
+
+
+def _run_rows(block: Block, own: np.ndarray) -> pa.Table:
+    """Representatives and fingerprints of the windows that a block owns."""
+    fp, bucket = block.prints(np.flatnonzero(own))
+    order = np.lexsort((fp, bucket))
+    fp, bucket = fp[order], bucket[order]
+    prints = {int(bucket[a]): _merged([fp[a:b]]).astype("<u8").tobytes() for a, b in _cuts(bucket)}
+    mine = np.zeros(len(block.rep), bool)
+    mine[block.of_rep[own]] = True
+    rep, at = block.rep[mine], block.rep_bucket[mine]
+    reps = {int(at[a]): _pack6(rep[a:b]) for a, b in _cuts(at)}
+    return _table(_RUNS, [(k, reps.get(k), prints.get(k)) for k in sorted({*reps, *prints})])
 
 
 def _joined(ids: list, n_words: list, n_removed: list, kept: list, names: list[str], docs: pa.Table, run: pa.Table) -> pa.Table:
-    """Rows of documents (bucket is null), then rows of the run (the columns of documents are null)."""
+    """Rows of documents (part 0), then rows of the run (part 1; the columns of documents are null)."""
     n, m = len(ids), run.num_rows
     out = {k: pa.array([*v, *[None] * m], t) for k, v, t in (("doc_id", ids, pa.int64()), ("n_words", n_words, pa.int64()), ("n_removed", n_removed, pa.int64()), ("kept", kept, pa.string()))}
     out |= {f.name: pa.array([*[None] * n, *run[f.name].to_pylist()], f.type) for f in _RUNS}
     out |= {c: pa.concat_arrays([*docs[c].chunks, pa.nulls(m, docs[c].type)]) for c in names}
-    return pa.table(out)
-
-
-def _run_rows(rep: np.ndarray, fp: np.ndarray, buckets: int, only: int | None = None) -> pa.Table:
-    order = np.lexsort((fp, rep))
-    rep, fp = rep[order], fp[order]
-    if len(rep):
-        new = np.concatenate(([True], (rep[1:] != rep[:-1]) | (fp[1:] != fp[:-1])))
-        rep, fp = rep[new], fp[new]
-    if only is not None:
-        r, c = _folded(rep)
-        return _table(_RUNS, [(only, r.tobytes(), c.tobytes(), _pack(fp))])
-    cuts, out = _by_bucket(rep, buckets), []
-    for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-        if b > a:
-            r, c = _folded(rep[a:b])
-            out.append((k, r.tobytes(), c.tobytes(), _pack(fp[a:b])))
-    return _table(_RUNS, out)
+    return pa.table(out | {"part": pa.array([0] * n + [1] * m, pa.int32())})
 
 
 def _merge_runs(rows: pa.Table) -> pa.Table:
-    rep, fp, _ = _unfolded(rows)
-    return _run_rows(rep, fp, 0, rows["bucket"][0].as_py())
+    """One bucket's rows of several runs, or of several blocks of a batch, as one."""
+    reps, prints = _merged([_unpack6(x) for x in rows["reps"].to_pylist()]), _merged([_u8(x) for x in rows["prints"].to_pylist()])
+    return _table(_RUNS, [(rows["bucket"][0].as_py(), _pack6(reps), prints.astype("<u8").tobytes())])
 
 
 class Index:
-    """Runs of window fingerprints in the shared folder. buckets: how many ranges of representatives.
+    """Sorted runs of window fingerprints in a folder, and the manifest that names them.
 
-    In a run each block of the batch has a row in each bucket, sorted arrays both; compaction leaves a row a
-    bucket.
+    The manifest is a table to which each change appends a version: a row for each run there is then. What it
+    doesn't name was never finished, and is not read.
     """
 
-    def __init__(self, spark: SparkSession, buckets: int):
-        self.spark, self.buckets, self.runs = spark, buckets, []
+    _MANIFEST = "version long, buckets long, key string, level int, run string"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int, key: bytes, version: int, runs: list[tuple[int, str]]):
+        self.spark, self.path, self.buckets, self.key, self.version, self.runs = spark, path, buckets, key, version, runs
+
+    @classmethod
+    def create(cls, spark: SparkSession, buckets: int, path: str | None = None) -> Index:
+        """An empty index; buckets: how many ranges of hashes, about one for each BUCKET_BYTES that are to come."""
+        new = cls(spark, path or shared.table_path(spark, "op3-index"), buckets, secrets.token_bytes(16), 0, [])
+        new._commit([])
+        return new
 
-    def read(self) -> DataFrame:
-        if not self.runs:
-            return self.spark.createDataFrame([], _RUN)
-        return self.spark.read.schema(_RUN).parquet(*self.runs).filter("bucket is not null")
+    @classmethod
+    def open(cls, spark: SparkSession, path: str) -> Index:
+        rows = spark.read.schema(cls._MANIFEST).parquet(f"{path}/manifest")
+        now = rows.join(rows.agg(F.max("version").alias("version")), "version").collect()  # a row for each run
+        return cls(spark, path, now[0].buckets, bytes.fromhex(now[0].key), now[0].version, sorted((r.level, r.run) for r in now if r.run is not None))
 
-    def add(self, path: str) -> None:
-        """Take the run that a batch has written, and merge the runs if there are too many."""
-        self.runs.append(path)
-        if len(self.runs) > MAX_RUNS:
-            self.compact()
+    def _commit(self, runs: list[tuple[int, str]]) -> None:
+        self.version += 1
+        rows = [(self.version, self.buckets, self.key.hex(), level, run) for level, run in runs or [(None, None)]]
+        self.spark.createDataFrame(rows, self._MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.path}/manifest")
+        self.runs = runs
 
-    def compact(self) -> None:
-        """Merge all runs into one. The old files stay: batches' rows are in them too."""
-        path = shared.table_path(self.spark, "op3-run")
+    def _folder(self, run: str) -> str:
+        return f"{self.path}/{run}"
+
+    def read(self, runs: list[str] | None = None) -> DataFrame:
+        names = [r for _, r in self.runs] if runs is None else runs
+        if not names:
+            return self.spark.createDataFrame([], _sql(_RUNS))
+        return self.spark.read.schema(_sql(_RUNS)).parquet(*map(self._folder, names))
+
+    def _write_run(self, rows: DataFrame, name: str) -> None:
         # Packed hashes hardly shrink, so no time goes into compressing them.
-        self.read().groupBy("bucket").applyInArrow(shared.lean_group(_merge_runs), _RUN).sortWithinPartitions("bucket").write.option("compression", "none").parquet(path)
-        self.runs = [path]
+        with shared.transient_shuffles(self.spark):
+            rows.groupBy("bucket").applyInArrow(shared.lean_group(_merge_runs), _sql(_RUNS)).write.mode("overwrite").option("compression", "none").parquet(self._folder(name))
+
+    def add(self, rows: DataFrame) -> None:
+        """Make a batch's rows a run of level 0; then merge levels that have FAN_OUT runs."""
+        name = f"run-{self.version + 1}"
+        self._write_run(rows, name)
+        self._commit([*self.runs, (0, name)])
+        while full := [k for k in {k for k, _ in self.runs} if sum(k == x for x, _ in self.runs) >= FAN_OUT]:
+            self.compact(min(full))
+
+    def compact(self, level: int) -> None:
+        """Merge all runs of a level into one of the next, then free the space of the old ones."""
+        old, name = [r for k, r in self.runs if k == level], f"run-{self.version + 1}"
+        self._write_run(self.read(old), name)
+        self._commit([*(x for x in self.runs if x[0] != level), (level + 1, name)])
+        shared.emptied(self.spark, *map(self._folder, old))
+
+    def drop(self) -> None:
+        """Free the space of all runs; the index is then empty."""
+        old = [r for _, r in self.runs]
+        self._commit([])
+        shared.emptied(self.spark, *map(self._folder, old))
 
 
 def dedup_batch(batch: DataFrame, index: Index, blocks: int, digest: bool = False, add: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept (text or its SHA-256) and the columns of the batch as c_<position>.
 
-    The batch is written to the shared folder, with its run for the index if add is set.
+    The rows are written to the shared folder. With add the batch's windows become a run of the index.
     """
-    n, carried = index.buckets, {} if digest else {f"c_{k}": (c, t) for k, (c, t) in enumerate(batch.dtypes) if c != "text"}
+    spark, n, key = batch.sparkSession, index.buckets, index.key
+    carried = {} if digest else {f"c_{k}": (c, t) for k, (c, t) in enumerate(batch.dtypes) if c != "text"}
     more, names = [F.col(f"`{c}`").alias(k) for k, (c, _) in carried.items()], list(carried)
     docs = batch.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    docs = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
     dealt, runs = docs.groupBy("block"), index.read()
-    reps = dealt.applyInArrow(shared.lean_group(lambda t: _emit_reps(n, t)), _sql(_REPS))
+    reps = dealt.applyInArrow(shared.lean_group(lambda t: _emit_reps(key, n, t)), _sql(_REPS))
     back = reps.groupBy("bucket").cogroup(runs.select("bucket", "reps").groupBy("bucket")).applyInArrow(shared.lean_group(_share_reps), _sql(_BACK))
-    prints = dealt.cogroup(back.groupBy("block")).applyInArrow(shared.lean_group(lambda a, b: _emit_prints(n, a, b)), _sql(_PRINTS))
-    owners = prints.groupBy("bucket").cogroup(runs.groupBy("bucket")).applyInArrow(shared.lean_group(_own_prints), _sql(_BACK))
+    prints = dealt.cogroup(back.groupBy("block")).applyInArrow(shared.lean_group(lambda a, b: _emit_prints(key, n, a, b)), _sql(_PRINTS))
+    owners = prints.groupBy("bucket").cogroup(runs.select("bucket", "prints").groupBy("bucket")).applyInArrow(shared.lean_group(_own_prints), _sql(_BACK))
     answers = back.unionByName(owners).groupBy("block")
-    rows = "doc_id long, n_words long, n_removed long, kept string"
-    schema = f"{rows}, {_RUN}" + "".join(f", {k} {t}" for k, (_, t) in carried.items())
-    out = dealt.cogroup(answers).applyInArrow(shared.lean_group(lambda a, b: _apply(n, digest, add, names, a, b)), schema)
-    path = shared.table_path(batch.sparkSession, "op3-batch")
-    out.coalesce(shared.parts(blocks, BLOCKS_PER_FILE)).write.option("compression", "zstd").parquet(path)
+    schema = f"doc_id long, n_words long, n_removed long, kept string, {_sql(_RUNS)}" + "".join(f", {k} {t}" for k, (_, t) in carried.items()) + ", part int"
+    out = dealt.cogroup(answers).applyInArrow(shared.lean_group(lambda a, b: _apply(key, n, digest, add, names, a, b)), schema)
+    path = shared.table_path(spark, "op3-batch")
+    with shared.transient_shuffles(spark):
+        out.write.partitionBy("part").option("compression", "zstd").parquet(path)
     if add:
-        index.add(path)
-    return batch.sparkSession.read.schema(schema).parquet(path).filter("bucket is null").drop("bucket", "reps", "counts", "prints")
-
+        index.add(spark.read.schema(schema).parquet(path).filter("part = 1").select("bucket", "reps", "prints"))
+        shared.emptied(spark, f"{path}/part=1")
+    return spark.read.schema(schema).parquet(path).filter("part = 0").drop("bucket", "reps", "prints", "part")
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of queries that nothing refers to any more."""
-    for _ in range(2):  # Python lets go of the plans, then the JVM of the shuffles
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(0.5)
 
+def dedup(docs: DataFrame, batches: int = BATCHES, digest: bool = False, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, index: Index | None = None) -> DataFrame:
+    """All of docs in batches of rising doc_id, as dedup_batch gives it.
 
-def dedup(docs: DataFrame, batches: int = BATCHES, digest: bool = False, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
-    """All of docs in batches of rising doc_id, as dedup_batch gives it. The last batch isn't indexed."""
+    With an index, docs are newer than what it holds, and all of them are added. Without one, a temporary one is
+    made, to which the last batch isn't added, as nothing follows it.
+    """
     spark = docs.sparkSession
-    shared.small_batches(spark)
     size = shared.text_bytes(docs)
-    index = Index(spark, shared.parts(size, bucket_bytes))
+    own = index or Index.create(spark, shared.parts(size, bucket_bytes))
     i = F.col("doc_id").cast("long")
-    cuts = sorted(set(docs.select(i.alias("doc_id")).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.001))) if batches > 1 else []
-    done = []
+    shares = [0.5 ** (batches - k) for k in range(1, batches)]
+    cuts = sorted({int(x) for x in docs.select(i.alias("doc_id")).approxQuantile("doc_id", shares, 0.001)}) if shares else []
+    out = None
     for k in range(len(cuts) + 1):
-        part = docs.filter((i >= int(cuts[k - 1]) if k else F.lit(True)) & (i < int(cuts[k]) if k < len(cuts) else F.lit(True)) if cuts else F.lit(True))
-        part = part if k else docs.filter((i < int(cuts[0])) | i.isNull()) if cuts else docs
-        done.append(dedup_batch(part, index, shared.parts(size // (len(cuts) + 1), block_bytes), digest, add=k < len(cuts)))
-        del part
-        _release(spark)
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
+        above = i >= cuts[k - 1] if k else F.lit(True)
+        below = i < cuts[k] if k < len(cuts) else F.lit(True)
+        part = docs.filter(above & below) if k else docs.filter(below | i.isNull())
+        blocks = shared.parts(int(size * (shares[0] if k == 0 else 0.5 ** (len(cuts) - k + 1)) if cuts else size), block_bytes)
+        done = dedup_batch(part, own, blocks, digest, add=index is not None or k < len(cuts))
+        out = done if out is None else out.unionByName(done)
+    if index is None:
+        own.drop()
     return out
 
 
 def clean(docs: DataFrame, **options) -> DataFrame:
     """docs without repeated passages; a changed text is its kept words joined by one space, n_chars follows."""
-    out = dedup(docs, **options)
-    text = F.col("kept")
-    value = {"text": text, "n_chars": F.when(F.col("n_removed") > 0, F.char_length(text).cast("long")).otherwise(F.col(f"c_{docs.columns.index('n_chars')}").cast("long")) if "n_chars" in docs.columns else None}
-    return out.select(*(value.get(c, F.col(f"c_{k}")).alias(c) if c == "text" else (value["n_chars"].cast(docs.schema[c].dataType) if c == "n_chars" else F.col(f"c_{k}")).alias(c) for k, c in enumerate(docs.columns)))
+    out, columns = dedup(docs, **options), []
+    for k, (c, kind) in enumerate(docs.dtypes):
+        if c == "text":
+            column = F.col("kept").cast(kind)
+        elif c == "n_chars":
+            column = F.when(F.col("n_removed") > 0, F.char_length("kept").cast(kind)).otherwise(F.col(f"c_{k}"))
+        else:
+            column = F.col(f"c_{k}")
+        columns.append(column.alias(c))
+    return out.select(*columns)

@@ -150,7 +150,6 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     carry: also return the columns of docs, each as c_<position>.
     """
     spark = docs.sparkSession
-    shared.small_batches(spark)
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
     blocks = shared.parts(shared.text_bytes(bench), block_bytes)
     more = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(docs.columns)] if carry else []

@@ -193,7 +193,6 @@ def _decode(broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 
 def _shipped(df: DataFrame, vocabulary: Vocabulary):
-    shared.small_batches(df.sparkSession)
     return df.sparkSession.sparkContext.broadcast(vocabulary)
 
 

@@ -143,7 +143,6 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_s
     carry: also return the columns of docs, each as c_<position>.
     """
     spark = docs.sparkSession
-    shared.small_batches(spark)
     frequent = shared.written(frequent_lines(docs, host, min_docs, max_share), "op6-lines")
     slim = [F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")]
     more = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(docs.columns)] if carry else []

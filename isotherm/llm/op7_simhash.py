@@ -64,7 +64,6 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame, carry: bool = False) -> DataFrame:
     """(doc_id, fp) of each row; carry: also the columns of docs, each as c_<position>."""
-    shared.small_batches(docs.sparkSession)
     more = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(docs.columns)] if carry else []
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
     return slim.mapInArrow(shared.lean(_fingerprints), "doc_id long, fp long" + "".join(f", c_{k} {t}" for k, (_, t) in enumerate(docs.dtypes) if carry))

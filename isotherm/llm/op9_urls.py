@@ -170,7 +170,7 @@ def build_cascades(universe: DataFrame, n_lists: int, max_bytes: int = MAX_FILTE
         for n in going:
             cascades[n].levels.append(shapes[n])
         if not level and going:
-            rows = shared.written(universe.mapInArrow(lambda it, c=cascades: _suspects(c, it), "key string, mask long"), "op9-suspects")
+            rows = shared.written(universe.mapInArrow(shared.lean(lambda it, c=cascades: _suspects(c, it)), "key string, mask long"), "op9-suspects")
         level += 1
     return cascades
 
@@ -197,7 +197,7 @@ def _judge(sent, rules: tuple[int, ...], hosts: tuple[int, ...], default: str, b
 
 def _marked(spark: SparkSession, slim: DataFrame, lists: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """(key, mask) of the universe. It is written in about as many files as the pages are read in."""
-    keys = slim.mapInArrow(lambda it: _candidate_rows(lengths, it), "key string").distinct()
+    keys = slim.mapInArrow(shared.lean(lambda it: _candidate_rows(lengths, it)), "key string").distinct()
     out = keys.join(lists, "key", "left").select("key", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"))
     return shared.written(out.coalesce(max(1, slim.rdd.getNumPartitions())), "op9-universe")
 
@@ -208,7 +208,6 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str =
     rules: (key, verdict), key being host + beginning of path; listed: (key) that block where no rule fits.
     """
     spark = pages.sparkSession
-    shared.small_batches(spark)
     slim = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
     # Bits of mask: 0 allows, 1 blocks, 2 listed.
     every = rules.select("key", F.when(F.col("verdict") == "block", 2).otherwise(1).alias("mask")).unionByName(listed.select("key", F.lit(4).alias("mask")))
@@ -222,7 +221,7 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str =
     cascades = build_cascades(universe, 3, max_bytes)
     if cascades is not None:
         sent = spark.sparkContext.broadcast(tuple(cascades))
-        return slim.mapInArrow(lambda it: _judge(sent, lengths, own, default, it), "page_id long, host string, path string, rule string, verdict string")
+        return slim.mapInArrow(shared.lean(lambda it: _judge(sent, lengths, own, default, it)), "page_id long, host string, path string, rule string, verdict string")
     marks = lists.select("key", F.when(F.col("mask").bitwiseAND(2) > 0, "block").when(F.col("mask").bitwiseAND(1) > 0, "allow").alias("verdict"), (F.col("mask") >= 4).alias("in_list"))
     return _judge_by_join(slim, marks.filter("verdict is not null"), marks.filter("in_list").select("key"), lengths, own, default)
 
@@ -239,7 +238,7 @@ def _explode(lengths: tuple[int, ...], own: tuple[int, ...], batches: Iterator[p
 
 def _judge_by_join(slim: DataFrame, rules: DataFrame, listed: DataFrame, lengths, own, default: str) -> DataFrame:
     """The same verdicts by joins, for lists whose filters are too large to broadcast."""
-    keys = slim.select("url").distinct().mapInArrow(lambda it: _explode(lengths, own, it), "url string, host string, path string, kind string, key string").distinct()
+    keys = slim.select("url").distinct().mapInArrow(shared.lean(lambda it: _explode(lengths, own, it)), "url string, host string, path string, kind string, key string").distinct()
     every = rules.select("key", "verdict", F.lit("rule").alias("kind")).unionByName(listed.select("key", F.lit("block").alias("verdict"), F.lit("listed").alias("kind")))
     hit = keys.join(every, ["kind", "key"], "left")
     # In the order of candidates(): the longest key, the smallest of equally long ones.

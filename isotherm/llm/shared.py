@@ -8,16 +8,18 @@ import hashlib
 import inspect
 import math
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
-import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that Arrow moves to a Python worker at once; texts can be long, so far below Spark's own 10,000.
-ROWS_PER_BATCH = 1000
+#: Bytes of a piece of an Arrow batch, about. Spark bounds a batch by bytes itself (64 MB, or one row); Python objects take several times that.
+PIECE_BYTES = 4 << 20
 
 #: Separators of lower-cased alphanumeric words: all ASCII but 0-9 and A-Z, a-z.
 _ALNUM = bytes(
@@ -46,17 +48,15 @@ def sha(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, unless the session has its own bound already."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) == 10_000:
-        spark.conf.set(key, ROWS_PER_BATCH)
-
-
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, where that is unset (tests), a local one."""
+    """The folder all executors share: spark.checkpoint.dir. Where that is unset, a local master (tests) gets a local one.
+
+    On a cluster without the setting it is refused: each executor would write to a disk of its own.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = "file://" + os.path.join(tempfile.gettempdir(), "isotherm-shared")
     return at.rstrip("/")
 
@@ -65,14 +65,33 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+@contextmanager
+def transient_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Queries that are run to their end in here leave no shuffle files behind; the setting is then as it was."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again. It survives lost executors."""
     spark, schema = df.sparkSession, df.schema
-    path = table_path(spark, name)
-    df.write.parquet(path)
+    path = path or table_path(spark, name)
+    with transient_shuffles(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
+def emptied(spark: SparkSession, *paths: str) -> None:
+    """Free the space of tables that nothing reads any more: each is overwritten with no rows."""
+    for path in paths:
+        spark.createDataFrame([], "gone long").coalesce(1).write.mode("overwrite").parquet(path)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Total bytes of a text column: one cheap aggregate, used to size partitions."""
     return docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
@@ -103,12 +122,20 @@ def trim() -> None:
 _loaded: dict[str, object] = {}
 
 
+def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of about PIECE_BYTES, or one row where rows are longer."""
+    for b in batches:
+        each = max(1, b.num_rows * PIECE_BYTES // max(1, b.nbytes))
+        for at in range(0, max(1, b.num_rows), each):
+            yield b.slice(at, each)
+
+
 def lean(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """A function of batches that leaves nothing behind in its worker when it is through."""
+    """A function of batches that gets small pieces, and leaves nothing behind in its worker when it is through."""
 
     def run(batches: Iterator) -> Iterator:
         try:
-            yield from f(batches)
+            yield from f(pieces(batches))
         finally:
             gc.collect()
             trim()
@@ -132,93 +159,3 @@ def lean_group(f: Callable) -> Callable:
             trim()
 
     return one if len(inspect.signature(f).parameters) == 1 else two
-
-
-# --- hashes of words, for whole buffers at once -------------------------------------------------
-
-_BASE = 0xD6E8FEB86659FD93
-_CHUNK = 1 << 20
-_MASK = (1 << 64) - 1
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.empty(n, np.uint64)
-    out[0] = 1
-    done = 1
-    while done < n:  # doubling: out[done:2*done] = out[:done] * base**done
-        step = np.uint64(pow(base, done, 1 << 64))
-        k = min(done, n - done)
-        out[done : done + k] = out[:k] * step
-        done += k
-    return out
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def _table() -> dict[str, np.ndarray]:
-    if not _tables:
-        _tables["up"] = _powers(_BASE, _CHUNK + 1)
-        _tables["down"] = _powers(pow(_BASE, -1, 1 << 64), _CHUNK + 1)
-        _tables["byte"] = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-        space = np.zeros(256, bool)
-        space[[0x20, 9, 10, 11, 12, 13]] = True
-        _tables["space"] = space
-    return _tables
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads every bit."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def word_hashes(data: bytes) -> np.ndarray:
-    """One 64-bit hash for each white-space word of data, in order.
-
-    Prefix sums of byte values times powers of an odd base give the hash of any span by one subtraction
-    and one product with the inverse power, so no Python code runs for single words. Words of 256 bytes
-    and more are hashed by xxHash, as the sums are weak for very long spans.
-    """
-    import xxhash
-
-    t, out, at, n = _table(), [], 0, len(data)
-    while at < n:
-        end = min(at + _CHUNK, n)
-        if end < n:  # cut between words, unless one word is longer than a chunk
-            cut = max(data.rfind(c, at, end) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r"))
-            if cut < 0:
-                more = [i for i in (data.find(c, end) for c in (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")) if i >= 0]
-                stop = min(more, default=n)
-                first = len(data[at:stop]) - len(data[at:stop].lstrip())
-                if first < stop - at:
-                    out.append(np.array([xxhash.xxh3_64_intdigest(data[at + first : stop])], np.uint64))
-                at = stop
-                continue
-            end = cut + 1
-        raw = np.frombuffer(data, np.uint8, end - at, at)
-        space = t["space"][raw]
-        edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True]))))
-        if len(edge):
-            starts, ends = edge[::2], edge[1::2]
-            sums = np.empty(end - at + 1, np.uint64)
-            sums[0] = 0
-            np.cumsum(t["byte"][raw] * t["up"][: end - at], out=sums[1:])
-            h = mix((sums[ends] - sums[starts]) * t["down"][starts] + (ends - starts).astype(np.uint64))
-            for i in np.flatnonzero(ends - starts >= 256):
-                h[i] = xxhash.xxh3_64_intdigest(data[at + starts[i] : at + ends[i]])
-            out.append(h)
-        at = end
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
-
-
-def window_hashes(h: np.ndarray, k: int, base: int) -> np.ndarray:
-    """Hash of every run of k values: one for each start but the last k - 1."""
-    n = len(h) - k + 1
-    if n <= 0:
-        return np.empty(0, np.uint64)
-    b, out = np.uint64(base), np.zeros(n, np.uint64)
-    for i in range(k):
-        out = out * b + h[i : n + i]
-    return mix(out)

@@ -33,25 +33,55 @@ def test_word_splits():
         assert [w.decode() for w in shared.space_words(t)] == SPACE.findall(t)
 
 
-def test_word_hashes_depend_on_words_only(monkeypatch):
+# --- op3
+
+
+def test_window_hashes_against_their_formula():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    h = rng.integers(0, 1 << 63, 40).astype(np.uint64)
+    for k in (1, 2, 6, 13, 40, 41):
+        want = [sum(int(x) * pow(7, k - 1 - j, 1 << 64) for j, x in enumerate(h[s : s + k].tolist())) % (1 << 64) for s in range(len(h) - k + 1)]
+        assert op3_substring.polynomial(h, k, 7).tolist() == op3_substring.mix(np.array(want, np.uint64)).tolist()
+    for x in (np.array([5, -3, 200]), np.array([-(1 << 63), (1 << 63) - 1, 0]), np.array([1 << 40])):
+        assert (op3_substring._unpack_ids(op3_substring._pack_ids(x)) == x).all()
+
+
+def test_word_hashes_depend_on_words_only():
     rng = random.Random(4)
-    words = [bytes(rng.choice(b"abc\xc3\xa9") for _ in range(rng.choice([1, 2, 9, 300]))) for _ in range(400)]
-    words += [b"q" * 700]
-    data = b"".join(w + rng.choice([b" ", b"\n ", b"\t\t"]) for w in words)
-    plain = shared.word_hashes(data)
-    assert len(plain) == len(words)
+    words = [bytes(rng.choice(b"abc\x00\xc3\xa9") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 24, 25, 32, 33, 300]))) for _ in range(600)]
+    words += [b"q" * 700, b"a", b"a\x00", b"a\x00\x00", b"q" * 31, b"q" * 32, b"q" * 33]
+    texts = [b"", b" \t", *(b"".join(w + rng.choice([b" ", b"\n ", b"\t\t"]) for w in words[k : k + 50]).strip() for k in range(0, len(words), 50)), b"", b"  end "]
+    a, b, n = op3_substring.word_hashes(b"key", texts)
+    assert n.tolist() == [len(t.split()) for t in texts]
     by = defaultdict(set)
-    for w, h in zip(words, plain.tolist()):
-        by[w].add(h)
-    assert all(len(x) == 1 for x in by.values()) and len({h for x in by.values() for h in x}) == len(by)
-    monkeypatch.setattr(shared, "_CHUNK", 512)
-    shared._tables.clear()
-    assert (shared.word_hashes(data) == plain).all()
-    shared._tables.clear()
-    assert len(shared.word_hashes(b"")) == len(shared.word_hashes(b" \n ")) == 0
+    for w, pair in zip([w for t in texts for w in t.split()], zip(a.tolist(), b.tolist())):
+        by[w].add(pair)
+    assert all(len(x) == 1 for x in by.values())
+    for lane in (0, 1):
+        assert len({next(iter(x))[lane] for x in by.values()}) == len(by)
+    assert (op3_substring.word_hashes(b"other", texts)[0] != a).all()
+    assert len(op3_substring.word_hashes(b"key", [])[0]) == len(op3_substring.word_hashes(b"key", [b"", b" \n "])[0]) == 0
 
 
-# --- op3
+def thue_morse(n, a, b):
+    """Words of 2**n characters whose sums of character values times powers of an odd base are equal modulo 2**64, for n = 11 at any base."""
+    bits = [k.bit_count() & 1 for k in range(1 << n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_substring_of_words_that_weak_hashes_confuse(spark):
+    from .fixtures import SCHEMA as schema
+
+    common = [f"w{k}" for k in range(12)]
+    table = []
+    for n in (7, 9, 11):
+        one, two = thue_morse(n, "a", "b")
+        assert sum(ord(x) * pow(31, k, 1 << 64) for k, x in enumerate(one)) % (1 << 64) == sum(ord(x) * pow(31, k, 1 << 64) for k, x in enumerate(two)) % (1 << 64) or n < 11
+        table += [(10 * n + k, " ".join([*common[:n], w, *common]), "en", "a", 1) for k, w in enumerate((one, two))]
+    out = op3_substring.dedup(spark.createDataFrame(table, schema), digest=True, block_bytes=500)
+    assert rows(out.select("doc_id", "n_words", "n_removed", "kept")) == brute_substring(table)
 
 
 def brute_substring(table, window=13):
@@ -82,6 +112,30 @@ def test_substring(spark, batches, block, bucket):
     assert sum(r[2] for r in got) > 100
 
 
+def test_index_opens_again_and_merges(spark):
+    table = [r for r in documents() if r[0] is not None]
+    parts = [[r for r in table if r[0] % 5 == k or k == 4 and r[0] >= 1000] for k in range(5)]
+    parts = [sorted((r[0] - 10**6 * (4 - k), *r[1:]) for r in p) for k, p in enumerate(parts)]
+    want = brute_substring([r for p in parts for r in p])
+    path = op3_substring.Index.create(spark, 3).path
+    got, levels = [], []
+    for p in parts:
+        index = op3_substring.Index.open(spark, path)  # each batch in a session of its own, as it were
+        out = op3_substring.dedup(frame(spark, p), batches=1, digest=True, block_bytes=3000, index=index)
+        got += rows(out.select("doc_id", "n_words", "n_removed", "kept"))
+        levels.append(sorted(k for k, _ in index.runs))
+        for _, run in index.runs:  # one sorted row a bucket
+            kept = index.read([run]).collect()
+            assert len({r.bucket for r in kept}) == len(kept)
+            for r in kept:
+                for x in (op3_substring._u8(r.prints), op3_substring._unpack6(r.reps)):
+                    assert (x[1:] > x[:-1]).all()
+    assert sorted(got, key=repr) == want
+    assert levels == [[0], [1], [0, 1], [2], [0, 2]]
+    again = op3_substring.dedup(frame(spark, [(5 * 10**6, table[20][1], None, None, 0)]), batches=1, index=op3_substring.Index.open(spark, path))
+    assert all(r.n_removed == r.n_words for r in again.collect() if r.n_words >= 13)
+
+
 def test_substring_texts_and_empty(spark):
     docs = frame(spark)
     out = op3_substring.clean(docs, block_bytes=5000)
