@@ -4,31 +4,43 @@
 response of the same canonical URL. The validators that both of them name (ETag, Last-Modified) must agree;
 then the headers of the response are merged with those that a 304 may update.
 
-Scale: the as-of join carries record numbers only, not payloads. Rows are windowed by (URL, slice of time),
-not by URL: the last response of each slice is carried to later slices by a second window over one row per
-slice, so a hot URL is spread over its slices. Validators and headers are fetched by an equi-join on the
-record number of the response that was found.
+Scale: the as-of join carries record numbers only, not headers or payloads. Rows are sorted by (URL, time) over
+partitions of equal numbers of rows, so a hot URL, even one with all its records in one second, is spread over as
+many partitions as it fills. Each partition is read once in order; what its first URL had before it comes from a
+table of one row a partition. Payloads are shuffled once, to the number of the response that was found.
 
 Defined cases: a null or empty URL matches nothing; a null time is before all times, and not earlier than
 another null; a response at the time of the revisit isn't earlier; among responses of equal time the one with
-the largest record_id is the latest; ids name records (repeated rows of a response are one); a revisit without
-an earlier response has outcome no_response; null headers are no headers; header names compare without case.
+the largest record_id is the latest; ids name records: of several rows of one type and id the one with the smallest
+time, then URL, then content counts, and a null id names none; a revisit without an earlier response has outcome
+no_response; null headers are no headers; header names compare without case, ETags without the mark of weak ones.
+The reader gives a row with status cut_off for a record that its file ends in, and one with status unreadable where
+a file's compression is broken; other records of the file are there.
 """
 
 from __future__ import annotations
 
+import io
 import re
+import zlib
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import shared
+
 #: Headers of a 304 that replace those of the stored response (RFC 9110, section 15.4.5).
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary", "last-modified")
 VALIDATORS = ("etag", "last-modified")
-#: Rows of one URL that share a window partition, about.
+#: Rows of a partition of the sorted records, about.
 SLICE_ROWS = 100_000
+#: Bytes of bodies in a batch of the reader, about, unless one record is larger.
+BATCH_BYTES = 8 << 20
 #: Query parameters that name no other page.
 TRACKING = "^(utm_[a-z]+|gclid|fbclid)(=|$)"
 
@@ -67,29 +79,56 @@ def merged_headers(stored, update):
     return F.array_sort(F.concat(kept, allowed))
 
 
+def _latest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of one partition, sorted: each revisit with the last response before it, then a row about the partition.
+
+    open: the revisit is of the partition's first URL, and no response of that came yet. The last row has the first
+    and the last URL, and the last response of the last URL.
+    """
+    number, first, url, carried, kind = TaskContext.get().partitionId(), None, None, None, None
+
+    def rows(n, record, response, open_, first, last):
+        return pa.RecordBatch.from_arrays([pa.array([number] * n, pa.int32()), record, response, open_, pa.array([first] * n, pa.string()), pa.array([last] * n, pa.string())], ["slice", "record_id", "response_id", "open", "first", "last"])
+
+    for b in batches:
+        if not (n := b.num_rows):
+            continue
+        urls, ids, revisit = b["url"], b["record_id"], b["is_revisit"].to_numpy(zero_copy_only=False)
+        kind, first = ids.type, urls[0].as_py() if first is None else first
+        new = np.concatenate(([urls[0].as_py() != url], pc.not_equal(urls[1:], urls[:-1]).to_numpy(zero_copy_only=False).astype(bool)))
+        at = np.arange(n)
+        begin = np.maximum.accumulate(np.where(new, at, -1))  # -1: the URL of the batch before goes on
+        last = np.maximum.accumulate(np.where(revisit, -1, at))
+        # Place 0 is what is carried over from the batch before, place k + 1 is row k.
+        place = np.where(last >= np.maximum(begin, 0), last + 1, np.where(begin < 0, 0, -1))
+        pool = pa.concat_arrays([pa.array([carried], kind), ids])
+        near = pool.take(pa.array(place, mask=place < 0))
+        of_first = pc.equal(urls, first)
+        url, carried = urls[n - 1].as_py(), near[n - 1].as_py()
+        keep = pa.array(revisit)
+        near, ids, of_first = near.filter(keep), ids.filter(keep), of_first.filter(keep)
+        yield rows(len(ids), ids, near, pc.and_(of_first, pc.is_null(near)), None, None)
+    if kind is not None:
+        yield rows(1, pa.nulls(1, kind), pa.array([carried], kind), pa.array([None], pa.bool_()), first, url)
+
+
 def latest_earlier(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """(record_id, response_id) of each revisit; records: record_id, url, time, is_revisit."""
+    """(record_id, response_id) of each revisit; records: record_id, url, time, is_revisit, one row a record."""
     slim = records.select("record_id", "url", F.coalesce(F.col("time").cast("long"), F.lit(-(1 << 62))).alias("time"), "is_revisit")
-    known = slim.filter(F.col("url").isNotNull())
-    # Slices of equal length in time, as many as the busiest URL needs; one row of statistics.
-    s = known.agg(F.min("time").alias("lo"), F.max("time").alias("hi")).first()
-    busiest = known.groupBy("url").count().agg(F.max("count")).first()[0] or 0
-    slices = max(1, -(-busiest // slice_rows))
-    low = known.filter(F.col("time") > -(1 << 62)).agg(F.min("time")).first()[0] if slices > 1 else s["lo"]
-    width = max(1, -(-(((s["hi"] or 0) - (low or 0)) + 1) // slices))
-    cut = F.greatest(F.lit(-1).cast("long"), F.floor((F.greatest("time", F.lit(low or 0)) - F.lit(low or 0)) / width)) if slices > 1 else F.lit(0)
-    cut_rows = known.withColumn("slice", cut.cast("long"))
+    known = shared.written(slim.filter("url is not null and record_id is not null"), "op8-records")
     # Revisits come before responses of the same time: those aren't earlier.
-    order = [F.col("time"), F.col("is_revisit").desc(), F.col("record_id")]
-    own = F.last(F.when(~F.col("is_revisit"), F.col("record_id")), ignorenulls=True)
-    near = cut_rows.withColumn("near", own.over(Window.partitionBy("url", "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    if slices == 1:
-        return near.filter("is_revisit").select("record_id", F.col("near").alias("response_id")).distinct()
-    ends = cut_rows.filter(~F.col("is_revisit")).groupBy("url", "slice").agg(F.max_by("record_id", F.struct("time", "record_id")).alias("end"))
-    spans = cut_rows.select("url", "slice").distinct().join(ends, ["url", "slice"], "left")
-    carried = spans.withColumn("far", F.last("end", ignorenulls=True).over(Window.partitionBy("url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))).select("url", "slice", "far")
-    found = near.filter("is_revisit").join(carried, ["url", "slice"], "left")
-    return found.select("record_id", F.coalesce("near", "far").alias("response_id")).distinct()
+    order = ["url", "time", F.col("is_revisit").desc(), "record_id"]
+    kind = dict(known.dtypes)["record_id"]
+    dealt = known.repartitionByRange(shared.parts(known.count(), slice_rows), *order).sortWithinPartitions(*order)
+    scanned = dealt.mapInArrow(shared.lean(_latest), f"slice int, record_id {kind}, response_id {kind}, open boolean, first string, last string")
+    scanned = shared.written(scanned, "op8-scanned")  # partitions keep their numbers
+    parts = scanned.filter("first is not null")
+    asks = parts.select(F.col("first").alias("url"), "slice", F.lit(0).alias("k"), F.lit(None).cast(kind).alias("response_id"))
+    ends = parts.select(F.col("last").alias("url"), "slice", F.lit(1).alias("k"), "response_id")
+    before = F.last("response_id", ignorenulls=True).over(Window.partitionBy("url").orderBy("slice", "k"))
+    carried = asks.unionByName(ends).withColumn("far", before).filter("k = 0").select("slice", "far")
+    found = scanned.filter("first is null").join(carried, "slice", "left")
+    return found.select("record_id", F.coalesce("response_id", F.when(F.col("open"), F.col("far"))).alias("response_id"))
 
 
 def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -98,14 +137,24 @@ def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     record_id, url (canonical), response_id, outcome (resolved, validator_mismatch, no_response), headers
     (merged, sorted by name) and payload; the last two are null unless resolved.
     """
-    slim = records.select("record_id", F.col("type"), canonical_url(F.col("url")).alias("url"), "time", "headers", "payload").filter(F.col("type").isin("response", "revisit")).dropDuplicates(["record_id", "type"])
-    revisits = slim.filter(F.col("type") == "revisit")
-    responses = slim.filter(F.col("type") == "response").select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("payload").alias("body"))
-    asof = latest_earlier(slim.withColumn("is_revisit", F.col("type") == "revisit"), slice_rows)
-    found = revisits.select("record_id", "url", "headers").join(asof, "record_id", "left").join(responses, "response_id", "left")
+    rows = records.select("record_id", "type", canonical_url(F.col("url")).alias("url"), "time", "headers", "payload").filter("record_id is not null")
+    slim = rows.filter(F.col("type").isin("response", "revisit")).groupBy("record_id", "type").agg(F.min(F.struct("time", "url")).alias("m"))
+    asof = latest_earlier(slim.select("record_id", "m.url", "m.time", (F.col("type") == "revisit").alias("is_revisit")), slice_rows)
+
+    def once(kind: str, content) -> DataFrame:
+        """One row of each record, where rows are for the join anyway."""
+        of = rows.filter(F.col("type") == kind).withColumn("content", F.xxhash64(*content))
+        first = F.row_number().over(Window.partitionBy("record_id").orderBy("time", "url", "content"))
+        return of.withColumn("n", first).filter("n = 1")
+
+    entries = F.array_sort(F.map_entries("headers"))
+    revisits = once("revisit", [entries]).select("record_id", "url", "headers")
+    responses = once("response", [entries, "payload"]).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("payload").alias("body"))
+    found = revisits.join(asof, "record_id", "left").join(responses, "response_id", "left")
     agree = F.lit(True)
     for v in VALIDATORS:
-        agree = agree & F.coalesce(header(F.col("headers"), v) == header(F.col("stored"), v), F.lit(True))
+        mine, other = (F.regexp_replace(header(F.col(c), v), "^W/", "") for c in ("headers", "stored"))
+        agree = agree & F.coalesce(mine == other, F.lit(True))
     outcome = F.when(F.col("response_id").isNull(), "no_response").when(agree, "resolved").otherwise("validator_mismatch")
     good = F.col("outcome") == "resolved"
     return found.withColumn("outcome", outcome).select(
@@ -128,22 +177,67 @@ def encode(record: dict) -> bytes:
 _HEAD = re.compile(rb"WARC/1\.[01]\r?\n")
 
 
-def decode(data: bytes) -> Iterator[dict]:
-    """The records of an uncompressed WARC file. A record that is cut off raises ValueError."""
-    at = 0
-    while m := _HEAD.search(data, at):
-        end = re.compile(rb"\r?\n\r?\n").search(data, m.end() - 1)
-        if not end:
-            raise ValueError("a record's fields don't end")
-        fields: dict[str, str] = {}
-        for line in data[m.end() : end.start()].decode("utf-8", "replace").splitlines():
-            name, _, value = line.partition(":")
+class Gunzipped(io.RawIOBase):
+    """The bytes of a gzip file of any number of members; where its compression breaks they end, and broken is set."""
+
+    def __init__(self, file):
+        self.file, self.member, self.inside, self.left, self.broken = file, zlib.decompressobj(31), False, b"", False
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, out) -> int:
+        while not self.broken:
+            self.left = self.left or self.file.read(1 << 16)
+            if not self.left:
+                self.broken = self.inside
+                break
+            try:
+                data = self.member.decompress(self.left, len(out))
+            except zlib.error:
+                self.broken = True
+                break
+            self.inside = not self.member.eof
+            self.left = self.member.unconsumed_tail if self.inside else self.member.unused_data
+            if not self.inside:
+                self.member = zlib.decompressobj(31)
+            if data:
+                out[: len(data)] = data
+                return len(data)
+        return 0
+
+
+def decode(data: bytes | io.BufferedReader, strict: bool = True) -> Iterator[dict]:
+    """The records of an uncompressed WARC file, read as they are asked for, each with its status.
+
+    strict: a record that is cut off, or compression that is broken, raises ValueError instead of giving a status.
+    """
+    file = io.BytesIO(data) if isinstance(data, bytes) else data
+    fields: dict[str, str] | None = None
+    body = b""
+    while line := file.readline():
+        if not _HEAD.fullmatch(line):
+            continue
+        fields, body = {}, b""
+        while (line := file.readline()).strip():
+            name, _, value = line.decode("utf-8", "replace").partition(":")
             fields[name.strip().lower()] = value.strip()
-        size = int(fields.get("content-length", "0"))
-        if end.end() + size > len(data):
-            raise ValueError("a record's body is cut off")
-        at = end.end() + size
-        yield {"type": fields.get("warc-type"), "id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "fields": fields, "body": data[end.end() : at]}
+        size = fields.get("content-length", "0")
+        size = int(size) if size.isdecimal() else 0
+        body = file.read(size) if line else b""
+        if not line or len(body) < size:
+            break
+        yield _record(fields, body, "ok")
+        fields = None
+    broken = getattr(getattr(file, "raw", None), "broken", False)
+    if strict and (broken or fields is not None):
+        raise ValueError("the file is broken" if broken else "a record is cut off")
+    if broken or fields is not None:
+        yield _record(fields or {}, body, "unreadable" if broken else "cut_off")
+
+
+def _record(fields: dict[str, str], body: bytes, status: str) -> dict:
+    return {"type": fields.get("warc-type"), "id": fields.get("warc-record-id"), "url": fields.get("warc-target-uri"), "date": fields.get("warc-date"), "status": status, "fields": fields, "body": body}
 
 
 def http_parts(body: bytes) -> tuple[dict[str, str], bytes]:
@@ -154,18 +248,36 @@ def http_parts(body: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def _decode_files(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    import gzip
+    """Records of the files named, streamed; files are opened by address, so nothing is read as a whole."""
+    from pyarrow import fs
+
+    def batch(path, rows):
+        names = ("type", "id", "url", "date", "status")
+        return pa.RecordBatch.from_arrays(
+            [pa.array([path] * len(rows), pa.string()), *(pa.array([r[k] for r in rows], pa.string()) for k in names), pa.array([list(r["fields"].items()) for r in rows], pa.map_(pa.string(), pa.string())), pa.array([r["body"] for r in rows], pa.binary())],
+            ["path", *names, "fields", "body"],
+        )
 
     for b in batches:
-        for path, data in zip(b["path"].to_pylist(), b["content"].to_pylist()):
-            rows = list(decode(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([path] * len(rows)), *(pa.array([r[k] for r in rows], pa.string()) for k in ("type", "id", "url", "date")), pa.array([list(r["fields"].items()) for r in rows], pa.map_(pa.string(), pa.string())), pa.array([r["body"] for r in rows], pa.binary())],
-                ["path", "type", "id", "url", "date", "fields", "body"],
-            )
+        for path in b["path"].to_pylist():
+            store, place = fs.FileSystem.from_uri(path)
+            with store.open_input_file(place) as raw:
+                packed = raw.read(2) == b"\x1f\x8b"
+                raw.seek(0)
+                rows, held = [], 0
+                for r in decode(io.BufferedReader(Gunzipped(raw) if packed else raw), strict=False):
+                    rows.append(r)
+                    held += len(r["body"])
+                    if held >= BATCH_BYTES or len(rows) >= 1000:
+                        yield batch(path, rows)
+                        rows, held = [], 0
+                yield batch(path, rows)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of the WARC files (plain or gzip) under a path of any store Spark reads; a file is one task's."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInArrow(_decode_files, "path string, type string, id string, url string, date string, fields map<string,string>, body binary")
+    """Records of the WARC files (plain or gzip) under a path; a file is one task's, which streams it.
+
+    Spark lists the files; tasks open them themselves, so the path must be of a store that pyarrow opens too.
+    """
+    files = spark.read.format("binaryFile").load(path).select("path")
+    return files.mapInArrow(shared.lean(_decode_files), "path string, type string, id string, url string, date string, status string, fields map<string,string>, body binary")

@@ -169,6 +169,49 @@ def test_warc_files(spark, tmp_path):
     assert op8_warc.http_parts(body) == ({"ETag": '"a"', "X": "y"}, b"hello\r\n\r\nWARC/1.1 in it")
     with pytest.raises(ValueError):
         list(op8_warc.decode(raw[:-8]))
+    cut = tmp_path / "cut"
+    cut.mkdir()
+    (cut / "a.warc").write_bytes(raw[:-8])
+    whole = b"".join(gzip.compress(op8_warc.encode(r)) for r in records)
+    (cut / "b.warc.gz").write_bytes(whole[:-30])
+    (cut / "c.warc.gz").write_bytes(whole[:-30] + b"x" * 20)
+    (cut / "d.warc").write_bytes(b"")
+    (cut / "e.warc").write_bytes(b"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: no\r\n\r\n\r\n\r\nWARC/1.1\r\nWARC-Type: x")
+    got = defaultdict(list)
+    for r in op8_warc.read(spark, str(cut)).collect():
+        got[r.path[-9:].split("/")[-1]].append((r.id, r.status))
+    good = [(f"<urn:{k}>", "ok") for k in range(3)]
+    assert got["a.warc"] == [*good, ("<urn:3>", "cut_off")]
+    for name in ("b.warc.gz", "c.warc.gz"):
+        assert got[name][:3] == good and len(got[name]) == 4 and got[name][3][1] in ("cut_off", "unreadable")
+    assert got["e.warc"] == [(None, "ok"), (None, "cut_off")] and "d.warc" not in got
+
+
+def test_records_with_one_id_and_weak_tags(spark):
+    table = [
+        (1, "response", "http://x.org/", 5, {"ETag": 'W/"1"'}, "late"), (1, "response", "http://x.org/", 3, {"ETag": '"1"'}, "b"), (1, "response", "http://x.org/", 3, {"ETag": '"1"'}, "a"),
+        (1, "revisit", "http://x.org/", 4, {"etag": '"1"'}, None), (1, "revisit", "http://x.org/", 9, {"etag": '"2"'}, None), (None, "revisit", "http://x.org/", 9, None, None), (None, "response", "http://x.org/", 3, None, "no"),
+        (3, "response", "http://y.org/", 3, {"ETag": 'W/"1"'}, "weak"), (4, "revisit", "http://y.org/", 4, {"etag": '"1"'}, None),
+    ]
+    got = [op8_warc.resolve(spark.createDataFrame(t, RECORDS).repartition(2)).orderBy("record_id").collect() for t in (table, table[::-1])]
+    assert got[0] == got[1]
+    assert [(r.record_id, r.response_id, r.outcome) for r in got[0]] == [(1, 1, "resolved"), (4, 3, "resolved")] and got[0][0].payload in ("a", "b")
+
+
+def test_a_burst_of_one_url_is_spread(spark):
+    """One URL has 90 % of the records, all of them within two seconds: no partition gets many more than the rest."""
+    n = 20_000
+    one = spark.range(n).select(
+        F.col("id").alias("record_id"), F.when(F.col("id") % 2 == 0, "response").otherwise("revisit").alias("type"), F.when(F.col("id") % 10 == 0, F.concat(F.lit("http://x.org/"), F.col("id"))).otherwise("http://hot.org/").alias("url"),
+        (10**9 + F.col("id") % 2).alias("time"), F.lit(None).cast("map<string,string>").alias("headers"), F.col("id").cast("string").alias("payload"),
+    )
+    order = ["url", "time", F.col("is_revisit").desc(), "record_id"]
+    slim = one.select("record_id", "url", "time", (F.col("type") == "revisit").alias("is_revisit"))
+    sizes = [r["count"] for r in slim.repartitionByRange(20, *order).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < 3 * n / 20
+    got = {r.record_id: r.response_id for r in op8_warc.resolve(one, slice_rows=1000).collect()}
+    last = max(k for k in range(0, n, 2) if k % 10)
+    assert got == {k: last for k in range(1, n, 2)}
 
 
 # --- op9
