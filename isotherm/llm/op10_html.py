@@ -2,19 +2,22 @@
 
 Markup is stripped to lines, one for each block of the page; elements that are never main text (menus, headers
 and footers of the page, sidebars, adverts, notices, forms, scripts, styles, reader comments) leave gaps
-without lines. If the page marks articles (or main elements), the outermost of them that holds the most text is
-the main text, with all its blocks and all elements nested in it. Otherwise the lengths of lines, without the
-text of links, are summed over sliding windows of lines. The text surges where the sum rises over a threshold
-and dives where it falls below it again, and takes in the short lines on both sides. Gaps and single lines of
-link text between two such stretches don't divide them; menus (several lines of link text) do, unless both
-sides lie in the same container. The stretch that holds the most text is the main text.
-
-Scale: a scan without a shuffle; one page at a time.
-
-Defined cases: null html is empty; a page without text gives an empty string; tags that aren't closed end
-with the page, and an element to leave out that is never closed ends where the article, or (for p and li) the
-next block, begins; a '<' that begins no tag is text; repeated rows give a row each; an empty table gives no
-rows.
+without lines. The lengths of lines, without the text of links, are summed over sliding windows of lines. The text
+surges where the sum rises over a threshold and dives where it falls below it again, and takes in the short lines on
+both sides. Gaps and single lines of link text between two such stretches don't divide them; menus (several lines of
+link text) do, unless both sides lie in the same container. The stretch that holds the most text is the main text.
+
+Marked elements (article, main) choose among stretches and correct the edges of the one that is chosen: the stretch
+with the most text inside marked elements comes first, and the outermost of them that has the most text in it ends
+the stretch on both sides, so that lines beside the element go and lines of it that the windows missed stay. Of
+several marked elements side by side one is the main text, the one with the most text in the stretch.
+
+Scale: a scan without a shuffle; one page at a time, in time proportional to its length.
+
+Defined cases: null html is empty; a page without text gives an empty string; a page whose only text is links gives
+that of its largest marked element, if any; tags that aren't closed end with the page, and an element to leave out
+that is never closed ends where the article, or (for p and li) the next block, begins; a '<' that begins no tag is
+text; repeated rows give a row each; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -43,6 +46,9 @@ OUT = frozenset("head script style noscript template nav aside footer form butto
 _NAMES = "ad|ads|advert|adverts|advertisement|advertising|sponsor|sponsored|promo|cookie|cookies|consent|gdpr|notice|notices|alert|popup|modal|newsletter|subscribe|subscription|nav|navbar|navigation|menu|breadcrumb|breadcrumbs|sidebar|aside|widget|footer|header|masthead|comment|comments|respond|disqus|replies|share|sharing|social|related|recommended|toolbar|pagination|pager|login|signup|search|skip-link|banner"
 #: Names of classes and ids that tell the same, alone or with the usual words around them.
 _OUT_NAME = re.compile(rf"(?:site|page|main|top|global|reader|user|post|article|legal|left|right)?[-_]?(?:{_NAMES})(?:[-_](?:{_NAMES}|wrapper|container|box|bar|block|list|area|section|inner|links|menu|thread|form|item|text|message|top|bottom|left|right|\d+))*", re.I)
+#: Names of the header of an article, which belongs to it; inside one other headers do too.
+_OWN_HEADER = re.compile(r"(?:article|post|entry|story)[-_]?header(?:[-_]\w+)*", re.I)
+_HEADER = re.compile(r"header(?:[-_]\w+)*", re.I)
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
 #: Elements that names of classes don't put out: they hold the page or the article.
 _HOLDERS = frozenset("html body article main".split())
@@ -100,7 +106,8 @@ def _is_out(name: str, attributes: str, in_article: bool) -> bool:
         return name == "article" and bool(attributes) and any(re.fullmatch(r"(?:\w+-)?(?:comment|reply)(?:-\w+)?", x, re.I) for x in _values(attributes, ("class", "id")))
     if any(x.lower() in _OUT_ROLES for x in _values(attributes, ("role",))):
         return True
-    return any(_OUT_NAME.fullmatch(x) for x in _values(attributes, ("class", "id")))
+    own = lambda x: _OWN_HEADER.fullmatch(x) or in_article and _HEADER.fullmatch(x)
+    return any(_OUT_NAME.fullmatch(x) and not own(x) for x in _values(attributes, ("class", "id")))
 
 
 def _values(attributes: str, names: tuple[str, ...]) -> list[str]:
@@ -125,8 +132,9 @@ class Lines:
         self._linked, self._in, self._articles = 0, 0, 0
         every = list(tokens(page))
         closed = self._closed(every)
-        # Open elements: name, number of the article or 0, place of text in it.
-        stack: list[tuple[str, int, tuple[int, int, int]]] = []
+        # Open elements: name, number of the article or 0, place of text in it, links around and with it.
+        stack: list[tuple[str, int, tuple[int, int, int], int]] = []
+        depths: dict[str, list[int]] = {}  # of the open elements of each name
         out: list[tuple[str, int, bool]] = []  # elements to leave out: name, depth of the stack, ever closed
         links = 0
         for i, (kind, name, more) in enumerate(every):
@@ -139,7 +147,8 @@ class Lines:
                 self._end(blank=bool(out))
             if kind == "open":
                 while out and not out[-1][2] and (name in _EDGES or out[-1][0] in ("p", "li") and name in BLOCKS):
-                    del stack[out.pop()[1] :]
+                    self._close(stack, depths, out.pop()[1])
+                    links = stack[-1][3] if stack else 0
                     self._at = stack[-1][2] if stack else (0, 0, 0)
                 if name == "br":
                     self._parts.append(" ")
@@ -153,19 +162,25 @@ class Lines:
                 if name in BLOCKS and name not in ("html", "body"):
                     self._numbers += 1
                     self._at = self._numbers, self._at[2], self._numbers if name in _CONTAINERS else self._at[2]
-                stack.append((name, self._in, self._at))
                 links += name == "a" and not out
+                depths.setdefault(name, []).append(len(stack))
+                stack.append((name, self._in, self._at, links))
             else:
-                at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-                if at is None or out and at < out[-1][1] and out[-1][2]:
+                if not (at := depths.get(name)) or out and at[-1] < out[-1][1] and out[-1][2]:
                     continue  # closes nothing, or something around an element that is still to be closed
-                del stack[at:]
-                links = sum(x[0] == "a" for x in stack) if links else 0
+                self._close(stack, depths, at[-1])
                 while out and out[-1][1] >= len(stack):
                     out.pop()
-                _, self._in, self._at = stack[-1] if stack else ("", 0, (0, 0, 0))
+                _, self._in, self._at, links = stack[-1] if stack else ("", 0, (0, 0, 0), 0)
         self._end()
 
+    @staticmethod
+    def _close(stack: list, depths: dict[str, list[int]], at: int) -> None:
+        """Close what is open from a depth on."""
+        for name, *_ in stack[at:]:
+            depths[name].pop()
+        del stack[at:]
+
     @staticmethod
     def _closed(every) -> dict[int, bool]:
         """Whether each opening tag has a closing one."""
@@ -201,8 +216,8 @@ class Lines:
         return not menu or self.place[i][2] == self.place[j][2] != 0
 
 
-def surge_and_dive(free: list[int], window: int = WINDOW, threshold: int = THRESHOLD, lines: Lines | None = None) -> tuple[int, int]:
-    """The stretch [surge, dive) of lines that holds the most text, or that of the longest line if none surges.
+def stretches(free: list[int], window: int = WINDOW, threshold: int = THRESHOLD, lines: Lines | None = None) -> list[tuple[int, int]]:
+    """The stretches [surge, dive) of lines of a page, or that of the longest line if none surges.
 
     With lines, stretches that ``Lines.bridged`` joins are one; otherwise each line without free text ends one.
     """
@@ -221,7 +236,7 @@ def surge_and_dive(free: list[int], window: int = WINDOW, threshold: int = THRES
             return None
         return j
 
-    found: list[tuple[int, int, int]] = []  # surge, dive, sum
+    found: list[tuple[int, int]] = []
     i = 0
     longest = max(range(n), key=lambda x: (free[x], -x), default=0)
     surges = any(f and s >= threshold for f, s in zip(free, sums))
@@ -240,8 +255,14 @@ def surge_and_dive(free: list[int], window: int = WINDOW, threshold: int = THRES
         i = b
         if found and lines and lines.bridged(found[-1][1] - 1, a):
             a = found.pop()[0]
-        found.append((a, b, sum(free[a:b])))
-    return max(found, key=lambda x: (x[2], -x[0]), default=(0, 0, 0))[:2]
+        found.append((a, b))
+    return found
+
+
+def surge_and_dive(free: list[int], window: int = WINDOW, threshold: int = THRESHOLD, lines: Lines | None = None) -> tuple[int, int]:
+    """The stretch that holds the most text, in marked elements first; (0, 0) if there is none."""
+    own = [f if a else 0 for f, a in zip(free, lines.article)] if lines else free
+    return max(stretches(free, window, threshold, lines), key=lambda x: (sum(own[x[0] : x[1]]), sum(free[x[0] : x[1]]), -x[0]), default=(0, 0))
 
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
@@ -249,15 +270,16 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
     if not page:
         return ""
     lines = Lines(page)
-    held: dict[int, tuple[int, int]] = {}  # by article: its text outside links, and all of it
-    for t, f, a in zip(lines.text, lines.free, lines.article):
-        if a:
+    surge, dive = surge_and_dive(lines.free, window, threshold, lines)
+    inside = range(surge, dive) if dive else range(len(lines.text))
+    held: dict[int, tuple[int, int]] = {}  # by marked element: its text outside links in the stretch, and all of that
+    for i in inside:
+        if a := lines.article[i]:
             free, whole = held.get(a, (0, 0))
-            held[a] = free + f, whole + len(t)
-    if held:  # all of the marked element with the most text
+            held[a] = free + lines.free[i], whole + len(lines.text[i])
+    if held:
         own = max(held, key=lambda a: (held[a], -a))
         return "\n".join(t for t, a in zip(lines.text, lines.article) if a == own)
-    surge, dive = surge_and_dive(lines.free, window, threshold, lines)
     return "\n".join(lines.text[surge:dive])
 
 

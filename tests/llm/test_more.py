@@ -345,14 +345,46 @@ def test_main_text_never_fails(page):
     assert text == "\n".join(" ".join(x.split()) for x in text.split("\n"))
 
 
+def brute_stretch(free, window=3, threshold=60):
+    """Of all stretches of lines with text that no line with text adjoins, the largest with a window over the threshold."""
+    n = len(free)
+    dense = [i for i in range(n) if free[i] and sum(free[i : i + window]) >= threshold]
+    dense = dense or [i for i in range(n) if free[i] == max(free) and free[i]][:1]
+    whole = [(a, b) for a in range(n) for b in range(a + 1, n + 1) if all(free[a:b]) and not (a and free[a - 1]) and not (b < n and free[b])]
+    return max((x for x in whole if any(x[0] <= i < x[1] for i in dense)), key=lambda x: (sum(free[x[0] : x[1]]), -x[0]), default=(0, 0))
+
+
 def test_surge_and_dive_against_all_stretches():
     rng = random.Random(4)
-    for _ in range(300):
-        free = [rng.choice([0, 0, 5, 30, 200]) for _ in range(rng.randint(0, 12))]
-        a, b = op10_html.surge_and_dive(free)
-        assert all(free[a:b]) and (b > a) == any(free)
-        if any(x >= 60 for x in free):
-            assert sum(free[a:b]) >= max(x for x in free)
+    for _ in range(2000):
+        free = [rng.choice([0, 0, 5, 19, 30, 200]) for _ in range(rng.randint(0, 12))]
+        assert op10_html.surge_and_dive(free) == brute_stretch(free), free
+
+
+def test_stretches_find_the_text_without_marks(spark):
+    """Pages of the tables with their article tags taken out, and with a second, smaller article: the windows alone find the same."""
+    for p in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        want = op10_html.main_text(p.html)
+        assert op10_html.main_text(re.sub(r"</?article>", "", p.html)) == want
+        lines = op10_html.Lines(p.html)
+        assert "\n".join(lines.text[slice(*op10_html.surge_and_dive(lines.free, lines=lines))]) == want
+
+
+def test_headers_of_articles():
+    for page in ("<article><div class='article-header'><h1>T</h1></div><p>{}</p></article>", "<div class=post><div class='post-header'><h1>T</h1></div><p>{}</p></div>", "<article><div class=header><h1>T</h1></div><p>{}</p></article>"):
+        assert op10_html.main_text(page.format(LONG)) == f"T\n{LONG}"
+    assert op10_html.main_text(f"<div class=site-header><h1>T</h1></div><article><p>{LONG}</p></article>") == LONG
+    assert op10_html.main_text("<article><p><a href=x>only a link</a></p></article><p><a href=x>another</a></p>") == "only a link"
+    assert op10_html.main_text(f"<p>{LONG} beside</p><div><a href=a>m</a></div><div><a href=a>n</a></div><article><p>short</p></article>") == f"{LONG} beside"
+
+
+@pytest.mark.parametrize("page", ["<div>" + "</b>" * 200_000, "<b>" * 200_000 + "</i>" * 200_000, "<p><div class=ad>" + "<b>" * 100_000 + "</p>" * 100_000 + "</div>", "<a href=x>" * 100_000 + "<i></i>" * 100_000, "<p>x" * 100_000 + "</div>" * 100_000])
+def test_broken_markup_takes_linear_time(page):
+    import time
+
+    began = time.process_time()
+    op10_html.main_text(page)
+    assert time.process_time() - began < 4e-6 * len(page) + 1
 
 
 def test_extract(spark):
