@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from ..schema import SEASONS
 
+#: Steps of the table by which the nearest axis line is found.
+MAX_STEPS = 100_000
+
 # --- missing values
 
 
@@ -88,15 +91,46 @@ def ticks(low: Column, high: Column, step: int) -> Column:
     return F.when(first <= last, F.sequence(first, last, F.lit(step))).otherwise(F.array().cast("array<int>"))
 
 
+def _literals(values: Sequence[float] | Sequence[int]) -> Column:
+    """An array of constants, folded to one literal; parsed at once, as a call for each would take long."""
+    return F.expr(f"array({', '.join(f'{v!r}D' if isinstance(v, float) else str(v) for v in values)})")
+
+
 def nearest_index(value: Column, axis: Sequence[float]) -> Column:
-    """Place (from 0) of the axis coordinate nearest to value, the first of equals."""
-    lines = F.array(*(F.lit(float(a)) for a in axis))  # folded to one literal, however long the axis is
-    gaps = F.transform(lines, lambda a: F.abs(value - a))
-    return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+    """Place (from 0) of the axis coordinate nearest to value, the first of equals; NULL where value is.
+
+    A table of even steps, at most a quarter of the smallest gap wide, names for each step the line that is nearest
+    at its beginning; only that one and the next can be nearest to a value in it, and their distances decide. So a
+    row costs the same whatever the length of the axis. An axis so uneven that the table would pass MAX_STEPS is
+    searched line by line.
+    """
+    lines = sorted({float(c): k for k, c in reversed(list(enumerate(axis)))}.items())  # the first place of equal coordinates
+    coords, places = [c for c, _ in lines], [k for _, k in lines]
+    known = value.isNotNull()
+    if len(lines) == 1:
+        return F.when(known, places[0])
+    step = min(b - a for a, b in zip(coords, coords[1:])) / 4
+    n = math.ceil((coords[-1] - coords[0]) / step) + 1
+    of = lambda values, i: F.get(_literals(values), i)
+    if n > MAX_STEPS:
+        gaps = F.transform(_literals([float(a) for a in axis]), lambda a: F.abs(value - a))
+        return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+    at, near = 0, []
+    for k in range(n):
+        x = coords[0] + (k - 1) * step
+        while at + 2 < len(coords) and abs(coords[at + 1] - x) < abs(coords[at] - x):
+            at += 1
+        near.append(at)
+    cell = F.least(F.greatest(F.floor((value - coords[0]) / step), F.lit(0)), F.lit(n - 1)).cast("int")
+    low = of(near, cell)
+    before, after = F.abs(value - of(coords, low)), F.abs(value - of(coords, low + 1))
+    first, second = of(places, low), of(places, low + 1)
+    return F.when(known, F.when(before < after, first).when(after < before, second).otherwise(F.least(first, second)))
 
 
 def coordinate(index: Column, axis: Sequence[float]) -> Column:
-    return F.element_at(F.array(*(F.lit(float(a)) for a in axis)), index + 1)
+    """The axis coordinate at a place; NULL where there is none."""
+    return F.get(_literals([float(a) for a in axis]), index)
 
 
 # --- bins

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
+from .grid import cell_keys, grouped, pixel_keys
 from .regression import fit
 
 
 def fit_by_cell(pairs: DataFrame) -> DataFrame:
-    return fit(pairs, keys=("cmip_lat", "cmip_lon"))
+    keys = cell_keys(pairs)
+    return fit(pairs, keys=(*dict.fromkeys((*keys, "cmip_lat", "cmip_lon")),))
 
 
 def lagged(coarse: DataFrame) -> DataFrame:
@@ -46,10 +50,71 @@ def serial_correlation(series: DataFrame, lags: Sequence[int] = (1,)) -> DataFra
 
 
 def skill(pairs: DataFrame) -> DataFrame:
-    """Per pixel: n, bias, RMSE and correlation of tas against t2m."""
+    """Per pixel: n, bias, RMSE and correlation of tas against t2m; the last is NULL where one of them is constant."""
     gap = F.col("tas") - F.col("t2m")
     v = pairs.filter(E.is_finite(F.col("tas")) & E.is_finite(F.col("t2m")))
-    return v.groupBy("era5_lat", "era5_lon").agg(F.count("*").alias("n"), F.avg(gap).alias("bias"), F.sqrt(F.avg(gap * gap)).alias("rmse"))
+    return grouped(v, pixel_keys(pairs), ("era5_lat", "era5_lon"), F.count("*").alias("n"), F.avg(gap).alias("bias"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.try_divide(F.covar_pop("t2m", "tas"), F.stddev_pop("t2m") * F.stddev_pop("tas")).alias("correlation"))
+
+
+def partial_autocorrelation(series: DataFrame, most: int = 3) -> DataFrame:
+    """(label, pacf_1, ...) of a daily series up to a lag, from its autocorrelations by the Durbin-Levinson recursion."""
+    lags = range(1, most + 1)
+    out = serial_correlation(series, tuple(lags)).drop("durbin_watson")
+    r, before, columns = {k: F.col(f"acf_{k}") for k in lags}, [], []
+    for k in lags:
+        above = functools.reduce(lambda a, b: a - b, (p * r[k - j - 1] for j, p in enumerate(before)), r[k])
+        below = functools.reduce(lambda a, b: a - b, (p * r[j + 1] for j, p in enumerate(before)), F.lit(1.0))
+        last = F.try_divide(above, below)
+        out = out.withColumns({f"phi_{k}_{j}": p - last * before[k - 2 - j] for j, p in enumerate(before)} | {f"phi_{k}_{k - 1}": last})
+        before = [F.col(f"phi_{k}_{j}") for j in range(k)]
+        columns.append(before[-1].alias(f"pacf_{k}"))
+    return out.select("label", *columns)
+
+
+def _normal_cdf(z: Column) -> Column:
+    """The standard normal distribution function, by a rational approximation of the error function (error below 1.5e-7)."""
+    # The coefficients of that approximation.
+    p, a = 0.3275911, (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
+    x = F.abs(z) / math.sqrt(2)
+    t = 1.0 / (1.0 + p * x)
+    tail = functools.reduce(lambda acc, c: (acc + c) * t, reversed(a), F.lit(0.0)) * F.exp(-x * x) / 2
+    return F.when(z < 0, tail).otherwise(1.0 - tail)
+
+
+def normality(df: DataFrame, value: str, bin_width: float = 0.01) -> DataFrame:
+    """(n, d, p): Kolmogorov-Smirnov distance of a column from the normal distribution with its mean and SD.
+
+    p is the limit distribution's, which takes mean and SD as known. Ranks are taken within narrow bins of the
+    standardised value and offset by the counts of the bins before, so that no task ranks all rows.
+    """
+    rows = df.filter(E.is_finite(F.col(value))).select(F.col(value).cast("double").alias("v"))
+    one = rows.agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("*").alias("n")).filter("sd > 0")
+    z = rows.crossJoin(F.broadcast(one)).select(((F.col("v") - F.col("mean")) / F.col("sd")).alias("z"), "n")
+    z = z.withColumn("bin", F.floor(F.least(F.greatest(F.col("z"), F.lit(-40.0)), F.lit(40.0)) / bin_width))
+    counts = z.groupBy("bin").agg(F.count("*").alias("m"))
+    before = counts.withColumn("before", F.sum("m").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m"))  # 8,000 bins at most
+    ranked = z.withColumn("i", F.row_number().over(Window.partitionBy("bin").orderBy("z"))).join(F.broadcast(before.select("bin", "before")), "bin")
+    rank, cdf = F.col("before") + F.col("i"), _normal_cdf(F.col("z"))
+    d = F.max(F.greatest(rank / F.col("n") - cdf, cdf - (rank - 1) / F.col("n")))
+    out = ranked.agg(F.first("n").alias("n"), d.alias("d")).filter("n is not null")
+    terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * F.col("n") * F.col("d") * F.col("d")))
+    p = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
+    return out.select("n", "d", F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)).alias("p"))
+
+
+def random_intercept(resid: DataFrame) -> DataFrame:
+    """(n, n_cells, var_cell, var_error, icc): variance of residuals between and within cells, by analysis of variance.
+
+    A cell's own intercept is random, the slope common; a negative estimate of its variance is 0.
+    """
+    cells = resid.groupBy(*cell_keys(resid)).agg(F.count("residual").alias("m"), F.avg("residual").alias("mean"), F.var_pop("residual").alias("var")).filter("m > 0")
+    s = cells.agg(F.sum("m").alias("n"), F.count("*").alias("k"), F.sum(F.col("m") * F.col("var")).alias("within"), F.sum(F.col("m") * F.col("m")).alias("squares"), F.sum(F.col("m") * F.col("mean")).alias("total"), F.sum(F.col("m") * F.col("mean") * F.col("mean")).alias("between"))
+    n, k = F.col("n"), F.col("k")
+    error = F.try_divide(F.col("within"), n - k)
+    spread = F.try_divide(F.col("between") - F.col("total") * F.col("total") / n, k - 1)
+    size = F.try_divide(n - F.try_divide(F.col("squares"), n), k - 1)
+    cell = F.greatest(F.lit(0.0), F.try_divide(spread - error, size))
+    return s.select("n", k.alias("n_cells"), cell.alias("var_cell"), error.alias("var_error"), F.try_divide(cell, cell + error).alias("icc"))
 
 
 def with_split(pairs: DataFrame, train_until: int, validate_until: int) -> DataFrame:
@@ -121,19 +186,20 @@ def morans_i(field: DataFrame, value: str) -> DataFrame:
 def multiple_regression(df: DataFrame, y: str, predictors: dict[str, Column]) -> DataFrame:
     """(term, coefficient) of least squares with an intercept on any column expressions, say an interaction.
 
-    The normal equations are sums of one aggregate; the small system is solved on the driver.
+    Means and covariances are one aggregate's; the small system is solved on the driver.
     """
     import numpy as np
 
-    names = ["intercept", *predictors]
-    x = df.select(F.lit(1.0).alias("x_0"), *(c.cast("double").alias(f"x_{k}") for k, c in enumerate(predictors.values(), 1)), F.col(y).cast("double").alias("y"))
-    columns = [*(f"x_{k}" for k in range(len(names))), "y"]
+    columns = [*(f"x_{k}" for k in range(len(predictors))), "y"]
+    x = df.select(*(c.cast("double").alias(n) for n, c in zip(columns, [*predictors.values(), F.col(y)])))
     clean = x.filter(" and ".join(f"{c} is not null and not isnan({c})" for c in columns))
-    sums = clean.agg(*(F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(columns) for b in columns[i:])).first()
-    n = len(names)
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    sums = clean.agg(*(F.avg(c).alias(c) for c in columns), *(F.covar_pop(a, b).alias(f"{a}_{b}") for a, b in pairs)).first()
+    n = len(predictors)
     m = np.array([[sums[f"x_{min(i, j)}_x_{max(i, j)}"] or 0.0 for j in range(n)] for i in range(n)])
-    solved = np.linalg.lstsq(m, np.array([sums[f"x_{i}_y"] or 0.0 for i in range(n)]), rcond=None)[0]
-    return df.sparkSession.createDataFrame([(k, float(v)) for k, v in zip(names, solved)], "term string, coefficient double")
+    slopes = np.linalg.lstsq(m, np.array([sums[f"x_{i}_y"] or 0.0 for i in range(n)]), rcond=None)[0]
+    intercept = (sums["y"] or 0.0) - sum(b * (sums[f"x_{i}"] or 0.0) for i, b in enumerate(slopes))
+    return df.sparkSession.createDataFrame([("intercept", float(intercept)), *((k, float(v)) for k, v in zip(predictors, slopes))], "term string, coefficient double")
 
 
 def height(geopotential):

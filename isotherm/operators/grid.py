@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -38,6 +38,24 @@ def grid(lats: DataFrame, lons: DataFrame) -> DataFrame:
     return lats.crossJoin(F.broadcast(lons))
 
 
+def cell_keys(*tables: DataFrame) -> list[str]:
+    """What names a coarse cell in all of these tables: its indices, or its coordinates where a table has no more."""
+    indexed = all({"clat_ix", "clon_ix"} <= set(t.columns) for t in tables)
+    return ["clat_ix", "clon_ix"] if indexed else ["cmip_lat", "cmip_lon"]
+
+
+def pixel_keys(*tables: DataFrame) -> list[str]:
+    """The same for a fine pixel."""
+    indexed = all({"lat_ix", "lon_ix"} <= set(t.columns) for t in tables)
+    return ["lat_ix", "lon_ix"] if indexed else ["era5_lat", "era5_lon"]
+
+
+def grouped(df: DataFrame, keys: list[str], coords: tuple[str, str], *aggregates: Column) -> DataFrame:
+    """One row for each cell or pixel, named by keys, with its coordinates."""
+    more = [F.min(c).alias(c) for c in coords if c not in keys and c in df.columns]
+    return df.groupBy(*keys).agg(*more, *aggregates)
+
+
 def land_mask(fine: DataFrame, value: str = "t2m") -> DataFrame:
     """(lat_ix, lon_ix, is_land): a pixel is land if it ever has a value."""
     return fine.groupBy("lat_ix", "lon_ix").agg((F.count(value) > 0).alias("is_land"))
@@ -46,9 +64,10 @@ def land_mask(fine: DataFrame, value: str = "t2m") -> DataFrame:
 def nearest_axis(fine: DataFrame, coord: str, coarse: list[float], ix: str, nearest: str) -> DataFrame:
     """Adds the index and coordinate of the nearest coarse line of one axis; ties go to the lower index.
 
-    A function of one row, so neither a join nor a shuffle.
+    A function of one row, so neither a join nor a shuffle. A pixel without a coordinate gets -1, which no cell has: as
+    the index is never NULL, a join on it adds no filter by which the scan would find the line a second time.
     """
-    return fine.withColumn(ix, E.nearest_index(F.col(coord), coarse)).withColumn(nearest, E.coordinate(F.col(ix), coarse))
+    return fine.withColumn(ix, F.coalesce(E.nearest_index(F.col(coord), coarse), F.lit(-1))).withColumn(nearest, E.coordinate(F.col(ix), coarse))
 
 
 def assign_cells(pixels: DataFrame, coarse_lats: list[float], coarse_lons: list[float]) -> DataFrame:
@@ -62,8 +81,8 @@ def nearest_point(axis_df: DataFrame, ix: str, coord: str, target: float) -> Dat
 
 
 def pixel_counts(assignment: DataFrame) -> DataFrame:
-    """(cmip_lat, cmip_lon, n_pixels)."""
-    return assignment.groupBy("cmip_lat", "cmip_lon").agg(F.count("*").alias("n_pixels"))
+    """Cells with n_pixels."""
+    return grouped(assignment, cell_keys(assignment), ("cmip_lat", "cmip_lon"), F.count("*").alias("n_pixels"))
 
 
 def pixel_count_stats(counts: DataFrame) -> DataFrame:
@@ -78,13 +97,14 @@ def pixel_count_stats(counts: DataFrame) -> DataFrame:
 
 def sea_fraction(assigned_grid: DataFrame) -> DataFrame:
     """Per cell: grid points, land, sea and the share of sea. assigned_grid: every grid point, with is_land."""
-    out = assigned_grid.groupBy("cmip_lat", "cmip_lon").agg(F.count("*").alias("n_total"), F.sum(F.col("is_land").cast("long")).alias("n_land"))
+    out = grouped(assigned_grid, cell_keys(assigned_grid), ("cmip_lat", "cmip_lon"), F.count("*").alias("n_total"), F.sum(F.col("is_land").cast("long")).alias("n_land"))
     return out.withColumn("n_sea", F.col("n_total") - F.col("n_land")).withColumn("sea_fraction", F.col("n_sea") / F.col("n_total"))
 
 
 def cell_stats(sea: DataFrame, counts: DataFrame) -> DataFrame:
     """Sea fractions with the number of land pixels; 0 where a cell has none."""
-    joined = sea.join(counts.withColumnRenamed("n_pixels", "n_land_pixels"), ["cmip_lat", "cmip_lon"], "left")
+    keys = cell_keys(sea, counts)
+    joined = sea.join(counts.select(*keys, F.col("n_pixels").alias("n_land_pixels")), keys, "left")
     return joined.withColumn("n_land_pixels", F.coalesce("n_land_pixels", F.lit(0)).cast("int"))
 
 
@@ -97,9 +117,10 @@ def cell_ids(assignment: DataFrame) -> DataFrame:
 
     The rank is taken over the distinct cells (a few hundred rows, whatever the number of pixels) and joined.
     """
-    cells = assignment.select("cmip_lat", "cmip_lon").distinct()
+    keys = cell_keys(assignment)
+    cells = grouped(assignment, keys, ("cmip_lat", "cmip_lon")) if "cmip_lat" not in keys else assignment.select(*keys).distinct()
     ids = cells.withColumn("cell_id", F.dense_rank().over(Window.orderBy("cmip_lat", "cmip_lon")) - 1)
-    return assignment.join(ids, ["cmip_lat", "cmip_lon"])
+    return assignment.join(ids.select(*keys, "cell_id"), keys)
 
 
 def cell_edges(axis_df: DataFrame, coord: str) -> DataFrame:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as E
@@ -12,6 +14,72 @@ from ..schema import COLOUR_LIMITS, HEX_COLUMNS, HISTOGRAM_EDGES, KELVIN, KELVIN
 from ..sources.grids import is_kelvin, units_of, with_units
 
 
+#: 1 / relative error of the ranks by which quantiles are narrowed down.
+ACCURACY = 10_000
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: Sequence[float], levels: int = 1, accuracy: int = ACCURACY) -> DataFrame:
+    """(keys, n, q): exact quantiles with linear interpolation of each group's values, an array in the order asked for.
+
+    No task holds a group. A mergeable sketch with a bounded error of ranks gives an interval around each wanted rank;
+    values below it are counted, and only those in it, about 8 / accuracy of a group, are sorted, folded to distinct
+    values with counts. At the default accuracy a task sorts 1 million of 10**9 rows; each further level divides that
+    by about 1,000 again. Groups without a value have no row.
+    """
+    p = [float(x) for x in probabilities]
+    names = [f"k_{k}" for k in range(len(keys))]
+    rows = df.filter(F.col(value).isNotNull()).select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(value).cast("double").alias("v"))
+    rows = rows if keys else rows.withColumn("k_0", F.lit(0))
+    names = names or ["k_0"]
+    same = lambda a, b, cols: functools.reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols))
+    gap = 4 / accuracy
+    ends = [x for q in p for x in (max(0.0, q - gap), min(1.0, q + gap))]
+    group = rows.groupBy(*names).agg(F.count("*").alias("n"), F.percentile_approx("v", ends, accuracy).alias("e"), F.min("v").alias("least"), F.max("v").alias("most"))
+    # In groups of at most `accuracy` rows a rank is wider than the gap: they are taken whole.
+    end = lambda n, of, k, side: F.when(n > accuracy, of[k]).otherwise(F.col(side))
+    wanted = F.array(*(F.struct(F.lit(k).alias("i"), ((F.col("n") - 1) * q).alias("h"), end(F.col("n"), F.col("e"), 2 * k, "least").alias("lo"), end(F.col("n"), F.col("e"), 2 * k + 1, "most").alias("hi")) for k, q in enumerate(p)))
+    asked = group.select(*names, "n", F.inline(wanted))
+
+    def narrowed(inside: DataFrame) -> DataFrame:
+        """Each value once for each wanted rank of its group, unless it is above the rank's interval."""
+        all_ = inside.groupBy(*names).agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "h", "lo", "hi")).alias("w"))  # a handful for each group
+        joined = rows.alias("r").join(all_.alias("g"), same("r", "g", names))
+        return joined.select(*(f"r.{c}" for c in names), "v", "n", F.inline(F.filter("w", lambda x: F.col("v") <= x["hi"])))
+
+    for _ in range(levels - 1):
+        near = narrowed(asked)
+        counts = near.groupBy(*names, "i").agg(F.count_if(F.col("v") < F.col("lo")).alias("below"))
+        within = near.filter(F.col("v") >= F.col("lo")).groupBy(*names, "i").agg(
+            F.count("*").alias("m"), F.first("n").alias("n"), F.first("h").alias("h"), F.percentile_approx("v", [k / 1000 for k in range(1001)], accuracy).alias("e"), F.min("v").alias("least"), F.max("v").alias("most")
+        )
+        both = within.alias("w").join(counts.alias("c"), same("w", "c", [*names, "i"]))
+        share = (F.col("h") - F.col("below")) / F.greatest(F.col("m") - 1, F.lit(1))
+        place = F.floor(share * 1000).cast("int")
+        asked = both.select(
+            *(F.col(f"w.{c}") for c in names), "n", F.col("w.i"), "h",
+            F.when((F.col("m") > accuracy) & (place >= 6), F.get("e", place - 6)).otherwise(F.col("least")).alias("lo"), F.when((F.col("m") > accuracy) & (place <= 993), F.get("e", place + 7)).otherwise(F.col("most")).alias("hi"),
+        )
+    near = narrowed(asked)
+    counted = near.groupBy(*names, "i", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("x")).agg(F.count("*").alias("f"), F.first("h").alias("h"), F.first("n").alias("n"))
+    # x is NULL: all that is below the interval, in one row.
+    upto = F.sum("f").over(Window.partitionBy(*names, "i").orderBy(F.col("x").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counted.withColumn("upto", upto)
+    at = lambda r: F.max(F.when((F.col("upto") - F.col("f") <= r) & (r < F.col("upto")), F.col("x")))
+    low, high = F.floor("h"), F.ceil("h")
+    one = placed.groupBy(*names, "i").agg(F.first("n").alias("n"), F.first("h").alias("h"), at(low).alias("a"), at(high).alias("b"))
+    part = F.col("h") - F.floor("h")
+    value_ = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise(F.col("a") * (1 - part) + F.col("b") * part)
+    lists = one.select(*names, "n", "i", value_.alias("q")).groupBy(*names).agg(F.first("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "q"))).alias("s"))
+    return lists.select(*(F.col(a).alias(b) for a, b in zip(names, keys)), "n", F.transform("s", lambda x: x["q"]).alias("q"))
+
+
+def with_quantiles(one: DataFrame, df: DataFrame, value: str, probabilities: Sequence[float]) -> DataFrame:
+    """A table of one row with q, exact quantiles of all of df; NULL if it has no value."""
+    none = df.sparkSession.range(1).select(F.array().cast("array<double>").alias("q"))
+    q = exact_quantiles(df, [], value, probabilities).select("q").unionByName(none).agg(F.max_by("q", F.size("q")).alias("q"))
+    return one.crossJoin(F.broadcast(q))
+
+
 def to_celsius(df: DataFrame, value: str, units: str | None = None, threshold: float = KELVIN_MEAN) -> DataFrame:
     """Minus 273.15 if the units are Kelvin or the mean of the whole table is over the threshold, else unchanged."""
     units = units if units is not None else units_of(df, value)
@@ -60,18 +128,18 @@ def missing_by_cell(df: DataFrame, keys: list[str], value: str, n_days: int) ->
 def describe(df: DataFrame, value: str) -> DataFrame:
     """count, mean, sample SD, min, quartiles, max; exact."""
     v = F.col(value)
-    q = F.percentile(v, [0.25, 0.5, 0.75])
-    out = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).cast("double").alias("min"), q.alias("q"), F.max(v).cast("double").alias("max"))
-    return out.select("count", "mean", "std", "min", F.col("q")[0].alias("p25"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p75"), "max")
+    one = df.agg(F.count(v).alias("count"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"), F.min(v).cast("double").alias("min"), F.max(v).cast("double").alias("max"))
+    out, q = with_quantiles(one, df, value, [0.25, 0.5, 0.75]), lambda k: F.get("q", k)
+    return out.select("count", "mean", "std", "min", q(0).alias("p25"), q(1).alias("p50"), q(2).alias("p75"), "max")
 
 
 def main_statistics(df: DataFrame, value: str, label: str) -> DataFrame:
     """(dataset, metric, value): the report's metrics of one cube; population SD, linear quantiles."""
     v = F.col(value)
-    q = F.percentile(v, [p / 100 for p in PERCENTILES])
-    one = df.agg(F.min(v).alias("min"), q.alias("q"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.max(v).alias("max"), E.distinct_few("day").cast("double").alias("days"), F.count(v).cast("double").alias("values"))
-    cols = {"min": F.col("min"), "mean": F.col("mean"), "sd": F.col("sd"), "max": F.col("max"), "days": F.col("days"), "values": F.col("values"), "iqr": F.col("q")[2] - F.col("q")[0]}
-    cols |= {f"p{p}": F.col("q")[k] for k, p in enumerate(PERCENTILES)}
+    one = df.agg(F.min(v).alias("min"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("sd"), F.max(v).alias("max"), E.distinct_few("day").cast("double").alias("days"), F.count(v).cast("double").alias("values"))
+    one, q = with_quantiles(one, df, value, [p / 100 for p in PERCENTILES]), lambda k: F.get("q", k)
+    cols = {"min": F.col("min"), "mean": F.col("mean"), "sd": F.col("sd"), "max": F.col("max"), "days": F.col("days"), "values": F.col("values"), "iqr": q(2) - q(0)}
+    cols |= {f"p{p}": q(k) for k, p in enumerate(PERCENTILES)}
     pairs = F.array(*(F.struct(F.lit(k).alias("metric"), c.cast("double").alias("value")) for k, c in cols.items()))
     return one.select(F.lit(label).alias("dataset"), F.inline(pairs))
 
@@ -92,12 +160,12 @@ def main_report(fine: DataFrame, coarse: DataFrame, n_pixels: int) -> DataFrame:
 
 def colour_limits(df: DataFrame, value: str) -> DataFrame:
     """2nd and 98th percentile of all panels together."""
-    return df.agg(F.percentile(value, COLOUR_LIMITS[0]).alias("vmin"), F.percentile(value, COLOUR_LIMITS[1]).alias("vmax"))
+    return with_quantiles(df.agg(F.count(value).alias("n")), df, value, COLOUR_LIMITS).select(F.get("q", 0).alias("vmin"), F.get("q", 1).alias("vmax"))
 
 
 def symmetric_limits(df: DataFrame, value: str) -> DataFrame:
-    high = F.percentile(F.abs(F.col(value)), COLOUR_LIMITS[1])
-    return df.agg((-high).alias("vmin"), high.alias("vmax"))
+    sizes = df.select(F.abs(F.col(value)).alias("v"))
+    return with_quantiles(sizes.agg(F.count("v").alias("n")), sizes, "v", [COLOUR_LIMITS[1]]).select((-F.get("q", 0)).alias("vmin"), F.get("q", 0).alias("vmax"))
 
 
 def histogram(df: DataFrame, value: str, edges: int = HISTOGRAM_EDGES) -> DataFrame:
@@ -115,35 +183,39 @@ def histogram(df: DataFrame, value: str, edges: int = HISTOGRAM_EDGES) -> DataFr
     return out.select("label", "bin", (F.col("low") + F.col("bin") * width).alias("lo"), (F.col("low") + (F.col("bin") + 1) * width).alias("hi"), "n", F.try_divide(F.col("n"), F.col("total") * width).alias("density"))
 
 
-def box_statistics(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def box_statistics(df: DataFrame, keys: list[str], value: str, more: Sequence[Column] = ()) -> DataFrame:
     """Per group: n, q1, median, q3 and whiskers, the extreme values within 1.5 IQR of the box.
 
-    Quantiles are exact over (value, count), folded first, so a group holds distinct values only.
+    Quantiles are those of exact_quantiles(). more: other aggregates of the group's rows, taken in the pass that finds
+    the whiskers. Rows with a NULL key are left out.
     """
-    counted = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("f"))
-    box = counted.groupBy(*keys).agg(F.sum("f").alias("n"), F.percentile("v", [0.25, 0.5, 0.75], F.col("f")).alias("q")).select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    every = df.filter(F.col(value).isNotNull()).dropna(subset=keys).withColumn("v", F.col(value))
+    rows = every.select(*keys, "v")
+    box = exact_quantiles(rows, keys, "v", [0.25, 0.5, 0.75]).select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = counted.join(box, keys).filter((F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach))
-    whiskers = inside.groupBy(*keys).agg(F.min("v").alias("whisker_lo"), F.max("v").alias("whisker_hi"))
+    inside = F.when((F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach), F.col("v"))
+    whiskers = every.join(box.select(*keys, "q1", "q3"), keys).groupBy(*keys).agg(F.min(inside).alias("whisker_lo"), F.max(inside).alias("whisker_hi"), *more)
     return box.join(whiskers, keys, "left")
 
 
 def quantiles(df: DataFrame, keys: list[str], value: str, percents=PERCENTILES) -> DataFrame:
     """(keys, percent, value), exact."""
-    q = df.groupBy(*keys).agg(F.percentile(value, [p / 100 for p in percents]).alias("q"))
+    q = exact_quantiles(df, keys, value, [p / 100 for p in percents])
     pairs = F.array(*(F.struct(F.lit(p).alias("percent"), F.col("q")[k].alias("value")) for k, p in enumerate(percents)))
     return q.select(*keys, F.inline(pairs))
 
 
-def hexagons(df: DataFrame, x: str, y: str, columns: int = HEX_COLUMNS) -> DataFrame:
+def hexagons(df: DataFrame, x: str, y: str, columns: int = HEX_COLUMNS, span: DataFrame | None = None) -> DataFrame:
     """(x, y, n): centres of hexagons with at least one point, over all points.
 
+    span: the extremes x0, x1, y0, y1 in one row, where they are known without another pass over df.
+
     Two rectangular lattices, one shifted by half a step both ways; a point belongs to the nearer centre, in
     units in which a hexagon is one wide and the square root of 3 high for two rows.
     """
     clean = df.filter(E.is_finite(F.col(x)) & E.is_finite(F.col(y))).select(F.col(x).alias("px"), F.col(y).alias("py"))
     rows = int(columns / math.sqrt(3))
-    span = clean.agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
+    span = span if span is not None else clean.agg(F.min("px").alias("x0"), F.max("px").alias("x1"), F.min("py").alias("y0"), F.max("py").alias("y1"))
     # A constant coordinate gets a step of 1, so that all its points share one line.
     step = lambda a, b, n: F.when(F.col(b) > F.col(a), (F.col(b) - F.col(a)) / n).otherwise(1.0)
     p = clean.crossJoin(F.broadcast(span)).select(((F.col("px") - F.col("x0")) / step("x0", "x1", columns)).alias("u"), ((F.col("py") - F.col("y0")) / step("y0", "y1", rows)).alias("w"))
@@ -160,7 +232,12 @@ def ranges(df: DataFrame, value: Column) -> DataFrame:
     return df.agg(F.min(value).alias("min"), F.avg(value).alias("mean"), F.max(value).alias("max"))
 
 
-def export_sample(df: DataFrame, rows: int, seed: int = 42) -> DataFrame:
-    """About so many rows, for display only; statistics never use it."""
-    n = df.count()
-    return df.sample(min(1.0, rows / n), seed) if n > rows else df
+def export_sample(df: DataFrame, rows: int, seed: int = 42, by: Sequence[str] | None = None) -> DataFrame:
+    """About so many rows, for display only; statistics never use it.
+
+    Rows are chosen by a digest of what names them (by, or all columns), so the choice is the same at each run.
+    """
+    names = F.md5(F.concat_ws("|", *(F.col(c).cast("string") for c in by or df.columns), F.lit(str(seed))))
+    place = F.conv(F.substring(names, 1, 8), 16, 10).cast("double") / float(1 << 32)
+    size = df.agg(F.count("*").alias("size_"))
+    return df.withColumn("place_", place).crossJoin(F.broadcast(size)).filter(F.col("place_") * F.col("size_") < rows).drop("place_", "size_")

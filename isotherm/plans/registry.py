@@ -60,6 +60,23 @@ def _pairs(g: Grids) -> DataFrame:
     return pairing.paired(g.fine, g.coarse, axes=(COARSE_LATS, COARSE_LONS))
 
 
+_FOUR = ["era5_lat", "era5_lon", "cmip_lat", "cmip_lon"]
+_TWO = ["cmip_lat", "cmip_lon"]
+
+
+def _folded(g: Grids) -> DataFrame:
+    return pairing.folded_pairs(g.fine, g.coarse, axes=(COARSE_LATS, COARSE_LONS))
+
+
+def _model(g: Grids) -> DataFrame:
+    """The global fit; the pairs aren't built for it."""
+    return regression.fit_folded(_folded(g))
+
+
+def _resid(g: Grids) -> DataFrame:
+    return regression.residuals(_pairs(g), _model(g))
+
+
 def _assigned(g: Grids) -> DataFrame:
     return grid.assign_cells(g.pixels, COARSE_LATS, COARSE_LONS)
 
@@ -251,7 +268,7 @@ def _(g, spark):
 
 @_query("paired", f"select {_PAIR}, {DAY}, [[t2m]] as t2m, [[tas]] as tas from paired", "paired")
 def _(g, spark):
-    return _pairs(g)
+    return _pairs(g).select(*_FOUR, "day", "t2m", "tas")
 
 
 @_query("paired_aligned", "select count(*) as n, count(distinct day) as n_days, [[sum(t2m)]] as t2m, [[avg(tas)]] as tas from paired", "paired")
@@ -266,17 +283,15 @@ def _(g, spark):
     "paired",
 )
 def _(g, spark):
-    p, q = _pairs(g), F.percentile("t2m", [0.25, 0.5, 0.75])
-    one = p.agg(
-        F.count("*").alias("n"), E.distinct_few("cmip_lat", "cmip_lon").alias("n_cells"), E.distinct_few("day").alias("n_days"), F.regr_slope("t2m", "tas").alias("slope"), F.regr_intercept("t2m", "tas").alias("intercept"),
-        F.corr("t2m", "tas").alias("r"), F.avg("t2m").alias("t2m_mean"), F.stddev_pop("t2m").alias("t2m_sd"), q.alias("q"),
-    )
-    return one.withColumns({"t2m_median": F.col("q")[1], "t2m_iqr": F.col("q")[2] - F.col("q")[0]}).drop("q")
+    n, mean = F.sum("n"), F.sum("total") / F.sum("n")
+    one = _folded(g).agg(n.alias("n"), E.distinct_few("clat_ix", "clon_ix").alias("n_cells"), E.distinct_few("day").alias("n_days"), mean.alias("t2m_mean"), F.sqrt(F.sum("square") / n - mean * mean).alias("t2m_sd"))
+    out = stats.with_quantiles(one.crossJoin(_model(g).select("slope", "intercept", "r")), _pairs(g), "t2m", [0.25, 0.5, 0.75])
+    return out.withColumns({"t2m_median": F.get("q", F.lit(1)), "t2m_iqr": F.get("q", F.lit(2)) - F.get("q", F.lit(0))}).drop("q")
 
 
 @_query("pixel_counts", f"select {_CELL}, n_pixels from counts", "counts")
 def _(g, spark):
-    return grid.pixel_counts(_assigned(g).filter("is_land"))
+    return grid.pixel_counts(_assigned(g).filter("is_land")).select(*_TWO, "n_pixels")
 
 
 @_query(
@@ -291,12 +306,12 @@ def _(g, spark):
 
 @_query("sea_fraction", f"select {_CELL}, n_total, n_land, n_sea, [[sea_fraction]] as sea_fraction from sea", "sea")
 def _(g, spark):
-    return grid.sea_fraction(_assigned(g))
+    return grid.sea_fraction(_assigned(g)).select(*_TWO, "n_total", "n_land", "n_sea", "sea_fraction")
 
 
 @_query("cell_stats", f"select {_CELL}, n_total, n_land, n_sea, [[sea_fraction]] as sea_fraction, n_land_pixels::bigint as n_land_pixels from stats", "stats")
 def _(g, spark):
-    return _stats(g)
+    return _stats(g).drop("clat_ix", "clon_ix")
 
 
 @_query("coastal_counts", "select count(*) filter (sea_fraction > 0) as coastal, count(*) filter (sea_fraction = 0) as inland from stats", "stats")
@@ -538,7 +553,9 @@ def _(g, spark):
     "paired",
 )
 def _(g, spark):
-    return stats.hexagons(_pairs(g), "tas", "t2m")
+    f = _folded(g).filter(E.is_finite(F.col("tas")))
+    span = f.agg(F.min("tas").alias("x0"), F.max("tas").alias("x1"), F.min("low").alias("y0"), F.max("high").alias("y1"))
+    return stats.hexagons(_pairs(g), "tas", "t2m", span=span)
 
 
 # --- models
@@ -546,29 +563,32 @@ def _(g, spark):
 
 @_query("ols_fit", "select [[slope]] as slope, [[intercept]] as intercept, [[(select corr(t2m, tas) from paired)]] as r, (select count(*) from paired) as n from model", "model", "paired")
 def _(g, spark):
-    return regression.fit(_pairs(g))
+    return _model(g).select("slope", "intercept", "r", "n")
 
 
 @_query("ols_residuals", f"select {_PAIR}, {DAY}, [[residual]] as residual from resid", "resid")
 def _(g, spark):
-    return regression.residuals(_pairs(g))
+    return _resid(g).select(*_FOUR, "day", "residual")
 
 
 @_query("residual_sd", "select [[stddev_samp(residual)]] as sd, [[avg(residual)]] as mean, count(*) as n from resid", "resid")
 def _(g, spark):
-    return regression.residuals(_pairs(g)).agg(F.stddev_samp("residual").alias("sd"), F.avg("residual").alias("mean"), F.count("*").alias("n"))
+    return _resid(g).agg(F.stddev_samp("residual").alias("sd"), F.avg("residual").alias("mean"), F.count("*").alias("n"))
 
 
 @_query("mean_residual_map", f"select {_PIXEL}, [[m]] as mean_std_residual from pixels left join (select era5_lat, era5_lon, avg(residual / sd) as m from resid, (select stddev_samp(residual) as sd from resid) group by all) using (era5_lat, era5_lon)", "pixels", "resid")
 def _(g, spark):
-    means = regression.mean_standardized(_pairs(g))
-    keyed = means.withColumns({"lat_ix": E.nearest_index(F.col("era5_lat"), [24.0 + i * 0.1 for i in range(141)]), "lon_ix": E.nearest_index(F.col("era5_lon"), [30.0 + i * 0.1 for i in range(81)])})
-    return grid.on_grid(g.pixels, keyed.select("lat_ix", "lon_ix", "mean_std_residual"), ["lat_ix", "lon_ix"]).select("era5_lat", "era5_lon", "mean_std_residual")
+    means = regression.mean_standardized(_pairs(g), _model(g))
+    return grid.on_grid(g.pixels, means.select("lat_ix", "lon_ix", "mean_std_residual"), ["lat_ix", "lon_ix"]).select("era5_lat", "era5_lon", "mean_std_residual")
 
 
 @_query("residual_limits", "select [[-quantile_cont(abs(m), 0.98)]] as vmin, [[quantile_cont(abs(m), 0.98)]] as vmax from (select avg(residual / sd) as m from resid, (select stddev_samp(residual) as sd from resid) group by era5_lat, era5_lon)", "resid")
 def _(g, spark):
-    return stats.symmetric_limits(regression.mean_standardized(_pairs(g)), "mean_std_residual")
+    return stats.symmetric_limits(regression.mean_standardized(_pairs(g), _model(g)), "mean_std_residual")
+
+
+def _means(g: Grids) -> DataFrame:
+    return pairing.means_of_folded(_folded(g))
 
 
 _MEANS = "select cmip_lat, cmip_lon, day, tas, avg(t2m) as t2m_mean from paired where tas is not null group by all"
@@ -576,17 +596,17 @@ _MEANS = "select cmip_lat, cmip_lon, day, tas, avg(t2m) as t2m_mean from paired
 
 @_query("cell_day_means", f"select {_CELL}, {DAY}, [[tas]] as tas, [[t2m_mean]] as t2m_mean from ({_MEANS})", "paired")
 def _(g, spark):
-    return pairing.cell_day_means(_pairs(g))
+    return _means(g).select(*_TWO, "day", "tas", "t2m_mean")
 
 
 @_query("cell_day_ols", f"select [[regr_slope(t2m_mean, tas)]] as slope, [[regr_intercept(t2m_mean, tas)]] as intercept, [[corr(t2m_mean, tas)]] as r, count(*) as n from ({_MEANS})", "paired")
 def _(g, spark):
-    return regression.fit(pairing.cell_day_means(_pairs(g)), "tas", "t2m_mean")
+    return regression.fit(_means(g), "tas", "t2m_mean")
 
 
 @_query("regression_line", f"select i, [[x]] as x, [[slope * x + intercept]] as y from (select i, lo + i * ((hi - lo) / 199) as x, slope, intercept from (select range as i from range(200)), (select min(tas) as lo, max(tas) as hi, regr_slope(t2m_mean, tas) as slope, regr_intercept(t2m_mean, tas) as intercept from ({_MEANS})))", "paired")
 def _(g, spark):
-    return regression.line_samples(pairing.cell_day_means(_pairs(g)), "tas", "t2m_mean")
+    return regression.line_samples(_means(g), "tas", "t2m_mean")
 
 
 _MARKS = "case when i = {n} then hi else lo + i * ((hi - lo) / {n}) end"
@@ -602,7 +622,7 @@ _MARKS = "case when i = {n} then hi else lo + i * ((hi - lo) / {n}) end"
 def _(g, spark):
     distances = grid.distance_to_center(_assigned(g).filter("is_land"))
     p = _pairs(g)
-    return regression.residuals_by_distance(pairing.with_distance(p, distances))
+    return regression.residuals_by_distance(pairing.with_distance(p, distances), model=_model(g))
 
 
 ORACLE_SQL["resid_by_distance"] = ORACLE_SQL["resid_by_distance"].replace("\nwith far as", ",\nfar as")
@@ -618,13 +638,13 @@ from edge a join edge b on b.k = a.k + 1 left join box on box.bin = a.k"""
 
 @_query("resid_by_sea_fraction", _by_cell_sql("select range as k, case when range = 5 then 1.0::double else range * 0.2::double end as e from range(6)", "sea_fraction", 5), "resid", "stats")
 def _(g, spark):
-    return regression.residuals_by_cell_bin(regression.residuals(_pairs(g)), _stats(g), "sea_fraction", regression.sea_fraction_edges())
+    return regression.residuals_by_cell_bin(_resid(g), _stats(g), "sea_fraction", regression.sea_fraction_edges())
 
 
 @_query("resid_by_pixel_count", _by_cell_sql("select range as k, (select quantile_cont(n_land_pixels, [0, 0.2, 0.4, 0.6, 0.8, 1]) from stats)[range + 1] - case when range = 0 then 1 else 0 end as e from range(6)", "n_land_pixels", 5), "resid", "stats")
 def _(g, spark):
     s = _stats(g)
-    return regression.residuals_by_cell_bin(regression.residuals(_pairs(g)), s, "n_land_pixels", regression.pixel_count_edges(s))
+    return regression.residuals_by_cell_bin(_resid(g), s, "n_land_pixels", regression.pixel_count_edges(s))
 
 
 for _name in ("resid_by_sea_fraction", "resid_by_pixel_count"):
@@ -633,12 +653,12 @@ for _name in ("resid_by_sea_fraction", "resid_by_pixel_count"):
 
 @_query("resid_by_season", f"select season, {_BOX} from ({_box_sql(f'select {_SEASON} as season, residual from resid', 'season', 'residual')})", "resid")
 def _(g, spark):
-    return stats.box_statistics(calendar.with_season(regression.residuals(_pairs(g))), ["season"], "residual")
+    return stats.box_statistics(calendar.with_season(_resid(g)), ["season"], "residual")
 
 
 @_query("resid_by_month", f"select month, {_BOX} from ({_box_sql('select month(day) as month, residual from resid', 'month', 'residual')})", "resid")
 def _(g, spark):
-    return stats.box_statistics(regression.residuals(_pairs(g)).withColumn("month", F.month("day")), ["month"], "residual")
+    return stats.box_statistics(_resid(g).withColumn("month", F.month("day")), ["month"], "residual")
 
 
 _INDEXED = "select label, strftime(day, '%m-%d') as date, day, value, (row_number() over (partition by label, strftime(day, '%m-%d') order by day) - 1)::double as x from ({s}) where strftime(day, '%m-%d') in ({d})"
@@ -774,9 +794,106 @@ def _(g, spark):
     return extensions.serial_correlation(_series(g), (1, 7))
 
 
-@_query("skill_map", f"select {_PIXEL}, count(*) as n, [[avg(tas - t2m)]] as bias, [[sqrt(avg((tas - t2m) * (tas - t2m)))]] as rmse from paired group by era5_lat, era5_lon", "paired")
+@_query("skill_map", f"select {_PIXEL}, count(*) as n, [[avg(tas - t2m)]] as bias, [[sqrt(avg((tas - t2m) * (tas - t2m)))]] as rmse, [[case when stddev_pop(t2m) > 0 and stddev_pop(tas) > 0 then covar_pop(t2m, tas) / (stddev_pop(t2m) * stddev_pop(tas)) end]] as correlation from paired group by era5_lat, era5_lon", "paired")
+def _(g, spark):
+    return extensions.skill(_pairs(g)).drop("lat_ix", "lon_ix")
+
+
+_ACF = "select label, " + ", ".join(f"sum(e * e_{k}) / sum(e * e) as r{k}" for k in (1, 2, 3)) + " from (select *, " + ", ".join(f"lag(e, {k}) over (partition by label order by day) as e_{k}" for k in (1, 2, 3)) + " from (select *, value - avg(value) over (partition by label) as e from series)) group by label"
+
+
+@_query("partial_autocorrelation", f"select label, [[r1]] as pacf_1, [[p2]] as pacf_2, [[(r3 - a1 * r2 - p2 * r1) / (1 - a1 * r1 - p2 * r2)]] as pacf_3 from (select *, (r2 - r1 * r1) / (1 - r1 * r1) as p2, r1 * (1 - r2) / (1 - r1 * r1) as a1 from ({_ACF}))", "series")
+def _(g, spark):
+    return extensions.partial_autocorrelation(_series(g))
+
+
+_CDF_TAIL = "(((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * exp(-x * x) / 2)"
+
+
+@_query(
+    "residual_normality",
+    f"""select n, [[d]] as d, [[least(1.0, greatest(0.0, list_sum(list_transform(range(1, 101), lambda k: case when k % 2 = 1 then 2.0 else -2.0 end * exp(-2.0 * k * k * n * d * d)))))]] as p from (
+      select max(n) as n, max(greatest(i / n - f, f - (i - 1) / n)) as d from (
+        select n, i::double as i, case when z < 0 then {_CDF_TAIL} else 1 - {_CDF_TAIL} end as f from (select *, 1.0::double / (1.0 + 0.3275911::double * x) as t from (
+          select z, abs(z) / sqrt(2.0::double) as x, count(*) over () as n, row_number() over (order by z) as i from (select (residual - (select avg(residual) from resid)) / (select stddev_samp(residual) from resid) as z from resid)))))""",
+    "resid",
+)
 def _(g, spark):
-    return extensions.skill(_pairs(g))
+    return extensions.normality(_resid(g), "residual")
+
+
+@_query(
+    "random_intercept",
+    """select n, n_cells, [[v]] as var_cell, [[e]] as var_error, [[v / (v + e)]] as icc from (select n, n_cells, e, greatest(0, (b - e) / size) as v from (
+      select sum(m)::bigint as n, count(*) as n_cells, sum(ss) / (sum(m) - count(*)) as e, sum(m * pow(mean - (select avg(residual) from resid), 2)) / (count(*) - 1) as b, (sum(m) - sum(m * m)::double / sum(m)) / (count(*) - 1) as size
+      from (select count(*) as m, avg(residual) as mean, count(*) * var_pop(residual) as ss from resid group by cmip_lat, cmip_lon)))""",
+    "resid",
+)
+def _(g, spark):
+    return extensions.random_intercept(_resid(g))
+
+
+@_query(
+    "interaction_fit",
+    """,
+p as (select t2m as y, tas as x1, sea_fraction as x2, tas * sea_fraction as x3 from paired join sea using (cmip_lat, cmip_lon)),
+m as (select avg(y) as my, avg(x1) as m1, avg(x2) as m2, avg(x3) as m3, regr_slope(x2, x1) as b21, regr_slope(x3, x1) as b31, regr_slope(y, x1) as by1 from p),
+e as (select y - my as yc, x2 - m2 - b21 * (x1 - m1) as e2, x3 - m3 - b31 * (x1 - m1) as f3 from p, m),
+b as (select sum(f3 * e2) / sum(e2 * e2) as b32, sum(yc * e2) / sum(e2 * e2) as by2 from e),
+c as (select sum(yc * (f3 - b32 * e2)) / sum(pow(f3 - b32 * e2, 2)) as c3 from e, b),
+d as (select c3, by2 - c3 * b32 as c2, by1 - (by2 - c3 * b32) * b21 - c3 * b31 as c1, * from m, b, c)
+select 'tas' as term, [[c1]] as coefficient from d union all select 'sea_fraction', [[c2]] from d union all select 'tas:sea_fraction', [[c3]] from d union all select 'intercept', [[my - c1 * m1 - c2 * m2 - c3 * m3]] from d""",
+    "paired", "sea",
+)
+def _(g, spark):
+    sea = grid.sea_fraction(_assigned(g)).select("clat_ix", "clon_ix", "sea_fraction")
+    rows = _pairs(g).join(sea, ["clat_ix", "clon_ix"])
+    return extensions.multiple_regression(rows, "t2m", {"tas": F.col("tas"), "sea_fraction": F.col("sea_fraction"), "tas:sea_fraction": F.col("tas") * F.col("sea_fraction")})
+
+
+ORACLE_SQL["interaction_fit"] = ORACLE_SQL["interaction_fit"].replace("\n,\np as", ",\np as")
+
+_MODELS = "select 'a' as model, tas, t2m from paired union all select 'b', 0.5 * tas + clat_ix, t2m from paired join clat using (cmip_lat)"
+
+
+@_query("ols_by_model", f"select model, [[regr_slope(t2m, tas)]] as slope, [[regr_intercept(t2m, tas)]] as intercept, [[corr(t2m, tas)]] as r, count(*) as n from ({_MODELS}) group by model", "paired", "clat")
+def _(g, spark):
+    second = g.coarse.withColumn("tas", 0.5 * F.col("tas") + F.col("clat_ix")).withColumn("model", F.lit("b"))
+    both = g.coarse.withColumn("model", F.lit("a")).unionByName(second)
+    folded = pairing.folded_pairs(g.fine, both, axes=(COARSE_LATS, COARSE_LONS))
+    return regression.fit_folded(folded, keys=["model"]).select("model", "slope", "intercept", "r", "n")
+
+
+@_query("pairs_by_model", f"select model, count(*) as n, [[sum(tas)]] as tas, [[sum(t2m)]] as t2m from ({_MODELS}) group by model", "paired", "clat")
+def _(g, spark):
+    second = g.coarse.withColumn("tas", 0.5 * F.col("tas") + F.col("clat_ix")).withColumn("model", F.lit("b"))
+    both = g.coarse.withColumn("model", F.lit("a")).unionByName(second)
+    return pairing.paired(g.fine, both, axes=(COARSE_LATS, COARSE_LONS)).groupBy("model").agg(F.count("*").alias("n"), F.sum("tas").alias("tas"), F.sum("t2m").alias("t2m"))
+
+
+@_query(
+    "display_sample",
+    f"""select {DAY}, lat_ix::bigint as lat_ix, lon_ix::bigint as lon_ix, [[t2m]] as t2m from fine, (select count(*) as size from fine)
+      where ('0x' || substr(md5(lat_ix || '|' || lon_ix || '|' || strftime(day, '%Y-%m-%d') || '|42'), 1, 8))::bigint / 4294967296.0::double * size < 500""",
+    "fine",
+)
+def _(g, spark):
+    return stats.export_sample(g.fine, 500, by=["lat_ix", "lon_ix", "day"]).select("day", "lat_ix", "lon_ix", "t2m")
+
+
+_TEXT = "case o_orderkey % 4 when 0 then strftime(o_orderdate::date, '%Y-%m-%d') when 1 then strftime(o_orderdate::date, '%Y-%m-%d') || 'T12:00:00' when 2 then 'n/a' else strftime(o_orderdate::date, '%d/%m/%Y') end"
+
+
+def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    day = F.to_date("o_orderdate")
+    kinds = [E.day_text(day), F.concat(E.day_text(day), F.lit("T12:00:00")), F.lit("n/a"), F.date_format(day, "dd/MM/yyyy")]
+    text = F.get(F.array(*kinds), (F.col("o_orderkey") % 4).cast("int"))
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(E.parse_day(text).alias("day"))
+    return _plain(rows.groupBy("day").agg(F.count("*").alias("n")))
+
+
+QUERIES["parse_dates"] = _parsed
+ORACLE_SQL["parse_dates"] = f"select strftime(try_cast(substr(t, 1, 10) as date), '%Y-%m-%d') as day, count(*) as n from (select {_TEXT} as t from orders) group by 1"
 
 
 @_query("time_split", "select split, count(*) as n, min(doy) as first_doy, max(doy) as last_doy from (select case when year(day) <= 1995 then 'train' when year(day) <= 1996 then 'validation' else 'test' end as split, dayofyear(day) as doy from paired) group by split", "paired")
