@@ -220,19 +220,19 @@ def _one_decimal(value: Column, unit: str) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """1024-based units with one decimal."""
+    """1024-based units with one decimal; NULL has none."""
     out, units = None, ("B", "KB", "MB", "GB", "TB")
     for k, unit in enumerate(units):
         text = _one_decimal(size.cast("double") / float(1024**k), unit)
         last = k == len(units) - 1
         out = F.when(size < 1024 ** (k + 1), text) if out is None else out.otherwise(text) if last else out.when(size < 1024 ** (k + 1), text)
-    return out
+    return F.when(size.isNotNull(), out)
 
 
 def transfer_estimate(size: Column, mb_per_second: Column) -> Column:
     """Seconds below a minute, else minutes; 0 seconds if the rate isn't positive."""
     seconds = F.when(mb_per_second > 0, F.try_divide(size.cast("double"), mb_per_second * float(1024**2))).otherwise(0.0)
-    return F.when(seconds < 60, _one_decimal(seconds, "sec")).otherwise(_one_decimal(seconds / 60, "min"))
+    return F.when(size.isNotNull(), F.when(seconds < 60, _one_decimal(seconds, "sec")).otherwise(_one_decimal(seconds / 60, "min")))
 
 
 # --- Student's t

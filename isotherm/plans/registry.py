@@ -6,6 +6,8 @@ days are texts. Queries are thin: what they compute is in the operators.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +17,7 @@ from ..functions import expressions as E
 from ..operators import calendar, extensions, grid, pairing, regression, stats
 from ..schema import AUGUST, COARSE_PADDING, KELVIN_MEAN_SERIES, PERCENTILES, QUARTERS, STUDY_REGION, TARGET, Region
 from ..sources import grids as sources
+from ..sources import transfer
 from .fixtures import COARSE_LATS, COARSE_LONS, Grids, grids, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -765,6 +768,28 @@ ORACLE_SQL["transfer_report"] = f"""select c_custkey::bigint as c_custkey, case
   from (select *, case when rate > 0 then size / (rate * 1048576.0::double) else 0.0 end as s from (select c_custkey, {_SIZE} as size, (c_custkey % 25)::double as rate from customer))"""
 
 
+def _work_folder(spark: SparkSession, name: str) -> str:
+    """A new folder that all executors share."""
+    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
+    return f"{at.rstrip('/')}/isotherm-{name}-{uuid.uuid4().hex}"
+
+
+def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each nation, fetched unless it is there; one in five is, and one in five is not to be found."""
+    folder = _work_folder(spark, "fetch")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("k"), "n_name").filter("k % 5 != 1")
+    nations.coalesce(1).write.partitionBy("k").text(f"{folder}/from")
+    want = lambda k, contains: transfer.Request(f"n{k}", f"{folder}/to/{k}.txt", (f"{folder}/none", f"{folder}/from"), "part-*.txt", contains)
+    every = [want(k, f"/K={k}/") for k in range(25)]
+    transfer.fetch_missing(spark, every[::5]).collect()
+    return transfer.fetch_missing(spark, every).select("label", "status", "length", "size_text")
+
+
+QUERIES["fetch_missing"] = _fetched
+ORACLE_SQL["fetch_missing"] = """select 'n' || n_nationkey as label, case n_nationkey % 5 when 0 then 'skipped' when 1 then 'missing' else 'copied' end as status,
+  case when n_nationkey % 5 <> 1 then length(n_name) + 1 end::bigint as length, case when n_nationkey % 5 <> 1 then printf('%.1f B', (length(n_name) + 1)::double) end as size_text from nation"""
+
+
 # --- beyond the study's own analyses
 
 

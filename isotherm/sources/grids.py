@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import importlib.util
+import importlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -104,15 +104,18 @@ class _Chunk(InputPartition):
 
 
 def _open(path: str):
-    """With either library, whichever is there; both give arrays by name and decode packed values."""
-    if importlib.util.find_spec("netCDF4"):
-        import netCDF4
-
-        return netCDF4.Dataset(path)
-    if importlib.util.find_spec("h5netcdf"):
-        import h5netcdf.legacyapi
-
-        return h5netcdf.legacyapi.Dataset(path)
+    """With netCDF4, or with h5netcdf where that isn't installed or can't open the file; both give arrays by name and
+    decode packed values."""
+    failed: Exception | None = None
+    for library in ("netCDF4", "h5netcdf.legacyapi"):
+        try:
+            return importlib.import_module(library).Dataset(path)
+        except ModuleNotFoundError:
+            continue
+        except (OSError, RuntimeError, ValueError) as e:
+            failed = e
+    if failed is not None:
+        raise OSError(f"{path} can't be opened") from failed
     raise ImportError("reading NetCDF needs netCDF4 or h5netcdf; convert to Parquet where neither is installed")
 
 

@@ -330,6 +330,92 @@ def test_files(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
 
 
+def test_fetching_what_is_missing(spark, tmp_path):
+    from isotherm.sources import transfer
+
+    a, b, to = tmp_path / "a", tmp_path / "b" / "deep", tmp_path / "to"
+    for d in (a, b, to):
+        d.mkdir(parents=True)
+    (a / "x_1990.nc").write_bytes(b"1" * 3_000_000)
+    (b / "T2M_1990.nc").write_bytes(b"2" * 10)
+    (b / "x_1990.nc").write_bytes(b"3")
+    (to / "there.nc").write_bytes(b"old")
+    (a / "no.nc").write_bytes(b"9")
+    roots = (str(tmp_path / "gone"), str(a), str(tmp_path / "b"))
+    asked = [
+        transfer.Request("first root", str(to / "one.nc"), roots, "*1990*.nc"),
+        transfer.Request("by part", f"file://{to}/two/two.nc", roots, "*1990*.nc", "t2m"),
+        transfer.Request("there", str(to / "there.nc"), roots, "no.nc"),
+        transfer.Request("nowhere", str(to / "no.nc"), roots, "*1991*"),
+        transfer.Request("no folder", str(to / "there.nc" / "under.nc"), roots, "no.nc"),
+    ]
+    got = {r.label: r for r in transfer.fetch_missing(spark, asked).collect()}
+    assert {k: r.status for k, r in got.items()} == {"first root": "copied", "by part": "copied", "there": "skipped", "nowhere": "missing", "no folder": "failed"}
+    assert (got["first root"].length, got["first root"].size_text, got["first root"].eta) == (3_000_000, "2.9 MB", "0.1 sec")
+    assert (to / "one.nc").read_bytes() == b"1" * 3_000_000 and (to / "two" / "two.nc").read_bytes() == b"2" * 10 and (to / "there.nc").read_bytes() == b"old"
+    again = {r.label: r.status for r in transfer.fetch_missing(spark, asked[:2]).collect()}
+    assert again == {"first root": "skipped", "by part": "skipped"}
+
+
+class _Variable:
+    def __init__(self, values):
+        self.values = np.asarray(values)
+
+    def __len__(self):
+        return len(self.values)
+
+    def __getitem__(self, at):
+        return self.values[at]
+
+
+def _library(fails=False):
+    class Dataset:
+        def __init__(self, path):
+            if fails:
+                raise OSError("not this one")
+            t = np.ma.masked_invalid(np.arange(30, dtype=float).reshape(5, 2, 3))
+            t[1, 0, 0] = np.ma.masked
+            self.variables = {"lat": _Variable([24.0, 25.0]), "lon": _Variable([30.0, 31.0, 32.0]), "time": _Variable([0.0, 1.0, 2.0, 3.0, 4.0]), "tas": t}
+
+        def __enter__(self):
+            return self
+
+        def __exit__(self, *_):
+            return False
+
+    import types
+
+    return types.SimpleNamespace(Dataset=Dataset)
+
+
+@pytest.mark.parametrize("first", [None, _library(fails=True), _library()])
+def test_netcdf_is_read_by_either_library(monkeypatch, first):
+    """The reader over stand-ins of both libraries: the second one reads where the first is missing or fails."""
+    import importlib
+
+    real = importlib.import_module
+
+    def find(name, *a):
+        if name == "netCDF4":
+            if first is None:
+                raise ModuleNotFoundError(name)
+            return first
+        return _library() if name == "h5netcdf.legacyapi" else real(name, *a)
+
+    monkeypatch.setattr(sources.importlib, "import_module", find)
+    reader = sources.NetCdfSource({"path": "x.nc", "variable": "tas", "lat": "lat", "lon": "lon", "steps": "2"}).reader(None)
+    parts = reader.partitions()
+    assert [(p.start, p.stop) for p in parts] == [(0, 2), (2, 4), (4, 5)]
+    rows = [tuple(r.values()) for p in parts for b in reader.read(p) for r in b.to_pylist()]
+    assert len(rows) == 30 and rows[5] == (25.0, 32.0, 0.0, 5.0) and rows[6] == (24.0, 30.0, 1.0, None) and rows[-1] == (25.0, 32.0, 4.0, 29.0)
+
+
+def test_netcdf_that_no_library_opens(monkeypatch):
+    monkeypatch.setattr(sources.importlib, "import_module", lambda name: _library(fails=True))
+    with pytest.raises(OSError, match="can't be opened"):
+        sources._open("x.nc")
+
+
 def test_netcdf_needs_a_library(spark):
     sources.register_netcdf(spark)
     try:
@@ -337,3 +423,78 @@ def test_netcdf_needs_a_library(spark):
     except ImportError:
         with pytest.raises(Exception, match="netCDF4 or h5netcdf"):
             spark.read.format("netcdf").option("path", "x.nc").option("variable", "t2m").load().collect()
+
+
+def test_exact_quantiles_narrow_down(spark):
+    """All values distinct in one group, ties, small groups: with one level and two, and intervals far smaller than the group."""
+    rng = np.random.default_rng(1)
+    groups = {"all": rng.normal(size=20000).tolist(), "heavy": rng.pareto(0.5, 4000).tolist(), "ties": rng.integers(0, 4, 5000).astype(float).tolist(), "few": [1.0, 2.0, 5.0], "one": [3.0]}
+    df = spark.createDataFrame([(k, v) for k, x in groups.items() for v in x] + [("few", None), ("none", None)], "k string, v double").repartition(7)
+    p = [0, 0.02, 0.25, 0.5, 0.75, 0.98, 1]
+    for levels, accuracy in ((1, 10_000), (1, 300), (2, 300)):
+        got = {r.k: (r.n, r.q) for r in stats.exact_quantiles(df, ["k"], "v", p, levels, accuracy).collect()}
+        assert set(got) == set(groups)
+        for k, x in groups.items():
+            assert got[k][0] == len(x) and np.allclose(got[k][1], np.quantile(x, p), rtol=1e-12, atol=1e-12)
+    assert np.allclose(stats.exact_quantiles(df.filter("k = 'all'"), [], "v", p).first().q, np.quantile(groups["all"], p))
+    assert stats.exact_quantiles(df.limit(0), ["k"], "v", p).collect() == []
+    assert tuple(stats.colour_limits(df.limit(0), "v").first()) == (None, None)
+
+
+def test_fit_of_folded_pairs_is_that_of_the_pairs(spark):
+    rng = random.Random(5)
+    fine = [(i, j, 24.0 + i, 30.0 + j, D(1990, 1, d), rng.choice([rng.gauss(20, 5), None])) for i in range(4) for j in range(4) for d in range(1, 20)]
+    coarse = [(i, j, 24.5 + 2 * i, 30.5 + 2 * j, D(1990, 1, d), rng.choice([rng.gauss(18, 4), rng.gauss(18, 4), None])) for i in range(2) for j in range(2) for d in range(1, 25)]
+    f = spark.createDataFrame(fine, "lat_ix int, lon_ix int, era5_lat double, era5_lon double, day date, t2m double")
+    c = spark.createDataFrame(coarse, "clat_ix int, clon_ix int, cmip_lat double, cmip_lon double, day date, tas double")
+    p = pairing.paired(f, c)
+    a, b, sd = regression.fit_folded(pairing.folded_pairs(f, c)).first(), regression.fit(p).first(), regression.fit_with_sd(p).first().sd
+    assert (a.slope, a.intercept, a.r, a.sd) == pytest.approx((b.slope, b.intercept, b.r, sd)) and a.n == b.n > 50
+    assert regression.fit_folded(pairing.folded_pairs(f.limit(0), c)).first().n == 0
+    both = c.withColumn("model", F.lit("a")).unionByName(c.withColumn("model", F.lit("b")).withColumn("tas", 2 * F.col("tas")))
+    m = {r.model: r.slope for r in regression.fit_folded(pairing.folded_pairs(f, both), ["model"]).collect()}
+    assert m["a"] == pytest.approx(b.slope) and m["b"] == pytest.approx(b.slope / 2)
+    assert pairing.paired(f, both).count() == 2 * p.count()
+
+
+def test_pairs_join_by_index_and_find_lines_once(spark, sf_dir):
+    """T19: no double is a join key; and no scan filter looks a line up."""
+    from isotherm.plans import registry
+
+    for name in ("mean_residual_map", "resid_by_sea_fraction", "cell_stats", "resid_by_distance"):
+        plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+        joins = [x for x in plan.split("\n") if "Join [" in x]
+        assert joins and not any(c in x.split("Join")[1].split("Inner")[0].split("Left")[0] for x in joins for c in ("_lat#", "_lon#"))
+        assert not any("array(" in x or "[23.0" in x or "abs((" in x and "era5" in x for x in plan.split("\n") if "Filter" in x)
+
+
+def test_normality_and_components(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(2, 3, 700)
+    got = extensions.normality(spark.createDataFrame([(float(v),) for v in x] + [(None,), (float("nan"),)], "v double"), "v").first()
+    z = np.sort((x - x.mean()) / x.std(ddof=1))
+    from math import erf
+
+    cdf = np.array([0.5 * (1 + erf(v / 2**0.5)) for v in z])
+    d = max((np.arange(1, 701) / 700 - cdf).max(), (cdf - np.arange(700) / 700).max())
+    assert got.n == 700 and got.d == pytest.approx(d, abs=1e-6) and 0.05 < got.p <= 1
+    skewed = extensions.normality(spark.createDataFrame([(float(v),) for v in rng.exponential(size=2000)], "v double"), "v").first()
+    assert skewed.p < 1e-6
+    assert extensions.normality(spark.createDataFrame([(1.0,), (1.0,)], "v double"), "v").collect() == []
+    cells = [(float(c), 0.0, float(c + rng.normal())) for c in range(30) for _ in range(20)]
+    r = extensions.random_intercept(spark.createDataFrame(cells, "cmip_lat double, cmip_lon double, residual double")).first()
+    assert r.n == 600 and r.n_cells == 30 and r.var_error == pytest.approx(1, abs=0.2) and r.var_cell == pytest.approx(np.var(range(30), ddof=1), rel=0.1)
+
+
+def test_partial_autocorrelation(spark):
+    rng = np.random.default_rng(6)
+    y = [0.0, 0.0]
+    for _ in range(800):
+        y.append(0.5 * y[-1] + 0.3 * y[-2] + rng.normal())
+    s = series(spark, [(D(1990, 1, 1) + dt.timedelta(k), float(v)) for k, v in enumerate(y)])
+    r = extensions.partial_autocorrelation(s, 4).first()
+    e = np.array(y) - np.mean(y)
+    acf = [1.0] + [float((e[k:] * e[:-k]).sum() / (e**2).sum()) for k in range(1, 5)]
+    for k in range(1, 5):
+        m = np.array([[acf[abs(i - j)] for j in range(k)] for i in range(k)])
+        assert r[f"pacf_{k}"] == pytest.approx(np.linalg.solve(m, acf[1 : k + 1])[-1])

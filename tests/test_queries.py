@@ -7,7 +7,7 @@ import pytest
 
 from isotherm.plans import registry
 
-TABLES = ("lineitem", "orders", "customer")
+TABLES = ("lineitem", "orders", "customer", "nation")
 #: Queries whose days the smallest tables may not have.
 RARE = ("august_trend",)
 
