@@ -1,16 +1,18 @@
 """License scans with a positional index of rare words.
 
-Templates are sequences of words with mandatory key phrases in them. The index files each template under its
-rarest word (highest IDF over all documents) with the places of that word in it, and keeps the places of the
-next rarest words beside it. In a file, each occurrence of a filed word is looked up; a posting at place q
-puts the template at (occurrence - q). Such an alignment is kept if the second rarest word stands at its own
-relative place too, then its key phrases are compared word by word, and its score is the share of the
-template's words that stand where they should. Every alignment is found, because every key phrase holds the
-template's filed words: ``Template`` insists on it.
+Templates are sequences of words with mandatory key phrases in them. The index files each template under the
+rarest words of its key phrases (up to ``POSTINGS`` of them, highest IDF over all documents), each with its place in
+the template. In a file, the occurrences of each filed word are a posting list; moved by the word's place in the
+template, each list names the places where the template may begin. The lists of a template are intersected, rarest
+first; what is left is verified: its key phrases are compared word by word. Every place is found, because every key
+phrase holds the words that it is filed under: ``Template`` insists on it.
 
 The three base phrases are templates as well, each wholly mandatory, so all of their places come from the
 same index.
 
+Score: 0 without a match; a base phrase alone, a mention, is 0.5; a notice or text is 0.5 and half of the share of its
+words that stand where they should. The largest one counts.
+
 Scale: two scans of the documents and no shuffle but the counts of the licence words (a fixed vocabulary of a
 few hundred words) for the IDF; index and counts have the size of the templates, whatever the input.
 
@@ -32,6 +34,10 @@ from pyspark.sql import functions as F
 from . import shared
 
 
+#: Posting lists of a template that are intersected.
+POSTINGS = 4
+
+
 @dataclass(frozen=True)
 class Template:
     """text: the words looked for; keys: phrases of it that must stand at their place; base: a base phrase."""
@@ -75,6 +81,8 @@ TEMPLATES = BASE + (
     Template("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
     Template("cc0", "cc0 1 0 universal", ("cc0 1 0",)),
     Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    Template("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ("may be used to endorse or promote products derived from this software",)),
+    Template("gpl-or-later", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("of the license or at your option any later version",)),
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
     Template("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
     Template("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
@@ -89,36 +97,45 @@ class Index:
         self.words = [t.words() for t in templates]
         self.keys = [t.key_places() for t in templates]
         self.idf = {w: math.log((1 + n) / (1 + df.get(w, 0))) for ws in self.words for w in ws}
-        #: word -> (template, its place, the second rarest word's distance from it or None, that word)
-        self.postings: dict[bytes, list[tuple[int, int, int | None, bytes]]] = {}
-        for k, keys in enumerate(self.keys):
-            places = sorted({(-self.idf[w], w, at + i) for at, phrase in keys for i, w in enumerate(phrase)})
-            _, rarest, q = places[0]
-            second = next(((at, w) for _, w, at in places[1:] if at != q), None)
-            self.postings.setdefault(rarest, []).append((k, q, second[0] - q if second else None, second[1] if second else b""))
-        self.filed = frozenset(self.postings)
+        #: Of each template: its postings (word, place), rarest first, each word once.
+        self.postings: list[list[tuple[bytes, int]]] = []
+        for keys in self.keys:
+            first: dict[bytes, int] = {}
+            for at, phrase in keys:
+                for i, w in enumerate(phrase):
+                    first.setdefault(w, at + i)
+            self.postings.append(sorted(first.items(), key=lambda x: (-self.idf[x[0]], x[0]))[:POSTINGS])
+        self.filed = frozenset(w for p in self.postings for w, _ in p)
 
     def alignments(self, words: list[bytes]) -> Iterator[tuple[int, int, float]]:
-        """(template, start, score) of each verified place; a start may be below 0 for a cut template."""
+        """(template, start, share of its words in place) of each verified place; a start may be below 0 for a cut template."""
         found = self.filed.intersection(words)
         if not found:
             return
-        n = len(words)
+        n, places = len(words), {w: [] for w in found}
         for p, word in enumerate(words):
-            if word not in found:
+            if word in found:
+                places[word].append(p)
+        for k, postings in enumerate(self.postings):
+            if not all(w in found for w, _ in postings):
                 continue
-            for k, q, step, other in self.postings[word]:
-                if step is not None and not (0 <= p + step < n and words[p + step] == other):
-                    continue
-                start = p - q
+            (rarest, q), *rest = postings
+            starts = {p - q for p in places[rarest]}
+            for w, q in rest:
+                starts &= {p - q for p in places[w]}
+                if not starts:
+                    break
+            for start in sorted(starts):
                 if all(start + at >= 0 and words[start + at : start + at + len(phrase)] == phrase for at, phrase in self.keys[k]):
                     own = self.words[k]
-                    same = sum(0 <= start + i < n and words[start + i] == w for i, w in enumerate(own))
-                    yield k, start, same / len(own)
+                    yield k, start, sum(0 <= start + i < n and words[start + i] == w for i, w in enumerate(own)) / len(own)
+
+    def score(self, k: int, share: float) -> float:
+        return 0.5 if self.templates[k].base else 0.5 + 0.5 * share
 
     def scan(self, words: list[bytes]) -> tuple[int, int | None, int | None, str, str, float, list[tuple[int, int, float]]]:
         """n_base, first_word, last_word, base_labels, labels, score and all alignments."""
-        every = sorted(self.alignments(words))
+        every = sorted((k, s, self.score(k, share)) for k, s, share in self.alignments(words))
         base = [s for k, s, _ in every if self.templates[k].base]
         base_labels = sorted({self.templates[k].label for k, _, _ in every if self.templates[k].base})
         labels = sorted({self.templates[k].label for k, _, _ in every})

@@ -8,8 +8,8 @@ have tables of their own (13 lengths at most), so a short item doesn't shorten t
 
 Scale: documents are only scanned; nothing of them is shuffled. The benchmark is a query set. It is broken
 into blocks of at most ``BLOCK_BYTES`` of text, each collected and broadcast for one scan; as long as it fits
-into one block (measured first) there is one scan and no shuffle, else the hits of all blocks are merged by
-document.
+into one block (measured first) there is one scan and no shuffle, else each block's hits are written before the next
+block is made, its broadcast is dropped, and the hits of all blocks are merged by document.
 
 Defined cases: null text has no words; a null item_id has no name and is left out of items, but its windows
 hit; rows of one item_id are one item with several texts; a repeated document row gives a row each (merged
@@ -124,13 +124,15 @@ def _direct(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)] + more, ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", *names])
 
 
-def _spans(index: Index, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _spans(index: Index, every: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hits of one block of items; every: also a row for texts without any."""
     for b in batches:
         found = [(len(w), *index.hits(w)) for w in map(shared.alnum_words, b["text"].to_pylist())]
-        yield pa.RecordBatch.from_arrays(
+        out = pa.RecordBatch.from_arrays(
             [b["content"], pa.array([n for n, _, _ in found], pa.int64()), pa.array([[x for s in y for x in s] for _, y, _ in found], pa.list_(pa.int64())), pa.array([z for _, _, z in found], pa.list_(pa.string()))],
             ["content", "n", "spans", "items"],
         )
+        yield out if every else out.filter(pa.array([bool(y) for _, y, _ in found], pa.bool_()))
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,7 +171,9 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
     scans = None
     for k in range(blocks):
         now = index(k)
-        part = texts.mapInArrow(shared.lean(lambda it, now=now: _spans(now.value, it)), "content string, n long, spans array<long>, items array<string>")
+        part = texts.mapInArrow(shared.lean(lambda it, now=now, k=k: _spans(now.value, k == 0, it)), "content string, n long, spans array<long>, items array<string>")
+        part = shared.written(part, "op4-hits")
+        now.destroy()
         scans = part if scans is None else scans.unionByName(part)
     by_text = scans.groupBy("content").agg(F.first("n").alias("n"), F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
     verdicts = by_text.mapInArrow(shared.lean(_merge), "content string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")

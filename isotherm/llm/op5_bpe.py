@@ -153,13 +153,19 @@ class Codec:
         return b"".join(map(self.vocabulary.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+_loaded: dict[tuple[str, str], Vocabulary] = {}
+
+
 def load(path: str, pattern: str) -> Vocabulary:
-    """Read a tiktoken file: one base64 token and its rank on a line."""
+    """Read a tiktoken file: one base64 token and its rank on a line. The last one is kept, by the digest of the file."""
     with open(path, "rb") as f:
         raw = f.read(MAX_VOCABULARY_BYTES + 1)
     if len(raw) > MAX_VOCABULARY_BYTES:
         raise ValueError(f"{path} is larger than {MAX_VOCABULARY_BYTES} bytes")
-    return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}, pattern)
+    if (key := (shared.sha(raw), pattern)) not in _loaded:
+        _loaded.clear()
+        _loaded[key] = Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}, pattern)
+    return _loaded[key]
 
 
 def _digests(broadcast, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

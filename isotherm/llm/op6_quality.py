@@ -1,13 +1,14 @@
 """Quality rules: frequency of lines over the documents of a host.
 
 Method: every line is normalised (A-Z lower-cased, words joined by one space) and hashed. For each host the
-distinct documents of each line are counted, documents of equal text once. A line found in more documents of
-its host than the limit allows is removed from all of them but the first (the smallest doc_id); a document of
-whose words too few are left is rejected. Base rules on single documents come before that.
+distinct documents of each line are counted, documents of equal text once (copies are the matter of other
+operators: by them alone no text becomes boilerplate). A line found in more documents of its host than the limit
+allows is removed from all of them but the first (the smallest doc_id); a document of whose words too few are left is
+rejected. Base rules on single documents come before that.
 
 Scale: counts are sums by (host, line hash) with map-side aggregation, so neither a hot host nor a line that
-a third of all documents share lands in one task. Lines above the limit are few (each one takes a share of a
-host); they are broadcast while their number is below ``BROADCAST_LINES``, else joined by a shuffle.
+a third of all documents share lands in one task. Lines above the limit are broadcast while their number is below
+``BROADCAST_LINES``, else joined by a shuffle, with the same result.
 
 Defined cases: null text is empty; null host is a host of its own; empty lines are not counted; rows with the
 same doc_id and text are one document; a null doc_id counts, and is never the first one; an empty table gives
@@ -27,10 +28,11 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: A line is frequent if more documents of the host than both of these have it.
-MIN_DOCS, MAX_SHARE = 50, 0.10
+#: A line is frequent if more distinct documents of its host than MIN_DOCS have it, however large the host; a caller
+#: may ask for a share of the host's documents as well.
+MIN_DOCS, MAX_SHARE = 10, 0.0
 #: A document is depleted if a smaller share of its words is left.
-MIN_LEFT = 0.30
+MIN_LEFT = 0.50
 #: Base limits: fewest words, largest share (percent) of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT = 50, 50
 #: More frequent lines than these (16 bytes each, 3.2 MB) are joined, not broadcast.
@@ -110,11 +112,14 @@ def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DO
     """
     contents = line_rows(docs, host).groupBy("host", "line", "content").agg(F.min("doc_id").alias("doc_id"))
     lines = contents.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") > min_docs)
+    if not max_share:
+        return lines.select("host", "line", "first_doc", "n_docs")
     sizes = docs.select(F.col(host).cast("string").alias("host"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("content")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
     return lines.alias("l").join(sizes.alias("s"), F.col("l.host").eqNullSafe(F.col("s.host"))).filter(F.col("n_docs") > max_share * F.col("host_docs")).select("l.host", "line", "first_doc", "n_docs")
 
 
-def _judge(frequent: dict[tuple[str | None, int], int | None], with_text: bool, with_key: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _judge(sent, with_text: bool, with_key: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    frequent: dict[tuple[str | None, int], int | None] = sent.value
     hosts = {h for h, _ in frequent}
     for b in batches:
         rows = []
@@ -148,7 +153,7 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_s
     more = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(docs.columns)] if carry else []
     schema = _METRICS + ", removed_words long" + "".join(f", c_{k} {t}" for k, (_, t) in enumerate(docs.dtypes) if carry)
     few = frequent.limit(broadcast_lines + 1).count() <= broadcast_lines  # a check of size, not a cap: more go the other way
-    table = {(r["host"], r["line"]): r["first_doc"] for r in frequent.toLocalIterator()} if few else {}
+    table = spark.sparkContext.broadcast({(r["host"], r["line"]): r["first_doc"] for r in frequent.toLocalIterator()} if few else {})
     keyed = "" if few else ", host string, content long"
     out = docs.select(*slim, *more).mapInArrow(shared.lean(lambda it: _judge(table, carry, not few, it)), schema + keyed)
     if not few:

@@ -3,8 +3,8 @@
 A fingerprint has 8 bytes. Two fingerprints that differ in at most 3 bits agree in at least 5 positional
 bytes, so such a pair meets in one of eight posting lists: the positions are halved, and any 5 of 8 positions
 hold 3 of one half, hence one of the 4 + 4 triples of positions within the halves. A list is keyed by a
-triple and its three bytes. For the pairs that meet, shared positional bytes are tallied, pairs below the
-guaranteed minimum of 5 are dropped, and the rest are verified by their differing bits.
+triple and its three bytes. For the pairs that meet, equal bytes are tallied position by position, pairs below the
+guaranteed minimum of 5 are dropped, and only the rest are verified by their differing bits.
 
 Lists keyed by single bytes, the textbook form, hold a 256th of all documents each and make the work grow
 with the square of the corpus at any size; triples keep the method and its exactness with 16.7 million lists
@@ -14,7 +14,8 @@ Scale: copies are folded to distinct fingerprints first (map-side combined). A l
 only a spanning forest of its links. A list of more than ``LIST_LIMIT`` fingerprints is dealt anew by five
 positional bytes (the three of the list and two of the others): such a list holds at most 2**24 values, and
 beyond the limit it is searched by flipping at most 3 of its 24 free bits, which is linear in its length.
-Components are found by alternating large-star and small-star steps, all in tables.
+Components are found by alternating large-star and small-star steps, all in tables. Fingerprints that very many rows
+share (those of empty texts, say) get their component by a broadcast of at most ``HOT_MOST`` rows, the rest by a join.
 
 Defined cases: null text is empty; a text without words has fingerprint zero and links like any other; rows
 with the same doc_id are separate rows with one id; a null doc_id is never the smallest, a component of only
@@ -29,13 +30,15 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 SHINGLE, SEED, MAX_BITS, MIN_BYTES = 3, 42, 3, 5
 LIST_LIMIT = 4096
+#: A fingerprint is hot if more rows than this have it, and more than the share of all rows that allows HOT_MOST of them.
+HOT_ROWS, HOT_MOST = 100_000, 10_000
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
 
 
@@ -58,15 +61,18 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         fp = np.array([fingerprint(t) for t in b["text"].to_pylist()], np.uint64).view(np.int64)
-        more = [c for c in b.schema.names if c[:2] == "c_"]
-        yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(fp, pa.int64()), *(b.column(c) for c in more)], ["doc_id", "fp", *more])
+        yield pa.RecordBatch.from_arrays([b["doc_id"], b["content"], pa.array(fp, pa.int64())], ["doc_id", "content", "fp"])
 
 
-def fingerprints(docs: DataFrame, carry: bool = False) -> DataFrame:
-    """(doc_id, fp) of each row; carry: also the columns of docs, each as c_<position>."""
-    more = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(docs.columns)] if carry else []
-    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    return slim.mapInArrow(shared.lean(_fingerprints), "doc_id long, fp long" + "".join(f", c_{k} {t}" for k, (_, t) in enumerate(docs.dtypes) if carry))
+def _content():
+    """A text's hash, by which a row is known beside its doc_id."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("content")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """(doc_id, content, fp) of each row."""
+    slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), _content())
+    return slim.mapInArrow(shared.lean(_fingerprints), "doc_id long, content long, fp long")
 
 
 def _key(number: int, positions: tuple[int, ...]):
@@ -90,19 +96,23 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def links(fp: np.ndarray, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Links (as positions) among the fingerprints of one list, each with all others, a block at a time."""
-    out_a, out_b = [], []
-    one = np.uint64(0x0101010101010101)
+    """Links (as positions) among the fingerprints of one list, a block of them with all later ones at a time.
+
+    Equal bytes are tallied position by position; positions that the whole list shares count for all. Only pairs
+    that reach MIN_BYTES are looked at as fingerprints.
+    """
+    out_a, out_b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    by = np.ascontiguousarray(fp.astype("<u8").view(np.uint8).reshape(-1, 8).T)
+    differ = [p for p in range(8) if (by[p] != by[p, :1]).any()]
     for at in range(0, len(fp), block):
-        x = fp[at : at + block, None] ^ fp[None, at:]
-        y = x | (x >> np.uint64(4))
-        y |= y >> np.uint64(2)
-        y |= y >> np.uint64(1)
-        shared_bytes = 8 - np.bitwise_count(y & one)
-        a, b = np.nonzero((shared_bytes >= MIN_BYTES) & (np.bitwise_count(x) <= MAX_BITS))
-        up = a < b
-        out_a.append(a[up] + at)
-        out_b.append(b[up] + at)
+        tally = np.zeros((min(block, len(fp) - at), len(fp) - at), np.uint8)
+        for p in differ:
+            tally += by[p, at : at + block, None] == by[p, None, at:]
+        a, b = np.nonzero(tally >= MIN_BYTES - (8 - len(differ)))
+        a, b = a[a < b] + at, b[a < b] + at
+        near = np.bitwise_count(fp[a] ^ fp[b]) <= MAX_BITS
+        out_a.append(a[near])
+        out_b.append(b[near])
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
@@ -196,7 +206,9 @@ def stars(links_: DataFrame) -> DataFrame:
     Large-star gives a node's larger neighbours its smallest neighbour, small-star its smaller ones; repeated
     until nothing changes, that leaves a star on the smallest node. Each round is written to the shared folder.
     """
-    now = shared.written(links_.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "op7-edges")
+    spark = links_.sparkSession
+    at = shared.table_path(spark, "op7-edges")
+    now = shared.written(links_.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "op7-edges", at)
     state = _state(now)
     while state[0]:
         both = now.union(now.select("v", "u").toDF("u", "v"))
@@ -204,7 +216,9 @@ def stars(links_: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low).distinct()
-        now = shared.written(small, "op7-edges")
+        old, at = at, shared.table_path(spark, "op7-edges")
+        now = shared.written(small, "op7-edges", at)
+        shared.emptied(spark, old)
         if (new := _state(now)) == state:
             break
         state = new
@@ -216,40 +230,48 @@ def _state(e: DataFrame) -> tuple:
 
 
 def _rooted(marked: DataFrame) -> DataFrame:
-    """(fp, rep, root) of each distinct fingerprint of marked (doc_id, fp): its smallest doc_id and its component's root."""
-    nodes = shared.written(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "op7-nodes")
+    """(fp, n, first, root) of each distinct fingerprint of marked (doc_id, content, fp).
+
+    n: rows that have it; first: the smallest (no id, doc_id, content) of them; root: of its component.
+    """
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first")  # null comes last
+    nodes = shared.written(marked.groupBy("fp").agg(F.count("*").alias("n"), first), "op7-nodes")
     star = stars(edges(nodes.select("fp")))
-    return nodes.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    return nodes.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def components(marked: DataFrame) -> DataFrame:
-    """(fp, component_id) of each distinct fingerprint of marked (doc_id, fp)."""
-    rooted = _rooted(marked)
-    least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "component_id")
+    """(fp, n, component_id) of each distinct fingerprint of marked (doc_id, content, fp)."""
+    rooted = _rooted(marked if "content" in marked.columns else marked.withColumn("content", F.lit(0)))
+    least = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+    return rooted.join(least, "root").select("fp", "n", "component_id")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row."""
-    marked = shared.written(fingerprints(docs), "op7-fingerprints")
-    of = components(marked)
-    return marked.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    marked = shared.written(fingerprints(docs), "op7-fingerprints").select("doc_id", "fp")
+    of = shared.written(components(marked), "op7-components")
+    rows = of.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") > max(hot_rows, rows // HOT_MOST)
+    few = F.broadcast(of.filter(hot).drop("n"))
+    usual = marked.join(few.select("fp"), "fp", "left_anti").join(of.filter(~hot).drop("n"), "fp")
+    every = usual.unionByName(marked.join(few, "fp"))
+    return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with the columns of docs.
 
-    If rows with different fingerprints share that id, or all ids are null, it is that with the smallest
-    fingerprint too. Among repeated rows of that id and fingerprint one stays.
+    If several texts share that id, or all ids are null, it is that with the smallest hash of its text. Among
+    repeated rows of that id and text one stays. Texts are shuffled once, to meet the ids that are kept.
     """
     marked = shared.written(fingerprints(docs), "op7-fingerprints")
-    first = F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "fp")).alias("first")  # null comes last
-    chosen = _rooted(marked).groupBy("root").agg(first).select(F.col("first.rep").alias("k_id"), F.col("first.fp").alias("k_fp"))
-    rows = fingerprints(docs, carry=True)
+    chosen = _rooted(marked).groupBy("root").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias("i"), F.col("first.none").alias("isn"), F.col("first.content").alias("content"))
     # A null id is kept only in a component of null ids; -1 stands for it beside a flag, so the join is an equi-join.
-    side = lambda i: [F.coalesce(F.col(i), F.lit(-1)), F.col(i).isNull()]
-    (a, an), (b, bn) = side("doc_id"), side("k_id")
-    rows = rows.withColumns({"i": a, "isn": an})
-    chosen = chosen.select(b.alias("i"), bn.alias("isn"), F.col("k_fp").alias("fp"))
-    once = rows.join(chosen, ["i", "isn", "fp"], "left_semi").dropDuplicates(["i", "isn", "fp"])
+    carried = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(docs.columns)]
+    own = F.col("doc_id").cast("long")
+    rows = docs.select(F.coalesce(own, F.lit(-1)).alias("i"), own.isNull().alias("isn"), _content(), *carried)
+    key = ["i", "isn", "content"]
+    n = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
+    once = rows.join(chosen, key, "left_semi").withColumn("n", n).filter("n = 1")
     return once.select(*(F.col(f"c_{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -12,7 +12,8 @@ smallest of equally long ones.
 
 Scale: the universe is made by one distinct (map-side combined, so a hot host is one row a task) and marked
 with the lists by one join. A level of all cascades is one job: bit_or over 64-bit words of the filters. The
-first level scans the universe, later ones only what passed a first level and what is listed. A level's size
+first level scans the universe, later ones only what passed a first level and what is listed. Executors put ranges
+of words together, so the driver gets a level as a few packed arrays and not word by word. A level's size
 depends on the list and, by the choice of the first filter's error rate, hardly on the universe. It is set by
 the expected number of keys; more keys than expected only make for more levels. Filters are broadcast while
 they take at most ``MAX_FILTER_BYTES``; larger lists are looked up by a join instead, with the same result.
@@ -40,7 +41,10 @@ MAX_FILTER_BYTES = 64 << 20
 
 #: The contract's rules.
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
-#: Hosts that the method blocks where no rule fits.
+#: Words of a filter that executors hand over in one row.
+RANGE_WORDS = 1 << 16
+
+#: Hosts that the method blocks where no rule fits.
 LISTED_HOSTS = tuple(f"{name}.example.{end}" for name in ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm") for end in ("com", "net", "org"))
 
 _UPPER = str.maketrans({c: c.lower() for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"})
@@ -133,6 +137,15 @@ def _set_bits(cascades: list[Cascade], shapes: dict[int, Level], batches: Iterat
         )
 
 
+def _packed(rows: pa.Table) -> pa.Table:
+    """A range of words of a level as one array."""
+    part = rows["part"][0].as_py()
+    at = rows["word"].to_numpy() - part * RANGE_WORDS
+    words = np.zeros(int(at.max()) + 1, np.int64)
+    words[at] = rows["bits"].to_numpy()
+    return pa.table({"cascade": rows["cascade"].slice(0, 1), "part": pa.array([part], pa.int64()), "words": pa.array([words.astype("<i8").tobytes()], pa.binary())})
+
+
 def _suspects(cascades: list[Cascade], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys that are listed somewhere, or pass the first level of a cascade."""
     for b in batches:
@@ -161,12 +174,14 @@ def build_cascades(universe: DataFrame, n_lists: int, max_bytes: int = MAX_FILTE
         if sum(c.size() for c in cascades) + sum(x.bits // 8 for x in shapes.values()) > max_bytes:
             return None
         ored = rows.mapInArrow(lambda it, c=cascades, s=shapes: _set_bits(c, s, it), "cascade long, word long, bits long").groupBy("cascade", "word").agg(F.bit_or("bits").alias("bits"))
-        got = ored.collect()  # as many rows as the level has words, which max_bytes bounds
+        ranges = ored.withColumn("part", F.floor(F.col("word") / RANGE_WORDS)).groupBy("cascade", "part").applyInArrow(_packed, "cascade long, part long, words binary")
+        got = ranges.collect()  # the level's words, which max_bytes bounds
         going = sorted({r["cascade"] for r in got})
         for n in going:
             shapes[n].words = np.zeros(shapes[n].bits // 64, np.uint64)
         for r in got:
-            shapes[r["cascade"]].words[r["word"]] = np.uint64(r["bits"] & 0xFFFFFFFFFFFFFFFF)
+            words = np.frombuffer(r["words"], "<u8")
+            shapes[r["cascade"]].words[r["part"] * RANGE_WORDS :][: len(words)] = words
         for n in going:
             cascades[n].levels.append(shapes[n])
         if not level and going:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op2_chat, op6_quality, op8_warc, op9_urls
+from . import op1_license, op2_chat, op6_quality, op8_warc, op9_urls
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"'[^\x20\x09-\x0D]+'"
@@ -123,14 +123,41 @@ split as (
   from (select page_id, case when url like '%://%' then substr(url, position('://' in url) + 3) end as rest from pages)
 ),
 fits as (
-  select page_id, max_by(key, length(key)) as rule, max_by(verdict, length(key)) as verdict from split, rules
+  select page_id, first(key order by length(key) desc, key) as rule, first(verdict order by length(key) desc, key) as verdict from split, rules
   where (host = split_part(key, '/', 1) or ends_with(host, '.' || split_part(key, '/', 1))) and starts_with(path, substr(key, position('/' in key))) group by page_id
 )
 select s.page_id, s.host, path, rule, coalesce(verdict, case when exists (select 1 from listed l where s.host = l.host or ends_with(s.host, '.' || l.host)) then 'block' else 'allow' end) as verdict
 from split s left join fits using (page_id)"""
 
 
+def _op1() -> str:
+    """Each template has one key phrase."""
+    words = lambda x: "[" + ", ".join(_text(w.decode()) for w in x) + "]"
+    rows = ", ".join(f"({_text(t.label)}, {str(t.base).lower()}, {t.key_places()[0][0]}, {words(t.key_places()[0][1])}, {words(t.words())})" for t in op1_license.TEMPLATES)
+    return f"""
+with docs as (select doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) as w from documents),
+template(label, base, offset_, key, words) as (values {rows}),
+hits as (
+  select doc_id, w, label, base, words, unnest(list_filter(range(1, len(w) - len(key) + 2), lambda p: w[p] = key[1] and w[p : p + len(key) - 1] = key)) - offset_ as start
+  from docs, template where list_contains(w, key[1]) and list_contains(w, key[len(key)])
+),
+scored as (
+  select doc_id, label, base, start, case when base then 0.5::double else 0.5::double + 0.5::double
+    * (len(list_filter(range(1, len(words) + 1), lambda j: start + j - 1 between 1 and len(w) and w[start + j - 1] = words[j]))::double / len(words)) end as score
+  from hits
+),
+found as (
+  select doc_id, count(*) filter (base) as n_base, min(start - 1) filter (base) as first_word, max(start - 1) filter (base) as last_word,
+    string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(score) as score
+  from scored group by doc_id
+)
+select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
+  coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
+from docs left join found using (doc_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": _op1(),
     "op2_chat_formatting": _op2(),
     "op3_substring_dedup": _OP3,
     "op4_benchmark_decontamination": _OP4,

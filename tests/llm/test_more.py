@@ -30,7 +30,7 @@ def brute_license(text, templates):
                 at = next(i for i in range(len(own)) if own[i : i + len(k)] == k)
                 ok = ok and start + at >= 0 and w[start + at : start + at + len(k)] == k
             if ok:
-                best = max(best, sum(0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(own)) / len(own))
+                best = max(best, 0.5 if t.base else 0.5 + 0.5 * (sum(0 <= start + i < len(w) and w[start + i] == x for i, x in enumerate(own)) / len(own)))
                 labels.add(t.label)
                 if t.base:
                     base.append(start)
@@ -60,6 +60,15 @@ def test_license_index_ignores_idf_for_results():
         assert op1_license.Index(op1_license.TEMPLATES, {w: rng.randint(0, 50) for w in words}, 50).scan(text) == first
 
 
+def test_license_scores_say_something():
+    scan = lambda t: op1_license.Index(op1_license.TEMPLATES, {}, 0).scan(shared.alnum_words(t))[4:6]
+    assert scan("nothing of the kind") == ("", 0.0) and scan("see the MIT License") == ("mit", 0.5)
+    labels, whole = scan("Licensed under the GNU General Public License, version 3")
+    assert labels == "gpl,gpl-3" and whole == 1.0
+    assert 0.5 < scan("this is free and unencumbered software, really")[1] < 1
+    assert scan("may be used to endorse or promote products derived from this software")[0] == "bsd-3-clause"
+
+
 def test_template_needs_its_keys():
     with pytest.raises(ValueError):
         op1_license.Template("x", "some words", ("other words",)).key_places()
@@ -230,7 +239,8 @@ def brute_urls(urls, rules, listed, default="allow"):
             if rule_host and (host == rule_host or host.endswith("." + rule_host)) and path.startswith(slash + rest):
                 fits.append((len(key), key, verdict))
         if fits:
-            out.append((page, host, path, max(fits)[1], max(fits)[2]))
+            _, key, verdict = min(fits, key=lambda x: (-x[0], x[1]))  # the smallest of equally long ones
+            out.append((page, host, path, key, verdict))
         else:
             out.append((page, host, path, None, "block" if any(host == h or host.endswith("." + h) for h in listed) else default))
     return sorted(out, key=repr)
@@ -243,7 +253,7 @@ def test_url_filter(spark, max_bytes):
     ends = ["", "/", "/es/", "/es", "/en/1", "/en/12?x#y", "/fr/a", "/de/", "?q=/es/", "#/es/", "/a://b"]
     urls = [(k, f"{rng.choice(['http', 'HTTPS', ''])}://{rng.choice(hosts)}{rng.choice(ends)}") for k in range(300)] + [(900, None), (901, ""), (902, "no scheme/es/"), (903, "a://b://c/de/"), (None, "http://x.com/de/"), (5, "http://x.com/de/")]
     pages = spark.createDataFrame(urls, "page_id long, url string").withColumns({"key": F.lit(1), "host": F.lit("h"), "rule": F.lit(0)})
-    rules = [*op9_urls.RULES, ("y.net", "block"), ("b.y.net/en/", "allow"), ("/de/", "block"), ("", "block")]
+    rules = [*op9_urls.RULES, ("x.com/d", "allow"), ("com/fr/a", "block"), ("x.com/fr", "allow"), ("y.net", "block"), ("b.y.net/en/", "allow"), ("/de/", "block"), ("", "block")]
     listed = ["notexample.org", "z.org:80", "com"]
     out = op9_urls.judge(pages, spark.createDataFrame(rules, "key string, verdict string"), spark.createDataFrame([(x,) for x in [*listed, None, ""]], "key string"), max_bytes=max_bytes)
     assert rows(out) == brute_urls(urls, rules[:-2], listed)

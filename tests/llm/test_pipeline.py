@@ -6,7 +6,7 @@ import pytest
 
 import __spark_entry__
 import corpus_pipeline
-from isotherm.llm import queries
+from isotherm.llm import op6_quality, queries
 
 from .fixtures import SCHEMA, prose
 from .test_documents import SPACE, brute_benchmark, brute_quality, brute_simhash, brute_substring, components_of, sha
@@ -34,7 +34,7 @@ def test_pipeline(spark, tmp_path):
     rows, bench = table()
     spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
-    kept = {r[0] for r in brute_quality(rows, 50, 0.1, 0.3) if r[8]}
+    kept = {r[0] for r in brute_quality(rows, op6_quality.MIN_DOCS, op6_quality.MAX_SHARE, op6_quality.MIN_LEFT) if r[8]}
     now = [r for r in rows if r[0] in kept]
     assert 0 < len(now) < len(rows)
     comp, _ = components_of([r[0] for r in now], brute_simhash(now))
