@@ -54,7 +54,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = shared.written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        path = shared.table_path(spark, f"pipeline-{name}")
+        docs = shared.written(stage(spark, docs, sf_dir), name, path)
+        if before:  # nothing reads it any more
+            shared.emptied(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)
