@@ -148,12 +148,15 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_s
     carry: also return the columns of docs, each as c_<position>.
     """
     spark = docs.sparkSession
-    frequent = shared.written(frequent_lines(docs, host, min_docs, max_share), "op6-lines")
+    path = shared.table_path(spark, "op6-lines")
+    frequent = shared.written(frequent_lines(docs, host, min_docs, max_share), "op6-lines", path)
     slim = [F.col("doc_id").cast("long").alias("doc_id"), F.col(host).cast("string").alias("host"), F.col("text").cast("string").alias("text")]
     more = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(docs.columns)] if carry else []
     schema = _METRICS + ", removed_words long" + "".join(f", c_{k} {t}" for k, (_, t) in enumerate(docs.dtypes) if carry)
     few = frequent.limit(broadcast_lines + 1).count() <= broadcast_lines  # a check of size, not a cap: more go the other way
     table = spark.sparkContext.broadcast({(r["host"], r["line"]): r["first_doc"] for r in frequent.toLocalIterator()} if few else {})
+    if few:
+        shared.emptied(spark, path)
     keyed = "" if few else ", host string, content long"
     out = docs.select(*slim, *more).mapInArrow(shared.lean(lambda it: _judge(table, carry, not few, it)), schema + keyed)
     if not few:

@@ -182,10 +182,10 @@ def _linked(postings: DataFrame) -> DataFrame:
     return sort.mapInArrow(shared.lean(_forests), "a long, b long")
 
 
-def edges(distinct: DataFrame) -> DataFrame:
+def edges(distinct: DataFrame, scratch: shared.Scratch) -> DataFrame:
     """Links (a, b) that connect what is connected; at most eight for each fingerprint of a list."""
     postings = distinct.select(F.explode(F.array(*(_key(k, p) for k, p in enumerate(TRIPLES)))).alias("key"), "fp")
-    long_lists = shared.written(postings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST_LIMIT).select("key"), "op7-lists")
+    long_lists = scratch.written(postings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST_LIMIT).select("key"), "op7-lists")
     if long_lists.isEmpty():
         return _linked(postings)
     usual = _linked(postings.join(long_lists, "key", "left_anti"))
@@ -200,15 +200,13 @@ def edges(distinct: DataFrame) -> DataFrame:
     return usual.unionByName(_linked(union))
 
 
-def stars(links_: DataFrame) -> DataFrame:
+def stars(links_: DataFrame, scratch: shared.Scratch) -> DataFrame:
     """(node, root): each linked node with the smallest node of its component.
 
     Large-star gives a node's larger neighbours its smallest neighbour, small-star its smaller ones; repeated
     until nothing changes, that leaves a star on the smallest node. Each round is written to the shared folder.
     """
-    spark = links_.sparkSession
-    at = shared.table_path(spark, "op7-edges")
-    now = shared.written(links_.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "op7-edges", at)
+    now = scratch.written(links_.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "op7-edges")
     state = _state(now)
     while state[0]:
         both = now.union(now.select("v", "u").toDF("u", "v"))
@@ -216,9 +214,7 @@ def stars(links_: DataFrame) -> DataFrame:
         large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low).distinct()
-        old, at = at, shared.table_path(spark, "op7-edges")
-        now = shared.written(small, "op7-edges", at)
-        shared.emptied(spark, old)
+        now = scratch.written(small, "op7-edges")
         if (new := _state(now)) == state:
             break
         state = new
@@ -229,28 +225,29 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first())
 
 
-def _rooted(marked: DataFrame) -> DataFrame:
+def _rooted(marked: DataFrame, scratch: shared.Scratch) -> DataFrame:
     """(fp, n, first, root) of each distinct fingerprint of marked (doc_id, content, fp).
 
     n: rows that have it; first: the smallest (no id, doc_id, content) of them; root: of its component.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first")  # null comes last
-    nodes = shared.written(marked.groupBy("fp").agg(F.count("*").alias("n"), first), "op7-nodes")
-    star = stars(edges(nodes.select("fp")))
+    nodes = scratch.written(marked.groupBy("fp").agg(F.count("*").alias("n"), first), "op7-nodes")
+    star = stars(edges(nodes.select("fp"), scratch), scratch)
     return nodes.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
 
 
 def components(marked: DataFrame) -> DataFrame:
     """(fp, n, component_id) of each distinct fingerprint of marked (doc_id, content, fp)."""
-    rooted = _rooted(marked if "content" in marked.columns else marked.withColumn("content", F.lit(0)))
-    least = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
-    return rooted.join(least, "root").select("fp", "n", "component_id")
+    with shared.Scratch(marked.sparkSession) as scratch:
+        rooted = _rooted(marked, scratch)
+        least = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
+        return shared.written(rooted.join(least, "root").select("fp", "n", "component_id"), "op7-components")
 
 
 def near_duplicates(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id of each row."""
-    marked = shared.written(fingerprints(docs), "op7-fingerprints").select("doc_id", "fp")
-    of = shared.written(components(marked), "op7-components")
+    marked = shared.written(fingerprints(docs), "op7-fingerprints")
+    of = components(marked)
     rows = of.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(hot_rows, rows // HOT_MOST)
     few = F.broadcast(of.filter(hot).drop("n"))
@@ -259,14 +256,21 @@ def near_duplicates(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return every.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _chosen(rooted: DataFrame) -> DataFrame:
+    """(i, isn, content) of the one row of each component that stays: its doc_id or -1, whether that is null, its text."""
+    first = rooted.groupBy("root").agg(F.min("first").alias("first"))
+    return first.select(F.coalesce("first.doc_id", F.lit(-1)).alias("i"), F.col("first.none").alias("isn"), F.col("first.content").alias("content"))
+
+
 def keep(docs: DataFrame) -> DataFrame:
     """One document of each component, that with the smallest doc_id, with the columns of docs.
 
     If several texts share that id, or all ids are null, it is that with the smallest hash of its text. Among
     repeated rows of that id and text one stays. Texts are shuffled once, to meet the ids that are kept.
     """
-    marked = shared.written(fingerprints(docs), "op7-fingerprints")
-    chosen = _rooted(marked).groupBy("root").agg(F.min("first").alias("first")).select(F.coalesce("first.doc_id", F.lit(-1)).alias("i"), F.col("first.none").alias("isn"), F.col("first.content").alias("content"))
+    with shared.Scratch(docs.sparkSession) as scratch:
+        rooted = _rooted(scratch.written(fingerprints(docs), "op7-fingerprints"), scratch)
+        chosen = shared.written(_chosen(rooted), "op7-chosen")
     # A null id is kept only in a component of null ids; -1 stands for it beside a flag, so the join is an equi-join.
     carried = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(docs.columns)]
     own = F.col("doc_id").cast("long")

@@ -115,13 +115,9 @@ def _latest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def latest_earlier(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(record_id, response_id) of each revisit; records: record_id, url, time, is_revisit, one row a record."""
     slim = records.select("record_id", "url", F.coalesce(F.col("time").cast("long"), F.lit(-(1 << 62))).alias("time"), "is_revisit")
-    known = shared.written(slim.filter("url is not null and record_id is not null"), "op8-records")
-    # Revisits come before responses of the same time: those aren't earlier.
-    order = ["url", "time", F.col("is_revisit").desc(), "record_id"]
-    kind = dict(known.dtypes)["record_id"]
-    dealt = known.repartitionByRange(shared.parts(known.count(), slice_rows), *order).sortWithinPartitions(*order)
-    scanned = dealt.mapInArrow(shared.lean(_latest), f"slice int, record_id {kind}, response_id {kind}, open boolean, first string, last string")
-    scanned = shared.written(scanned, "op8-scanned")  # partitions keep their numbers
+    with shared.Scratch(records.sparkSession) as scratch:
+        scanned = _scanned(scratch.written(slim.filter("url is not null and record_id is not null"), "op8-records"), slice_rows)
+    kind = dict(scanned.dtypes)["record_id"]
     parts = scanned.filter("first is not null")
     asks = parts.select(F.col("first").alias("url"), "slice", F.lit(0).alias("k"), F.lit(None).cast(kind).alias("response_id"))
     ends = parts.select(F.col("last").alias("url"), "slice", F.lit(1).alias("k"), "response_id")
@@ -131,6 +127,16 @@ def latest_earlier(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFram
     return found.select("record_id", F.coalesce("response_id", F.when(F.col("open"), F.col("far"))).alias("response_id"))
 
 
+def _scanned(known: DataFrame, slice_rows: int) -> DataFrame:
+    """What _latest says about each partition of the sorted records."""
+    # Revisits come before responses of the same time: those aren't earlier.
+    order = ["url", "time", F.col("is_revisit").desc(), "record_id"]
+    kind = dict(known.dtypes)["record_id"]
+    dealt = known.repartitionByRange(shared.parts(known.count(), slice_rows), *order).sortWithinPartitions(*order)
+    scanned = dealt.mapInArrow(shared.lean(_latest), f"slice int, record_id {kind}, response_id {kind}, open boolean, first string, last string")
+    return shared.written(scanned, "op8-scanned")  # partitions keep their numbers
+
+
 def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """One row for each revisit of records (record_id, type, url, time, headers map, payload).
 

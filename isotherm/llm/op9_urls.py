@@ -158,6 +158,11 @@ def build_cascades(universe: DataFrame, n_lists: int, max_bytes: int = MAX_FILTE
 
     None if the filters would take more than max_bytes.
     """
+    with shared.Scratch(universe.sparkSession) as scratch:
+        return _cascades(universe, n_lists, max_bytes, scratch)
+
+
+def _cascades(universe: DataFrame, n_lists: int, max_bytes: int, scratch: shared.Scratch) -> list[Cascade] | None:
     cascades, rows = [Cascade(n) for n in range(n_lists)], universe
     sizes = {r["mask"]: r["n"] for r in universe.groupBy("mask").agg(F.count("*").alias("n")).collect()}  # 2**n_lists at most
     inside = [sum(n for m, n in sizes.items() if m >> k & 1) for k in range(n_lists)]
@@ -185,7 +190,7 @@ def build_cascades(universe: DataFrame, n_lists: int, max_bytes: int = MAX_FILTE
         for n in going:
             cascades[n].levels.append(shapes[n])
         if not level and going:
-            rows = shared.written(universe.mapInArrow(shared.lean(lambda it, c=cascades: _suspects(c, it)), "key string, mask long"), "op9-suspects")
+            rows = scratch.written(universe.mapInArrow(shared.lean(lambda it, c=cascades: _suspects(c, it)), "key string, mask long"), "op9-suspects")
         level += 1
     return cascades
 
@@ -210,11 +215,11 @@ def _judge(sent, rules: tuple[int, ...], hosts: tuple[int, ...], default: str, b
         yield pa.RecordBatch.from_arrays([b["page_id"], *(pa.array(c, pa.string()) for c in columns)], ["page_id", "host", "path", "rule", "verdict"])
 
 
-def _marked(spark: SparkSession, slim: DataFrame, lists: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+def _marked(scratch: shared.Scratch, slim: DataFrame, lists: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     """(key, mask) of the universe. It is written in about as many files as the pages are read in."""
     keys = slim.mapInArrow(shared.lean(lambda it: _candidate_rows(lengths, it)), "key string").distinct()
     out = keys.join(lists, "key", "left").select("key", F.coalesce("mask", F.lit(0)).cast("long").alias("mask"))
-    return shared.written(out.coalesce(max(1, slim.rdd.getNumPartitions())), "op9-universe")
+    return scratch.written(out.coalesce(max(1, slim.rdd.getNumPartitions())), "op9-universe")
 
 
 def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str = "allow", max_bytes: int = MAX_FILTER_BYTES) -> DataFrame:
@@ -227,14 +232,15 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, default: str =
     # Bits of mask: 0 allows, 1 blocks, 2 listed.
     every = rules.select("key", F.when(F.col("verdict") == "block", 2).otherwise(1).alias("mask")).unionByName(listed.select("key", F.lit(4).alias("mask")))
     every = every.filter("key is not null and key != '' and key not like '/%'").groupBy("key").agg(F.bit_or("mask").alias("mask"))
-    lists = shared.written(every.coalesce(max(1, rules.rdd.getNumPartitions() + listed.rdd.getNumPartitions())), "op9-lists")
+    lists = shared.written(every.coalesce(max(1, rules.rdd.getNumPartitions() + listed.rdd.getNumPartitions())), "op9-lists", at := shared.table_path(spark, "op9-lists"))
     n = F.when(F.instr("key", "/") > 0, F.char_length("key") - F.instr("key", "/") + 1).otherwise(0)
     # Lengths of the path part of keys: a path is short, so these are few.
     by = lists.agg(F.collect_set(F.when(F.col("mask") % 4 > 0, n)).alias("rules"), F.collect_set(F.when(F.col("mask") >= 4, n)).alias("listed")).first()
     lengths, own = (tuple(sorted(by[k], reverse=True)) for k in ("rules", "listed"))
-    universe = _marked(spark, slim, lists, tuple(sorted({*lengths, *own}, reverse=True)))
-    cascades = build_cascades(universe, 3, max_bytes)
+    with shared.Scratch(spark) as scratch:
+        cascades = build_cascades(_marked(scratch, slim, lists, tuple(sorted({*lengths, *own}, reverse=True))), 3, max_bytes)
     if cascades is not None:
+        shared.emptied(spark, at)
         sent = spark.sparkContext.broadcast(tuple(cascades))
         return slim.mapInArrow(shared.lean(lambda it: _judge(sent, lengths, own, default, it)), "page_id long, host string, path string, rule string, verdict string")
     marks = lists.select("key", F.when(F.col("mask").bitwiseAND(2) > 0, "block").when(F.col("mask").bitwiseAND(1) > 0, "allow").alias("verdict"), (F.col("mask") >= 4).alias("in_list"))

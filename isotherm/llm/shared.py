@@ -92,6 +92,23 @@ def emptied(spark: SparkSession, *paths: str) -> None:
         spark.createDataFrame([], "gone long").coalesce(1).write.mode("overwrite").parquet(path)
 
 
+class Scratch:
+    """Tables that one call needs and its result doesn't: their space is freed at the end of the with block."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.paths.append(table_path(self.spark, name))
+        return written(df, name, self.paths[-1])
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        emptied(self.spark, *self.paths)
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Total bytes of a text column: one cheap aggregate, used to size partitions."""
     return docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0
