@@ -5,7 +5,8 @@ whole pre-token is a vocabulary entry; the entry stored in the slot is compared,
 for one. Second tier: other pre-tokens are merged with a heap of adjacent pairs over a linked list of bytes,
 lowest rank first, leftmost on ties, in O(n log n) for a pre-token of n bytes.
 
-What a pre-token becomes is remembered within a task, in two generations of at most ``MEMO`` entries.
+What a pre-token becomes is remembered by each worker, from task to task, in two generations of at most ``MEMO``
+entries.
 
 Scale: documents are only scanned. The vocabulary has a fixed size, is read by the driver, checked against
 ``MAX_VOCABULARY_BYTES`` and broadcast.
@@ -153,6 +154,16 @@ class Codec:
         return b"".join(map(self.vocabulary.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
+_codecs: list[Codec] = []
+
+
+def codec(vocabulary: Vocabulary) -> Codec:
+    """This worker's codec for a vocabulary that was sent to it; another vocabulary replaces it."""
+    if not _codecs or _codecs[0].vocabulary is not vocabulary:
+        _codecs[:] = [Codec(vocabulary)]
+    return _codecs[0]
+
+
 _loaded: dict[tuple[str, str], Vocabulary] = {}
 
 
@@ -169,10 +180,10 @@ def load(path: str, pattern: str) -> Vocabulary:
 
 
 def _digests(broadcast, with_ids: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec = Codec(broadcast.value)
+    own = codec(broadcast.value)
     for b in batches:
-        ids = [codec.encode(t) for t in b["text"].to_pylist()]
-        arrays = [b["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([shared.sha(x) for x in ids], pa.string()), pa.array([shared.sha(codec.decode(x)) for x in ids], pa.string())]
+        ids = [own.encode(t) for t in b["text"].to_pylist()]
+        arrays = [b["doc_id"], pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([shared.sha(x) for x in ids], pa.string()), pa.array([shared.sha(own.decode(x)) for x in ids], pa.string())]
         names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         if with_ids:
             arrays, names = [*arrays, _ids(ids)], [*names, "ids"]
@@ -186,15 +197,15 @@ def _ids(packed: list[bytes]) -> pa.ListArray:
 
 
 def _encode(broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec = Codec(broadcast.value)
+    own = codec(broadcast.value)
     for b in batches:
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), _ids([codec.encode(t) for t in b["text"].to_pylist()])], [*b.schema.names, "ids"])
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names), _ids([own.encode(t) for t in b["text"].to_pylist()])], [*b.schema.names, "ids"])
 
 
 def _decode(broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec = Codec(broadcast.value)
+    own = codec(broadcast.value)
     for b in batches:
-        raw = [None if x is None else codec.decode(np.array(x, "<u4").tobytes()) for x in b["ids"].to_pylist()]
+        raw = [None if x is None else own.decode(np.array(x, "<u4").tobytes()) for x in b["ids"].to_pylist()]
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "ids"), pa.array(raw, pa.binary())], [*(c for c in b.schema.names if c != "ids"), "decoded"])
 
 
