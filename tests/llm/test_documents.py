@@ -7,7 +7,6 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
-from pyspark.sql import functions as F
 
 from isotherm.llm import op3_substring, op4_decontaminate, op5_bpe, op6_quality, op7_simhash, queries, shared
 

@@ -1,6 +1,5 @@
 """Operators on licences, conversations, pages and records against brute force, and on awkward tables."""
 
-import hashlib
 import random
 import re
 from collections import defaultdict
