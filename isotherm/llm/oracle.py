@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_license, op2_chat, op6_quality, op8_warc, op9_urls
+from . import op1_license, op2_chat, op6_quality, op8_warc, op9_urls, op13_fim
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"'[^\x20\x09-\x0D]+'"
@@ -156,6 +156,41 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base,
 from docs left join found using (doc_id)"""
 
 
+_OP12 = """
+with own as (
+  select conv_id as c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) order by turn nulls first, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) as turns
+  from conversations where conv_id is not null group by conv_id
+),
+hashed as (
+  select c, turns, xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::bigint)),
+    lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, k: case when x % 2 = 1 then xor(x // 2, 3988292384::bigint) else x // 2 end)), 4294967295::bigint) % 4 as h
+  from own
+),
+rebuilt as (select a.c, list_concat(coalesce(b.turns[1 : a.h], []), a.turns[a.h + 1 :]) as turns from hashed a left join own b on b.c = a.c - a.c % 20),
+prefix as (select c, d, turns[1 : d] as p, len(turns) = d as ends from (select c, turns, unnest(range(len(turns) + 1)) as d from rebuilt)),
+node as (select p, d, min(c) as id, count(*) as n, string_agg(c::varchar, ',' order by c) filter (ends) as ends, case when d > 0 then len(regexp_extract_all(p[d].t, '[^\\x20\\x09-\\x0D]+')) else 0 end as words from prefix group by p, d),
+below as (select a.p, a.d, count(*) filter (b.d = a.d + 1) as n_children, sum((b.n - 1) * b.words) as saved from node a join node b on b.d >= a.d and b.p[1 : a.d] = a.p group by all),
+leaf as (select p, d from below where n_children = 0),
+leaves as (select a.p, a.d, count(*) as n_leaves from node a join leaf b on b.d >= a.d and b.p[1 : a.d] = a.p group by all)
+select a.id as conv_id, a.d as depth, u.id as parent_conv_id, a.n as n_convs, n_children, n_leaves, saved::bigint as saved_tokens, sha256(coalesce(a.ends, '')) as ends_sha256
+from node a join below using (p, d) join leaves using (p, d) left join node u on u.d = a.d - 1 and u.p = a.p[1 : a.d - 1]"""
+
+_OP13 = f"""
+with seeded as (
+  select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as u, sha256('1:' || coalesce(doc_id::varchar, '')) as s from documents
+),
+cut as (
+  select *, len(u) as n, least(h1 % (len(u) + 1), h2 % (len(u) + 1)) as a, greatest(h1 % (len(u) + 1), h2 % (len(u) + 1)) as b,
+    case when text = '' or contains(text, '{op13_fim.PREFIX}') or contains(text, '{op13_fim.SUFFIX}') or contains(text, '{op13_fim.MIDDLE}') or h3 % 100 >= {op13_fim.RATE} then 'plain' when h4 % 100 < {op13_fim.SPM_RATE} then 'spm' else 'psm' end as form
+  from (select *, {', '.join(f"('0x' || substr(s, {8 * k + 1}, 8))::bigint as h{k + 1}" for k in range(4))} from seeded)
+),
+part as (select *, array_to_string(u[1 : a], '') as prefix, array_to_string(u[a + 1 : b], '') as middle, array_to_string(u[b + 1 :], '') as suffix from cut)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then '{op13_fim.PREFIX}' || prefix || '{op13_fim.SUFFIX}' || suffix || '{op13_fim.MIDDLE}' || middle
+    else '{op13_fim.SUFFIX}' || suffix || '{op13_fim.PREFIX}' || prefix || '{op13_fim.MIDDLE}' || middle end) as output_sha256,
+  sha256(text) as restored_sha256
+from part"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": _op1(),
     "op2_chat_formatting": _op2(),
@@ -164,4 +199,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": _OP6,
     "op8_warc_revisits": _OP8,
     "op9_url_filter": _op9(),
+    "op12_prefix_trie": _OP12,
+    "op13_fill_in_middle": _OP13,
 }

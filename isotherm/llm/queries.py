@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import op1_license, op2_chat, op3_substring, op4_decontaminate, op5_bpe, op6_quality, op7_simhash, op8_warc, op9_urls, op10_html
+from . import op1_license, op2_chat, op3_substring, op4_decontaminate, op5_bpe, op6_quality, op7_simhash, op8_warc, op9_urls, op10_html, op11_pack, op12_trie, op13_fim
 from .oracle import ORACLE_SQL as ORACLE_SQL
 
 
@@ -90,7 +90,25 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_html.extract(_read(spark, sf_dir, "pages"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op11_pack.pack(_read(spark, sf_dir, "documents"), op11_pack.load(tokenizer_path()))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op12_trie.rebuilt_prefixes(_read(spark, sf_dir, "conversations"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op13_fim.digests(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_license_scan, op2_chat_formatting, op3_substring_dedup, op4_benchmark_decontamination, op5_byte_bpe, op6_quality_rules, op7_simhash_near_dedup, op8_warc_revisits, op9_url_filter, op10_html_extraction)
+    for f in (op1_license_scan, op2_chat_formatting, op3_substring_dedup, op4_benchmark_decontamination, op5_byte_bpe, op6_quality_rules, op7_simhash_near_dedup, op8_warc_revisits, op9_url_filter, op10_html_extraction, op11_packing, op12_prefix_trie, op13_fill_in_middle)
 }
