@@ -89,24 +89,28 @@ def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
 def emptied(spark: SparkSession, *paths: str) -> None:
     """Free the space of tables that nothing reads any more: each is overwritten with no rows."""
     for path in paths:
-        spark.createDataFrame([], "gone long").coalesce(1).write.mode("overwrite").parquet(path)
+        spark.range(0, 0, 1, 1).write.mode("overwrite").parquet(path)
 
 
 class Scratch:
-    """Tables that one call needs and its result doesn't: their space is freed at the end of the with block."""
+    """Tables that one call needs and its result doesn't: their space is freed at the end of the with block.
+
+    They lie in one folder, so that one overwriting frees them all.
+    """
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.paths = spark, []
+        self.spark, self.paths, self.n = spark, [table_path(spark, "scratch")], 0
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
-        self.paths.append(table_path(self.spark, name))
-        return written(df, name, self.paths[-1])
+        self.n += 1
+        return written(df, name, f"{self.paths[0]}/{name}-{self.n}")
 
     def __enter__(self) -> Scratch:
         return self
 
     def __exit__(self, *_) -> None:
-        emptied(self.spark, *self.paths)
+        if self.n:
+            emptied(self.spark, *self.paths)
 
 
 def text_bytes(docs: DataFrame, column: str = "text") -> int:

@@ -149,7 +149,7 @@ def talks(seed, n=120, long=0):
         for t in range(length):
             role, text = say[rng.randrange(2 if t < 2 else 6)]
             rows.append((c if rng.random() > 0.01 else None, t if rng.random() > 0.05 else None, role, text))
-    same = [("user", f"turn {k % 3}") for k in range(11)]
+    same = [("user", f"turn {k % 3}") for k in range(6)]
     rows += [(c, t, *x) for c in range(1000, 1030) for t, x in enumerate(same)]  # copies
     rows += [(-25, 0, "user", "a"), (-25, 0, "user", "a"), (-25, 1, "user", "b"), (-20, 0, "user", "a")]  # ties, repeats
     rows += [(5000, t, "user", str(t % 7)) for t in range(long)]
