@@ -93,7 +93,8 @@ def ticks(low: Column, high: Column, step: int) -> Column:
 
 def _literals(values: Sequence[float] | Sequence[int]) -> Column:
     """An array of constants, folded to one literal; parsed at once, as a call for each would take long."""
-    return F.expr(f"array({', '.join(f'{v!r}D' if isinstance(v, float) else str(v) for v in values)})")
+    text = lambda v: (f"{v!r}D" if math.isfinite(v) else f"double('{v}')") if isinstance(v, float) else str(v)
+    return F.expr(f"array({', '.join(map(text, values))})")
 
 
 def nearest_index(value: Column, axis: Sequence[float]) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import expressions as E
 from .grid import cell_keys, grouped, pixel_keys
+from .ranks import ranked
 from .regression import fit
 
 
@@ -81,22 +82,18 @@ def _normal_cdf(z: Column) -> Column:
     return F.when(z < 0, tail).otherwise(1.0 - tail)
 
 
-def normality(df: DataFrame, value: str, bin_width: float = 0.01) -> DataFrame:
+def normality(df: DataFrame, value: str) -> DataFrame:
     """(n, d, p): Kolmogorov-Smirnov distance of a column from the normal distribution with its mean and SD.
 
-    p is the limit distribution's, which takes mean and SD as known. Ranks are taken within narrow bins of the
-    standardised value and offset by the counts of the bins before, so that no task ranks all rows.
+    p is the limit distribution's, which takes mean and SD as known. Ranks are exact and global; no task ranks all rows,
+    and equal values are spread over tasks (see ``ranks``).
     """
     rows = df.filter(E.is_finite(F.col(value))).select(F.col(value).cast("double").alias("v"))
-    one = rows.agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("*").alias("n")).filter("sd > 0")
-    z = rows.crossJoin(F.broadcast(one)).select(((F.col("v") - F.col("mean")) / F.col("sd")).alias("z"), "n")
-    z = z.withColumn("bin", F.floor(F.least(F.greatest(F.col("z"), F.lit(-40.0)), F.lit(40.0)) / bin_width))
-    counts = z.groupBy("bin").agg(F.count("*").alias("m"))
-    before = counts.withColumn("before", F.sum("m").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("m"))  # 8,000 bins at most
-    ranked = z.withColumn("i", F.row_number().over(Window.partitionBy("bin").orderBy("z"))).join(F.broadcast(before.select("bin", "before")), "bin")
-    rank, cdf = F.col("before") + F.col("i"), _normal_cdf(F.col("z"))
-    d = F.max(F.greatest(rank / F.col("n") - cdf, cdf - (rank - 1) / F.col("n")))
-    out = ranked.agg(F.first("n").alias("n"), d.alias("d")).filter("n is not null")
+    order = ranked(rows, "v")
+    one = order.agg(F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"), F.count("*").alias("n")).filter("sd > 0")
+    cdf = _normal_cdf((F.col("v") - F.col("mean")) / F.col("sd"))
+    d = F.max(F.greatest(F.col("rank") / F.col("n") - cdf, cdf - (F.col("rank") - 1) / F.col("n")))
+    out = order.crossJoin(F.broadcast(one)).agg(F.first("n").alias("n"), d.alias("d")).filter("n is not null")
     terms = F.transform(F.sequence(F.lit(1), F.lit(100)), lambda k: F.when(k % 2 == 1, 2.0).otherwise(-2.0) * F.exp(-2.0 * k * k * F.col("n") * F.col("d") * F.col("d")))
     p = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
     return out.select("n", "d", F.least(F.lit(1.0), F.greatest(F.lit(0.0), p)).alias("p"))

@@ -64,6 +64,8 @@ SQL_PARTS = {
     "assigned": "select p.*, clat_ix, cmip_lat, clon_ix, cmip_lon from pixels p join lat_map using (lat_ix) join lon_map using (lon_ix)",
     "paired": """select f.era5_lat, f.era5_lon, c.cmip_lat, c.cmip_lon, f.day, t2m, tas from fine f join lat_map using (lat_ix) join lon_map using (lon_ix)
       join coarse c on c.clat_ix = lat_map.clat_ix and c.clon_ix = lon_map.clon_ix and c.day = f.day where t2m is not null""",
+    "pairs_ix": """select f.lat_ix, f.lon_ix, c.clat_ix, c.clon_ix, f.era5_lat, f.era5_lon, c.cmip_lat, c.cmip_lon, f.day, t2m, tas from fine f join lat_map using (lat_ix)
+      join lon_map using (lon_ix) join coarse c on c.clat_ix = lat_map.clat_ix and c.clon_ix = lon_map.clon_ix and c.day = f.day where t2m is not null""",
     "model": "select regr_slope(t2m, tas) as slope, regr_intercept(t2m, tas) as intercept from paired",
     "resid": "select era5_lat, era5_lon, cmip_lat, cmip_lon, day, t2m - (slope * tas + intercept) as residual from paired, model",
     "counts": "select cmip_lat, cmip_lon, count(*) as n_pixels from assigned where is_land group by all",
@@ -90,4 +92,5 @@ def sql(query: str, *parts: str) -> str:
     for p in parts:
         add(p)
     head = "with " + ",\n".join(f"{n} as ({SQL_PARTS[n]})" for n in needs) + "\n" if needs else ""
-    return head + query
+    query = query.removeprefix(",\n") if not head else query  # steps of its own follow those parts
+    return (head.rstrip() if query.startswith(",\n") else head) + query

@@ -993,3 +993,6 @@ def _(g, spark):
 def _(g, spark):
     marks = [(k, k / 5, (k + 1) / 5) for k in range(5)]
     return spark.createDataFrame(marks, "bin long, a double, b double").select("bin", E.percent_bin_label(F.round(F.col("a"), 6), F.round(F.col("b"), 6)).alias("label"))
+
+
+from . import models  # noqa: E402,F401  registers the queries of models
