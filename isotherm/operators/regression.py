@@ -158,7 +158,7 @@ def residuals_by_cell_bin(resid: DataFrame, stats: DataFrame, column: str, edges
     keys = cell_keys(resid, stats)
     cells = stats.filter(E.is_finite(F.col(column))).select(*keys, E.bin_left(F.col(column).cast("double"), edges).alias("bin"))
     rows = resid.select(*keys, "residual").join(cells, keys).select(*keys, "bin", "residual")
-    out = bin_list(resid.sparkSession, edges).join(box_statistics(rows, ["bin"], "residual", [E.distinct_few(*keys).alias("n_cells")]), "bin", "left")
+    out = bin_list(resid.sparkSession, edges).join(box_statistics(rows, ["bin"], "residual", [E.distinct_few(*keys).alias("n_cells")], bound=len(edges)), "bin", "left")
     return out.select("bin", "lo", "hi", F.coalesce("n_cells", F.lit(0)).cast("long").alias("n_cells"), F.coalesce("n", F.lit(0)).cast("long").alias("n"), "q1", "median", "q3", "whisker_lo", "whisker_hi")
 
 

@@ -12,38 +12,68 @@ from pyspark.sql import functions as F
 from ..functions import expressions as E
 from ..schema import COLOUR_LIMITS, HEX_COLUMNS, HISTOGRAM_EDGES, KELVIN, KELVIN_MEAN, PERCENTILES
 from ..sources.grids import is_kelvin, units_of, with_units
+from ..sources.tables import emptied, new_path, written
 
 
 #: 1 / relative error of the ranks by which quantiles are narrowed down.
 ACCURACY = 10_000
+#: So many groups are sent to all tasks (some 400 bytes each); beyond it only those of many rows are.
+FEW_GROUPS = 100_000
 
 
-def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: Sequence[float], levels: int = 1, accuracy: int = ACCURACY) -> DataFrame:
+def same_keys(a: str, b: str, columns: Sequence[str]) -> Column:
+    """Equal keys, NULL being a key like any other."""
+    return functools.reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in columns))
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, bound: int | None, few: int = FEW_GROUPS) -> DataFrame:
+    """rows joined to a table of one row a group, without moving the rows of a large group.
+
+    bound: the most groups there can be, where that is known. Up to `few`, counted if need be, groups are broadcast.
+    Beyond it those with more rows (column `size`) than 1 / few of all are, of which there are fewer than `few`, and only
+    rows of the others, each a small part of the whole, are shuffled.
+    """
+    on = same_keys("r", "g", keys)
+    if bound is not None and bound <= few:
+        return rows.alias("r").join(F.broadcast(groups).alias("g"), on)
+    groups = written(groups, "groups")
+    seen = groups.agg(F.count("*").alias("n"), F.sum(size).alias("rows")).first()
+    if seen["n"] <= few:
+        return rows.alias("r").join(F.broadcast(groups).alias("g"), on)
+    large = groups.filter(F.col(size) > seen["rows"] // few)
+    names = F.broadcast(large.select(*keys))
+    small = rows.alias("r").join(names.alias("g"), on, "left_anti")
+    moved = small.alias("r").join(groups.filter(F.col(size) <= seen["rows"] // few).alias("g"), on)
+    kept = rows.alias("r").join(F.broadcast(large).alias("g"), on)
+    every = [*(f"r.{c}" for c in rows.columns), *(f"g.{c}" for c in groups.columns if c not in keys)]
+    return kept.select(*every).unionByName(moved.select(*every)).alias("r")
+
+
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: Sequence[float], levels: int = 1, accuracy: int = ACCURACY, bound: int | None = None) -> DataFrame:
     """(keys, n, q): exact quantiles with linear interpolation of each group's values, an array in the order asked for.
 
-    No task holds a group. A mergeable sketch with a bounded error of ranks gives an interval around each wanted rank;
-    values below it are counted, and only those in it, about 8 / accuracy of a group, are sorted, folded to distinct
-    values with counts. At the default accuracy a task sorts 1 million of 10**9 rows; each further level divides that
-    by about 1,000 again. Groups without a value have no row.
+    No task holds a group and no row is moved to its group (see with_groups; bound is the most groups there can be). A
+    mergeable sketch with a bounded error of ranks gives an interval around each wanted rank; values below it are counted,
+    and only those in it, about 8 / accuracy of a group, are sorted, folded to distinct values with counts. At the
+    default accuracy a task sorts 1 million of 10**9 rows; each further level divides that by about 1,000 again.
+    Groups without a value have no row.
     """
     p = [float(x) for x in probabilities]
     names = [f"k_{k}" for k in range(len(keys))]
     rows = df.filter(F.col(value).isNotNull()).select(*(F.col(k).alias(n) for k, n in zip(keys, names)), F.col(value).cast("double").alias("v"))
-    rows = rows if keys else rows.withColumn("k_0", F.lit(0))
-    names = names or ["k_0"]
-    same = lambda a, b, cols: functools.reduce(lambda x, y: x & y, (F.col(f"{a}.{c}").eqNullSafe(F.col(f"{b}.{c}")) for c in cols))
+    if not keys:
+        rows, names, bound = rows.withColumn("k_0", F.lit(0)), ["k_0"], 1
     gap = 4 / accuracy
     ends = [x for q in p for x in (max(0.0, q - gap), min(1.0, q + gap))]
     group = rows.groupBy(*names).agg(F.count("*").alias("n"), F.percentile_approx("v", ends, accuracy).alias("e"), F.min("v").alias("least"), F.max("v").alias("most"))
     # In groups of at most `accuracy` rows a rank is wider than the gap: they are taken whole.
     end = lambda n, of, k, side: F.when(n > accuracy, of[k]).otherwise(F.col(side))
     wanted = F.array(*(F.struct(F.lit(k).alias("i"), ((F.col("n") - 1) * q).alias("h"), end(F.col("n"), F.col("e"), 2 * k, "least").alias("lo"), end(F.col("n"), F.col("e"), 2 * k + 1, "most").alias("hi")) for k, q in enumerate(p)))
-    asked = group.select(*names, "n", F.inline(wanted))
+    asked = group.select(*names, "n", wanted.alias("w"))
 
-    def narrowed(inside: DataFrame) -> DataFrame:
+    def narrowed(groups: DataFrame) -> DataFrame:
         """Each value once for each wanted rank of its group, unless it is above the rank's interval."""
-        all_ = inside.groupBy(*names).agg(F.first("n").alias("n"), F.collect_list(F.struct("i", "h", "lo", "hi")).alias("w"))  # a handful for each group
-        joined = rows.alias("r").join(all_.alias("g"), same("r", "g", names))
+        joined = with_groups(rows, groups, names, "n", bound)
         return joined.select(*(f"r.{c}" for c in names), "v", "n", F.inline(F.filter("w", lambda x: F.col("v") <= x["hi"])))
 
     for _ in range(levels - 1):
@@ -52,13 +82,13 @@ def exact_quantiles(df: DataFrame, keys: list[str], value: str, probabilities: S
         within = near.filter(F.col("v") >= F.col("lo")).groupBy(*names, "i").agg(
             F.count("*").alias("m"), F.first("n").alias("n"), F.first("h").alias("h"), F.percentile_approx("v", [k / 1000 for k in range(1001)], accuracy).alias("e"), F.min("v").alias("least"), F.max("v").alias("most")
         )
-        both = within.alias("w").join(counts.alias("c"), same("w", "c", [*names, "i"]))
+        both = within.alias("w").join(counts.alias("c"), same_keys("w", "c", [*names, "i"]))
         share = (F.col("h") - F.col("below")) / F.greatest(F.col("m") - 1, F.lit(1))
         place = F.floor(share * 1000).cast("int")
-        asked = both.select(
-            *(F.col(f"w.{c}") for c in names), "n", F.col("w.i"), "h",
-            F.when((F.col("m") > accuracy) & (place >= 6), F.get("e", place - 6)).otherwise(F.col("least")).alias("lo"), F.when((F.col("m") > accuracy) & (place <= 993), F.get("e", place + 7)).otherwise(F.col("most")).alias("hi"),
-        )
+        lower = F.when((F.col("m") > accuracy) & (place >= 6), F.get("e", place - 6)).otherwise(F.col("least"))
+        upper = F.when((F.col("m") > accuracy) & (place <= 993), F.get("e", place + 7)).otherwise(F.col("most"))
+        each = both.select(*(F.col(f"w.{c}") for c in names), "n", F.struct(F.col("w.i").alias("i"), "h", lower.alias("lo"), upper.alias("hi")).alias("s"))
+        asked = each.groupBy(*names).agg(F.first("n").alias("n"), F.collect_list("s").alias("w"))  # a handful for each group
     near = narrowed(asked)
     counted = near.groupBy(*names, "i", F.when(F.col("v") >= F.col("lo"), F.col("v")).alias("x")).agg(F.count("*").alias("f"), F.first("h").alias("h"), F.first("n").alias("n"))
     # x is NULL: all that is below the interval, in one row.
@@ -183,24 +213,30 @@ def histogram(df: DataFrame, value: str, edges: int = HISTOGRAM_EDGES) -> DataFr
     return out.select("label", "bin", (F.col("low") + F.col("bin") * width).alias("lo"), (F.col("low") + (F.col("bin") + 1) * width).alias("hi"), "n", F.try_divide(F.col("n"), F.col("total") * width).alias("density"))
 
 
-def box_statistics(df: DataFrame, keys: list[str], value: str, more: Sequence[Column] = ()) -> DataFrame:
+def box_statistics(df: DataFrame, keys: list[str], value: str, more: Sequence[Column] = (), bound: int | None = None) -> DataFrame:
     """Per group: n, q1, median, q3 and whiskers, the extreme values within 1.5 IQR of the box.
 
     Quantiles are those of exact_quantiles(). more: other aggregates of the group's rows, taken in the pass that finds
-    the whiskers. Rows with a NULL key are left out.
+    the whiskers. bound: the most groups there can be. Rows with a NULL key are left out. The rows are written once and
+    read for each of the three passes, which happens here; only the result stays.
     """
-    every = df.filter(F.col(value).isNotNull()).dropna(subset=keys).withColumn("v", F.col(value))
-    rows = every.select(*keys, "v")
-    box = exact_quantiles(rows, keys, "v", [0.25, 0.5, 0.75]).select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    spark = df.sparkSession
+    path, out = new_path(spark, "box-rows"), new_path(spark, "boxes")
+    every = written(df.filter(F.col(value).isNotNull()).dropna(subset=keys).withColumn("v", F.col(value)), "box-rows", path)
+    box = exact_quantiles(every.select(*keys, "v"), keys, "v", [0.25, 0.5, 0.75], bound=bound).select(*keys, "n", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"))
+    box = written(box, "boxes", f"{out}/box")
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.when((F.col("v") >= F.col("q1") - reach) & (F.col("v") <= F.col("q3") + reach), F.col("v"))
-    whiskers = every.join(box.select(*keys, "q1", "q3"), keys).groupBy(*keys).agg(F.min(inside).alias("whisker_lo"), F.max(inside).alias("whisker_hi"), *more)
-    return box.join(whiskers, keys, "left")
+    joined = with_groups(every, box.select(*keys, F.col("n").alias("size_"), "q1", "q3"), keys, "size_", bound)
+    whiskers = joined.select(*(f"r.{c}" for c in every.columns), "q1", "q3").groupBy(*keys).agg(F.min(inside).alias("whisker_lo"), F.max(inside).alias("whisker_hi"), *more)
+    result = written(box.join(whiskers, keys, "left"), "boxes", f"{out}/all")
+    emptied(spark, path)
+    return result
 
 
-def quantiles(df: DataFrame, keys: list[str], value: str, percents=PERCENTILES) -> DataFrame:
-    """(keys, percent, value), exact."""
-    q = exact_quantiles(df, keys, value, [p / 100 for p in percents])
+def quantiles(df: DataFrame, keys: list[str], value: str, percents=PERCENTILES, bound: int | None = None) -> DataFrame:
+    """(keys, percent, value), exact; bound: the most groups there can be."""
+    q = exact_quantiles(df, keys, value, [p / 100 for p in percents], bound=bound)
     pairs = F.array(*(F.struct(F.lit(p).alias("percent"), F.col("q")[k].alias("value")) for k, p in enumerate(percents)))
     return q.select(*keys, F.inline(pairs))
 

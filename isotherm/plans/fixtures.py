@@ -75,6 +75,9 @@ SQL_PARTS = {
     "series": """select 'fine' as label, day, avg(t2m) as value from fine group by day union all select 'coarse', day, avg(tas) from coarse group by day""",
 }
 
+#: Parts that others read more than once: worked out once, so that no plan joins their inputs all over again.
+MATERIALIZED = ("lat_map", "lon_map", "paired", "pairs_ix", "model", "resid")
+
 
 def sql(query: str, *parts: str) -> str:
     """A query with the parts it uses, and what those use, as common table expressions."""
@@ -91,6 +94,7 @@ def sql(query: str, *parts: str) -> str:
 
     for p in parts:
         add(p)
-    head = "with " + ",\n".join(f"{n} as ({SQL_PARTS[n]})" for n in needs) + "\n" if needs else ""
+    part = lambda n: f"{n} as {'materialized ' if n in MATERIALIZED else ''}({SQL_PARTS[n]})"
+    head = "with " + ",\n".join(map(part, needs)) + "\n" if needs else ""
     query = query.removeprefix(",\n") if not head else query  # steps of its own follow those parts
     return (head.rstrip() if query.startswith(",\n") else head) + query

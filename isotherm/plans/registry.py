@@ -6,8 +6,6 @@ days are texts. Queries are thin: what they compute is in the operators.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +15,7 @@ from ..functions import expressions as E
 from ..operators import calendar, extensions, grid, pairing, regression, stats
 from ..schema import AUGUST, COARSE_PADDING, KELVIN_MEAN_SERIES, PERCENTILES, QUARTERS, STUDY_REGION, TARGET, Region
 from ..sources import grids as sources
-from ..sources import transfer
+from ..sources import tables, transfer
 from .fixtures import COARSE_LATS, COARSE_LONS, Grids, grids, sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -528,7 +526,7 @@ def _(g, spark):
 
 @_query("distribution_percentiles", " union all ".join(f"select label, {p}::bigint as percent, [[quantile_cont(v, {p / 100})]] as value from ({_VALUES}) group by label" for p in PERCENTILES), "fine", "coarse")
 def _(g, spark):
-    return stats.quantiles(_values(g), ["label"], "v")
+    return stats.quantiles(_values(g), ["label"], "v", bound=2)
 
 
 def _box_sql(source: str, keys: str, v: str) -> str:
@@ -544,7 +542,7 @@ _BOX = "n, [[q1]] as q1, [[median]] as median, [[q3]] as q3, [[whisker_lo]] as w
 
 @_query("boxplot_stats", f"select label, {_BOX} from ({_box_sql(_VALUES, 'label', 'v')})", "fine", "coarse")
 def _(g, spark):
-    return stats.box_statistics(_values(g), ["label"], "v")
+    return stats.box_statistics(_values(g), ["label"], "v", bound=2)
 
 
 @_query(
@@ -617,7 +615,8 @@ _MARKS = "case when i = {n} then hi else lo + i * ((hi - lo) / {n}) end"
 
 @_query(
     "resid_by_distance",
-    f"""with far as (select residual, {_DIST} as d from resid),
+    f""",
+far as (select residual, {_DIST} as d from resid),
     e as (select i::bigint as bin, {_MARKS.format(n=19)} as lo_, case when i + 1 = 19 then hi else lo + (i + 1) * ((hi - lo) / 19) end as hi_ from (select range as i from range(19)), (select min(d) as lo, max(d) as hi from far))
     select bin, [[lo_]] as lo, [[hi_]] as hi, count(residual) as n, [[avg(residual)]] as mean from e left join far on d > lo_ and d <= hi_ group by bin, lo_, hi_""",
     "resid",
@@ -628,8 +627,6 @@ def _(g, spark):
     return regression.residuals_by_distance(pairing.with_distance(p, distances), model=_model(g))
 
 
-ORACLE_SQL["resid_by_distance"] = ORACLE_SQL["resid_by_distance"].replace("\nwith far as", ",\nfar as")
-
 
 def _by_cell_sql(edges: str, column: str, n: int) -> str:
     rows = f"select least((select count(*) from edge where k > 0 and e < {column}), {n - 1}) as bin, r.residual, r.cmip_lat, r.cmip_lon from resid r join stats using (cmip_lat, cmip_lon)"
@@ -650,18 +647,15 @@ def _(g, spark):
     return regression.residuals_by_cell_bin(_resid(g), s, "n_land_pixels", regression.pixel_count_edges(s))
 
 
-for _name in ("resid_by_sea_fraction", "resid_by_pixel_count"):
-    ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("\n,\nedge as", ",\nedge as")
-
 
 @_query("resid_by_season", f"select season, {_BOX} from ({_box_sql(f'select {_SEASON} as season, residual from resid', 'season', 'residual')})", "resid")
 def _(g, spark):
-    return stats.box_statistics(calendar.with_season(_resid(g)), ["season"], "residual")
+    return stats.box_statistics(calendar.with_season(_resid(g)).select("season", "residual"), ["season"], "residual", bound=4)
 
 
 @_query("resid_by_month", f"select month, {_BOX} from ({_box_sql('select month(day) as month, residual from resid', 'month', 'residual')})", "resid")
 def _(g, spark):
-    return stats.box_statistics(_resid(g).withColumn("month", F.month("day")), ["month"], "residual")
+    return stats.box_statistics(_resid(g).select(F.month("day").alias("month"), "residual"), ["month"], "residual", bound=12)
 
 
 _INDEXED = "select label, strftime(day, '%m-%d') as date, day, value, (row_number() over (partition by label, strftime(day, '%m-%d') order by day) - 1)::double as x from ({s}) where strftime(day, '%m-%d') in ({d})"
@@ -770,8 +764,7 @@ ORACLE_SQL["transfer_report"] = f"""select c_custkey::bigint as c_custkey, case
 
 def _work_folder(spark: SparkSession, name: str) -> str:
     """A new folder that all executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.gettempdir()}"
-    return f"{at.rstrip('/')}/isotherm-{name}-{uuid.uuid4().hex}"
+    return tables.new_path(spark, f"isotherm-{name}")
 
 
 def _fetched(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -876,8 +869,6 @@ def _(g, spark):
     return extensions.multiple_regression(rows, "t2m", {"tas": F.col("tas"), "sea_fraction": F.col("sea_fraction"), "tas:sea_fraction": F.col("tas") * F.col("sea_fraction")})
 
 
-ORACLE_SQL["interaction_fit"] = ORACLE_SQL["interaction_fit"].replace("\n,\np as", ",\np as")
-
 _MODELS = "select 'a' as model, tas, t2m from paired union all select 'b', 0.5 * tas + clat_ix, t2m from paired join clat using (cmip_lat)"
 
 
