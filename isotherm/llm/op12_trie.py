@@ -9,7 +9,7 @@ levels are joined in reverse, children grouped by parent, and leaves and savings
 
 A turn is named by the SHA-256 of its role's length, role and text, so texts aren't shuffled. Turns are numbered
 by a range partitioning of (conv_id, turn) and offsets for those conversations that cross its borders, so that a
-conversation of any length is sorted by many tasks. Joins on a group that many rows share (``_joined``) send
+conversation of any length is sorted by many tasks. Joins on a group that many rows share (``shared.joined``) send
 groups of more than a ten-thousandth of all rows, at most 10,000 of them, to all tasks; the rest are shuffled.
 Each level is a written table, which also ends its lineage.
 
@@ -34,25 +34,12 @@ from pyspark.sql import functions as F
 from . import shared
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Groups with more rows than 1 / HOT_SHARE of all, and than HOT_LEAST, are joined by broadcast.
-HOT_SHARE, HOT_LEAST = 10_000, 1_000
 BLOCK_CHARS = 1 << 16
 #: Nodes of a chain that one row stands for until it is expanded.
 CHAIN = 4096
 _NOTHING = hashlib.sha256(b"").hexdigest()
 
 
-def _joined(left: DataFrame, right: DataFrame, keys: list[str], size: str) -> DataFrame:
-    """left inner join right on keys, which right has once; its column `size` tells how many rows of left have them."""
-    limit = max(HOT_LEAST, left.count() // HOT_SHARE)
-    hot = right.filter(F.col(size) > limit)
-    if hot.isEmpty():
-        return left.join(right, keys)
-    names = F.broadcast(hot.select(*keys))
-    cold = left.join(names, keys, "left_anti").join(right.filter(F.col(size) <= limit), keys)
-    return cold.unionByName(left.join(F.broadcast(hot), keys))
-
-
 # --- turns in order
 
 
@@ -109,7 +96,7 @@ def rebuilt(rows: DataFrame, most: int, share: Column, base: Column, scratch: sh
     with_head = size.join(heads, "base", "left").select("conv_id", "share", F.col("total").alias("n_own"), head.alias("head"))
     whole = scratch.written(with_head.withColumn("total", F.size("head") + F.greatest(F.lit(0), F.col("n_own") - F.col("share"))), "op12-heads")
     shift = whole.select("conv_id", "share", "n_own", F.size("head").alias("n_head"))
-    own = _joined(rows, shift, ["conv_id"], "n_own").filter(F.col("depth") > F.col("share"))
+    own = shared.joined(rows, shift, ["conv_id"], "n_own").filter(F.col("depth") > F.col("share"))
     own = own.select("conv_id", (F.col("depth") - F.col("share") + F.col("n_head")).alias("depth"), "turn_key", "n_words")
     return own.unionByName(whole.select("conv_id", F.inline("head"))), whole.select("conv_id", "total")
 
@@ -196,7 +183,7 @@ def trie(rows: DataFrame, totals: DataFrame, scratch: shared.Scratch) -> DataFra
         group = step.groupBy("parent", "turn_key").agg(F.min("conv_id").alias("node"), F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.max("total").alias("total"))
         levels.append(level := scratch.written(group, "op12-level"))
         several = level.filter("n > 1").select("parent", "turn_key", "node", "n")
-        live = scratch.written(_joined(step.drop("n_words"), several, ["parent", "turn_key"], "n").select("conv_id", "node", "total"), "op12-live")
+        live = scratch.written(shared.joined(step.drop("n_words"), several, ["parent", "turn_key"], "n").select("conv_id", "node", "total"), "op12-live")
         ends.append(live.filter(F.col("total") == depth).select(F.lit(depth).alias("depth"), "node", "conv_id"))
         live = live.filter(F.col("total") > depth)
 

@@ -1,14 +1,15 @@
 """Quality rules: frequency of lines over the documents of a host.
 
 Method: every line is normalised (A-Z lower-cased, words joined by one space) and hashed. For each host the
-distinct documents of each line are counted, documents of equal text once (copies are the matter of other
-operators: by them alone no text becomes boilerplate). A line found in more documents of its host than the limit
-allows is removed from all of them but the first (the smallest doc_id); a document of whose words too few are left is
-rejected. Base rules on single documents come before that.
+distinct documents of each line are counted: all documents of the host, those that fail the base rules too, each known
+by its doc_id and text. A line found in more documents of its host than the limit allows is removed from all of them
+but the first (the smallest doc_id); a document of whose words too few are left is rejected, and so is one that fails
+the base rules. Copies count, so that of a text with more copies than the limit the first stays.
 
 Scale: counts are sums by (host, line hash) with map-side aggregation, so neither a hot host nor a line that
 a third of all documents share lands in one task. Lines above the limit are broadcast while their number is below
-``BROADCAST_LINES``, else joined by a shuffle, with the same result.
+``BROADCAST_LINES``, else joined, with the same result: lines of very many documents by broadcast (a bounded
+number of them, see ``shared.joined``), the others by a shuffle.
 
 Defined cases: null text is empty; null host is a host of its own; empty lines are not counted; rows with the
 same doc_id and text are one document; a null doc_id counts, and is never the first one; an empty table gives
@@ -28,9 +29,9 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: A line is frequent if more distinct documents of its host than MIN_DOCS have it, however large the host; a caller
-#: may ask for a share of the host's documents as well.
-MIN_DOCS, MAX_SHARE = 10, 0.0
+#: A line is frequent if more distinct documents of its host than MIN_DOCS have it, and more than this share of them,
+#: so that on a host of a million documents it takes a thousand.
+MIN_DOCS, MAX_SHARE = 10, 0.001
 #: A document is depleted if a smaller share of its words is left.
 MIN_LEFT = 0.50
 #: Base limits: fewest words, largest share (percent) of words in repeated 3-word windows.
@@ -107,14 +108,15 @@ def line_rows(docs: DataFrame, host: str) -> DataFrame:
 def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
     """(host, line, first_doc, n_docs) of lines above the limits. Exact counts over all documents.
 
-    Copies of a text are folded first (distinct by host, line and content), which also spreads a hot line
-    over the contents that have it before it is summed.
+    Rows of equal doc_id and text are folded first, which also spreads a hot line over the documents that have it.
     """
-    contents = line_rows(docs, host).groupBy("host", "line", "content").agg(F.min("doc_id").alias("doc_id"))
-    lines = contents.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") > min_docs)
+    each = line_rows(docs, host).groupBy("host", "line", "content", "doc_id").agg(F.lit(1).alias("one"))
+    lines = each.groupBy("host", "line").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc")).filter(F.col("n_docs") > min_docs)
     if not max_share:
         return lines.select("host", "line", "first_doc", "n_docs")
-    sizes = docs.select(F.col(host).cast("string").alias("host"), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("content")).distinct().groupBy("host").agg(F.count("*").alias("host_docs"))
+    content = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    every = docs.select(F.col(host).cast("string").alias("host"), F.col("doc_id").cast("long").alias("doc_id"), content.alias("content")).distinct()
+    sizes = every.groupBy("host").agg(F.count("*").alias("host_docs"))
     return lines.alias("l").join(sizes.alias("s"), F.col("l.host").eqNullSafe(F.col("s.host"))).filter(F.col("n_docs") > max_share * F.col("host_docs")).select("l.host", "line", "first_doc", "n_docs")
 
 
@@ -142,10 +144,11 @@ def _judge(sent, with_text: bool, with_key: bool, batches: Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays(arrays, names)
 
 
-def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES, carry: bool = False) -> DataFrame:
+def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT, broadcast_lines: int = BROADCAST_LINES, carry: bool = False, hot_docs: int | None = None) -> DataFrame:
     """One row for each row of docs: the base figures, base_failed, removed_words and kept.
 
-    carry: also return the columns of docs, each as c_<position>.
+    carry: also return the columns of docs, each as c_<position>. hot_docs: frequent lines of more documents, at the
+    least, aren't shuffled where lines are too many to be broadcast.
     """
     spark = docs.sparkSession
     path = shared.table_path(spark, "op6-lines")
@@ -161,11 +164,11 @@ def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_s
     out = docs.select(*slim, *more).mapInArrow(shared.lean(lambda it: _judge(table, carry, not few, it)), schema + keyed)
     if not few:
         # A row is known by host, content and doc_id, null or not, as in the table; equal rows share what is gone.
-        key = ["doc_id", "host", "content"]
+        key, named = ["doc_id", "host", "content"], [F.coalesce("host", F.lit("")).alias("named"), F.col("host").isNull().alias("nameless"), "line"]
+        lines = frequent.select(*named, "first_doc", "n_docs")
+        hit = shared.joined(line_rows(docs, host).select("*", *named[:2]), lines, ["named", "nameless", "line"], "n_docs", rows=frequent.agg(F.sum("n_docs")).first()[0] or 0, least=hot_docs)
         gone = (
-            line_rows(docs, host).alias("a")
-            .join(frequent.alias("f"), F.col("a.host").eqNullSafe(F.col("f.host")) & (F.col("a.line") == F.col("f.line")) & ~F.col("a.doc_id").eqNullSafe(F.col("f.first_doc")))
-            .select("a.doc_id", "a.host", "a.content", "a.line", "words").distinct().groupBy(*key).agg(F.sum("words").alias("gone"))
+            hit.filter(~F.col("doc_id").eqNullSafe(F.col("first_doc"))).select(*key, "line", "words").distinct().groupBy(*key).agg(F.sum("words").alias("gone"))
             .select(*(F.col(k).alias(f"of_{k}") for k in key), "gone")
         )
         same = [F.col(k).eqNullSafe(F.col(f"of_{k}")) for k in key]

@@ -12,8 +12,8 @@ for each of eight triples.
 
 Scale: copies are folded to distinct fingerprints first (map-side combined). A list never emits its pairs,
 only a spanning forest of its links. A list of more than ``LIST_LIMIT`` fingerprints is dealt anew by five
-positional bytes (the three of the list and two of the others): such a list holds at most 2**24 values, and
-beyond the limit it is searched by flipping at most 3 of its 24 free bits, which is linear in its length.
+positional bytes (56 choices, of which a fingerprint takes those that hold a long list's three): such a list holds
+at most 2**24 values, and beyond the limit it is searched by flipping at most 3 of its 24 free bits, which is linear in its length.
 Components are found by alternating large-star and small-star steps, all in tables. Fingerprints that very many rows
 share (those of empty texts, say) get their component by a broadcast of at most ``HOT_MOST`` rows, the rest by a join.
 
@@ -39,7 +39,11 @@ SHINGLE, SEED, MAX_BITS, MIN_BYTES = 3, 42, 3, 5
 LIST_LIMIT = 4096
 #: A fingerprint is hot if more rows than this have it, and more than the share of all rows that allows HOT_MOST of them.
 HOT_ROWS, HOT_MOST = 100_000, 10_000
+#: Names of long lists (12 bytes each) are broadcast up to this number, else joined.
+BROADCAST_LISTS = 500_000
 TRIPLES = [*combinations(range(4), 3), *combinations(range(4, 8), 3)]
+#: Any five of eight positions: three of them are in one half.
+FIVES = [*combinations(range(8), 5)]
 
 
 def fingerprint(text: str | None) -> int:
@@ -134,10 +138,10 @@ def links_by_flips(fp: np.ndarray, free: list[int]) -> tuple[np.ndarray, np.ndar
     return np.concatenate(out_a), np.concatenate(out_b)
 
 
-def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def forest(fp: np.ndarray, limit: int = LIST_LIMIT) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of one list's links: (smallest member, member) of each linked fingerprint."""
     fp = np.unique(fp)
-    if len(fp) <= LIST_LIMIT:
+    if len(fp) <= limit:
         a, b = links(fp)
     else:
         differ = int(np.bitwise_or.reduce(fp ^ fp[0]))
@@ -147,13 +151,13 @@ def forest(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fp[root[member]], fp[member]
 
 
-def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _forests(limit: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by list; a list may go on in the next batch."""
     held: list[np.ndarray] = []
     held_key = None
 
     def emit(groups):
-        found = [forest(g) for g in groups]
+        found = [forest(g, limit) for g in groups]
         a = np.concatenate([x for x, _ in found]) if found else np.empty(0, np.uint64)
         b = np.concatenate([x for _, x in found]) if found else np.empty(0, np.uint64)
         return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
@@ -177,43 +181,45 @@ def _forests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit([np.concatenate(held)])
 
 
-def _linked(postings: DataFrame) -> DataFrame:
+def _linked(postings: DataFrame, limit: int) -> DataFrame:
     sort = postings.select("key.at", "key.bytes", "fp").repartition("at", "bytes").sortWithinPartitions("at", "bytes")
-    return sort.mapInArrow(shared.lean(_forests), "a long, b long")
+    return sort.mapInArrow(shared.lean(lambda it: _forests(limit, it)), "a long, b long")
 
 
-def edges(distinct: DataFrame, scratch: shared.Scratch) -> DataFrame:
+def edges(distinct: DataFrame, scratch: shared.Scratch, limit: int = LIST_LIMIT) -> DataFrame:
     """Links (a, b) that connect what is connected; at most eight for each fingerprint of a list."""
     postings = distinct.select(F.explode(F.array(*(_key(k, p) for k, p in enumerate(TRIPLES)))).alias("key"), "fp")
-    long_lists = scratch.written(postings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > LIST_LIMIT).select("key"), "op7-lists")
-    if long_lists.isEmpty():
-        return _linked(postings)
-    usual = _linked(postings.join(long_lists, "key", "left_anti"))
-    again = []
-    for k, triple in enumerate(TRIPLES):
-        of = postings.filter(F.col("key.at") == k).join(long_lists.filter(F.col("key.at") == k), "key", "left_semi").select("fp")
-        rest = [p for p in range(8) if p not in triple]
-        again.append(of.select(F.explode(F.array(*(_key(100 * k + i, (*triple, *two)) for i, two in enumerate(combinations(rest, 2), 1)))).alias("key"), "fp"))
-    union = again[0]
-    for x in again[1:]:
-        union = union.unionByName(x)
-    return usual.unionByName(_linked(union))
+    long_lists = scratch.written(postings.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > limit).select("key"), "op7-lists")
+    if not (n_long := long_lists.count()):
+        return _linked(postings, limit)
+    names = F.broadcast(long_lists) if n_long <= BROADCAST_LISTS else long_lists
+    usual = _linked(postings.join(names, "key", "left_anti"), limit)
+    # Five positions hold several triples: a fingerprint goes to a list of five once, whichever of its triples are long.
+    of = postings.join(names, "key", "left_semi").groupBy("fp").agg(F.collect_set("key.at").alias("long"))
+    fives = [
+        F.when(F.arrays_overlap("long", F.array(*(F.lit(k).cast("short") for k, t in enumerate(TRIPLES) if set(t) <= set(five)))), _key(len(TRIPLES) + i, five))
+        for i, five in enumerate(FIVES)
+    ]
+    again = of.select(F.explode(F.array_compact(F.array(*fives))).alias("key"), "fp")
+    return usual.unionByName(_linked(again, limit))
 
 
 def stars(links_: DataFrame, scratch: shared.Scratch) -> DataFrame:
     """(node, root): each linked node with the smallest node of its component.
 
     Large-star gives a node's larger neighbours its smallest neighbour, small-star its smaller ones; repeated
-    until nothing changes, that leaves a star on the smallest node. Each round is written to the shared folder.
+    until nothing changes, that leaves a star on the smallest node. Each round is written to the shared folder. A node
+    of very many links is joined by broadcast (``shared.joined``), so the hub of a large component isn't one task's.
     """
     now = scratch.written(links_.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "op7-edges")
     state = _state(now)
     while state[0]:
         both = now.union(now.select("v", "u").toDF("u", "v"))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = shared.joined(both.filter("v > u"), low, ["u"], "n", rows=2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        large = scratch.written(large, "op7-large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = shared.joined(large, low, ["u"], "n", rows=2 * state[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").union(low.select("u", "m")).distinct()
         now = scratch.written(small, "op7-edges")
         if (new := _state(now)) == state:
             break
@@ -225,29 +231,29 @@ def _state(e: DataFrame) -> tuple:
     return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").bitwiseAND(0xFFFFFFFF))).first())
 
 
-def _rooted(marked: DataFrame, scratch: shared.Scratch) -> DataFrame:
+def _rooted(marked: DataFrame, scratch: shared.Scratch, limit: int = LIST_LIMIT) -> DataFrame:
     """(fp, n, first, root) of each distinct fingerprint of marked (doc_id, content, fp).
 
     n: rows that have it; first: the smallest (no id, doc_id, content) of them; root: of its component.
     """
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "content")).alias("first")  # null comes last
     nodes = scratch.written(marked.groupBy("fp").agg(F.count("*").alias("n"), first), "op7-nodes")
-    star = stars(edges(nodes.select("fp"), scratch), scratch)
+    star = stars(edges(nodes.select("fp"), scratch, limit), scratch)
     return nodes.join(star.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "n", "first", F.coalesce("root", "fp").alias("root"))
 
 
-def components(marked: DataFrame) -> DataFrame:
+def components(marked: DataFrame, limit: int = LIST_LIMIT) -> DataFrame:
     """(fp, n, component_id) of each distinct fingerprint of marked (doc_id, content, fp)."""
     with shared.Scratch(marked.sparkSession) as scratch:
-        rooted = _rooted(marked, scratch)
+        rooted = _rooted(marked, scratch, limit)
         least = rooted.groupBy("root").agg(F.min("first.doc_id").alias("component_id"))
         return shared.written(rooted.join(least, "root").select("fp", "n", "component_id"), "op7-components")
 
 
-def near_duplicates(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id, fingerprint (16 hex digits), component_id of each row."""
+def near_duplicates(docs: DataFrame, hot_rows: int = HOT_ROWS, limit: int = LIST_LIMIT) -> DataFrame:
+    """doc_id, fingerprint (16 hex digits), component_id of each row; limit: longer lists are dealt anew."""
     marked = shared.written(fingerprints(docs), "op7-fingerprints")
-    of = components(marked)
+    of = components(marked, limit)
     rows = of.agg(F.sum("n")).first()[0] or 0
     hot = F.col("n") > max(hot_rows, rows // HOT_MOST)
     few = F.broadcast(of.filter(hot).drop("n"))

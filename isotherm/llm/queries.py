@@ -59,19 +59,22 @@ def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def captures(pages: DataFrame) -> DataFrame:
-    """A crawl's records: each page as a full response, and later, for each page, a 304 of the same address.
+    """A crawl's records: each page as a full response, and for each page a 304 of the same address.
 
-    The response of page p is recorded at second p with an ETag made from its content. The revisits come
-    after all responses, at second 10**12 + p, carry the ETag that p had and newer caching headers. So a
-    revisit stands for the last response of its canonical URL, and only if the content is still that of p.
+    The response of page p is recorded at second 10 * p with an ETag made from its content, its revisit at a second
+    between two responses: 25 seconds before that (then there may be no earlier response, or an older one of the
+    same canonical URL), or 55, 135 or 215 after it (then a newer one may have come). The revisit carries the ETag that
+    p had, or for one page in seven another one, and newer caching headers.
     """
-    own = F.coalesce(F.col("html"), F.lit(""))
+    own, p = F.coalesce(F.col("html"), F.lit("")), F.col("page_id").cast("long")
     tag = F.concat(F.lit('"'), F.substring(F.sha2(own, 256), 1, 16), F.lit('"'))
     kind = "map<string,string>"
     response = F.create_map(F.lit("Content-Type"), F.lit("text/html"), F.lit("ETag"), tag, F.lit("Date"), F.concat(F.lit("t"), F.col("page_id")))
-    revisit = F.create_map(F.lit("etag"), tag, F.lit("date"), F.concat(F.lit("r"), F.col("page_id")), F.lit("content-length"), F.lit("0"))
-    first = pages.select((2 * F.col("page_id")).cast("long").alias("record_id"), F.lit("response").alias("type"), "url", F.col("page_id").cast("long").alias("time"), response.cast(kind).alias("headers"), own.alias("payload"))
-    again = pages.select((2 * F.col("page_id") + 1).cast("long").alias("record_id"), F.lit("revisit").alias("type"), "url", (F.col("page_id") + 10**12).cast("long").alias("time"), revisit.cast(kind).alias("headers"), F.lit(None).cast("string").alias("payload"))
+    named = F.when(p % 7 == 3, F.lit('"old"')).otherwise(tag)
+    revisit = F.create_map(F.lit("etag"), named, F.lit("date"), F.concat(F.lit("r"), F.col("page_id")), F.lit("content-length"), F.lit("0"))
+    first = pages.select((2 * p).alias("record_id"), F.lit("response").alias("type"), "url", (10 * p).alias("time"), response.cast(kind).alias("headers"), own.alias("payload"))
+    later = 10 * (p - 3 + 8 * (p % 4)) + 5
+    again = pages.select((2 * p + 1).alias("record_id"), F.lit("revisit").alias("type"), "url", later.alias("time"), revisit.cast(kind).alias("headers"), F.lit(None).cast("string").alias("payload"))
     return first.unionByName(again)
 
 

@@ -113,6 +113,28 @@ class Scratch:
             emptied(self.spark, *self.paths)
 
 
+#: Groups with more rows than 1 / HOT_SHARE of all, and than HOT_LEAST, are joined by broadcast.
+HOT_SHARE, HOT_LEAST = 10_000, 1_000
+
+
+def joined(left: DataFrame, right: DataFrame, keys: list[str], size: str, rows: int | None = None, least: int | None = None) -> DataFrame:
+    """left inner join right on keys, which right has once; its column `size` tells how many rows of left have them.
+
+    A group of many rows isn't gathered: such groups, HOT_SHARE of them at most, go to all tasks, and only rows of the
+    others are shuffled. rows: how many left has, where that is known.
+    """
+    rows = left.count() if rows is None else rows
+    limit = max(HOT_LEAST if least is None else least, rows // HOT_SHARE)
+    if rows <= limit:
+        return left.join(right, keys)
+    hot = right.filter(F.col(size) > limit)
+    if hot.isEmpty():
+        return left.join(right, keys)
+    names = F.broadcast(hot.select(*keys))
+    cold = left.join(names, keys, "left_anti").join(right.filter(F.col(size) <= limit), keys)
+    return cold.unionByName(left.join(F.broadcast(hot), keys))
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Total bytes of a text column: one cheap aggregate, used to size partitions."""
     return docs.agg(F.sum(F.octet_length(F.col(column)))).first()[0] or 0

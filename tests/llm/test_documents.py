@@ -8,6 +8,8 @@ from collections import Counter, defaultdict
 import pytest
 import xxhash
 
+from pyspark.sql import functions as F
+
 from isotherm.llm import op3_substring, op4_decontaminate, op5_bpe, op6_quality, op7_simhash, queries, shared
 
 from .fixtures import SCHEMA, documents, frame, prose, rows
@@ -240,9 +242,9 @@ def brute_quality(table, min_docs, max_share, min_left):
     contents, first = defaultdict(set), {}
     sizes = defaultdict(set)
     for i, t, _, host, _ in table:
-        sizes[host].add(t or "")
+        sizes[host].add((i, t or ""))
         for x in set(lines(t)):
-            contents[host, x].add(t or "")
+            contents[host, x].add((i, t or ""))
             if i is not None:
                 first[host, x] = min(first.get((host, x), i), i)
     hot = {k for k, v in contents.items() if len(v) > min_docs and len(v) > max_share * len(sizes[k[0]])}
@@ -290,8 +292,8 @@ def test_quality_removes_and_rejects(spark):
         assert not out[30].kept and out[30].n_dup_lines == 5
 
 
-@pytest.mark.parametrize("broadcast", [1000, 0])
-def test_quality_of_rows_that_share_an_id(spark, broadcast):
+@pytest.mark.parametrize(("broadcast", "hot"), [(1000, None), (0, None), (0, 3)])
+def test_quality_of_rows_that_share_an_id(spark, broadcast, hot):
     """Null ids, one id with several texts, one id and text under two hosts, repeated rows: alike on both paths."""
     head = "a line that very many of the documents of this host have"
     body = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
@@ -303,7 +305,7 @@ def test_quality_of_rows_that_share_an_id(spark, broadcast):
     for rows_ in (table, documents()):
         for min_docs, share, left in ((2, 0.05, 0.8), (1, 0.1, 0.3)):
             df, want = frame(spark, rows_), brute_quality(rows_, min_docs, share, left)
-            options = {"min_docs": min_docs, "max_share": share, "min_left": left, "broadcast_lines": broadcast}
+            options = {"min_docs": min_docs, "max_share": share, "min_left": left, "broadcast_lines": broadcast, "hot_docs": hot}
             assert rows(op6_quality.judge(df, **options)) == want
             assert Counter(r.doc_id for r in op6_quality.keep(df, **options).collect()) == Counter(w[0] for w in want if w[8])
 
@@ -377,7 +379,7 @@ def test_simhash_keeps_one_of_repeated_and_null_ids(spark):
 
 
 @pytest.mark.parametrize("limit", [4096, 6])
-def test_simhash_links_of_random_fingerprints(spark, monkeypatch, limit):
+def test_simhash_links_of_random_fingerprints(spark, limit):
     rng = random.Random(11)
     fps = set()
     for _ in range(30):
@@ -387,14 +389,42 @@ def test_simhash_links_of_random_fingerprints(spark, monkeypatch, limit):
                 x ^= 1 << rng.randrange(64)
             fps.add(x)
     fps = sorted(fps)
-    monkeypatch.setattr(op7_simhash, "LIST_LIMIT", limit)
-    # Workers are other processes: they get the limit with the function.
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     marked = spark.createDataFrame([(k, 0, x) for k, x in enumerate(signed)], "doc_id long, content long, fp long")
-    got = {r.fp: r.component_id for r in op7_simhash.components(marked).collect()}
+    got = {r.fp: r.component_id for r in op7_simhash.components(marked, limit).collect()}
     assert [got[s] for s in signed] == components_of(list(range(len(fps))), fps)[0]
 
 
+def test_long_lists_are_searched_by_flips_in_workers(spark):
+    """A worker that looks at a list of more than the limit in pairs would fail here."""
+    base = 0x0123456789ABCDEF
+    fps = [base ^ (a << 8) ^ b for a in range(40) for b in range(40)]  # one list of three bytes, and of five
+    marked = spark.createDataFrame([(k, 0, x) for k, x in enumerate(fps)], "doc_id long, content long, fp long")
+
+    def seen(batches):
+        whole = op7_simhash.links
+        op7_simhash.links = None  # in this worker, for this task
+        try:
+            yield from op7_simhash._forests(100, batches)
+        finally:
+            op7_simhash.links = whole
+
+    rows_ = marked.select(F.lit(1).cast("short").alias("at"), F.lit(5).cast("long").alias("bytes"), "fp").coalesce(1)
+    got = rows_.mapInArrow(seen, "a long, b long").collect()
+    assert {r.b for r in got} == set(fps) - {min(fps)} and {r.a for r in got} == {min(fps)}
+    assert {r.component_id for r in op7_simhash.components(marked, 100).collect()} == {0}
+
+
+def test_hub_of_a_large_component_is_joined_by_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_LEAST", 5)
+    monkeypatch.setattr(shared, "HOT_SHARE", 50)
+    links = [(0, k) for k in range(1, 200)] + [(200 + k, 201 + k) for k in range(30)] + [(7, 300), (300, 301)]
+    with shared.Scratch(spark) as scratch:
+        got = {r.node: r.root for r in op7_simhash.stars(spark.createDataFrame(links, "a long, b long"), scratch).collect()}
+    want = {k: 0 for k in [*range(1, 200), 300, 301]} | {k: 200 for k in range(201, 231)}
+    assert got == want
+
+
 def test_both_sides_of_every_size_switch(spark):
     """What is done another way beyond a size gives the same rows there."""
     from isotherm.llm import op8_warc, op9_urls

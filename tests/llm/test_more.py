@@ -2,7 +2,7 @@
 
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from hypothesis import given, settings
@@ -416,6 +416,19 @@ def test_pages_of_the_tables(spark, sf_dir):
         assert got[p.page_id] == "\n".join(x for x in blocks if x)
 
 
+def test_revisits_of_one_response_are_spread(spark):
+    """Most revisits are of one URL, a few have none: the same rows however many share a copy, and no task has them all."""
+    kind = RECORDS
+    table = [(1, "response", "http://a.com/x", 1, {"ETag": "1"}, "body"), (2, "response", "http://a.com/y", 1, {"ETag": "2"}, "other")]
+    table += [(10 + k, "revisit", "http://a.com/x", 5 + k, {"etag": "1" if k % 5 else "0"}, None) for k in range(300)]
+    table += [(1000 + k, "revisit", ["http://a.com/y", "http://b.com", None][k % 3], 9, {}, None) for k in range(30)]
+    df = spark.createDataFrame(table, kind).repartition(4)
+    ways = [sorted((repr(r) for r in op8_warc.resolve(df, spread=s).collect())) for s in (10**6, 7, 1)]
+    assert ways[0] == ways[1] == ways[2]
+    count = Counter(re.search("outcome='([a-z_]+)'", r)[1] for r in ways[0])
+    assert count == {"resolved": 240 + 10, "validator_mismatch": 60, "no_response": 20}
+
+
 # --- all queries
 
 

@@ -175,8 +175,8 @@ def test_trie(spark, monkeypatch, seed, long):
 
 
 def test_hot_groups_are_joined_by_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(op12_trie, "HOT_LEAST", 3)
-    monkeypatch.setattr(op12_trie, "HOT_SHARE", 10**9)
+    monkeypatch.setattr(shared, "HOT_LEAST", 3)
+    monkeypatch.setattr(shared, "HOT_SHARE", 10**9)
     rows = talks(3, 40)
     assert nodes(op12_trie.rebuilt_prefixes(spark.createDataFrame(rows, TALK))) == brute_trie(brute_rebuilt(brute_turns(rows)))
 
