@@ -12,9 +12,9 @@ the last is full doesn't. Only the last can need padding, fewer tokens than a wi
 length is a power of two is left as it is.
 
 Ids: every maximal run of letters, every number, every run of other characters is a pre-token, as the tokenizer
-has them, and stands for itself, so a worker remembers the ids of pre-tokens (two generations of at most MEMO).
-This holds for characters below U+0250, where splitting and lower-casing are the same everywhere;
-what stands between white space and holds another character is given to the tokenizer as a whole.
+has them, and stands for itself, so a worker remembers the ids of pre-tokens, and those of whole stretches between
+white space (each in two generations of at most MEMO). This holds for characters below U+0250, where splitting
+and lower-casing are the same everywhere; what stands between white space and holds another character is given to the tokenizer as a whole.
 
 Scale: the ids take 2 bytes a token on disk (4 for vocabularies of more than 65,536). The sums are a row for each
 task; they are broadcast while there are at most MAX_PARTS of them (16 MB), beyond it they are joined.
@@ -27,6 +27,7 @@ tokenizer inside a text are ordinary text.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -52,8 +53,18 @@ _SPACES = re.compile("[ \t\n\v\f\r]+")
 _PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+def _byte_letters() -> dict[int, int]:
+    """Byte -> the letter that stands for it in a byte-level vocabulary: itself if printable, else one from 256 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(256, 512))
+    return {b: b if b in printable else next(others) for b in range(256)}
+
+
+_BYTE_LETTERS = _byte_letters()
+
+
 class Encoder(dict):
-    """Pre-token -> its ids as packed little-endian integers of `width` bytes; bounded by two generations."""
+    """Plain lower-case pre-token -> its ids as packed little-endian integers; bounded by two generations."""
 
     def __init__(self, definition: str, most: int = MEMO):
         from tokenizers import Tokenizer
@@ -61,14 +72,18 @@ class Encoder(dict):
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.model, self.width = self.tokenizer.model, _width(self.tokenizer.get_vocab_size())
-        self.kind = f"<u{self.width}"
+        self.letter = "H" if self.width == 2 else "I"
         self.most, self.old = most, {}
+        self.chunks = Chunks(self)
+
+    def packed(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.letter}", *ids)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            found = [x.id for x in self.model.tokenize(piece)] if piece.isascii() and piece.isalnum() else self.tokenizer.encode(piece, add_special_tokens=False).ids
-            ids = np.array(found, self.kind).tobytes()
+            letters = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_BYTE_LETTERS)
+            ids = self.packed([x.id for x in self.model.tokenize(letters)])
         if len(piece) <= 64:
             if len(self) >= self.most:
                 self.old = dict(self)
@@ -76,19 +91,34 @@ class Encoder(dict):
             self[piece] = ids
         return ids
 
-    def pretokens(self, text: str) -> list[str]:
+    def encode(self, text: str | None) -> bytes:
+        """Packed ids of a text: those of its stretches between white space, one after the other."""
+        if not text:
+            return b""
         if _PLAIN.fullmatch(text):
-            return _PRETOKEN.findall(text.lower())
-        out: list[str] = []
-        for chunk in _SPACES.split(text):
+            return b"".join(map(self.chunks.__getitem__, text.lower().split()))
+        return b"".join([self.chunks[c.lower() if _PLAIN.fullmatch(c) else c] for c in _SPACES.split(text) if c])
+
+
+class Chunks(dict):
+    """Stretch without white space (lower-cased if plain) -> packed ids, bounded like the encoder's memo."""
+
+    def __init__(self, own: Encoder):
+        self.own, self.old = own, {}
+
+    def __missing__(self, chunk: str) -> bytes:
+        own, ids = self.own, self.old.get(chunk)
+        if ids is None:
             if _PLAIN.fullmatch(chunk):
-                out += _PRETOKEN.findall(chunk.lower())
+                ids = b"".join(map(own.__getitem__, _PRETOKEN.findall(chunk)))
             else:
-                out.append(chunk)
-        return out
-
-    def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.__getitem__, self.pretokens(text))) if text else b""
+                ids = own.packed(own.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        if len(chunk) <= 64:
+            if len(self) >= own.most:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = ids
+        return ids
 
 
 def _width(vocabulary: int) -> int:
@@ -119,7 +149,7 @@ _TOKENS = pa.schema([("doc_id", pa.int64()), ("part", pa.int64()), ("before", pa
 
 def _tokens(broadcast, end: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     own, part, before = encoder(broadcast.value), TaskContext.get().partitionId(), 0
-    last = np.array([end], own.kind).tobytes()
+    last = own.packed([end])
     for b in batches:
         ids = [own.encode(t) + last for t in b["text"].to_pylist()]
         sizes = np.array([len(x) // own.width for x in ids], np.int64)
