@@ -51,14 +51,27 @@ def season(day: Column) -> Column:
     return out
 
 
-def no_leap_day(start_year: int, days: Column) -> Column:
+def no_leap_day(start_year: int | Column, days: Column) -> Column:
     """The date that is so many days after 1 January of start_year in a calendar without 29 February."""
-    year = F.lit(start_year) + F.floor(days / 365).cast("int")
+    year = (start_year if isinstance(start_year, Column) else F.lit(start_year)) + F.floor(days / 365).cast("int")
     of_year = F.pmod(days.cast("int"), F.lit(365))
     leap = F.day(F.last_day(F.make_date(year, F.lit(2), F.lit(1)))) == 29
     return F.date_add(F.make_date(year, F.lit(1), F.lit(1)), of_year + F.when(leap & (of_year >= 59), 1).otherwise(0))
 
 
+def day_of_months_of_30(start_year: Column, days: Column) -> Column:
+    """The same in a calendar with twelve months of 30 days; NULL for the days of February that no year has."""
+    month = F.make_date(start_year + F.floor(days / 360).cast("int"), F.floor(F.pmod(days, F.lit(360)) / 30).cast("int") + 1, F.lit(1))
+    at = F.pmod(days, F.lit(30)).cast("int")
+    return F.when(at < F.day(F.last_day(month)), F.date_add(month, at))
+
+
+def decode_day(start_year: Column, days: Column, calendar: Column) -> Column:
+    """The date of a count of days since 1 January of a year in a standard, noleap or 360_day calendar; else NULL."""
+    standard = F.date_add(F.make_date(start_year, F.lit(1), F.lit(1)), days.cast("int"))
+    return F.when(calendar == "standard", standard).when(calendar == "noleap", no_leap_day(start_year, days)).when(calendar == "360_day", day_of_months_of_30(start_year, days))
+
+
 def year_end(day: Column) -> Column:
     return F.make_date(F.year(day), F.lit(12), F.lit(31))
 

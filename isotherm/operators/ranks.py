@@ -21,9 +21,9 @@ from ..sources.tables import new_path, written
 _LOW = (1 << 33) - 1  # bits of a row's number within its task
 
 
-def ranked(df: DataFrame, value: str, path: str | None = None) -> DataFrame:
-    """df with rank (from 1) by value, NULL first; path: where the sorted table goes, else a new folder."""
-    order = [F.col(value).asc_nulls_first(), F.col("tie_")]
+def ranked(df: DataFrame, value: str | Sequence[str], path: str | None = None) -> DataFrame:
+    """df with rank (from 1) by one or more columns, NULL first; path: where the sorted table goes, else a new folder."""
+    order = [*(F.col(c).asc_nulls_first() for c in ([value] if isinstance(value, str) else value)), F.col("tie_")]
     rows = df.withColumn("tie_", F.monotonically_increasing_id()).repartitionByRange(*order).sortWithinPartitions(*order)
     place = F.monotonically_increasing_id()  # task and place in it, taken after the sort
     rows = rows.drop("tie_").withColumn("at_", place).select("*", F.shiftright("at_", 33).alias("part_"), F.col("at_").bitwiseAND(_LOW).alias("place_")).drop("at_")
@@ -108,3 +108,31 @@ def shapiro_wilk(df: DataFrame, value: str, cdf) -> DataFrame:
     three = F.greatest(F.lit(0.0), 6.0 / math.pi * (F.asin(F.sqrt("w")) - math.asin(math.sqrt(0.75))))
     p = F.when(n == 3, three).when(n <= 11, F.when(y >= limit, 0.0).otherwise(1.0 - cdf(z_small))).when(n <= MOST_FOR_P, 1.0 - cdf(z))
     return s.select("n", w.alias("w")).select("n", "w", F.when(F.col("w").isNotNull(), p).alias("p"))
+
+
+def morans_i_test(field: DataFrame, value: str, replicates: int = 99, seed: int = 42) -> DataFrame:
+    """(n, links, morans_i, p, mean_i): Moran's I of a field on a grid (lat_ix, lon_ix) with a permutation test.
+
+    Neighbours are cells that share a side. Replicate r deals the values to the cells anew: the k-th cell in the order of
+    a digest of (seed, r, cell) gets the k-th value of the field. All replicates are ranked and added up in one pass,
+    keyed by r, so neither a replicate nor the field is one task's. p: the share of all arrangements, the field's own
+    among them, whose I is at least its own; mean_i: mean of the replicates. Cells without a finite value are left
+    out; a field without variance or links has no I.
+    """
+    known = field.filter(E.is_finite(F.col(value))).select("lat_ix", "lon_ix", F.col(value).cast("double").alias("v"))
+    cells = ranked(known, ["lat_ix", "lon_ix"]).withColumnRenamed("rank", "id")
+    one = cells.agg(F.count("*").alias("n"), F.avg("v").alias("mean"))
+    z = cells.crossJoin(F.broadcast(one)).select("id", "lat_ix", "lon_ix", "n", (F.col("v") - F.col("mean")).alias("z"))
+    draw = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("r").cast("string"), F.col("lat_ix").cast("string"), F.col("lon_ix").cast("string")))
+    again = z.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).select("r", "lat_ix", "lon_ix", "n", draw.alias("draw"))
+    placed = ranked(again, ["r", "draw", "lat_ix", "lon_ix"]).select("r", "lat_ix", "lon_ix", (F.col("rank") - (F.col("r") - 1) * F.col("n")).alias("id"))
+    dealt = placed.join(z.select("id", "z"), "id").select("r", "lat_ix", "lon_ix", "z")
+    every = dealt.unionByName(z.select(F.lit(0).alias("r"), "lat_ix", "lon_ix", "z"))
+    moved = every.select("r", F.col("z").alias("near"), F.inline(F.array(*(F.struct((F.col("lat_ix") + i).alias("lat_ix"), (F.col("lon_ix") + j).alias("lon_ix")) for i, j in ((0, 1), (0, -1), (1, 0), (-1, 0))))))
+    cross = every.join(moved, ["r", "lat_ix", "lon_ix"]).groupBy("r").agg(F.count("*").alias("links"), F.sum(F.col("z") * F.col("near")).alias("c"))
+    square = z.agg(F.max("n").alias("n"), F.sum(F.col("z") * F.col("z")).alias("s"))
+    i = F.try_divide(F.col("n") * F.col("c"), F.col("links") * F.col("s"))
+    told = cross.crossJoin(F.broadcast(square)).select("r", "n", "links", F.round(i, 12).alias("i"))  # equal arrangements count as equal
+    own = told.filter("r = 0").select(F.col("i").alias("own"))
+    out = told.crossJoin(F.broadcast(own)).agg(F.max("n").alias("n"), F.max("links").alias("links"), F.max("own").alias("morans_i"), (F.count_if(F.col("i") >= F.col("own")) / F.lit(replicates + 1)).alias("p"), F.avg(F.when(F.col("r") > 0, F.col("i"))).alias("mean_i"))
+    return out.filter("morans_i is not null")

@@ -8,8 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import extensions, mixed, ranks, stats, trees
-from .fixtures import Grids
+from ..operators import extensions, mixed, multimodel, ranks, regression, remap, stats, trees
+from ..sources import layout, tables
+from .fixtures import COARSE_LATS, COARSE_LONS, Grids
+from .registry import DAY as _DAY
 from .registry import _pairs, _query, _resid
 
 # --- trees
@@ -234,3 +236,99 @@ def _(g, spark):
     daily = stats.daily(g.coarse, "tas", "coarse")
     one = lambda df, value, label: ranks.shapiro_wilk(df, value, extensions._normal_cdf).select(F.lit(label).alias("label"), "n", "w", "p")
     return one(_resid(g), "residual", "residuals").unionByName(one(daily, "value", "daily"))
+
+
+# --- several models, and the stored layout
+
+
+def _models(g: Grids, spark) -> DataFrame:
+    """Three models from the coarse record, as counts of days: its own grid and calendar; half the lines, moved, without leap days; the same with months of 30 days."""
+    year, month, day = F.year("day"), F.month("day"), F.dayofmonth("day")
+    leap = F.day(F.last_day(F.make_date(year, F.lit(2), F.lit(1)))) == 29
+    of_year = F.dayofyear("day") - 1 - F.when(leap & (month > 2), 1).otherwise(0)
+    half = g.coarse.filter("clat_ix % 2 = 0 and clon_ix % 2 = 0").withColumns({"clat_ix": F.expr("clat_ix div 2").cast("int"), "clon_ix": F.expr("clon_ix div 2").cast("int"), "cmip_lat": F.col("cmip_lat") + 0.3, "cmip_lon": F.col("cmip_lon") - 0.2, "tas": 0.5 * F.col("tas") + F.col("clat_ix")})
+    count = lambda df, model, c: df.select(F.lit(model).alias("model"), "clat_ix", "clon_ix", "cmip_lat", "cmip_lon", c.cast("int").alias("time"), "tas")
+    a = count(g.coarse, "a", F.datediff("day", F.make_date(F.lit(1992), F.lit(1), F.lit(1))))
+    b = count(half, "b", (year - 1990) * 365 + of_year)
+    c = count(half.filter(day <= 30), "c", (year - 1990) * 360 + (month - 1) * 30 + day - 1)
+    calendars = spark.createDataFrame([("a", 1992, "standard"), ("b", 1990, "noleap"), ("c", 1990, "360_day")], "model string, start_year int, calendar string")
+    return multimodel.decode_days(a.unionByName(b).unionByName(c), calendars)
+
+
+_GRIDS = """,
+half as (select (clat_ix / 2)::int as clat_ix, (clon_ix / 2)::int as clon_ix, cmip_lat + 0.3::double as cmip_lat, cmip_lon - 0.2::double as cmip_lon, day, 0.5::double * tas + clat_ix as tas from (
+  select * from coarse where clat_ix % 2 = 0 and clon_ix % 2 = 0)),
+half_lat as (select lat_ix, clat_ix from lat, (select distinct clat_ix, cmip_lat from half) qualify row_number() over (partition by lat_ix order by abs(era5_lat - cmip_lat), clat_ix) = 1),
+half_lon as (select lon_ix, clon_ix from lon, (select distinct clon_ix, cmip_lon from half) qualify row_number() over (partition by lon_ix order by abs(era5_lon - cmip_lon), clon_ix) = 1),
+half_pairs as materialized (select f.lat_ix, f.lon_ix, c.clat_ix, c.clon_ix, f.day, t2m, tas from fine f join half_lat using (lat_ix) join half_lon using (lon_ix) join half c on c.clat_ix = half_lat.clat_ix and c.clon_ix = half_lon.clon_ix and c.day = f.day where t2m is not null),
+models as (select 'a' as model, clat_ix, clon_ix, day, t2m, tas from pairs_ix union all select 'b', clat_ix, clon_ix, day, t2m, tas from half_pairs union all select 'c', clat_ix, clon_ix, day, t2m, tas from half_pairs where day(day) <= 30)"""
+
+
+@_query("models_by_grid", _GRIDS + "\nselect model, clat_ix::bigint as clat_ix, clon_ix::bigint as clon_ix, count(*) as n, count(distinct day) as n_days, [[sum(t2m)]] as t2m, [[sum(tas)]] as tas from models group by all", "pairs_ix", "lat", "lon", "coarse")
+def _(g, spark):
+    out = multimodel.paired(g.fine, _models(g, spark))
+    return out.groupBy("model", "clat_ix", "clon_ix").agg(F.count("*").alias("n"), F.count_distinct("day").alias("n_days"), F.sum("t2m").alias("t2m"), F.sum("tas").alias("tas"))
+
+
+@_query("ols_by_grid", _GRIDS + "\nselect model, [[regr_slope(t2m, tas)]] as slope, [[regr_intercept(t2m, tas)]] as intercept, [[corr(t2m, tas)]] as r, count(*) as n from models group by model", "pairs_ix", "lat", "lon", "coarse")
+def _(g, spark):
+    return regression.fit_folded(multimodel.folded(g.fine, _models(g, spark)), keys=["model"]).select("model", "slope", "intercept", "r", "n")
+
+
+@_query("stored_pairs", "select clat_ix::bigint as clat_ix, clon_ix::bigint as clon_ix, count(*) as n, [[avg(t2m)]] as t2m, [[avg(tas)]] as tas, [[corr(t2m, tas)]] as r from pairs_ix group by clat_ix, clon_ix having count(*) > 2", "pairs_ix")
+def _(g, spark):
+    path = tables.new_path(spark, "layout")
+    layout.store(g.fine, g.coarse, path, (COARSE_LATS, COARSE_LONS), buckets=8)
+    pairs = layout.open_pairs(spark, path)
+    return pairs.groupBy("clat_ix", "clon_ix").agg(F.count("*").alias("n"), F.avg("t2m").alias("t2m"), F.avg("tas").alias("tas"), F.corr("t2m", "tas").alias("r")).filter("n > 2")
+
+
+# --- spherical remapping, and a spatial test
+
+#: Target cells as uneven as can be: edges of latitudes and longitudes, the last of them past the date line.
+TARGET_LATS, TARGET_LONS = (20.0, 25.5, 26.0, 31.0, 39.25, 45.0), (160.0, 170.0, 171.5, 178.0, 185.0, 190.0)
+#: The coarse record is moved east by this, so that its cells lie on both sides of the date line.
+MOVED = 145.0
+
+
+def _axis_sql(name: str, edges: list[float], latitude: bool) -> str:
+    """(ix, lo, hi), longitudes from 0 to 360."""
+    rows = ", ".join(f"({k}, {a!r}::double, {b!r}::double)" for k, (a, b) in enumerate(zip(edges, edges[1:])))
+    return f"{name} as (select * from (values {rows}) as t(ix, lo, hi))"
+
+
+_SOURCE_LATS, _SOURCE_LONS = remap.edges_of(COARSE_LATS), [x + MOVED for x in remap.edges_of(COARSE_LONS)]
+
+
+@_query(
+    "spherical_remap",
+    ",\n" + ", ".join([_axis_sql("sa", _SOURCE_LATS, True), _axis_sql("so", _SOURCE_LONS, False), _axis_sql("ta", list(TARGET_LATS), True), _axis_sql("to_", list(TARGET_LONS), False)])
+    + f""",
+wa as (select sa.ix as clat_ix, ta.ix as lat_ix, sin(radians(least(sa.hi, ta.hi))) - sin(radians(greatest(sa.lo, ta.lo))) as w from sa, ta where least(sa.hi, ta.hi) > greatest(sa.lo, ta.lo)),
+wo as (select so.ix as clon_ix, to_.ix as lon_ix, least(so.hi, to_.hi) - greatest(so.lo, to_.lo) as w from so, to_ where least(so.hi, to_.hi) > greatest(so.lo, to_.lo))
+select wa.lat_ix::bigint as lat_ix, wo.lon_ix::bigint as lon_ix, {_DAY}, [[sum(wa.w * wo.w * tas) / sum(wa.w * wo.w)]] as tas, [[sum(wa.w * wo.w)]] as area
+from coarse join wa using (clat_ix) join wo using (clon_ix) group by wa.lat_ix, wo.lon_ix, day""",
+    "coarse",
+)
+def _(g, spark):
+    lat, lon = remap.weights(spark, (_SOURCE_LATS, _SOURCE_LONS), (TARGET_LATS, TARGET_LONS))
+    return remap.remapped(g.coarse, "tas", lat, lon).select("lat_ix", "lon_ix", "day", "tas", "area")
+
+
+_REPLICATES = 19
+
+
+@_query(
+    "morans_i_of_bias",
+    f""",
+field as materialized (select lat_ix, lon_ix, v - avg(v) over () as z, row_number() over (order by lat_ix, lon_ix) as id from (select clat_ix as lat_ix, clon_ix as lon_ix, avg(t2m - tas) as v from pairs_ix group by clat_ix, clon_ix)),
+dealt as materialized (select 0 as r, lat_ix, lon_ix, z from field union all
+  select r, lat_ix, lon_ix, f.z from (select r, lat_ix, lon_ix, row_number() over (partition by r order by md5('42|' || r || '|' || lat_ix || '|' || lon_ix), lat_ix, lon_ix) as id from field, (select range as r from range(1, {_REPLICATES + 1}))) join (select id, z from field) f using (id)),
+near as (select r, lat_ix + i as lat_ix, lon_ix + j as lon_ix, z as near from dealt, (values (0, 1), (0, -1), (1, 0), (-1, 0)) as t(i, j)),
+told as (select r, count(*) as links, round((select count(*) from field) * sum(z * near) / (count(*) * (select sum(z * z) from field)), 12) as i from dealt join near using (r, lat_ix, lon_ix) group by r)
+select (select count(*) from field) as n, max(links) as links, [[max(i) filter (r = 0)]] as morans_i, [[count(*) filter (i >= (select i from told where r = 0)) / {_REPLICATES + 1}.0::double]] as p, [[avg(i) filter (r > 0)]] as mean_i from told""",
+    "pairs_ix",
+)
+def _(g, spark):
+    means = _pairs(g).groupBy(F.col("clat_ix").alias("lat_ix"), F.col("clon_ix").alias("lon_ix")).agg(F.avg(F.col("t2m") - F.col("tas")).alias("mean"))
+    return ranks.morans_i_test(means, "mean", replicates=_REPLICATES)
