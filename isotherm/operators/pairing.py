@@ -54,6 +54,12 @@ def folded_pairs(fine: DataFrame, coarse: DataFrame, mask: DataFrame | None = No
     return sums.join(coarse.select("clat_ix", "clon_ix", "day", "tas", *models), ["clat_ix", "clon_ix", "day"])
 
 
+def paired_values(fine: DataFrame, keys: DataFrame, axes: tuple[list[float], list[float]]) -> DataFrame:
+    """t2m of the rows of fine whose cell and day are in keys (folded_pairs(), say): what paired() has, without the rest."""
+    rows = _assigned(fine, fine, None, axes).select("clat_ix", "clon_ix", "day", "t2m")
+    return rows.join(keys.select("clat_ix", "clon_ix", "day"), ["clat_ix", "clon_ix", "day"], "left_semi").select("t2m")
+
+
 def aligned_paired(fine: DataFrame, coarse: DataFrame, mask: DataFrame | None = None) -> DataFrame:
     """The same after an explicit alignment of both calendars."""
     a, b, _ = align(fine, coarse)

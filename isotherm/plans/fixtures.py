@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 N_LAT, N_LON, N_CLAT, N_CLON = 141, 81, 17, 9
-FINE_LATS, FINE_LONS = [24.0 + i * 0.1 for i in range(N_LAT)], [30.0 + i * 0.1 for i in range(N_LON)]
 COARSE_LATS, COARSE_LONS = [23.089005 + i * 0.942408 for i in range(N_CLAT)], [28.75 + j * 1.25 for j in range(N_CLON)]
 
 
@@ -24,7 +23,10 @@ class Grids:
 
 
 def grids(spark: SparkSession, sf_dir: str) -> Grids:
-    """fine: pixels with parts of the line items as values, sea without; coarse: a field for each order day."""
+    """fine: pixels with parts of the line items as values, sea without; coarse: a field for each order day.
+
+    pixels: the grid's points that the fine record has, sea too; the axes are those of the two records.
+    """
     at = {"lat_ix": (F.col("l_partkey") % N_LAT).cast("int"), "lon_ix": ((F.col("l_partkey") * 7) % N_LON).cast("int"), "day": F.to_date("l_shipdate")}
     raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", *(c.alias(k) for k, c in at.items()))
     means = raw.groupBy("lat_ix", "lon_ix", "day").agg(F.avg("l_quantity").alias("q"))
@@ -39,10 +41,10 @@ def grids(spark: SparkSession, sf_dir: str) -> Grids:
         "clat_ix", "clon_ix", (F.lit(23.089005) + F.col("clat_ix") * F.lit(0.942408)).alias("cmip_lat"), (F.lit(28.75) + F.col("clon_ix") * F.lit(1.25)).alias("cmip_lon"), "day",
         (F.col("base") + F.lit(0.25) * F.col("clat_ix") - F.lit(0.1) * F.col("clon_ix")).alias("tas"),
     )
-    line = lambda n, ix, start, step, coord: spark.range(n).select(F.col("id").cast("int").alias(ix), (F.lit(start) + F.col("id") * F.lit(step)).alias(coord))
-    lats, lons = line(N_LAT, "lat_ix", 24.0, 0.1, "era5_lat"), line(N_LON, "lon_ix", 30.0, 0.1, "era5_lon")
-    pixels = lats.crossJoin(F.broadcast(lons)).withColumn("is_land", 3 * F.col("lon_ix") + F.col("lat_ix") >= 150)
-    return Grids(fine, coarse, pixels, lats, lons, line(N_CLAT, "clat_ix", 23.089005, 0.942408, "cmip_lat"), line(N_CLON, "clon_ix", 28.75, 1.25, "cmip_lon"))
+    lats, lons = fine.select("lat_ix", "era5_lat").distinct(), fine.select("lon_ix", "era5_lon").distinct()
+    clats, clons = coarse.select("clat_ix", "cmip_lat").distinct(), coarse.select("clon_ix", "cmip_lon").distinct()
+    pixels = fine.groupBy("lat_ix", "lon_ix").agg(F.min("era5_lat").alias("era5_lat"), F.min("era5_lon").alias("era5_lon"), (F.count("t2m") > 0).alias("is_land"))
+    return Grids(fine, coarse, pixels, lats, lons, clats, clons)
 
 
 #: The same as SQL; each part may use those before it.
@@ -50,15 +52,17 @@ SQL_PARTS = {
     "fine": f"""select lat_ix, lon_ix, 24.0::double + lat_ix * 0.1::double as era5_lat, 30.0::double + lon_ix * 0.1::double as era5_lon, day,
       case when 3 * lon_ix + lat_ix >= 150 then q end as t2m
       from (select (l_partkey % {N_LAT})::int as lat_ix, ((l_partkey * 7) % {N_LON})::int as lon_ix, l_shipdate::date as day, avg(l_quantity) as q from lineitem group by all)""",
-    "clat": f"select range::int as clat_ix, 23.089005::double + range * 0.942408::double as cmip_lat from range({N_CLAT})",
-    "clon": f"select range::int as clon_ix, 28.75::double + range * 1.25::double as cmip_lon from range({N_CLON})",
-    "lat": f"select range::int as lat_ix, 24.0::double + range * 0.1::double as era5_lat from range({N_LAT})",
-    "lon": f"select range::int as lon_ix, 30.0::double + range * 0.1::double as era5_lon from range({N_LON})",
+    "lat": "select distinct lat_ix, era5_lat from fine",
+    "lon": "select distinct lon_ix, era5_lon from fine",
+    "clat_line": f"select range::int as clat_ix, 23.089005::double + range * 0.942408::double as cmip_lat from range({N_CLAT})",
+    "clon_line": f"select range::int as clon_ix, 28.75::double + range * 1.25::double as cmip_lon from range({N_CLON})",
     "base": """select o_orderdate::date as day, sum(o_totalprice::decimal(18,2))::double / count(*) / 9973.0::double as base from orders
       where not (month(o_orderdate) = 2 and day(o_orderdate) = 29) group by 1""",
-    "coarse": "select clat_ix, clon_ix, cmip_lat, cmip_lon, day, base + 0.25::double * clat_ix - 0.1::double * clon_ix as tas from base, clat, clon",
-    "pixels": "select *, 3 * lon_ix + lat_ix >= 150 as is_land from lat, lon",
-    "land_field": "select lat_ix, lon_ix, era5_lat * era5_lon as v from pixels where is_land",
+    "coarse": "select clat_ix, clon_ix, cmip_lat, cmip_lon, day, base + 0.25::double * clat_ix - 0.1::double * clon_ix as tas from base, clat_line, clon_line",
+    "clat": "select distinct clat_ix, cmip_lat from coarse",
+    "clon": "select distinct clon_ix, cmip_lon from coarse",
+    "pixels": "select lat_ix, lon_ix, era5_lat, era5_lon, count(t2m) > 0 as is_land from fine group by lat_ix, lon_ix, era5_lat, era5_lon",
+    "cell_field": "select clat_ix as lat_ix, clon_ix as lon_ix, avg(tas) as v from coarse group by clat_ix, clon_ix",
     "lat_map": "select lat_ix, clat_ix, cmip_lat from lat, clat qualify row_number() over (partition by lat_ix order by abs(era5_lat - cmip_lat), clat_ix) = 1",
     "lon_map": "select lon_ix, clon_ix, cmip_lon from lon, clon qualify row_number() over (partition by lon_ix order by abs(era5_lon - cmip_lon), clon_ix) = 1",
     "assigned": "select p.*, clat_ix, cmip_lat, clon_ix, cmip_lon from pixels p join lat_map using (lat_ix) join lon_map using (lon_ix)",
@@ -76,7 +80,7 @@ SQL_PARTS = {
 }
 
 #: Parts that others read more than once: worked out once, so that no plan joins their inputs all over again.
-MATERIALIZED = ("lat_map", "lon_map", "paired", "pairs_ix", "model", "resid")
+MATERIALIZED = ("fine", "coarse", "lat_map", "lon_map", "paired", "pairs_ix", "model", "resid")
 
 
 def sql(query: str, *parts: str) -> str:

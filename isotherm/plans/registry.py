@@ -122,20 +122,29 @@ def _(g, spark):
     return sources.manifest({"fine": (g.fine, "era5_lat", "era5_lon", "day"), "coarse": (g.coarse, "cmip_lat", "cmip_lon", "day")})
 
 
-@_query("no_leap_days", f"select n, strftime(day, '%Y-%m-%d') as day from (select row_number() over (order by day) - 1 as n, day from (select unnest(generate_series(date '1990-01-01', date '1999-12-31', interval 1 day))::date as day) where not (month(day) = 2 and day(day) = 29))")
+@_query(
+    "no_leap_days",
+    f"""select n::bigint as n, {DAY} from (select day, (year(day) - 1990) * 365 + dayofyear(day) - 1 - case when month(day) > 2 and day(make_date(year(day), 2, 28) + 1) = 29 then 1 else 0 end as n
+      from (select distinct day from coarse))""",
+    "coarse",
+)
 def _(g, spark):
-    return spark.range(3650).select(F.col("id").alias("n"), E.no_leap_day(1990, F.col("id")).alias("day"))
+    # The count of days in a calendar without leap days, taken from the record, gives its dates again.
+    leap = F.day(F.last_day(F.make_date(F.year("day"), F.lit(2), F.lit(1)))) == 29
+    n = (F.year("day") - 1990) * 365 + F.dayofyear("day") - 1 - F.when(leap & (F.month("day") > 2), 1).otherwise(0)
+    return g.coarse.select(n.alias("n")).distinct().select("n", E.no_leap_day(1990, F.col("n")).alias("day"))
 
 
-@_query("standardize_longitude", "select ix::bigint as ix, [[case when (select max(l) from a) > 180 then (l + 180.0) % 360.0 - 180.0 else l end]] as lon from a", "lon")
+@_query(
+    "standardize_longitude",
+    "select lon_ix::bigint as ix, [[case when (select max(era5_lon * 9) from lon) > 180 then (era5_lon * 9 + 180.0) % 360.0 - 180.0 else era5_lon * 9 end]] as lon from lon",
+    "lon",
+)
 def _(g, spark):
     raw = g.lons.select(F.col("lon_ix").alias("ix"), (F.col("era5_lon") * 9).alias("lon"))
     return grid.standardize_longitude(raw, "lon")
 
 
-ORACLE_SQL["standardize_longitude"] = sql("select ix::bigint as ix, round(case when (select max(l) from a) > 180 then (l + 180.0) % 360.0 - 180.0 else l end, 6) + 0.0 as lon from (select lon_ix as ix, era5_lon * 9 as l from lon) b cross join (select 1) c".replace("from a)", "from (select era5_lon * 9 as l from lon))"), "lon")
-
-
 @_query("box_subset", f"select {_PIXEL}, {DAY}, [[t2m]] as t2m from fine where era5_lat between 24.0 - 0.1 and 38.0 + 0.1 and era5_lon between 33.0::double and 35.0::double and t2m is not null".replace("24.0 - 0.1 and 38.0 + 0.1", "24.0::double - 0.1::double and 38.0::double + 0.1::double"), "fine")
 def _(g, spark):
     return grid.subset_box(grid.subset_box(g.fine, "era5_lat", "era5_lon", STUDY_REGION, 0.1, 0.1), "era5_lat", "era5_lon", Region(0.0, 90.0, 33.0, 35.0)).filter("t2m is not null").select("era5_lat", "era5_lon", "day", "t2m")
@@ -284,9 +293,11 @@ def _(g, spark):
     "paired",
 )
 def _(g, spark):
+    folded = tables.written(_folded(g), "folded")
     n, mean = F.sum("n"), F.sum("total") / F.sum("n")
-    one = _folded(g).agg(n.alias("n"), E.distinct_few("clat_ix", "clon_ix").alias("n_cells"), E.distinct_few("day").alias("n_days"), mean.alias("t2m_mean"), F.sqrt(F.sum("square") / n - mean * mean).alias("t2m_sd"))
-    out = stats.with_quantiles(one.crossJoin(_model(g).select("slope", "intercept", "r")), _pairs(g), "t2m", [0.25, 0.5, 0.75])
+    one = folded.agg(n.alias("n"), E.distinct_few("clat_ix", "clon_ix").alias("n_cells"), E.distinct_few("day").alias("n_days"), mean.alias("t2m_mean"), F.sqrt(F.sum("square") / n - mean * mean).alias("t2m_sd"))
+    values = tables.written(pairing.paired_values(g.fine, folded, (COARSE_LATS, COARSE_LONS)), "paired-values")
+    out = stats.with_quantiles(one.crossJoin(regression.fit_folded(folded).select("slope", "intercept", "r")), values, "t2m", [0.25, 0.5, 0.75])
     return out.withColumns({"t2m_median": F.get("q", F.lit(1)), "t2m_iqr": F.get("q", F.lit(2)) - F.get("q", F.lit(0))}).drop("q")
 
 
@@ -722,12 +733,13 @@ def _(g, spark):
     return g.lats.select(F.col("lat_ix").alias("ix"), E.latitude_label(F.col("era5_lat")).alias("lat_label"), E.longitude_label(F.col("era5_lat") - 31).alias("lon_label"), E.temperature_label(F.col("era5_lat") - 31).alias("temp_label"))
 
 
-@_query("map_ticks", "select unnest(generate_series(24, 38, 2))::bigint as tick, 'lat' as axis union all select unnest(generate_series(30, 38, 2)), 'lon'")
+_TICKS = "select unnest(generate_series(ceil(min({c}) / 2)::int * 2, floor(max({c}) / 2)::int * 2, 2))::bigint as tick, '{a}' as axis from {t}"
+
+
+@_query("map_ticks", " union all ".join(_TICKS.format(c=c, a=a, t=a) for c, a in (("era5_lat", "lat"), ("era5_lon", "lon"))), "lat", "lon")
 def _(g, spark):
-    r = STUDY_REGION
-    one = spark.range(1)
-    tick = lambda a, b, name: one.select(F.explode(E.ticks(F.lit(a), F.lit(b), 2)).alias("tick"), F.lit(name).alias("axis"))
-    return tick(r.south, r.north, "lat").unionByName(tick(r.west, r.east, "lon"))
+    tick = lambda axis, c, name: axis.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).select(F.explode(E.ticks(F.col("lo"), F.col("hi"), 2)).alias("tick"), F.lit(name).alias("axis"))
+    return tick(g.lats, "era5_lat", "lat").unionByName(tick(g.lons, "era5_lon", "lon"))
 
 
 @_query("map_aspect", "select lat_ix::bigint as ix, [[1 / cos(radians((era5_lat + 38.0) / 2))]] as aspect from lat", "lat")
@@ -955,24 +967,25 @@ def _overlap_sql(fine: str, ix: str, coord: str, coarse: str, cix: str, ccoord:
 @_query(
     "area_weighted_tas",
     f"""select a.lat_ix::bigint as lat_ix, b.lon_ix::bigint as lon_ix, season, [[sum(a.w * b.w * tas) / sum(a.w * b.w)]] as tas from ({_overlap_sql('lat', 'lat_ix', 'era5_lat', 'clat', 'clat_ix', 'cmip_lat', 0.942408)}) a,
-      ({_overlap_sql('lon', 'lon_ix', 'era5_lon', 'clon', 'clon_ix', 'cmip_lon', 1.25)}) b, ({_SEASON_FIELD}) c where a.clat_ix = c.clat_ix and b.clon_ix = c.clon_ix group by a.lat_ix, b.lon_ix, season""",
-    "coarse", "lat", "lon", "clat", "clon",
+      ({_overlap_sql('lon', 'lon_ix', 'era5_lon', 'clon', 'clon_ix', 'cmip_lon', 1.25)}) b, ({_SEASON_FIELD}) c, pixels p where a.clat_ix = c.clat_ix and b.clon_ix = c.clon_ix and p.lat_ix = a.lat_ix and p.lon_ix = b.lon_ix group by a.lat_ix, b.lon_ix, season""",
+    "coarse", "lat", "lon", "clat", "clon", "pixels",
 )
 def _(g, spark):
     return extensions.area_weighted(g.pixels, _season_field(g), COARSE_LATS, COARSE_LONS, 0.1, by="season")
 
 
-_NEAR = "land_field a join land_field b on abs(a.lat_ix - b.lat_ix) + abs(a.lon_ix - b.lon_ix) = 1"
+_NEAR = "cell_field a join cell_field b on abs(a.lat_ix - b.lat_ix) + abs(a.lon_ix - b.lon_ix) = 1"
 
 
 @_query(
     "morans_i",
-    f"""select count(*) as n, [[count(*) * (select sum((a.v - c) * (b.v - c)) from {_NEAR}, (select avg(v) as c from land_field)) / ((select count(*) from {_NEAR}) * sum(pow(v - (select avg(v) from land_field), 2)))]] as morans_i
-      from land_field""",
-    "land_field",
+    f"""select count(*) as n, [[count(*) * (select sum((a.v - c) * (b.v - c)) from {_NEAR}, (select avg(v) as c from cell_field)) / ((select count(*) from {_NEAR}) * sum(pow(v - (select avg(v) from cell_field), 2)))]] as morans_i
+      from cell_field""",
+    "cell_field",
 )
 def _(g, spark):
-    return extensions.morans_i(g.pixels.filter("is_land").select("lat_ix", "lon_ix", (F.col("era5_lat") * F.col("era5_lon")).alias("v")), "v")
+    means = stats.temporal_mean(g.coarse, ["clat_ix", "clon_ix"], "tas")
+    return extensions.morans_i(means.select(F.col("clat_ix").alias("lat_ix"), F.col("clon_ix").alias("lon_ix"), F.col("mean").alias("v")), "v")
 
 
 @_query("height", "select lat_ix::bigint as ix, [[era5_lat * 1000 / 9.80665::double]] as height from lat", "lat")
@@ -980,10 +993,17 @@ def _(g, spark):
     return g.lats.select(F.col("lat_ix").alias("ix"), extensions.height(F.col("era5_lat") * 1000).alias("height"))
 
 
-@_query("percent_labels", "select range as bin, (range * 20) || '–' || ((range + 1) * 20) || '%' as label from range(5)")
+@_query(
+    "percent_labels",
+    """select bin, (bin * 20) || '–' || ((bin + 1) * 20) || '%' as label, count(*) as n from (
+      select least(len(list_filter([0.2::double, 0.4::double, 0.6::double, 0.8::double, 1.0::double], lambda e: e < sea_fraction)), 4)::bigint as bin from sea) group by bin""",
+    "sea",
+)
 def _(g, spark):
-    marks = [(k, k / 5, (k + 1) / 5) for k in range(5)]
-    return spark.createDataFrame(marks, "bin long, a double, b double").select("bin", E.percent_bin_label(F.round(F.col("a"), 6), F.round(F.col("b"), 6)).alias("label"))
+    edges = [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]
+    bins = grid.sea_fraction(_assigned(g)).select(E.bin_left(F.col("sea_fraction"), edges).alias("bin"))
+    low = F.round(F.col("bin") / 5, 6)
+    return bins.groupBy("bin").agg(F.count("*").alias("n")).select("bin", E.percent_bin_label(low, F.round((F.col("bin") + 1) / 5, 6)).alias("label"), "n")
 
 
 from . import models  # noqa: E402,F401  registers the queries of models
