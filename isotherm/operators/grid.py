@@ -29,6 +29,11 @@ def axis(df: DataFrame, ix: str, coord: str) -> list[float]:
     return [by[k] for k in sorted(by)]
 
 
+def axis_order(df: DataFrame, coord: str) -> DataFrame:
+    """(pos, coord): distinct values of an axis in ascending order, from 0. An axis is short, whatever the table's size."""
+    return df.filter(F.col(coord).isNotNull()).select(coord).distinct().select((F.row_number().over(Window.orderBy(coord)) - 1).alias("pos"), coord)
+
+
 def axis_table(spark: SparkSession, coords: list[float], ix: str, coord: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(map(float, coords))), f"{ix} int, {coord} double")
 

@@ -8,11 +8,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import extensions, mixed, multimodel, ranks, regression, remap, stats, trees
+from ..operators import crossval, extensions, grid, mixed, multimodel, network, ranks, regression, remap, stats, trees
+from ..sources import grids as sources
 from ..sources import layout, tables
 from .fixtures import COARSE_LATS, COARSE_LONS, Grids
 from .registry import DAY as _DAY
-from .registry import _pairs, _query, _resid
+from .registry import ORACLE_SQL, QUERIES, _pairs, _query, _resid
 
 # --- trees
 
@@ -332,3 +333,112 @@ select (select count(*) from field) as n, max(links) as links, [[max(i) filter (
 def _(g, spark):
     means = _pairs(g).groupBy(F.col("clat_ix").alias("lat_ix"), F.col("clon_ix").alias("lon_ix")).agg(F.avg(F.col("t2m") - F.col("tas")).alias("mean"))
     return ranks.morans_i_test(means, "mean", replicates=_REPLICATES)
+
+
+# --- cross-validation, and a network
+
+_TERMS = ("tas", "tas_before", "neighbour_gap", "sea_fraction")
+
+
+def _solve_sql(n: int) -> str:
+    """Steps e1 ... that eliminate the columns of m (a_i_j, i and j from 0; the last column is the right-hand side)."""
+    out = ""
+    for p in range(n):
+        cells = ", ".join(
+            (f"a_{i}_{j} / a_{p}_{p}" if i == p else f"a_{i}_{j} - a_{i}_{p} * a_{p}_{j} / a_{p}_{p}") + f" as a_{i}_{j}" for i in range(n) for j in range(p + 1, n + 1)
+        )
+        out += f",\ne{p + 1} as materialized (select fold, n_train, n_test, {cells} from {'m' if p == 0 else f'e{p}'})"
+    return out
+
+
+def _crossval_sql() -> str:
+    k = len(_TERMS) + 1
+    z = ["1.0::double", *(f"({t} - (select avg({t}) from known))" for t in _TERMS), "(t2m - (select avg(t2m) from known))"]
+    prod = ", ".join(f"sum(z_{i} * z_{j}) as q_{i}_{j}" for i in range(k + 1) for j in range(i, k + 1))
+    at = lambda i, j: f"q_{min(i, j)}_{max(i, j)}"
+    rest = ", ".join(f"(select sum({at(i, j)}) from gram) - {at(i, j)} as a_{i}_{j}" for i in range(k) for j in range(k + 1))
+    beta = lambda i: f"a_{i}_{k}"
+    sse = f"{at(k, k)} - 2 * ({' + '.join(f'{beta(i)} * {at(i, k)}' for i in range(k))}) + " + " + ".join(f"{beta(i)} * {beta(j)} * {at(i, j)}" for i in range(k) for j in range(k))
+    means = " - ".join(f"{beta(i + 1)} * (select avg({t}) from known)" for i, t in enumerate(_TERMS))
+    one = lambda term, c: f"select fold, '{term}' as term, [[{c}]] as coefficient, n_train, n_test, [[rmse]] as rmse from told"
+    return f""",
+lagged as (select clat_ix, clon_ix, day, tas, case when lag(day) over w = day - 1 then lag(tas) over w end as tas_before from coarse window w as (partition by clat_ix, clon_ix order by day)),
+around as (select a.clat_ix, a.clon_ix, a.day, avg(b.tas) as near from coarse a join coarse b on a.day = b.day and abs(a.clat_ix - b.clat_ix) + abs(a.clon_ix - b.clon_ix) = 1 group by all),
+share as (select clat_ix, clon_ix, 1 - sum(is_land::int)::double / count(*) as sea_fraction from assigned group by all),
+known as materialized (select year(p.day)::varchar as fold, t2m, p.tas, tas_before, near - p.tas as neighbour_gap, sea_fraction from pairs_ix p join lagged using (clat_ix, clon_ix, day) join around using (clat_ix, clon_ix, day) join share using (clat_ix, clon_ix) where tas_before is not null),
+z as materialized (select fold, {', '.join(f'{c} as z_{i}' for i, c in enumerate(z))} from known),
+gram as materialized (select fold, {prod} from z group by fold),
+m as materialized (select fold, (select sum(q_0_0) from gram)::bigint - q_0_0::bigint as n_train, q_0_0::bigint as n_test, {rest} from gram){_solve_sql(k)}""" + _back_sql(k) + f""",
+told as (select b.*, sqrt(greatest(0, {sse}) / n_test) as rmse from beta b join gram using (fold))
+""" + " union all ".join([one("intercept", f"(select avg(t2m) from known) + {beta(0)} - {means}"), *(one(t, beta(i + 1)) for i, t in enumerate(_TERMS))])
+
+
+def _back_sql(k: int) -> str:
+    """beta: the solution, in columns a_0_k ...; elimination above and below leaves it in the last column."""
+    return f",\nbeta as materialized (select fold, n_train, n_test, {', '.join(f'a_{i}_{k}' for i in range(k))} from e{k})"
+
+
+@_query("blocked_cross_validation", _crossval_sql(), "pairs_ix", "coarse", "assigned")
+def _(g, spark):
+    near = extensions.neighbour_mean(extensions.lagged(g.coarse)).select("clat_ix", "clon_ix", "day", "tas_before", "tas_neighbours")
+    sea = grid.sea_fraction(grid.assign_cells(g.pixels, COARSE_LATS, COARSE_LONS)).select("clat_ix", "clon_ix", "sea_fraction")
+    rows = _pairs(g).join(near, ["clat_ix", "clon_ix", "day"]).join(sea, ["clat_ix", "clon_ix"])
+    terms = {"tas": F.col("tas"), "tas_before": F.col("tas_before"), "neighbour_gap": F.col("tas_neighbours") - F.col("tas"), "sea_fraction": F.col("sea_fraction")}
+    return crossval.cross_validated(rows, "t2m", terms, F.year("day"))
+
+
+NET = {"units": 3, "steps": 6, "batches": 2, "rate": 0.2, "seed": 42}
+_INPUTS = ("tas", "era5_lat")
+
+
+def _network_sql() -> str:
+    hidden, out = network.start(len(_INPUTS), NET["units"], NET["seed"])
+    n, width = NET["units"], len(_INPUTS) + 1
+    lit = lambda x: f"{x!r}::double"
+    first = ", ".join([f"{lit(hidden[j][i])} as w_{j}_{i}" for j in range(n) for i in range(width)] + [f"{lit(out[j])} as v_{j}" for j in range(n + 1)])
+    x = [*(f"x_{i}" for i in range(len(_INPUTS))), "1.0::double"]
+    units = lambda c: f"sum(floor(({c}) * {network.SCALE}.0::double + 0.5::double)::bigint)::double / count(*) / {network.SCALE}.0::double"
+    sql = f""",
+raw as materialized (select {', '.join(f'{c} as c_{i}' for i, c in enumerate((*_INPUTS, 't2m')))}, ('0x' || substr(md5(lat_ix || '|' || lon_ix || '|' || strftime(day, '%Y-%m-%d') || '|{NET['seed']}'), 1, 8))::bigint % {NET['batches']} as batch from pairs_ix),
+data as materialized (select batch, {', '.join(f'(c_{i} - (select avg(c_{i}) from raw)) / (select stddev_pop(c_{i}) from raw) as {name}' for i, name in enumerate([*(f'x_{k}' for k in range(len(_INPUTS))), 'y']))} from raw),
+t0 as (select {first})"""
+    for k in range(NET["steps"]):
+        units_ = ", ".join(f"tanh({' + '.join([f'w_{j}_{width - 1}', *(f'w_{j}_{i} * x_{i}' for i in range(len(_INPUTS)))])}) as h_{j}" for j in range(n))
+        grads = [f"{units(f'e * h_{j}')} as dv_{j}" for j in range(n)] + [f"{units('e')} as dv_{n}"] + [f"{units(f'e * v_{j} * (1 - h_{j} * h_{j}) * {x[i]}')} as dw_{j}_{i}" for j in range(n) for i in range(width)]
+        sql += f""",
+f{k} as materialized (select *, {' + '.join([f'v_{n}', *(f'v_{j} * h_{j}' for j in range(n))])} - y as e from (select *, {units_} from data, t{k} where batch = {k % NET['batches']})),
+g{k} as materialized (select count(*) as n, {units('e * e * 0.5')} as loss, {', '.join(grads)} from f{k}),
+t{k + 1} as materialized (select {', '.join([f'w_{j}_{i} - {NET["rate"]!r}::double * dw_{j}_{i} as w_{j}_{i}' for j in range(n) for i in range(width)] + [f'v_{j} - {NET["rate"]!r}::double * dv_{j} as v_{j}' for j in range(n + 1)])} from t{k}, g{k})"""
+    return sql + "\n" + " union all ".join(f"select {k}::bigint as step, n, [[loss]] as loss from g{k}" for k in range(NET["steps"]))
+
+
+@_query("network_losses", _network_sql(), "pairs_ix")
+def _(g, spark):
+    _, losses = network.train(_pairs(g), "t2m", _INPUTS, KEYS, **NET)
+    return spark.createDataFrame(losses, "step long, n long, loss double")
+
+
+# --- orders
+
+
+@_query("time_order", f"select row_number() over (order by day) - 1 as pos, {_DAY} from (select distinct day from fine)", "fine")
+def _(g, spark):
+    return grid.axis_order(g.fine, "day")
+
+
+@_query("longitude_order", "select row_number() over (order by x) - 1 as pos, [[x]] as lon from (select case when (select max(era5_lon * 5) from lon) > 180 then (era5_lon * 5 + 180.0) % 360.0 - 180.0 else era5_lon * 5 end as x from lon)", "lon")
+def _(g, spark):
+    return grid.axis_order(grid.standardize_longitude(g.lons.select((F.col("era5_lon") * 5).alias("lon")), "lon"), "lon")
+
+
+def _file_order(spark, sf_dir: str) -> DataFrame:
+    """Files of a folder by name, a file for each nation."""
+    folder = tables.new_path(spark, "files")
+    nations = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("int").alias("k"), "n_name")
+    nations.coalesce(1).write.partitionBy("k").text(folder)
+    found = sources.list_files(spark, folder, "part-*.txt", exclude="")
+    return grid.axis_order(found.withColumn("name", F.regexp_extract("path", "(k=[0-9]+)", 1)), "name").withColumn("pos", F.col("pos").cast("long"))
+
+
+QUERIES["file_order"] = _file_order
+ORACLE_SQL["file_order"] = "select row_number() over (order by 'k=' || n_nationkey) - 1 as pos, 'k=' || n_nationkey as name from nation"
