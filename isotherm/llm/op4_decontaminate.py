@@ -4,10 +4,12 @@ Patterns are the windows of 13 consecutive words of each benchmark item (an item
 window). The search looks at the block of the last B words of the current position: the shift table tells how
 far the position may move without missing a window; where the shift is zero, the block names the bucket of
 windows that end in it, and each of them is compared with the text directly. Windows of different lengths
-have tables of their own (13 lengths at most), so a short item doesn't shorten the shifts of the rest.
+have tables of their own (13 lengths at most), so a short item doesn't shorten the shifts of the rest. Words are
+numbered, and all tables are flat arrays.
 
-Scale: documents are only scanned; nothing of them is shuffled. The benchmark is a query set. It is broken
-into blocks of at most ``BLOCK_BYTES`` of text, each collected and broadcast for one scan; as long as it fits
+Scale: documents are only scanned; nothing of them is shuffled. The benchmark is a query set. Equal rows of it count
+once; it is broken into blocks of at most ``BLOCK_WINDOWS`` windows and about ``BLOCK_BYTES`` of text, an item of very many
+windows into parts, and each block is collected and broadcast for one scan. As long as it fits
 into one block (measured first) there is one scan and no shuffle, else each block's hits are written before the next
 block is made, its broadcast is dropped, and the hits of all blocks are merged by document.
 
@@ -20,75 +22,140 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import shared
 
 WINDOW = 13
 BLOCK_WORDS = 3
-#: Benchmark text that is collected and broadcast at once.
-BLOCK_BYTES = 16 << 20
+#: Windows of the benchmark that are collected and broadcast at once, and bytes of its text (a megabyte more at most).
+BLOCK_WINDOWS, BLOCK_BYTES = 1 << 20, 16 << 20
+_WORDS = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 
 _SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
+#: Bits of a word's number in the key of a block of words; a benchmark block has fewer different words than that.
+_BITS = 21
+
+
+def _keys(words: np.ndarray, b: int) -> np.ndarray:
+    """Key of the block of b words that ends at each place from b - 1 on; a stranger (-1) makes it -1."""
+    n = len(words) - b + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    out, known = np.zeros(n, np.int64), np.ones(n, bool)
+    for k in range(b):
+        part = words[k : k + n]
+        out = out << _BITS | part
+        known &= part >= 0
+    return np.where(known, out, -1)
+
+
+def _held(sorted_: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value of x is in a sorted array, and whether it is there at all."""
+    if not len(sorted_):
+        return np.zeros(len(x), np.int64), np.zeros(len(x), bool)
+    at = np.searchsorted(sorted_, x)
+    at[at == len(sorted_)] = 0
+    return at, sorted_[at] == x
+
+
 class WuManber:
-    """Finds all occurrences of patterns of one length (in words)."""
-
-    def __init__(self, patterns: dict[tuple[bytes, ...], set[int]]):
-        self.m = m = len(next(iter(patterns)))
-        self.b = b = min(BLOCK_WORDS, m)
-        self.default = m - b + 1
-        self.shift: dict[tuple[bytes, ...], int] = {}
-        self.buckets: dict[tuple[bytes, ...], list[tuple[tuple[bytes, ...], tuple[int, ...]]]] = {}
-        for p, items in patterns.items():
-            for end in range(b, m + 1):
-                block = p[end - b : end]
-                self.shift[block] = min(self.shift.get(block, self.default), m - end)
-            self.buckets.setdefault(p[m - b :], []).append((p, tuple(sorted(items))))
-
-    def search(self, words: list[bytes]) -> Iterator[tuple[int, tuple[int, ...]]]:
-        """(start, items) of each occurrence, by start."""
-        m, b, default, shift, n = self.m, self.b, self.default, self.shift.get, len(words)
-        i = m
+    """Finds all occurrences of patterns of one length (in words), given as places in a text of word numbers.
+
+    Flat arrays hold everything: sorted keys of blocks with their shifts, the patterns sorted by their last block, and
+    for each of them the items it is from.
+    """
+
+    def __init__(self, flat: np.ndarray, starts: np.ndarray, items: np.ndarray, m: int):
+        self.m, self.flat, self.b = m, flat.astype("<i4").tobytes(), min(BLOCK_WORDS, m)
+        self.default = m - self.b + 1
+        whole = np.ascontiguousarray(flat[starts[:, None] + np.arange(m)]).view(np.dtype((np.void, 4 * m))).ravel()
+        _, first, of = np.unique(whole, return_index=True, return_inverse=True)
+        own = starts[first]
+        keys = _keys(flat, self.b)  # by the place where a block begins
+        last = keys[own + m - self.b]
+        order = np.argsort(last, kind="stable")
+        self.starts, self.suffixes = own[order], last[order]
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order))
+        pairs = np.unique(np.stack([rank[of], items], 1)[items >= 0], axis=0)
+        self.items, self.item_at = pairs[:, 1].astype(np.int32), np.searchsorted(pairs[:, 0], np.arange(len(own) + 1))
+        # From the smallest shift up: a block keeps the first one it gets.
+        self.blocks, self.shifts = np.empty(0, np.int64), np.empty(0, np.int16)
+        for shift in range(m - self.b + 1):
+            new = np.unique(keys[own + m - self.b - shift])
+            new = new[~_held(self.blocks, new)[1]]
+            blocks = np.concatenate((self.blocks, new))
+            by = np.argsort(blocks, kind="stable")
+            self.blocks, self.shifts = blocks[by], np.concatenate((self.shifts, np.full(len(new), shift, np.int16)))[by]
+
+    def search(self, words: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+        """(start, items) of each occurrence in a text of word numbers, by start."""
+        m, b, n = self.m, self.b, len(words)
+        if n < m:
+            return
+        keys = _keys(words, b)
+        at, held = _held(self.blocks, keys)
+        step = np.where(held, self.shifts[at], self.default).tolist()
+        raw, i = words.astype("<i4").tobytes(), m
         while i <= n:
-            block = tuple(words[i - b : i])
-            if step := shift(block, default):
-                i += step
+            if move := step[i - b]:
+                i += move
                 continue
-            text = tuple(words[i - m : i])
-            for pattern, items in self.buckets[block]:
-                if pattern == text:
-                    yield i - m, items
+            text, key = raw[4 * (i - m) : 4 * i], keys[i - b]
+            for k in range(*np.searchsorted(self.suffixes, [key, key + 1]).tolist()):
+                s = 4 * int(self.starts[k])
+                if self.flat[s : s + 4 * m] == text:
+                    yield i - m, self.items[self.item_at[k] : self.item_at[k + 1]]
+                    break  # patterns differ
             i += 1
 
 
 class Index:
-    """All windows of a block of items, by length."""
+    """All windows of a block of items, by length: rows of (item, text), or of (item, text, first window, last window)."""
 
-    def __init__(self, rows: list[tuple[str | None, str | None]], window: int = WINDOW):
-        self.names = sorted({i for i, _ in rows if i is not None})
+    def __init__(self, rows: list[tuple], window: int = WINDOW):
+        self.names = sorted({r[0] for r in rows if r[0] is not None})
         place = {i: k for k, i in enumerate(self.names)}
-        by_length: dict[int, dict[tuple[bytes, ...], set[int]]] = {}
-        for item, text in rows:
+        self.words: dict[bytes, int] = {}
+        flat, starts, items, at = [], {}, {}, 0
+        for item, text, *part in rows:
             words = shared.alnum_words(text)
-            for s in range(max(1, len(words) - window + 1) if words else 0):
-                w = tuple(words[s : s + window])
-                by_length.setdefault(len(w), {}).setdefault(w, set()).update([place[item]] if item is not None else [])
-        self.searches = [WuManber(p) for _, p in sorted(by_length.items())]
+            lo, hi = part or (0, max(0, len(words) - window))
+            words = words[lo : hi + window]
+            if not words:
+                continue
+            own, m = [self.words.setdefault(w, len(self.words)) for w in words], min(window, len(words))
+            flat.append(np.array(own, np.int32))
+            n = len(own) - m + 1
+            starts.setdefault(m, []).append(np.arange(at, at + n))
+            items.setdefault(m, []).append(np.full(n, -1 if item is None else place[item]))
+            at += len(own)
+        if len(self.words) >> _BITS:
+            raise ValueError("too many different words in one block of the benchmark")
+        text = np.concatenate(flat) if flat else np.empty(0, np.int32)
+        self.searches = [WuManber(text, np.concatenate(starts[m]), np.concatenate(items[m]), m) for m in sorted(starts)]
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        of = self.words.get
+        return np.array([of(w, -1) for w in words], np.int64)
 
     def hits(self, words: list[bytes]) -> tuple[list[tuple[int, int]], list[str]]:
         """Spans [start, end) of words inside occurrences, disjoint and sorted, and the items found."""
         spans, items = [], set()
+        numbers = self.numbers(words)
         for s in self.searches:
-            for start, of in s.search(words):
+            for start, of in s.search(numbers):
                 if spans and spans[-1][0] <= start <= spans[-1][1]:
                     spans[-1] = (spans[-1][0], max(spans[-1][1], start + s.m))
                 else:
                     spans.append((start, start + s.m))
-                items.update(of)
+                items.update(of.tolist())
         return merged(spans), [self.names[k] for k in sorted(items)]
 
 
@@ -146,24 +213,47 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["content"], *(pa.array(c, k) for c, k in zip(columns, kinds))], ["content", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
 
-def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False) -> DataFrame:
+def _dealt(bench: DataFrame, window: int, block_windows: int, block_bytes: int) -> DataFrame:
+    """Distinct items with the windows from lo to hi that a block has of them, and the number of the block.
+
+    An item of more windows than half a block is cut; prefix sums over windows and bytes deal the parts out.
+    """
+    each = max(1, block_windows // 2)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    n = F.greatest(F.lit(1), F.regexp_count(lower, F.lit(_WORDS)) - window + 1)
+    items = bench.filter("text is not null").distinct().withColumn("n", n.cast("long"))
+    parts = items.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(each).cast("long"))))
+    parts = parts.withColumn("hi", F.least(F.col("lo") + each, F.col("n")) - 1).withColumn("h", F.xxhash64("item_id", "text", "lo"))
+    size = (F.col("hi") - F.col("lo") + 1) / float(block_windows) + F.octet_length("text") * (F.col("hi") - F.col("lo") + 1) / F.col("n") / float(block_bytes)
+    # Only names, numbers and sizes pass the one task that adds them up: the benchmark is a query set.
+    sizes = parts.select("h", size.alias("size")).groupBy("h").agg(F.sum("size").alias("size"))
+    upto = F.sum("size").over(Window.orderBy("h").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    blocks = sizes.select("h", F.floor(upto * 2).cast("int").alias("block"))
+    return parts.join(blocks, "h").select("item_id", "text", "lo", "hi", "block")
+
+
+def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, carry: bool = False, block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """One row for each row of docs: n_words, n_hit, n_items, items_sha256, contaminated.
 
     carry: also return the columns of docs, each as c_<position>.
     """
     spark = docs.sparkSession
     bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = shared.parts(shared.text_bytes(bench), block_bytes)
+    path = shared.table_path(spark, "op4-benchmark")
+    dealt = shared.written(_dealt(bench, window, block_windows, block_bytes), "op4-benchmark", path)
+    last = dealt.agg(F.max("block")).first()[0]
+    blocks = 1 if last is None else last + 1
     more = [F.col(f"`{c}`").alias(f"c_{k}") for k, c in enumerate(docs.columns)] if carry else []
     schema = _SCHEMA + "".join(f", c_{k} {t}" for k, (_, t) in enumerate(docs.dtypes) if carry)
     slim = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
 
     def index(k: int):
-        rows = bench.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k) if blocks > 1 else bench
-        return spark.sparkContext.broadcast(Index([(r[0], r[1]) for r in rows.toLocalIterator()], window))
+        rows = dealt.filter(F.col("block") == k).select("item_id", "text", "lo", "hi")
+        return spark.sparkContext.broadcast(Index([tuple(r) for r in rows.toLocalIterator()], window))
 
     if blocks == 1:
         one = index(0)
+        shared.emptied(spark, path)
         return slim.mapInArrow(shared.lean(lambda it: _direct(one.value, it)), schema)
     # Texts are keyed by 128 bits of their content, so repeated rows and ids need no care.
     content = F.concat_ws("-", F.xxhash64("text"), F.md5("text"))
@@ -175,6 +265,7 @@ def judge(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_byt
         part = shared.written(part, "op4-hits")
         now.destroy()
         scans = part if scans is None else scans.unionByName(part)
+    shared.emptied(spark, path)
     by_text = scans.groupBy("content").agg(F.first("n").alias("n"), F.collect_set("spans").alias("spans"), F.collect_set("items").alias("items"))
     verdicts = by_text.mapInArrow(shared.lean(_merge), "content string, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
     joined = slim.withColumn("content", content).drop("text").join(verdicts, "content", "left").drop("content")

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 
@@ -192,8 +193,41 @@ def test_wu_manber_finds_all_places():
     for m in (1, 2, 3, 5, 13):
         words = [rng.choice([b"a", b"b"]) for _ in range(400)]
         patterns = {tuple(rng.choice([b"a", b"b"]) for _ in range(m)): {k} for k in range(6)} | {tuple(words[7 : 7 + m]): {9}}
-        found = {s for s, _ in op4_decontaminate.WuManber(patterns).search(words)}
-        assert found == {s for s in range(len(words) - m + 1) if tuple(words[s : s + m]) in patterns}
+        number = {b"a": 0, b"b": 1}
+        flat = np.array([number[w] for p in patterns for w in p], np.int32)
+        owners = np.array([k for of in patterns.values() for k in of])
+        search = op4_decontaminate.WuManber(np.concatenate((flat, flat)), np.arange(2 * len(patterns)) * m, np.concatenate((owners, owners + 100)), m)
+        found = {s: set(of.tolist()) for s, of in search.search(np.array([number.get(w, -1) for w in words], np.int64))}
+        own = {tuple(p): {*of, *(k + 100 for k in of)} for p, of in patterns.items()}
+        assert found == {s: own[p] for s in range(len(words) - m + 1) if (p := tuple(words[s : s + m])) in own}
+
+
+def test_index_stays_within_its_bound():
+    """Bytes a window, with as many different words as there can be and with few: what BLOCK_WINDOWS is chosen by."""
+    import pickle
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    for n_words in (500, 60_000):
+        rows_ = [(f"i{k}", " ".join(f"word{x}" for x in rng.integers(0, n_words, 1000))) for k in range(60)]
+        tracemalloc.start()
+        index = op4_decontaminate.Index(rows_)
+        held, peak = tracemalloc.get_traced_memory()
+        tracemalloc.stop()
+        windows = 60 * (1000 - 12)
+        assert sum(len(s.starts) for s in index.searches) == windows
+        assert held < 200 * windows and peak < 500 * windows and len(pickle.dumps(index)) < 100 * windows
+
+
+def test_items_of_very_many_windows_are_cut(spark):
+    rng = random.Random(12)
+    long = prose(rng, 400)
+    bench = [("long", long), ("long", long), ("short", prose(rng, 5)), ("other", prose(rng, 60))]
+    table = [(k, prose(rng, 20) + " " + " ".join(long.split()[k * 9 : k * 9 + 30]), None, None, 0) for k in range(40)] + [(50, bench[3][1], None, None, 0)]
+    benchmark = spark.createDataFrame(bench, "item_id string, text string")
+    blocks = {r.block: r.n for r in op4_decontaminate._dealt(benchmark, 13, 40, 1 << 20).groupBy("block").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("n")).collect()}
+    assert len(blocks) > 8 and max(blocks.values()) <= 41
+    assert rows(op4_decontaminate.judge(frame(spark, table), benchmark, block_windows=40)) == brute_benchmark(table, bench)
 
 
 # --- op5
