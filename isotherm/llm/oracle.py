@@ -132,29 +132,42 @@ from split s left join fits using (page_id)"""
 
 
 def _op1() -> str:
-    """Each template has one key phrase."""
+    """A row for each template: its words, the key phrase that each of them follows, and the key phrases with their places."""
     words = lambda x: "[" + ", ".join(_text(w.decode()) for w in x) + "]"
-    rows = ", ".join(f"({_text(t.label)}, {str(t.base).lower()}, {t.key_places()[0][0]}, {words(t.key_places()[0][1])}, {words(t.words())})" for t in op1_license.TEMPLATES)
+    rows = []
+    for t in op1_license.TEMPLATES:
+        keys = t.key_places()
+        after = [max(1, sum(at <= i for at, _ in keys)) for i in range(len(t.words()))]
+        rows.append(f"({_text(t.label)}, {str(t.base).lower()}, {words(t.words())}, {after}, {[at for at, _ in keys]}, [{', '.join(words(k) for _, k in keys)}])")
     return f"""
-with docs as (select doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) as w from documents),
-template(label, base, offset_, key, words) as (values {rows}),
-hits as (
-  select doc_id, w, label, base, words, unnest(list_filter(range(1, len(w) - len(key) + 2), lambda p: w[p] = key[1] and w[p : p + len(key) - 1] = key)) - offset_ as start
-  from docs, template where list_contains(w, key[1]) and list_contains(w, key[len(key)])
+with docs as materialized (select doc_id, row_number() over () as row_, regexp_extract_all({_LOWER}, {_ALNUM}) as w from documents),
+template(label, base, words, after_, offsets, keys) as (values {', '.join(rows)}),
+phrase as (select distinct unnest(keys) as key from template),
+places as materialized (
+  select row_, key, unnest(list_filter(range(1, len(w) - len(key) + 2), lambda p: w[p] = key[1] and w[p : p + len(key) - 1] = key)) as p
+  from docs, phrase where list_has_all(w, key)
+),
+starts as (select row_, label, base, words, after_, offsets, keys, p - offsets[1] as start from places join template on key = keys[1]),
+parts as (select label, unnest(keys) as key, unnest(offsets) as offset_, unnest(range(1, len(keys) + 1)) as j from template),
+near as (
+  select s.row_, s.label, s.start, parts.j, min_by(p - s.start - offset_, 2 * abs(p - s.start - offset_) + (p > s.start + offset_)::int) as drift
+  from starts s join parts using (label) join places on places.row_ = s.row_ and places.key = parts.key
+  where case when parts.j = 1 then p = s.start + offset_ else abs(p - s.start - offset_) <= {op1_license.DRIFT} end group by all
 ),
+drifted as (select row_, label, start, list(drift order by j) as drifts from near group by all),
 scored as (
-  select doc_id, label, base, start, case when base then 0.5::double else 0.5::double + 0.5::double
-    * (len(list_filter(range(1, len(words) + 1), lambda j: start + j - 1 between 1 and len(w) and w[start + j - 1] = words[j]))::double / len(words)) end as score
-  from hits
+  select s.row_, s.label, base, start, case when base then 0.5::double else 0.5::double + 0.5::double * (len(list_filter(range(1, len(words) + 1),
+    lambda i: start + drifts[after_[i]] + i - 1 between 1 and len(w) and w[start + drifts[after_[i]] + i - 1] = words[i]))::double / len(words)) end as score
+  from starts s join drifted using (row_, label, start) join docs using (row_) where len(drifts) = len(keys)
 ),
 found as (
-  select doc_id, count(*) filter (base) as n_base, min(start - 1) filter (base) as first_word, max(start - 1) filter (base) as last_word,
+  select row_, count(*) filter (base) as n_base, min(start - 1) filter (base) as first_word, max(start - 1) filter (base) as last_word,
     string_agg(distinct label, ',' order by label) filter (base) as base_labels, string_agg(distinct label, ',' order by label) as labels, max(score) as score
-  from scored group by doc_id
+  from scored group by row_
 )
 select doc_id, len(w)::bigint as n_words, coalesce(n_base, 0)::bigint as n_base, first_word::bigint as first_word, last_word::bigint as last_word,
   coalesce(base_labels, '') as base_labels, coalesce(labels, '') as labels, coalesce(score, 0)::double as score
-from docs left join found using (doc_id)"""
+from docs left join found using (row_)"""
 
 
 _OP12 = """
