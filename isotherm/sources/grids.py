@@ -12,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from ..functions import expressions as E
 from ..operators.grid import standardize_longitude, subset_box
 from ..schema import Region
+from . import netcdf3
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*", exclude: str = "(1)") -> DataFrame:
@@ -95,7 +96,7 @@ def with_units(column: Column, name: str, units: str) -> Column:
     return column.alias(name, metadata={"units": units})
 
 
-# --- NetCDF-4, where h5netcdf or netCDF4 is installed
+# --- NetCDF: classic files by netcdf3, NetCDF-4 where h5netcdf or netCDF4 is installed
 
 
 class _Chunk(InputPartition):
@@ -104,8 +105,14 @@ class _Chunk(InputPartition):
 
 
 def _open(path: str):
-    """With netCDF4, or with h5netcdf where that isn't installed or can't open the file; both give arrays by name and
-    decode packed values."""
+    """Classic files by ``netcdf3``; others with netCDF4, or with h5netcdf where that isn't installed or can't open the
+    file. All give arrays by name and decode packed values."""
+    try:
+        classic = netcdf3.is_classic(path)
+    except (OSError, ValueError):  # the libraries know paths of their own
+        classic = False
+    if classic:
+        return netcdf3.Dataset(path)
     failed: Exception | None = None
     for library in ("netCDF4", "h5netcdf.legacyapi"):
         try:
@@ -120,7 +127,11 @@ def _open(path: str):
 
 
 class NetCdfSource(DataSource):
-    """spark.read.format("netcdf"): options path, variable, lat, lon, time, steps (time steps a partition)."""
+    """spark.read.format("netcdf"): options path, variable, lat, lon, time, steps (time steps a partition).
+
+    path: one or several, with commas between. decode=true: time is a date, by the units and calendar of each file;
+    otherwise it is the number in the file.
+    """
 
     @classmethod
     def name(cls) -> str:
@@ -128,12 +139,16 @@ class NetCdfSource(DataSource):
 
     def schema(self) -> T.StructType:
         d = T.DoubleType()
-        return T.StructType([T.StructField("latitude", d), T.StructField("longitude", d), T.StructField("time", d), T.StructField(self.options["variable"], d)])
+        return T.StructType([T.StructField("latitude", d), T.StructField("longitude", d), T.StructField("time", T.DateType() if _decodes(self.options) else d), T.StructField(self.options["variable"], d)])
 
     def reader(self, schema: T.StructType) -> DataSourceReader:
         return _NetCdfReader(dict(self.options))
 
 
+def _decodes(options: dict[str, str]) -> bool:
+    return options.get("decode", "false").lower() == "true"
+
+
 class _NetCdfReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.o = {"lat": "latitude", "lon": "longitude", "time": "time", "steps": "32"} | options
@@ -153,11 +168,17 @@ class _NetCdfReader(DataSourceReader):
         with _open(partition.path) as ds:
             v = ds.variables
             lat, lon = np.asarray(v[self.o["lat"]][:], float), np.asarray(v[self.o["lon"]][:], float)
+            times = v[self.o["time"]]
             for t in range(partition.start, partition.stop):
                 values = np.ma.filled(np.ma.asarray(v[self.o["variable"]][t], float), np.nan).ravel()
-                time = float(v[self.o["time"]][t])
+                time = float(times[t])
+                if _decodes(self.o):
+                    time = netcdf3.day_of(time, times.units, getattr(times, "calendar", "standard"))
+                    column = pa.array([time], pa.date32()).take(pa.array(np.zeros(values.size, np.int32)))
+                else:
+                    column = pa.array(np.full(values.size, time))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(lat, len(lon))), pa.array(np.tile(lon, len(lat))), pa.array(np.full(values.size, time)), pa.array(values, from_pandas=True)],
+                    [pa.array(np.repeat(lat, len(lon))), pa.array(np.tile(lon, len(lat))), column, pa.array(values, from_pandas=True)],
                     ["latitude", "longitude", "time", self.o["variable"]],
                 )
 
