@@ -10,7 +10,9 @@ link text) do, unless both sides lie in the same container. The stretch that hol
 Marked elements (article, main) choose among stretches and correct the edges of the one that is chosen: the stretch
 with the most text inside marked elements comes first, and the outermost of them that has the most text in it ends
 the stretch on both sides, so that lines beside the element go and lines of it that the windows missed stay. Of
-several marked elements side by side one is the main text, the one with the most text in the stretch.
+several marked elements side by side one is the main text, the one with the most text in the stretch. A mark isn't
+believed if its element has under a tenth of the text that a stretch has outside marked elements: it holds a headline,
+which stays, or is one of several teasers, which go.
 
 Scale: a scan without a shuffle; one page at a time, in time proportional to its length.
 
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 import html as html_
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +37,8 @@ from . import shared
 
 #: Lines of a window, and the characters a window must hold to belong to the main text.
 WINDOW, THRESHOLD = 3, 60
+#: A marked element is believed if it has so much of the text that a stretch has outside such elements.
+BELIEVED = 0.1
 
 #: Elements that begin and end a line.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead title tr ul".split())
@@ -259,10 +264,20 @@ def stretches(free: list[int], window: int = WINDOW, threshold: int = THRESHOLD,
     return found
 
 
+def believed(lines: Lines, found: list[tuple[int, int]]) -> list[int]:
+    """Of each line the marked element it is in, or 0 where that one holds too little text to be the main one."""
+    most = max((sum(f for f, x in zip(lines.free[a:b], lines.article[a:b]) if not x) for a, b in found), default=0)
+    held = Counter()
+    for a, f in zip(lines.article, lines.free):
+        held[a] += f
+    return [a if held[a] >= BELIEVED * most else 0 for a in lines.article]
+
+
 def surge_and_dive(free: list[int], window: int = WINDOW, threshold: int = THRESHOLD, lines: Lines | None = None) -> tuple[int, int]:
-    """The stretch that holds the most text, in marked elements first; (0, 0) if there is none."""
-    own = [f if a else 0 for f, a in zip(free, lines.article)] if lines else free
-    return max(stretches(free, window, threshold, lines), key=lambda x: (sum(own[x[0] : x[1]]), sum(free[x[0] : x[1]]), -x[0]), default=(0, 0))
+    """The stretch that holds the most text, in believed marked elements first; (0, 0) if there is none."""
+    found = stretches(free, window, threshold, lines)
+    own = [f if a else 0 for f, a in zip(free, believed(lines, found))] if lines else free
+    return max(found, key=lambda x: (sum(own[x[0] : x[1]]), sum(free[x[0] : x[1]]), -x[0]), default=(0, 0))
 
 
 def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD) -> str:
@@ -271,16 +286,18 @@ def main_text(page: str | None, window: int = WINDOW, threshold: int = THRESHOLD
         return ""
     lines = Lines(page)
     surge, dive = surge_and_dive(lines.free, window, threshold, lines)
+    marked = believed(lines, [(surge, dive)])
     inside = range(surge, dive) if dive else range(len(lines.text))
     held: dict[int, tuple[int, int]] = {}  # by marked element: its text outside links in the stretch, and all of that
     for i in inside:
-        if a := lines.article[i]:
+        if a := marked[i]:
             free, whole = held.get(a, (0, 0))
             held[a] = free + lines.free[i], whole + len(lines.text[i])
     if held:
         own = max(held, key=lambda a: (held[a], -a))
-        return "\n".join(t for t, a in zip(lines.text, lines.article) if a == own)
-    return "\n".join(lines.text[surge:dive])
+        return "\n".join(t for t, a in zip(lines.text, marked) if a == own)
+    teasers = len({*lines.article[surge:dive]} - {0}) > 1
+    return "\n".join(t for t, a in zip(lines.text[surge:dive], lines.article[surge:dive]) if not (a and teasers))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
