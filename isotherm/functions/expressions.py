@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from fractions import Fraction
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -226,11 +227,28 @@ def percent_bin_label(low: Column, high: Column) -> Column:
     return F.format_string("%d–%d%%", (low * 100).cast("int"), (high * 100).cast("int"))
 
 
+def _above(mark: Fraction, tie: bool) -> float:
+    """The least double above a mark, or the mark itself if it is a double and a tie counts."""
+    x = float(mark)
+    return x if Fraction(x) > mark or (tie and Fraction(x) == mark) else math.nextafter(x, math.inf)
+
+
+#: The least part of a whole that is rounded to k + 1 tenths and not to k; a quarter goes down and three quarters up, to the even digit.
+_NEXT_TENTH = [_above(Fraction(2 * k + 1, 20), k % 2 == 1) for k in range(10)]
+
+
 def _one_decimal(value: Column, unit: str) -> Column:
-    """A number with one decimal and a unit; a tie goes to the even digit, as the value itself is exact."""
-    tenths = value * 10
-    even = (tenths - F.floor(tenths) == 0.5) & (F.floor(tenths) % 2 == 0)
-    return F.format_string("%.1f " + unit, F.when(even, F.floor(tenths) / 10.0).otherwise(value))
+    """A number with one decimal and a unit, by the exact value of the double; a tie goes to the even digit.
+
+    format_string rounds the shortest text that tells a double from others, so x.85 goes up even where the double is below it.
+    """
+    size = F.abs(value)
+    whole = F.floor(size)
+    part = size - whole.cast("double")  # exact
+    low = F.least(F.floor(part * 10), F.lit(9)).cast("int")  # one too many only just below a tenth, where that is the nearest
+    tenths = low + (part >= F.get(_literals(_NEXT_TENTH), low)).cast("int")
+    text = F.format_string("%s%d.%d " + unit, F.when(value < 0, "-").otherwise(""), whole + F.floor(tenths / 10), tenths % 10)
+    return F.when(size < float(1 << 63), text).otherwise(F.format_string("%.1f " + unit, value))
 
 
 def format_bytes(size: Column) -> Column:

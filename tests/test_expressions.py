@@ -94,6 +94,16 @@ def test_reports(spark):
     assert [r[0] for r in df.select(E.transfer_estimate(F.col("s"), F.col("r"))).collect()] == ["30.0 sec", "1.5 min", "0.0 sec", "0.0 sec"]
 
 
+def test_one_decimal_is_of_the_exact_double(spark):
+    rng = np.random.default_rng(11)
+    near = [(k + d) / 20 for k in rng.integers(0, 10**9, 300).tolist() for d in (0, 1e-9)]
+    v = [21410447.85, 64231343.55, 0.05, 0.15, 0.25, 0.75, 0.95, 1 - 2**-53, 9.95, 2.0**62, 1e15 + 0.3, -0.25, -7.95, 0.0, *near, *np.nextafter(near, 0).tolist(), *rng.uniform(-(10**6), 10**12, 300).tolist()]
+    assert one(spark, v, "double", lambda c: E._one_decimal(c, "x")) == [f"{x:.1f} x" for x in v]
+    assert one(spark, [float("nan"), float("inf")], "double", lambda c: E._one_decimal(c, "x")) == ["NaN x", "Infinity x"]
+    df = spark.createDataFrame([(101376 * 101376 * 131071, 1.0)], "s long, r double")
+    assert df.select(E.transfer_estimate(F.col("s"), F.col("r"))).first()[0] == "21410447.9 min"
+
+
 @pytest.mark.parametrize("p, df, want", [(0.95, 1, 6.313752), (0.95, 8, 1.859548), (0.975, 30, 2.042272), (0.995, 5, 4.032143), (0.5, 4, 0.0)])
 def test_t_quantiles_match_tables(p, df, want):
     assert E.t_quantile(p, df) == pytest.approx(want, abs=1e-6)
