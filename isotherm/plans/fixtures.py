@@ -20,12 +20,14 @@ class Grids:
     lons: DataFrame
     clats: DataFrame
     clons: DataFrame
+    points: DataFrame
 
 
 def grids(spark: SparkSession, sf_dir: str) -> Grids:
     """fine: pixels with parts of the line items as values, sea without; coarse: a field for each order day.
 
     pixels: the grid's points that the fine record has, sea too; the axes are those of the two records.
+    points: all points of the fine grid, whether the record has them or not.
     """
     at = {"lat_ix": (F.col("l_partkey") % N_LAT).cast("int"), "lon_ix": ((F.col("l_partkey") * 7) % N_LON).cast("int"), "day": F.to_date("l_shipdate")}
     raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_quantity", *(c.alias(k) for k, c in at.items()))
@@ -44,7 +46,9 @@ def grids(spark: SparkSession, sf_dir: str) -> Grids:
     lats, lons = fine.select("lat_ix", "era5_lat").distinct(), fine.select("lon_ix", "era5_lon").distinct()
     clats, clons = coarse.select("clat_ix", "cmip_lat").distinct(), coarse.select("clon_ix", "cmip_lon").distinct()
     pixels = fine.groupBy("lat_ix", "lon_ix").agg(F.min("era5_lat").alias("era5_lat"), F.min("era5_lon").alias("era5_lon"), (F.count("t2m") > 0).alias("is_land"))
-    return Grids(fine, coarse, pixels, lats, lons, clats, clons)
+    line = lambda n, ix, start, coord: spark.range(n).select(F.col("id").cast("int").alias(ix), (F.lit(start) + F.col("id") * F.lit(0.1)).alias(coord))
+    points = line(N_LAT, "lat_ix", 24.0, "era5_lat").crossJoin(F.broadcast(line(N_LON, "lon_ix", 30.0, "era5_lon")))
+    return Grids(fine, coarse, pixels, lats, lons, clats, clons, points)
 
 
 #: The same as SQL; each part may use those before it.
@@ -63,6 +67,9 @@ SQL_PARTS = {
     "clon": "select distinct clon_ix, cmip_lon from coarse",
     "pixels": "select lat_ix, lon_ix, era5_lat, era5_lon, count(t2m) > 0 as is_land from fine group by lat_ix, lon_ix, era5_lat, era5_lon",
     "cell_field": "select clat_ix as lat_ix, clon_ix as lon_ix, avg(tas) as v from coarse group by clat_ix, clon_ix",
+    "lat_line": f"select range::int as lat_ix, 24.0::double + range * 0.1::double as era5_lat from range({N_LAT})",
+    "lon_line": f"select range::int as lon_ix, 30.0::double + range * 0.1::double as era5_lon from range({N_LON})",
+    "points": "select * from lat_line, lon_line",
     "lat_map": "select lat_ix, clat_ix, cmip_lat from lat, clat qualify row_number() over (partition by lat_ix order by abs(era5_lat - cmip_lat), clat_ix) = 1",
     "lon_map": "select lon_ix, clon_ix, cmip_lon from lon, clon qualify row_number() over (partition by lon_ix order by abs(era5_lon - cmip_lon), clon_ix) = 1",
     "assigned": "select p.*, clat_ix, cmip_lat, clon_ix, cmip_lon from pixels p join lat_map using (lat_ix) join lon_map using (lon_ix)",

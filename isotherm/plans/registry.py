@@ -349,9 +349,9 @@ def _(g, spark):
     return grid.distance_to_center(_assigned(g).filter("is_land")).select("era5_lat", "era5_lon", "dist_deg")
 
 
-@_query("mean_field_on_grid", f"select {_PIXEL}, [[mean]] as mean from pixels left join (select lat_ix, lon_ix, avg(t2m) as mean from fine group by all) using (lat_ix, lon_ix)", "pixels", "fine")
+@_query("mean_field_on_grid", f"select {_PIXEL}, [[mean]] as mean from points left join (select lat_ix, lon_ix, avg(t2m) as mean from fine group by all) using (lat_ix, lon_ix)", "points", "fine")
 def _(g, spark):
-    return grid.on_grid(g.pixels, stats.temporal_mean(g.fine, ["lat_ix", "lon_ix"], "t2m"), ["lat_ix", "lon_ix"]).select("era5_lat", "era5_lon", "mean")
+    return grid.on_grid(g.points, stats.temporal_mean(g.fine, ["lat_ix", "lon_ix"], "t2m"), ["lat_ix", "lon_ix"]).select("era5_lat", "era5_lon", "mean")
 
 
 @_query("cell_edges", """select pos, [[edge]] as edge from (

@@ -45,6 +45,12 @@ def test_every_query_has_sql():
     assert set(registry.QUERIES) == set(registry.ORACLE_SQL)
 
 
+def test_mean_field_has_every_point_of_the_grid(spark, sf_dir):
+    got = registry.QUERIES["mean_field_on_grid"](spark, sf_dir).collect()
+    assert len({(r.era5_lat, r.era5_lon) for r in got}) == len(got) == 141 * 81
+    assert 0 < sum(r.mean is not None for r in got) < 141 * 81
+
+
 def test_entry(spark):
     import __spark_entry__
 
