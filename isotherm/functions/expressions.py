@@ -111,13 +111,23 @@ def _literals(values: Sequence[float] | Sequence[int]) -> Column:
     return F.expr(f"array({', '.join(map(text, values))})")
 
 
+def _turn(a: float, b: float, tie: bool) -> float:
+    """The least value from a to b that is nearer to b by the distances that doubles give; tie: equal ones count too."""
+    low, high = a, b
+    while low < (mid := low + (high - low) / 2) < high:
+        before, after = mid - a, b - mid
+        low, high = (low, mid) if after < before or (tie and after == before) else (mid, high)
+    return high
+
+
 def nearest_index(value: Column, axis: Sequence[float]) -> Column:
     """Place (from 0) of the axis coordinate nearest to value, the first of equals; NULL where value is.
 
     A table of even steps, at most a quarter of the smallest gap wide, names for each step the line that is nearest
-    at its beginning; only that one and the next can be nearest to a value in it, and their distances decide. So a
-    row costs the same whatever the length of the axis. An axis so uneven that the table would pass MAX_STEPS is
-    searched line by line.
+    at its beginning; only that one and the next can be nearest to a value in it, and the table has the value from which
+    the next one is. So a row costs the same whatever the length of the axis. An axis so uneven that the table would pass
+    MAX_STEPS is searched line by line. The expression is small on purpose: filters and joins repeat it where it stands
+    in their keys, and a generated method above 8,000 bytes is never compiled by the JVM.
     """
     lines = sorted({float(c): k for k, c in reversed(list(enumerate(axis)))}.items())  # the first place of equal coordinates
     coords, places = [c for c, _ in lines], [k for _, k in lines]
@@ -126,21 +136,20 @@ def nearest_index(value: Column, axis: Sequence[float]) -> Column:
         return F.when(known, places[0])
     step = min(b - a for a, b in zip(coords, coords[1:])) / 4
     n = math.ceil((coords[-1] - coords[0]) / step) + 1
-    of = lambda values, i: F.get(_literals(values), i)
     if n > MAX_STEPS:
         gaps = F.transform(_literals([float(a) for a in axis]), lambda a: F.abs(value - a))
         return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
-    at, near = 0, []
+    turns = [_turn(a, b, q < p) for (a, p), (b, q) in zip(lines, lines[1:])]
+    at, turn, near = 0, [], []
     for k in range(n):
         x = coords[0] + (k - 1) * step
         while at + 2 < len(coords) and abs(coords[at + 1] - x) < abs(coords[at] - x):
             at += 1
-        near.append(at)
-    cell = F.least(F.greatest(F.floor((value - coords[0]) / step), F.lit(0)), F.lit(n - 1)).cast("int")
-    low = of(near, cell)
-    before, after = F.abs(value - of(coords, low)), F.abs(value - of(coords, low + 1))
-    first, second = of(places, low), of(places, low + 1)
-    return F.when(known, F.when(before < after, first).when(after < before, second).otherwise(F.least(first, second)))
+        turn.append(turns[at])
+        near += places[at : at + 2]
+    x = F.nanvl(value.cast("double"), F.lit(coords[0] if places[0] < places[1] else coords[1]))
+    cell = F.least(F.greatest(F.floor((x - coords[0]) / step), F.lit(0)), F.lit(n - 1)).cast("int")
+    return F.when(known, F.get(_literals(near), 2 * cell + (x >= F.get(_literals(turn), cell)).cast("int")))
 
 
 def coordinate(index: Column, axis: Sequence[float]) -> Column:

@@ -34,9 +34,14 @@ def _pairs(k: int) -> list[tuple[int, int]]:
 
 
 def _sums_by_size(z: DataFrame, keys: Sequence[str], k: int) -> DataFrame:
-    """For each size of a cell: cells, sums of squares (q_i_j) and of squared sums of cells (p_i_j) over columns z_0 ..."""
-    sums = [F.sum(f"z_{i}").alias(f"s_{i}") for i in range(k)] + [F.sum(F.col(f"z_{i}") * F.col(f"z_{j}")).alias(f"q_{i}_{j}") for i, j in _pairs(k)]
-    cells = z.groupBy(*keys).agg(F.count("*").alias("n"), *sums)
+    """For each size of a cell: cells, sums of squares (q_i_j) and of squared sums of cells (p_i_j) over columns z_0 ...
+
+    A row of z counts m times; the last column has, beside its mean, a sum of squared deviations within the row.
+    """
+    m = F.col("m").cast("double")
+    q = lambda i, j: m * F.col(f"z_{i}") * F.col(f"z_{j}") + (F.col("within") if i == j == k - 1 else F.lit(0.0))
+    sums = [F.sum(m * F.col(f"z_{i}")).alias(f"s_{i}") for i in range(k)] + [F.sum(q(i, j)).alias(f"q_{i}_{j}") for i, j in _pairs(k)]
+    cells = z.groupBy(*keys).agg(F.sum("m").alias("n"), *sums)
     both = [F.sum(f"q_{i}_{j}").alias(f"q_{i}_{j}") for i, j in _pairs(k)] + [F.sum(F.col(f"s_{i}") * F.col(f"s_{j}")).alias(f"p_{i}_{j}") for i, j in _pairs(k)]
     return cells.groupBy("n").agg(F.count("*").alias("cells"), *both)
 
@@ -110,18 +115,23 @@ class _Likelihood:
 RESULT = "term string, estimate double, se double"
 
 
-def random_intercept(df: DataFrame, y: str, predictors: dict[str, Column], keys: Sequence[str]) -> DataFrame:
-    """(term, estimate, se): intercept and predictors, then var_cell, var_error, icc, log_likelihood, n and n_cells."""
+def random_intercept(df: DataFrame, y: str, predictors: dict[str, Column], keys: Sequence[str], folded: tuple[str, str] | None = None) -> DataFrame:
+    """(term, estimate, se): intercept and predictors, then var_cell, var_error, icc, log_likelihood, n and n_cells.
+
+    folded: columns with a count and a sum of squared deviations. A row then stands for so many rows of a cell that have
+    its predictors, and y is their mean; the result is that of all those rows.
+    """
     spark, names = df.sparkSession, list(predictors)
     columns = [F.col(y).cast("double"), *(c.cast("double") for c in predictors.values())]
-    raw = df.select(*keys, *(c.alias(f"v_{i}") for i, c in enumerate(columns)))
+    m, within = (F.col(c) for c in folded) if folded else (F.lit(1), F.lit(0.0))
+    raw = df.select(*keys, *(c.alias(f"v_{i}") for i, c in enumerate(columns)), m.cast("long").alias("m"), within.cast("double").alias("within"))
     raw = raw.filter(" and ".join(f"v_{i} is not null and not isnan(v_{i}) and abs(v_{i}) < double('infinity')" for i in range(len(columns)))).dropna(subset=list(keys))
-    mean = raw.agg(*(F.avg(f"v_{i}").alias(f"v_{i}") for i in range(len(columns)))).first()
+    mean = raw.agg(*(F.try_divide(F.sum(F.col("m").cast("double") * F.col(f"v_{i}")), F.sum("m")).alias(f"v_{i}") for i in range(len(columns)))).first()
     means = [x or 0.0 for x in mean]
     k = len(names) + 2
     z = [F.lit(1.0), *(F.col(f"v_{i + 1}") - means[i + 1] for i in range(len(names))), F.col("v_0") - means[0]]
     path = new_path(spark, "mixed")
-    sizes = written(_sums_by_size(raw.select(*keys, *(c.alias(f"z_{i}") for i, c in enumerate(z))), keys, k), "mixed", path)
+    sizes = written(_sums_by_size(raw.select(*keys, "m", "within", *(c.alias(f"z_{i}") for i, c in enumerate(z))), keys, k), "mixed", path)
     model = _Likelihood(sizes, k)
     best = model.best() if model.n else None
     rows: list[tuple[str, float | None, float | None]] = []

@@ -41,15 +41,16 @@ def paired(fine: DataFrame, coarse: DataFrame, mask: DataFrame | None = None, ax
     return out.select("lat_ix", "lon_ix", "clat_ix", "clon_ix", "era5_lat", "era5_lon", "cmip_lat", "cmip_lon", "day", "t2m", "tas", *models)
 
 
-def folded_pairs(fine: DataFrame, coarse: DataFrame, mask: DataFrame | None = None, axes: tuple[list[float], list[float]] | None = None) -> DataFrame:
-    """The pairs' finite t2m folded to (cell, day): tas, n, total, square, low and high.
+def folded_pairs(fine: DataFrame, coarse: DataFrame, mask: DataFrame | None = None, axes: tuple[list[float], list[float]] | None = None, spread: bool = False) -> DataFrame:
+    """The pairs' finite t2m folded to (cell, day): tas, n, total, square, low and high; with spread also mean and the squared deviations from it.
 
     All pixels of a cell share its tas, so what a fit or an extent needs of the pairs follows from these rows, of
     which there are as many as coarse rows. They are folded before they meet the coarse record.
     """
     y = F.col("t2m")
     rows = _assigned(fine, coarse, mask, axes).filter(E.is_finite(y))
-    sums = grouped(rows, ["clat_ix", "clon_ix", "day"], ("cmip_lat", "cmip_lon"), F.count("*").alias("n"), F.sum(y).alias("total"), F.sum(y * y).alias("square"), F.min(y).alias("low"), F.max(y).alias("high"))
+    more = [F.avg(y).alias("mean"), (F.var_pop(y) * F.count("*")).alias("spread")] if spread else []
+    sums = grouped(rows, ["clat_ix", "clon_ix", "day"], ("cmip_lat", "cmip_lon"), F.count("*").alias("n"), F.sum(y).alias("total"), F.sum(y * y).alias("square"), F.min(y).alias("low"), F.max(y).alias("high"), *more)
     models = [c for c in ("model",) if c in coarse.columns]
     return sums.join(coarse.select("clat_ix", "clon_ix", "day", "tas", *models), ["clat_ix", "clon_ix", "day"])
 

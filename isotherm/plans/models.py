@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import crossval, extensions, grid, mixed, multimodel, network, ranks, regression, remap, stats, trees
+from ..operators import crossval, extensions, grid, mixed, multimodel, network, pairing, ranks, regression, remap, stats, trees
 from ..sources import grids as sources
 from ..sources import layout, tables
 from .fixtures import COARSE_LATS, COARSE_LONS, Grids
@@ -198,8 +198,12 @@ select term, [[estimate]] as estimate, [[se]] as se from (
 
 @_query("random_intercept_reml", _reml_sql(), "pairs_ix")
 def _(g, spark):
-    rows = _pairs(g).withColumn("y", F.col("t2m") + F.col("clat_ix") * F.col("clat_ix") / F.lit(16.0))
-    return mixed.random_intercept(rows, "y", {"tas": F.col("tas")}, ["clat_ix", "clon_ix"])
+    path = tables.new_path(spark, "folded")
+    folded = tables.written(pairing.folded_pairs(g.fine, g.coarse, axes=(COARSE_LATS, COARSE_LONS), spread=True).select("clat_ix", "clon_ix", "tas", "n", "mean", "spread"), "folded", path)
+    rows = folded.withColumn("y", F.col("mean") + F.col("clat_ix") * F.col("clat_ix") / F.lit(16.0))
+    out = mixed.random_intercept(rows, "y", {"tas": F.col("tas")}, ["clat_ix", "clon_ix"], folded=("n", "spread"))
+    tables.emptied(spark, path)
+    return out
 
 
 def _poly_sql(x: str, c) -> str:

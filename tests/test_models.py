@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from statistics import NormalDist
 
 import duckdb
@@ -183,6 +184,32 @@ def test_random_intercept_of_odd_tables(spark):
     assert fit([(1, 2.0, 3.0)])["intercept"][0] == pytest.approx(3.0)
 
 
+def test_random_intercept_of_folded_rows(spark):
+    rng = np.random.default_rng(8)
+    rows = [(int(c), float(x), float(300 + 0.5 * x + 2 * c + e)) for c, x, e in zip(rng.integers(0, 9, 400), rng.integers(0, 6, 400), rng.normal(size=400))]
+    df = spark.createDataFrame(rows, "cell int, x double, y double")
+    folded = df.groupBy("cell", "x").agg(F.count("*").alias("n"), F.avg("y").alias("y"), (F.var_pop("y") * F.count("*")).alias("spread"))
+    want = mixed.random_intercept(df, "y", {"x": F.col("x")}, ["cell"]).collect()
+    got = mixed.random_intercept(folded, "y", {"x": F.col("x")}, ["cell"], folded=("n", "spread")).collect()
+    assert folded.count() < len(rows) and [r.term for r in got] == [r.term for r in want]
+    for a, b in zip(got, want):
+        assert a.estimate == pytest.approx(b.estimate, rel=1e-8) and (a.se is None) == (b.se is None) and (a.se is None or a.se == pytest.approx(b.se, rel=1e-8))
+
+
+def test_pairing_is_compiled(spark, sf_dir, capsys):
+    """The JVM never compiles a method of 8,000 bytes or more."""
+    from isotherm.plans import registry
+    from isotherm.plans.fixtures import grids
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        registry._pairs(grids(spark, sf_dir)).groupBy("clat_ix", "clon_ix").agg(F.sum("t2m")).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
 # --- ranks and normality
 
 
