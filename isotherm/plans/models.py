@@ -25,7 +25,9 @@ FOREST = {"trees": 3, "depth": 3, "bins": 8, "each": 2, "least": 5, "seed": 42}
 
 
 def _tree_rows(g: Grids) -> DataFrame:
-    return _pairs(g).withColumn("day_of_year", F.dayofyear("day"))
+    """Keys, target and features of the pairs, written once: edges, quantised rows and predictions read them."""
+    rows = _pairs(g).select(*KEYS, "t2m", "tas", "era5_lat", "era5_lon", F.dayofyear("day").alias("day_of_year"))
+    return tables.written(rows, "tree-rows")
 
 
 def _trained(g: Grids) -> tuple[DataFrame, trees.Model]:

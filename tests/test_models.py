@@ -210,6 +210,13 @@ def test_pairing_is_compiled(spark, sf_dir, capsys):
     assert sizes and max(sizes) < 8000
 
 
+def test_predictions_of_trees_read_the_written_rows(spark, sf_dir):
+    from isotherm.plans import registry
+
+    files = registry.QUERIES["random_forest_out_of_bag"](spark, sf_dir).inputFiles()
+    assert files and all("/tree-rows-" in f for f in files)  # the pairs aren't made again
+
+
 # --- ranks and normality
 
 
